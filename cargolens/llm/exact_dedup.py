@@ -140,8 +140,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Texts are equal when identical after each run of ASCII white space became
     one space; null counts as empty. Of equal texts the row with the smallest
     id stays; null ids come last, and of rows that repeat the smallest id the
-    first read stays. prints replaces the fingerprint (a struct column of the
-    text column `text`), for tests of colliding ones.
+    first read stays. prints replaces the fingerprint by another expression
+    of the column `text` that equal texts share, for tests of colliding ones.
     """
     bound_arrow(docs.sparkSession)
     made = packed(docs, carry, id=id_col, text=text_col).select("row", "id", whole_text().alias("text"))
