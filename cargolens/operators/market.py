@@ -41,10 +41,12 @@ def totals(df: DataFrame, dimension: str, metric: str) -> DataFrame:
 
 
 def top_n(df: DataFrame, dimension: str, metric: str = "volume", n: int = 10) -> DataFrame:
-    """The n largest with rank, share of all in percent and running share."""
+    """The n largest with rank, share of all in percent and running share. Only n rows are ranked; the sum of all joins them as one row."""
+    t = totals(df, dimension, metric)
+    heads = t.orderBy(F.col("total").desc(), "name").limit(n)
     order = Window.orderBy(F.col("total").desc(), "name")
-    ranked = totals(df, dimension, metric).withColumns({"rank": F.row_number().over(order).cast("bigint"), "all": F.sum("total").over(Window.partitionBy()), "run": F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    return ranked.where(F.col("rank") <= n).select("rank", "name", "total", pct(F.col("total"), F.col("all")).alias("share_pct"), pct(F.col("run"), F.col("all")).alias("cumulative_pct")).orderBy("rank")
+    ranked = heads.crossJoin(F.broadcast(t.agg(F.sum("total").alias("all")))).withColumns({"rank": F.row_number().over(order).cast("bigint"), "run": F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return ranked.select("rank", "name", "total", pct(F.col("total"), F.col("all")).alias("share_pct"), pct(F.col("run"), F.col("all")).alias("cumulative_pct")).orderBy("rank")
 
 
 def top_per_group(df: DataFrame, group: str, dimension: str, n: int, metric: str = "volume") -> DataFrame:

@@ -181,3 +181,23 @@ def product_quote(df: DataFrame, fruit: str) -> DataFrame:
     q = F.percentile("usd_per_mt", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = df.where((F.col("fruit_name") == fruit) & F.col("usd_per_mt").isNotNull()).agg(q.alias("q"), F.count(F.lit(1)).alias("records"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"))
     return g.where("records > 0").select(F.lit(fruit).alias("fruit"), *(r4(F.col("q")[k]).alias(n) for k, n in enumerate(("low_price", "mid_price", "high_price"))), "records", "total_mt")
+
+
+def exporter_audit(df: DataFrame, fruits: Sequence[str]) -> DataFrame:
+    """By product and exporter, of the given products: tons, shipments and the mean of the positive prices."""
+    own = df.where(F.col("fruit_name").isin(*fruits))
+    return own.groupBy("fruit_name", "exporter").agg(F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.count(F.lit(1)).alias("shipments"), r4(F.avg(F.when(F.col("usd_per_mt") > 0, F.col("usd_per_mt")))).alias("avg_positive_price"))
+
+
+def fruit_report(df: DataFrame, fruit: str | None = None, region: str = "Europe") -> DataFrame:
+    """(part, name, shipments, total_mt, avg_price, exporters): a header, then by country, exporter and format; of one product or all. One pass: each row counts once for each part."""
+    own = region_filter(df, region)
+    own = own if fruit is None else own.where(F.col("fruit_name") == fruit)
+    parts = F.array(*(F.struct(F.lit(p).alias("part"), c.alias("name")) for p, c in (("all", F.lit(None).cast("string")), ("country", F.col("country")), ("exporter", F.col("exporter")), ("format", F.coalesce("format_type", F.lit("Unknown"))))))
+    return own.select(F.explode(parts).alias("p"), "net_weight_mt", "usd_per_mt", "exporter").groupBy("p.part", "p.name").agg(F.count(F.lit(1)).alias("shipments"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.countDistinct("exporter").alias("exporters"))
+
+
+def product_totals(df: DataFrame) -> DataFrame:
+    """By the four product keys: records, tons, value and the weighted price; null keys are left out."""
+    keys = ["fruit_name", "format_type", "size_mm", "certification"]
+    return df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.round(F.sum("fob_usd"), 2).alias("total_fob"), r4(F.sum("fob_usd") / F.sum("net_weight_mt")).alias("weighted_price"))

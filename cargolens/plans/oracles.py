@@ -211,3 +211,51 @@ ORACLES["portfolio"] = _s(
     f"SELECT b.*, product_hhi, n_product, country_hhi, n_country, {BAND.format('product_hhi')} AS product_band, {BAND.format('country_hhi')} AS country_band, CASE WHEN price > 1.1 * market_price THEN 'premium' WHEN price < 0.9 * market_price THEN 'budget' ELSE 'market' END AS price_tier FROM b JOIN product_c USING (name) JOIN country_c USING (name)",
     "e AS (SELECT exporter AS name, sum(net_weight_mt) AS t, sum(fob_usd) AS f FROM s GROUP BY 1), b AS (SELECT name, round(t, 2) AS total_mt, round(100 * t / sum(t) OVER () + 1e-9, 4) AS share_pct, round(f / t + 1e-9, 4) AS price, round(sum(f) OVER () / sum(t) OVER () + 1e-9, 4) AS market_price FROM e), " + _concentration("fruit_name", "product") + ", " + _concentration("country", "country"),
 )
+
+
+REPORT = "SELECT {part} AS part, {name} AS name, count(*) AS shipments, round(sum(net_weight_mt), 2) AS total_mt, round(avg(usd_per_mt) + 1e-9, 4) AS avg_price, count(DISTINCT exporter) AS exporters FROM s WHERE region = 'Europe' AND {where} GROUP BY ALL"
+
+
+def _report(where: str) -> str:
+    return _s(" UNION ALL ".join(REPORT.format(part=f"'{p}'", name=n, where=where) for p, n in (("all", "CAST(NULL AS VARCHAR)"), ("country", "country"), ("exporter", "exporter"), ("format", "coalesce(format_type, 'Unknown')"))))
+
+
+TOP = "SELECT rank, name, total, round(100 * total / whole + 1e-9, 4) AS share_pct, round(100 * run / whole + 1e-9, 4) AS cumulative_pct FROM r WHERE rank <= 10"
+ORACLES |= {
+    "exporter_audit": _s("SELECT fruit_name, exporter, round(sum(net_weight_mt), 2) AS total_mt, count(*) AS shipments, round(avg(usd_per_mt) FILTER (WHERE usd_per_mt > 0) + 1e-9, 4) AS avg_positive_price FROM s WHERE fruit_name IN ('ECONOMY', 'PROMO') GROUP BY 1, 2"),
+    "fruit_report": _report("fruit_name = 'SMALL'"),
+    "fruit_report_all": _report("TRUE"),
+    "product_totals": _s("SELECT fruit_name, format_type, size_mm, certification, count(*) AS records, round(sum(net_weight_mt), 2) AS total_mt, round(sum(fob_usd), 2) AS total_fob, round(sum(fob_usd) / sum(net_weight_mt) + 1e-9, 4) AS weighted_price FROM s GROUP BY 1, 2, 3, 4"),
+    "value_counts": _s("SELECT certification AS value, count(*) AS records, round(sum(net_weight_mt), 2) AS total_mt FROM s GROUP BY 1"),
+    "top_air_exporters": _s(TOP, _totals("exporter", "WHERE via = 'AIR'") + ", " + RANKED),
+    "top_destinations": _s(TOP, "t AS (SELECT country AS name, round(sum(fob_usd), 2) AS total FROM s GROUP BY 1), " + RANKED),
+    "name_variations": _s("SELECT substr(importer, 1, 17) AS canonical_importer, count(*) AS records, count(DISTINCT importer) AS variations, substr(string_agg(DISTINCT importer, ', ' ORDER BY importer), 1, 200) AS names FROM s GROUP BY 1"),
+    "canonical_audit": _s("SELECT DISTINCT upper(importer) AS canonical_importer, importer FROM s ORDER BY 1, 2 LIMIT 30"),
+    "country_flows_of_fruit": _s(" UNION ALL ".join(f"SELECT {k} AS level, {a} AS source, {b} AS target, round(sum(net_weight_mt), 2) AS value FROM s WHERE country = 'NATION_3' AND fruit_name = 'SMALL' GROUP BY 2, 3" for k, (a, b) in enumerate((("exporter", "importer"), ("importer", "country"))))),
+    "supplier_ranking": _s("SELECT name, count(c) AS n, round(100 * max(t) / sum(t) + 1e-9, 4) AS top_share_pct, CASE WHEN count(c) >= 5 THEN 'High' WHEN count(c) >= 3 THEN 'Medium' ELSE 'Low' END AS diversification FROM (SELECT exporter AS name, country AS c, sum(net_weight_mt) AS t FROM s GROUP BY ALL) GROUP BY name"),
+    "detail_by_destination": _s(DETAIL.format("country ILIKE '%nation_1%' AND certification ILIKE '%organic%'", "net_weight_mt", "date, exporter, importer, fruit_name, format_type, size_mm, certification, country, round(usd_per_mt + 1e-9, 4), fob_usd, declaration")),
+    "repeat_suppression": r"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT uid, unnest(range(1, len(w) + 1)) AS i, w FROM d), r AS (SELECT uid, i, w[i] AS word, row_number() OVER (PARTITION BY uid, array_to_string(w[i:i + 4], ' ') ORDER BY i) AS k FROM x),
+g AS (SELECT uid, string_agg(word, ' ' ORDER BY i) AS clean_text FROM r WHERE k = 1 GROUP BY uid) SELECT doc_id, coalesce(clean_text, '') AS clean_text FROM d LEFT JOIN g USING (uid)""",
+}
+
+
+def _parse_titles() -> str:
+    """The parser over the made-up titles; the library's regular expressions have no look-ahead, so a letter after `mango` is matched as itself."""
+    from cargolens.functions import product as P
+
+    has = lambda p: f"regexp_matches(t, '(?i){p}')".replace("(?:\\b|(?=[A-Z]))", "(?:\\b|[A-Za-z])")
+    case = lambda labels, rest: "CASE " + " ".join(f"WHEN {has(p)} THEN '{n}'" for n, p in labels) + f" ELSE {rest} END"
+    got = lambda p, k: f"nullif(regexp_extract(t, '(?i){p}', {k}), '')"
+    variety = "coalesce(" + ", ".join(got(p, 1) for p in P.VARIETIES) + ")"
+    size = "coalesce(" + ", ".join(f"{got(p, 1)} || 'x' || {got(p, 2)}" for p in P.SIZES) + ")"
+    words = ["MANGO CHUNKS 20X20MM IQF ORGANICO VARIEDAD: EDWARD", "PULPA DE MARACUYA ASEPTICO", "FRESA CONVENCIONAL 10 x 10 mm", "PALTA IQF", "ARANDANO ENTERO", "PIÑA GOLDEN EN TROZOS", "B & P DE UVA"]
+    titles = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return (
+        f"WITH p AS (SELECT p_partkey, lower({titles}[p_size % 7 + 1] || ' ' || p_name) AS t FROM part) SELECT p_partkey, {case(P.FRUITS, chr(39) + 'unknown' + chr(39))} AS fruit_name, upper({variety}[1]) || {variety}[2:] AS variety, "
+        f"coalesce({case(P.FORMATS, 'NULL')}, CASE WHEN {has(P.IQF)} THEN 'iqf' WHEN {size} IS NOT NULL THEN 'chunks' ELSE 'unknown' END) AS format_type, {size} AS size_mm, {has(P.ORGANIC)} AS is_organic, {has(P.CONVENTIONAL)} AS is_conventional, {has(P.IQF)} AS is_iqf, {has(P.ASEPTIC)} AS is_aseptic, "
+        f"CASE WHEN {has(P.ORGANIC)} THEN 'organic' WHEN {has(P.CONVENTIONAL)} THEN 'conventional' ELSE 'unknown' END AS certification FROM p"
+    )
+
+
+ORACLES["text_parse"] = _parse_titles()

@@ -140,6 +140,19 @@ ON_SHIPMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "range_query": lambda s: M.range_summary(s, region="Europe", min_price=900.0, max_price=1500.0, min_mt=5.0, first=BEFORE[0], last=RANGE[1]),
     "search_exporters": lambda s: M.search_names(s, "000001"),
     "fuzzy_search": lambda s: M.fuzzy_search(s, "suplier#00000012", 0.6),
+    "exporter_audit": lambda s: R.exporter_audit(s, ["ECONOMY", "PROMO"]),
+    "fruit_report": lambda s: R.fruit_report(s, "SMALL"),
+    "fruit_report_all": R.fruit_report,
+    "product_totals": R.product_totals,
+    "dataset_summary": R.dataset_summary,
+    "value_counts": lambda s: R.available_values(s, "certification"),
+    "top_air_exporters": lambda s: M.top_n(s.where("via = 'AIR'"), "exporter", "volume", 10),
+    "top_destinations": lambda s: M.top_n(s, "country", "value", 10),
+    "name_variations": lambda s: C.name_variations(s.withColumn("canonical_importer", F.substring("importer", 1, 17)), "importer"),
+    "canonical_audit": lambda s: C.canonical_audit(s.withColumn("canonical_importer", F.upper("importer")), "importer"),
+    "country_flows_of_fruit": lambda s: W.country_flows(s, "NATION_3", "SMALL"),
+    "supplier_ranking": lambda s: M.diversification(s, "exporter", "country"),
+    "detail_by_destination": lambda s: M.detail(s, 100, "volume", country="nation_1", certification="organic"),
     "importers_by_text": lambda s: C.importers_by_text(s).select("text", "records", F.array_join("names", ",").alias("names")),
 }
 #: Queries of other tables.
