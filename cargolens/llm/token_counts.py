@@ -35,7 +35,8 @@ LATIN_WORDS = rf"[{WHITE}]?(?:'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[{NUMBER}]|[^{W
 NEW_LOWER = {0xA7CB: "\u0264", 0xA7DC: "\u019b"}
 NEW_UPPER = "\ua7cb\ua7dc"
 SPACE_CHARS = frozenset(chr(c) for a, b in ((9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(a, b + 1))
-CACHE = 400_000
+#: words, and prefixes of words, that a worker keeps; prefixes of longer words aren't kept
+CACHE, SHARED = 400_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -64,7 +65,14 @@ class PrefixCounter(dict):
         self.pairs: dict[tuple[str, str], bool] = {}
         self.firsts: dict[str, list | None] = {}
         self.lasts: dict[str, list | None] = {}
-        self.states: dict = {}
+        self.states: dict[str, list] = {}
+        self.plain_tree, self.end_tree = {}, {}
+        for token in self.vocab:
+            node, body = (self.end_tree, token[: -len(end)]) if token.endswith(end) else (self.plain_tree, token)
+            for c in reversed(body):
+                node = node.setdefault(c, {})
+            node[""] = token
+        self.old: dict[str, bytes] = {}
         made: dict[str, int] = {}
         for (a, b), r in self.rank.items():
             if max(made.get(a, -1), made.get(b, -1)) >= r or a + b in made:
@@ -109,54 +117,68 @@ class PrefixCounter(dict):
             self.pairs[key] = known
         return known
 
+    def choose(self, text: str, at: int, last: list[str], tree: dict) -> tuple[str, int]:
+        """The token that ends at `at` in the encoding of text[:at], and where it starts: of the tokens in tree that end there, the one that may follow."""
+        node, found, i = tree, [], at
+        while i:
+            i -= 1
+            node = node.get(text[i])
+            if node is None:
+                break
+            token = node.get("")
+            if token is not None:
+                found.append((token, i))
+        pairs = self.pairs
+        for token, i in reversed(found):
+            known = pairs.get((last[i], token))
+            if known or known is None and self.may_follow(last[i], token):
+                return token, i
+        raise ValueError("a byte is missing from the vocabulary")
+
     def word_counts(self, word: str) -> list[int]:
         """Token count of each prefix of the word, itself a word. States are kept by prefix, as words share many."""
         text = "".join(map(self.letters.__getitem__, word.encode().decode("latin-1")))
         last, count, ended = [""], [0], []
-        vocab, fits, longest, end, states = self.vocab, self.may_follow, self.longest, self.end, self.states
-        if len(states) > 2 * CACHE:
+        states, choose = self.states, self.choose
+        if len(states) > CACHE:
             states.clear()
-        at, plain = 0, word.isascii()
+        at, plain, shared = 0, word.isascii(), len(text) <= SHARED
         for c in word:
             stop = at + 1 if plain else at + len(c.encode())
             while at < stop:
                 at += 1
-                known = states.get(text[:at]) if at <= longest else None
+                known = states.get(text[:at]) if shared else None
                 if known is None:
-                    for i in range(max(0, at - longest), at):
-                        t = text[i:at]
-                        if t in vocab and fits(last[i], t):
-                            known = (t, count[i] + 1)
-                            break
-                    if at <= longest:
+                    token, i = choose(text, at, last, self.plain_tree)
+                    known = [token, count[i] + 1, 0]
+                    if shared:
                         states[text[:at]] = known
                 last.append(known[0])
                 count.append(known[1])
-            key = text[:at] + end if at <= longest else None
-            n = states.get(key) if key else None
-            if n is None:
-                for i in range(max(0, at - longest), at):
-                    t = text[i:at] + end
-                    if t in vocab and fits(last[i], t):
-                        n = count[i] + 1
-                        break
-                if key:
-                    states[key] = n
-            ended.append(n)
+            if not known[2]:
+                _, i = choose(text, at, last, self.end_tree)
+                known[2] = count[i] + 1
+            ended.append(known[2])
         return ended
 
     def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.made(key)
+        if len(self) >= CACHE:  # the words since the last time stay at hand for one more
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+    def made(self, key: str) -> bytes:
         lead = key[0] in SPACE_CHARS
         word = key[1:] if lead else key
         if word in CONTRACTIONS:  # cut short, a contraction is an apostrophe and letters
             counts = [1, *(1 + n for n in self.word_counts(word[1:])[:-1]), self.word_counts(word)[-1]]
         else:
             counts = self.word_counts(word)
-        out = bytes([*([0] * lead), *((b - a) & 255 for a, b in zip([0, *counts], counts, strict=False))])
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = out
-        return out
+        return bytes([*([0] * lead), *((b - a) & 255 for a, b in zip([0, *counts], counts, strict=False))])
 
     def plain(self, text: str) -> bytes:
         """Changes in count for text without special strings."""
