@@ -41,16 +41,22 @@ def _first_label(text: Column, patterns) -> Column:
 def without_repeats(df: DataFrame, column: str, out: str = "clean_text", width: int = 5) -> DataFrame:
     """Add `out`: lower-cased words of column, joined by single spaces, each dropped if the run of up to `width` words from it came before.
 
-    Runs are sorted with their places and the first place of each run stays, so long texts cost n log n.
+    Where all runs' hashes differ, all runs do. Else runs are sorted with their
+    places and the first place of each run stays, so long texts cost n log n.
+    Words, and then runs, are made once by a generator, as the functions over
+    arrays read them many times.
     """
     words = F.filter(F.split(F.lower(F.col(column)), r"\s+"), lambda w: w != "")
     made = df.withColumn("_w", F.explode_outer(F.array(words)))
+    hashes = F.transform("_w", lambda w, i: F.xxhash64(w, *(F.get(F.col("_w"), i + k) for k in range(1, width))))
+    again = F.size(F.array_distinct(hashes)) < F.size("_w")
     runs = F.array_sort(F.transform("_w", lambda w, i: F.struct(F.concat_ws(" ", w, *(F.get(F.col("_w"), i + k) for k in range(1, width))).alias("run"), i.alias("i"), w.alias("w"))))
-    made = made.withColumn("_r", F.explode_outer(F.array(runs)))
+    made = made.withColumn("_r", F.explode_outer(F.array(F.when(again, runs))))
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform("_r", lambda r: r["run"]))
     firsts = F.zip_with(F.col("_r"), F.slice(before, F.lit(1), F.size("_r")), lambda r, b: F.when(~r["run"].eqNullSafe(b), F.struct(r["i"].alias("i"), r["w"].alias("w"))))
     kept = F.transform(F.array_sort(F.filter(firsts, lambda x: x.isNotNull())), lambda x: x["w"])
-    return made.withColumn(out, F.coalesce(F.array_join(kept, " "), F.lit(""))).drop("_w", "_r")
+    text = F.array_join(F.when(F.col("_r").isNull(), F.col("_w")).otherwise(kept), " ")
+    return made.withColumn(out, F.coalesce(text, F.lit(""))).drop("_w", "_r")
 
 
 def fruit(text: Column) -> Column:
