@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    for paths in getattr(_recorders, "open", ()):
+        paths.append(path)
     return path
 
 
+_recorders = threading.local()
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """A list that gets the shared paths which this thread makes inside the block."""
+    if not hasattr(_recorders, "open"):
+        _recorders.open = []
+    paths: list[str] = []
+    _recorders.open.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.open.pop()
+
+
+def delete_unread(spark: SparkSession, paths: Sequence[str], df: DataFrame) -> list[str]:
+    """Delete the shared paths that df doesn't read; the others are returned."""
+    bare = lambda x: x.split(":", 1)[-1].lstrip("/")  # noqa: E731  file:/a and file:///a are the same
+    files = [bare(f) for f in df.inputFiles()] if paths else []
+    kept = [p for p in paths if any(f.startswith(bare(p) + "/") for f in files)]
+    for p in paths:
+        if p not in kept:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return kept
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cut lineage that outlives executors, with true sizes for the planner."""
     spark = df.sparkSession

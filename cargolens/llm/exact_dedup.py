@@ -147,12 +147,14 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     made = packed(docs, carry, id=id_col, text=text_col).select("row", "id", whole_text().alias("text"))
     made = made.withColumn("of", identity_udf()("text"))
     fp = F.struct("of.h1", "of.h2", "of.n_bytes") if prints is None else prints
-    rows = durable(made.select("row", "id", "text", F.monotonically_increasing_id().alias("uid"), fp.alias("fp"), F.col("of.sha256").alias("text_sha256")), "fingerprints")
+    carried = carry is None or text_col in carry  # then the text isn't kept twice
+    rows = durable(made.select("row", "id", *(() if carried else ("text",)), F.monotonically_increasing_id().alias("uid"), fp.alias("fp"), F.col("of.sha256").alias("text_sha256")), "fingerprints")
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")) if carried else F.col("text")
 
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
     sizes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
     several = durable(sizes.where("group_size > 1"), "several")
-    chunks = rows.select("fp", "text").join(several.select("fp"), "fp", "left_semi").mapInArrow(chunk_rows(chunk), f"fp {rows.schema['fp'].dataType.simpleString()}, chunk_no bigint, chunk binary")
+    chunks = rows.select("fp", text.alias("text")).join(several.select("fp"), "fp", "left_semi").mapInArrow(chunk_rows(chunk), f"fp {rows.schema['fp'].dataType.simpleString()}, chunk_no bigint, chunk binary")
     compared = chunks.groupBy("fp", "chunk_no").agg((F.min("chunk") == F.max("chunk")).alias("same"), F.count(F.lit(1)).alias("n"))
     unlike = durable(compared.join(several.select("fp", "group_size"), "fp").where("not same or n <> group_size").select("fp").distinct(), "unlike")
 
@@ -160,7 +162,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if unlike.isEmpty():
         found = rows.drop("text").join(several.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")
     else:  # fingerprints that different texts share: their groups go by the whole normalised bytes
-        split = rows.join(unlike, "fp", "left_semi").withColumn("whole", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+        split = rows.join(unlike, "fp", "left_semi").withColumn("whole", F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
         texts = split.groupBy("fp", "whole").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
         apart = split.join(texts, ["fp", "whole"]).select("row", "id", "uid", "text_sha256", "group_size", "first")
         rest = rows.join(unlike, "fp", "left_anti").drop("text").join(several.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")

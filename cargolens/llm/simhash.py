@@ -217,6 +217,12 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     null). Links join fingerprints, so copies cost nothing. An empty table
     gives an empty one.
     """
+    rows, named = fingerprints_named(docs, id_col, text_col, carry, width, seed, radius)
+    return rows.join(named, rows.fp == named.of).drop("of")
+
+
+def fingerprints_named(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] | None, width: int, seed: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: rows (row, id, uid, fp), and (of, root, component) for each fingerprint."""
     bound_arrow(docs.sparkSession)
     rows = packed(docs, carry, id=id_col, text=text_col).withColumn("fp", fingerprint_udf(width, seed)(whole_text()))
     rows = durable(rows.select("row", "id", F.monotonically_increasing_id().alias("uid"), "fp"), "fingerprints")
@@ -225,15 +231,17 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     joined = durable(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
     named = durable(joined.join(smallest, "root").select(F.col("fp").alias("of"), "root", "component"), "components")
-    return rows.join(named, rows.fp == named.of).drop("of")
+    return rows, named
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without all but one row of each component: the one with the smallest id stays (of rows with that id, the first read; of null ids, the first read)."""
-    found = simhash_components(docs, id_col=id_col, text_col=text_col, **how)
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """docs without all but one row of each component: the one with the smallest id stays (of rows with that id, the first read; of null ids, the first read). Only row numbers decide; whole rows move once at most."""
+    rows, named = fingerprints_named(docs, id_col, text_col, None, width, seed, radius)
+    found = rows.select("id", "uid", "fp").join(named, F.col("fp") == F.col("of"))
     first = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("uid").alias("uid"))
-    return found.join(durable(first.select("uid"), "kept"), "uid", "left_semi").select("row.*")
+    return rows.join(durable(first.select("uid"), "kept"), "uid", "left_semi").select("row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:
+    """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
