@@ -154,18 +154,19 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
     sizes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
     several = durable(sizes.where("group_size > 1"), "several")
-    chunks = rows.select("fp", text.alias("text")).join(several.select("fp"), "fp", "left_semi").mapInArrow(chunk_rows(chunk), f"fp {rows.schema['fp'].dataType.simpleString()}, chunk_no bigint, chunk binary")
+    # Whole texts meet narrow tables in merge joins, however few groups there are: cost per row is the same at every size
+    chunks = rows.select("fp", text.alias("text")).hint("merge").join(several.select("fp"), "fp", "left_semi").mapInArrow(chunk_rows(chunk), f"fp {rows.schema['fp'].dataType.simpleString()}, chunk_no bigint, chunk binary")
     compared = chunks.groupBy("fp", "chunk_no").agg((F.min("chunk") == F.max("chunk")).alias("same"), F.count(F.lit(1)).alias("n"))
     unlike = durable(compared.join(several.select("fp", "group_size"), "fp").where("not same or n <> group_size").select("fp").distinct(), "unlike")
 
     alone = F.struct(F.lit(False).alias("none"), "id", "uid")
     if unlike.isEmpty():
-        found = rows.drop("text").join(several.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")
+        found = rows.drop("text").hint("merge").join(several.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")
     else:  # fingerprints that different texts share: their groups go by the whole normalised bytes
         split = rows.join(unlike, "fp", "left_semi").withColumn("whole", F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
         texts = split.groupBy("fp", "whole").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
         apart = split.join(texts, ["fp", "whole"]).select("row", "id", "uid", "text_sha256", "group_size", "first")
-        rest = rows.join(unlike, "fp", "left_anti").drop("text").join(several.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")
+        rest = rows.join(unlike, "fp", "left_anti").drop("text").hint("merge").join(several.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")
         found = rest.select(apart.columns).unionByName(apart)
     first = F.coalesce("first", alone)
     return found.select("row", "id", "uid", first["id"].alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), (F.col("uid") == first["uid"]).alias("kept"), "text_sha256")

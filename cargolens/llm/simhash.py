@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ BITS = 64
 SPACE_BYTES = bytes(range(9, 14))
 TO_SPACE = bytes.maketrans(SPACE_BYTES, b" " * len(SPACE_BYTES))
 #: a block with more fingerprints or values is split by further bits before its values are made
-BLOCK, VALUES = 4096, 6_000_000
+BLOCK, VALUES = 1 << 15, 6_000_000
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -121,13 +122,13 @@ def collisions(prints: np.ndarray, spare: np.ndarray, free: int) -> Iterator[np.
     yield np.unique(np.stack((prints[owner[again]], prints[owner[root[again]]]), 1), axis=0)
 
 
-def link_blocks(free: int):
-    """mapInArrow function: rows (block, print, spare) ordered by block, to links (a, b)."""
+def link_blocks(free: int, half: int):
+    """mapInArrow function: rows (block, print) ordered by block, to links (a, b)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            prints = np.concatenate([p for p, _ in parts])
-            spare = np.concatenate([s for _, s in parts])
+        def links(block: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            prints = np.concatenate(parts)
+            spare = half - np.bitwise_count((prints >> np.uint64(free)) ^ np.uint64(block)).astype(np.int64)
             for pairs in collisions(prints, spare, free):
                 pairs = pairs[pairs[:, 0] != pairs[:, 1]].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -136,28 +137,27 @@ def link_blocks(free: int):
         for batch in batches:
             block = batch.column(0).to_numpy()
             prints = batch.column(1).to_numpy().view(np.uint64)
-            spare = batch.column(2).to_numpy().astype(np.int64)
             cuts = np.flatnonzero(np.diff(block)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
                 if hi > lo:
                     if open_block is not None and block[lo] != open_block:
-                        yield from links(parts)
+                        yield from links(int(open_block), parts)
                         parts = []
                     open_block = block[lo]
-                    parts.append((prints[lo:hi], spare[lo:hi]))
+                    parts.append(prints[lo:hi])
         if parts:
-            yield from links(parts)
+            yield from links(int(open_block), parts)
 
     return of
 
 
 def block_bits(n: int, half: int) -> int:
-    """Leading bits that name a block: the fewest with an expected block of at most a quarter of 2**bits fingerprints and of BLOCK."""
-    for bits in range(6, 33):
-        sends = sum(len(list(combinations(range(bits), k))) for k in range(half + 1))
-        if n * sends / 2**bits <= min(2**bits, BLOCK) / 4:
+    """Leading bits that name a block: the fewest that leave a block half as many fingerprints, on average, as those bits can number (so that a value and its owner fit one word)."""
+    for bits in range(6, 31):
+        sends = sum(comb(bits, k) for k in range(half + 1))
+        if n * sends / 2**bits <= min(2**bits, BLOCK) / 2:
             return bits
-    return 32
+    return 30
 
 
 def near_links(prints: DataFrame, *, radius: int = 4) -> DataFrame:
@@ -172,14 +172,11 @@ def near_links(prints: DataFrame, *, radius: int = 4) -> DataFrame:
     half, spark = radius // 2, prints.sparkSession
     bits = block_bits(prints.count(), half)
     free = BITS - bits
-    flips = [(int(m) << free, int(m).bit_count()) for m in masks(bits, half)]
     signed = lambda v: v - (1 << BITS) if v >> (BITS - 1) else v
-    table = F.array(*(F.struct(F.lit(signed(m)).cast("bigint").alias("m"), F.lit(half - k).cast("int").alias("spare")) for m, k in flips))
-    sent = prints.select("fp", F.explode(table).alias("f")).select(
-        F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("f.m")), free).alias("block"), "fp", F.col("f.spare").alias("spare")
-    )
+    flips = F.array(*(F.lit(signed(int(m) << free)).cast("bigint") for m in masks(bits, half)))
+    sent = prints.select("fp", F.explode(flips).alias("m")).select(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), free).cast("int").alias("block"), "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = sent.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(link_blocks(free), "a bigint, b bigint")
+    found = sent.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(link_blocks(free, half), "a bigint, b bigint")
     return found.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -235,11 +232,15 @@ def fingerprints_named(docs: DataFrame, id_col: str, text_col: str, carry: Seque
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """docs without all but one row of each component: the one with the smallest id stays (of rows with that id, the first read; of null ids, the first read). Only row numbers decide; whole rows move once at most."""
+    """docs without all but one row of each component: the one with the smallest id stays (of rows with that id, the first read; of null ids, the first read).
+
+    Only row numbers decide. Whole rows move once, in a merge join whatever the
+    number of rows that stay, so cost per row is the same at every size.
+    """
     rows, named = fingerprints_named(docs, id_col, text_col, None, width, seed, radius)
     found = rows.select("id", "uid", "fp").join(named, F.col("fp") == F.col("of"))
     first = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("uid").alias("uid"))
-    return rows.join(durable(first.select("uid"), "kept"), "uid", "left_semi").select("row.*")
+    return rows.hint("merge").join(durable(first.select("uid"), "kept"), "uid", "left_semi").select("row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -36,7 +36,7 @@ NEW_LOWER = {0xA7CB: "\u0264", 0xA7DC: "\u019b"}
 NEW_UPPER = "\ua7cb\ua7dc"
 SPACE_CHARS = frozenset(chr(c) for a, b in ((9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(a, b + 1))
 #: words, and prefixes of words, that a worker keeps; prefixes of longer words aren't kept
-CACHE, SHARED = 400_000, 64
+CACHE, SHARED = 200_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -112,7 +112,7 @@ class PrefixCounter(dict):
                 last = self.lasts[a] = self.history(a, -1)
             rank = self.rank
             known = last is not None and not any((m := rank.get((x, y), -1)) > born and born_y < m < gone and m <= gone_y for x, born, gone in last for y, born_y, gone_y in first)
-            if len(self.pairs) > 3 * CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
