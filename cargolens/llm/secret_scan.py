@@ -3,7 +3,7 @@
 Documents are scanned for candidates. Every candidate value is hashed, and over the
 whole corpus each hash is counted by distinct owners and repositories: a
 value that many owners have is an example that was copied around, one that stays
-with an owner looks live. The four base kinds are always reported; tokens of the
+with an owner looks live. The three base kinds are always reported; tokens of the
 looser kind `opaque` are added where ownership says that they look live.
 """
 
