@@ -89,7 +89,8 @@ SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "sub licence": "sublicense", "sublicence": "sublicense", "acknowledgement": "acknowledgment",
     "favour": "favor", "honour": "honor", "organisation": "organization", "authorised": "authorized", "merchantibility": "merchantability", "non infringement": "noninfringement", "per cent": "percent", "https": "http",
 }
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: A copyright statement on a line of its own: the mark and then a year, another mark, "by" or a placeholder; or the reservation alone.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:(?:copyright\b|\(c\)|©)[ \t:,]*(?:\d{4}|\(c\)|©|by\b|[<\[{]|yyyy\b|year\b)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
 NOTICE_CHARS = 200
 
 
