@@ -8,7 +8,8 @@ likewise among known notices.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,41 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
+#: File in license_texts, identifier, lines of its title (blank ones don't count).
+FILES = (
+    ("Apache-2.0", "Apache-2.0", 3), ("Artistic", "Artistic-1.0-Perl", 1), ("BSD", "BSD-3-Clause", 0), ("CC0-1.0", "CC0-1.0", 2),
+    ("GFDL-1.2", "GFDL-1.2", 2), ("GFDL-1.3", "GFDL-1.3", 2), ("GPL-1", "GPL-1.0", 2), ("GPL-2", "GPL-2.0", 2), ("GPL-3", "GPL-3.0", 2),
+    ("LGPL-2", "LGPL-2.0", 2), ("LGPL-2.1", "LGPL-2.1", 2), ("LGPL-3", "LGPL-3.0", 2), ("MPL-1.1", "MPL-1.1", 2), ("MPL-2.0", "MPL-2.0", 1),
+)
+#: Usual titles of texts that are printed with more than one or without any.
+TITLES = {
+    "MIT": ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"),
+    "Zlib": ("The zlib License", "The zlib/libpng License"),
+}
+#: what comes after the terms of the Apache License and the GPL: how to apply them
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def entire_texts() -> Iterator[tuple[str, str]]:
+    """(license_id, text) of whole licences: with and without title, and with and without what follows their terms."""
+    bare = {"MIT": MIT.removeprefix("MIT License\n\n"), "ISC": ISC.removeprefix("ISC License\n\n"), "BSD-2-Clause": BSD_HEAD + BSD_TAIL, "BSD-3-Clause": BSD_HEAD + BSD_NAMES + BSD_TAIL, "Zlib": ZLIB.removeprefix("zlib License\n\n")}
+    yield from ((i, f"{title}\n\n{text}") for i, text in bare.items() for title in TITLES[i])
+    for file, name, n_title in FILES:
+        text = (Path(__file__).parent / "license_texts" / f"{file}.txt").read_text(encoding="utf-8")
+        lines = text.strip("\n\f ").split("\n")
+        at = [k for k, line in enumerate(lines) if line.strip()][n_title]
+        for form in (text, "\n".join(lines[at:]), *(f"{title}\n\n{text}" for title in TITLES.get(name, ()))):
+            yield name, form
+            if TERMS_END in form:
+                yield name, form[: form.index(TERMS_END) + len(TERMS_END)]
+                yield name, form[: form.index(TERMS_END)]
+
+
+#: The known set: KNOWN, which the SQL twin has too, and the whole licences.
+LICENSES = (*KNOWN, *entire_texts())
 #: Words that licences spell in more than one way, and the form that counts.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "sub licence": "sublicense", "sublicence": "sublicense", "acknowledgement": "acknowledgment",
@@ -118,7 +154,7 @@ def entire(form: Column) -> Column:
     return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
     """(license_digest, license_id) of known texts: as many rows as `known`."""
     rows = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known)).cast("array<struct<license_id:string,text:string>>")
     texts = spark.range(1).select(F.inline(rows))
@@ -126,7 +162,7 @@ def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN)
     return digests.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
-def license_matches(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str] | None = None, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def license_matches(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str] | None = None, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
     """Columns row, text_digest (SHA-256 of the canonical form), license_id (of the known text that the entire text equals, or null), notice_ids (sorted distinct licences of lines that equal a known text; no such line: empty) and n_notices (such lines).
 
     Null text is empty and matches nothing, nor does a text of copyright lines

@@ -37,3 +37,13 @@ def test_body_lines_count(spark, line):
 def test_statements_do_not(spark, line):
     out = found(spark, ["one\nthree", f"one\n{line}\nthree"])
     assert out[0]["text_digest"] == out[1]["text_digest"]
+
+
+def test_whole_licenses(spark):
+    files = [(i, (L.Path(L.__file__).parent / "license_texts" / f"{f}.txt").read_text()) for f, i, _ in L.FILES]
+    titled = [("BSD-3-Clause", "BSD 3-Clause License\n\n" + NAMED["BSD-3-Clause"]), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + NAMED["BSD-2-Clause"]), ("MIT", "The MIT License (MIT)\n\n" + L.MIT.removeprefix("MIT License\n\n"))]
+    plain = [("GPL-2.0", files[7][1].split("Version 2, June 1991", 1)[1]), ("Apache-2.0", files[0][1].split("http://www.apache.org/licenses/", 1)[1]), ("Apache-2.0", files[0][1].split("   APPENDIX")[0]), ("MPL-2.0", files[13][1].split("=\n", 1)[1])]
+    cases = [*files, *titled, *plain]
+    out = found(spark, [t for _, t in cases] + [files[8][1] + "\nand more"])
+    assert [out[k]["license_id"] for k in range(len(cases))] == [i for i, _ in cases]
+    assert out[len(cases)]["license_id"] is None
