@@ -127,6 +127,7 @@ SPELLINGS = {
 }
 #: A copyright statement on a line of its own: the mark and then a year, another mark, "by" or a placeholder; or the reservation alone.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:(?:copyright\b|\(c\)|©)[ \t:,]*(?:\d{4}|\(c\)|©|by\b|[<\[{]|yyyy\b|year\b)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+#: the SQL twin's limit for lines; the operator has none
 NOTICE_CHARS = 200
 
 
@@ -155,11 +156,11 @@ def entire(form: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
-    """(license_digest, license_id) of known texts: as many rows as `known`."""
+    """(license_digest, license_id, n_chars of the canonical form) of known texts: as many rows as `known`."""
     rows = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known)).cast("array<struct<license_id:string,text:string>>")
     texts = spark.range(1).select(F.inline(rows))
-    digests = texts.select(F.sha2(entire(canonical(F.col("text"))), 256).alias("license_digest"), "license_id")
-    return digests.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
+    forms = texts.select(entire(canonical(F.col("text"))).alias("form"), "license_id")
+    return forms.groupBy(F.sha2("form", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("form")).alias("n_chars"))
 
 
 def license_matches(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str] | None = None, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
@@ -167,23 +168,26 @@ def license_matches(docs: DataFrame, *, text_col: str = "text", carry: Sequence[
 
     Null text is empty and matches nothing, nor does a text of copyright lines
     and punctuation alone. Repeated rows match each. A text of any length is
-    digested whole; lines of over 200 canonical characters aren't notices, as
-    no known one-line notice is that long. An empty table gives an empty one.
+    digested whole; lines as long as none of the known forms are not looked up,
+    as they equal none. An empty table gives an empty one.
     """
     from cargolens.llm.quality import barrier
 
     spark = docs.sparkSession
-    digests = known_digests(spark, known)
+    found_known = known_digests(spark, known).collect()  # as many as known texts
+    notices = {r["license_digest"]: r["license_id"] for r in found_known}
+    sizes = sorted({r["n_chars"] for r in found_known} - {0})
     made = packed(docs, carry, text=text_col).select("row", whole_text().alias("text"))
     low = F.lower(F.col("text"))
     bare = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low)
     forms = barrier(made, ["row"], form=F.regexp_replace(bare, r"[^\p{L}\p{N}\n]+", " "))
     forms = barrier(forms, ["row"], form=F.when(F.col("form").rlike(VARIANT), one_spelling(F.col("form"))).otherwise(F.col("form")))
-    lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(1, NOTICE_CHARS))
+    lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(sizes))
     units = forms.select("row", F.sha2(entire(F.col("form")), 256).alias("text_digest"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("lines"))
-    notices = {r["license_digest"]: r["license_id"] for r in digests.collect()}  # as many as known texts
     of_digest = F.create_map(*(F.lit(x) for pair in notices.items() for x in pair)) if notices else F.create_map().cast("map<string,string>")
     hits = F.filter("lines", lambda x: F.array_contains(F.array(*map(F.lit, notices)).cast("array<string>"), x))
     ids = F.array_sort(F.array_distinct(F.transform(hits, lambda x: F.try_element_at(of_digest, x))))
     found = units.select("row", "text_digest", ids.alias("notice_ids"), F.size(hits).cast("bigint").alias("n_notices"))
+    pairs = F.array(*(F.struct(F.lit(d).alias("license_digest"), F.lit(i).alias("license_id")) for d, i in notices.items())).cast("array<struct<license_digest:string,license_id:string>>")
+    digests = spark.range(1).select(F.inline(pairs))
     return found.join(F.broadcast(digests), found.text_digest == digests.license_digest, "left").select("row", "text_digest", "license_id", "notice_ids", "n_notices")

@@ -47,3 +47,11 @@ def test_whole_licenses(spark):
     out = found(spark, [t for _, t in cases] + [files[8][1] + "\nand more"])
     assert [out[k]["license_id"] for k in range(len(cases))] == [i for i, _ in cases]
     assert out[len(cases)]["license_id"] is None
+
+
+def test_long_lines_are_looked_up(spark):
+    mit = " ".join(L.MIT.removeprefix("MIT License\n\nCopyright (c) <year> <copyright holders>\n\n").split())
+    own = "word " * 100 + "end"
+    out = found(spark, [f"/* {mit} */\nvar x = 1;", f"first\n{own}\nlast", "", None], known=(*L.KNOWN, ("Own", own)))
+    assert [(out[k]["license_id"], out[k]["notice_ids"], out[k]["n_notices"]) for k in range(4)] == [(None, ["MIT"], 1), (None, ["Own"], 1), (None, [], 0), (None, [], 0)]
+    assert found(spark, ["one"], known=())[0]["n_notices"] == 0
