@@ -37,6 +37,13 @@ class Rules:
     last: dt.date | None = None
 
 
+#: The rules of the worldwide price summary: nine floors, its own sample words, twelve months.
+WORLDWIDE_RULES = Rules(
+    floors={"acai": 1000, "avocado": 2000, "banana": 800, "blueberry": 1800, "golden_berry": 1000, "grape": 800, "mango": 1500, "pineapple": 1000, "strawberry": 1500},
+    sample_words=OTHER_SAMPLE_WORDS, first=dt.date(2024, 11, 1), last=dt.date(2025, 10, 31),
+)
+
+
 def _sure(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
