@@ -77,8 +77,9 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", owner: Column | Non
     """Columns row, n_assign, n_access, n_hex, base_spans, spans, n_live and n_example.
 
     spans is an array of (start, end, kind, value_hash, n_owners, n_repos, live),
-    by start and then kind. live: at most most_owners owners and most_repos
-    repositories hold the value. Base spans (base_spans has them alone) are
+    by start and then kind. live: at most most_owners owners hold the value,
+    and if they are several, in at most most_repos repositories; a value of one
+    owner is live in however many of its repositories it is. Base spans (base_spans has them alone) are
     always there, opaque ones only if live. owner is `source` by default, repo
     owner and `lang`; null is an owner of its own. Null text is empty. Repeated rows are spans
     of the same repository. An empty table gives an empty one.
@@ -94,7 +95,7 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", owner: Column | Non
     each = found.where(F.size("found") > 0).select("uid", "owner", "repo", F.explode("found").alias("s"))
     owners = durable(value_owners(each.select(F.col("s.value_hash").alias("value_hash"), "owner", "repo")), "owners")
     told = each.select("uid", "s", F.col("s.value_hash").alias("h")).join(owners, F.col("h") == owners.value_hash)
-    live = (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
+    live = (F.col("n_owners") <= most_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= most_repos))
     span = F.struct("s.start", "s.end", "s.kind", "s.value_hash", "n_owners", "n_repos", live.alias("live"))
     judged = told.select("uid", span.alias("s")).where("s.kind < 3 or s.live").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), "s"))).alias("all"))
     judged = judged.select(F.col("uid").alias("of"), F.transform("all", lambda x: x["s"]).alias("spans"))
