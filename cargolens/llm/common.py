@@ -1,4 +1,4 @@
-"""What the corpus operators share: durable intermediate tables, row keys, Arrow limits, word and space patterns."""
+"""What the corpus operators share: durable intermediate tables, row keys, joins of whole rows and hot keys, Arrow limits, word and space patterns."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,16 +68,11 @@ def recording() -> Iterator[list[str]]:
         _recorders.open.pop()
 
 
-def delete_unread(spark: SparkSession, paths: Sequence[str], df: DataFrame) -> list[str]:
-    """Delete the shared paths that df doesn't read; the others are returned."""
-    bare = lambda x: x.split(":", 1)[-1].lstrip("/")  # noqa: E731  file:/a and file:///a are the same
-    files = [bare(f) for f in df.inputFiles()] if paths else []
-    kept = [p for p in paths if any(f.startswith(bare(p) + "/") for f in files)]
+def delete_tables(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete shared paths; whoever calls this knows that nothing reads them any more."""
     for p in paths:
-        if p not in kept:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    return kept
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -94,6 +90,79 @@ def packed(docs: DataFrame, carry: Sequence[str] | None = None, **named: str) ->
     return docs.select(row.alias("row"), *(F.col(f"`{c}`").alias(name) for name, c in named.items()))
 
 
+#: Keys or rows of a small table that are sent to every executor, at most; more are shuffled.
+SENT_ROWS = 1 << 20
+#: A filter of more keys has this many bits and lets more of the others pass.
+FILTER_BITS = 1 << 27
+#: Fewer rows than this don't make a key hot.
+HOT_ROWS = 256
+
+
+def located(docs: DataFrame, **named: str) -> DataFrame:
+    """A struct `row` of docs' columns, the columns in `named` under the names given there, and `at`: where the row lies (hash of the file's path, and number in the file), the same whenever the table is read.
+
+    So narrow results find their rows again in a second scan, and no stage
+    writes whole rows between. docs must give the same rows each time, as
+    tables do; what isn't read from files is written to a table first.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number")).alias("at")
+    base = None
+    if "_metadata" not in map(str.lower, docs.columns):
+        try:
+            base = docs.select(row, at)
+        except AnalysisException:  # not read from files
+            pass
+    if base is None:
+        base = durable(docs.select(row), "rows").select("row", at)
+    return base.select("row", *(F.col("row")[c].alias(name) for name, c in named.items()), "at")
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with `_maybe`: true for all that have one of the n keys and, by chance, for some others. A bitmap of at most FILTER_BITS bits by the key's hash, made by an aggregate, is sent as a table of words and joined."""
+    bits = min(FILTER_BITS, 1 << max(10, (20 * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    word = F.shiftright(place, 6)
+    words = keys.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int"))).alias("_bits"))
+    told = rows.withColumn("_place", place).join(F.broadcast(words), F.shiftright("_place", 6) == F.col("_word"), "left")
+    hit = F.call_function("shiftright", F.col("_bits"), F.col("_place").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    return told.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_place", "_word", "_bits")
+
+
+def rows_with(rows: DataFrame, keys: DataFrame, key: str, *, sent_rows: int | None = None) -> DataFrame:
+    """Whole rows joined to keys, a narrow written table with one row for each key. A table of at most sent_rows rows is sent to all executors; else rows that surely have no partner are filtered out before the others are shuffled."""
+    n = keys.count()
+    if n <= (SENT_ROWS if sent_rows is None else sent_rows):
+        return rows.join(F.broadcast(keys), key)
+    return maybe_in(rows, keys, key, n).where("_maybe").drop("_maybe").join(keys, key)
+
+
+def rows_without(rows: DataFrame, keys: DataFrame, key: str, *, sent_rows: int | None = None) -> DataFrame:
+    """Whole rows whose key isn't in keys (a narrow written table of distinct keys). A table of at most sent_rows rows is sent to all executors; else rows that the filter clears stay where they are, and only the others are shuffled."""
+    n = keys.count()
+    if n <= (SENT_ROWS if sent_rows is None else sent_rows):
+        return rows.join(F.broadcast(keys), key, "left_anti")
+    told = maybe_in(rows, keys, key, n)
+    return told.where("not _maybe").drop("_maybe").unionByName(told.where("_maybe").drop("_maybe").join(keys, key, "left_anti"))
+
+
+def join_by_count(rows: DataFrame, table: DataFrame, key: str, many: str, how: str = "inner") -> DataFrame:
+    """rows joined to table, which has one row for each key and in column `many` the number of rows that hold it (inner or left; both written tables, as they are read twice).
+
+    Keys with over a part in four times the shuffle partitions of all counted
+    rows are at most as many, and are sent to all executors: a hot key's rows stay
+    where they are. The other keys are shuffled.
+    """
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = table.agg(F.sum(many).alias("all"), F.max(many).alias("most")).first()
+    limit = max(HOT_ROWS, (held["all"] or 0) // parts)
+    if (held["most"] or 0) <= limit:
+        return rows.join(table, key, how)
+    hot, others = table.where(F.col(many) > limit), table.where(F.col(many) <= limit)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

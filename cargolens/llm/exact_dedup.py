@@ -1,40 +1,31 @@
 """Exact duplicates by composable polynomial fingerprints.
 
 A chunk of bytes b0..bn-1 hashes to sum(bi * R**(n-1-i)) modulo a prime, so
-that hash(A + B) = hash(A) * R**len(B) + hash(B): chunk hashes, made in
-parallel, combine to the hash of any longer text. Two primes and the byte
+that hash(A + B) = hash(A) * R**len(B) + hash(B). Every text is cut into chunk
+rows; a chunk's hash, shifted by the bytes after it, is its term of the text's
+hash, and the terms are summed by an aggregate. Two primes and the byte
 length make a fingerprint. Texts that share one are then compared chunk by
 chunk: per fingerprint and chunk number the smallest and the largest chunk must
 be the same bytes, which partial aggregation decides without bringing a group
-together. Groups that fail this are grouped by their whole bytes.
+together. Groups that fail this are grouped by their whole texts.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import bound_arrow, durable, packed, whole_text
+from cargolens.llm.common import bound_arrow, durable, join_by_count, located, rows_with, rows_without, whole_text
 
 CHUNK = 4096
 #: primes below 2**31 with a base for each
 FIELDS = ((2147483647, 1103515245), (2147483629, 1566083941))
-SPACE_BYTES = bytes(range(9, 14))
-TO_SPACE = bytes.maketrans(SPACE_BYTES, b" " * len(SPACE_BYTES))
-PRINT = "struct<h1:bigint,h2:bigint,n_bytes:bigint>"
-
-
-def one_space(text: bytes) -> bytes:
-    """Each run of ASCII white space as one space."""
-    text = text.translate(TO_SPACE)
-    while b"  " in text:
-        text = text.replace(b"  ", b" ")
-    return text
+#: bytes of a chunk row: texts are hashed and compared in such pieces
+PIECE = 1 << 15
 
 
 def powers(prime: int, base: int, n: int) -> np.ndarray:
@@ -77,102 +68,101 @@ def fingerprint(data: bytes, which: int) -> int:
     return combine(zip(chunk_hashes(data, which), lengths, strict=True), which)[0]
 
 
-def identity_udf():
-    """UDF from text to its normalised bytes' fingerprint and SHA-256."""
-    kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
-
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            rows = []
-            for t in texts.cast(pa.binary()).to_pylist():
-                b = one_space(t or b"")
-                rows.append({"h1": fingerprint(b, 0), "h2": fingerprint(b, 1), "n_bytes": len(b), "sha256": hashlib.sha256(b).hexdigest()})
-            yield pa.array(rows, kind)
-
-    return F.arrow_udf(of, "h1 bigint, h2 bigint, n_bytes bigint, sha256 string")
+def normalised(text: Column) -> Column:
+    """Each run of ASCII white space as one space; texts without such runs aren't rewritten."""
+    return F.when(text.rlike(r"[\x20\x09-\x0D]{2}|[\x09-\x0D]"), F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")).otherwise(text)
 
 
-def chunk_rows(size: int):
-    """mapInArrow function: rows (fp, text) to rows (fp, chunk_no, chunk) of the normalised text."""
+def pieces_of(size: int, *kept: str) -> Callable[[DataFrame], DataFrame]:
+    """Rows with a string column `text` to its byte chunks of `size` (one empty chunk for an empty text): kept columns, chunk_no, n_bytes of the text, and chunk. Chunks are cut one after another as they are asked for."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, number, chunk = [], [], []
-            for k, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                b = one_space(t or b"")
-                for i in range(0, max(len(b), 1), size):
-                    prints.append(k)
-                    number.append(i // size)
-                    chunk.append(b[i : i + size])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(prints, pa.int32())), pa.array(number, pa.int64()), pa.array(chunk, pa.binary())], ["fp", "chunk_no", "chunk"])
+    def of(rows: DataFrame) -> DataFrame:
+        data = rows.select(*kept, F.col("text").cast("binary").alias("data")).withColumn("n_bytes", F.octet_length("data").cast("bigint"))
+        numbers = F.sequence(F.lit(0).cast("bigint"), F.expr(f"greatest(n_bytes - 1, 0L) div {size}"))
+        cut = data.select("*", F.explode(numbers).alias("chunk_no"))
+        return cut.select(*kept, "chunk_no", "n_bytes", F.substring("data", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("chunk"))
 
     return of
 
 
-def combine_chunks(chunks: DataFrame, *, key: str, number: str = "chunk_no", data: str = "chunk") -> DataFrame:
-    """Fingerprint of documents that come as chunk rows, each chunk hashed where it lies: (key, fp).
-
-    The hash of a chunk times R**(bytes after it) are terms of one sum, so the
-    chunks of a huge document meet only as (hash, length) pairs.
-    """
+def shifted_hashes() -> Callable[[str, Column], Column]:
+    """UDF from a chunk and the number of bytes after it in its text to the chunk's terms of the text's two hashes."""
     kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
 
-    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for parts in batches:
-            yield pa.array([{"h1": fingerprint(b or b"", 0), "h2": fingerprint(b or b"", 1)} for b in parts.to_pylist()], kind)
-
-    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for chunks, after in batches:
             rows = []
-            for parts in lists.to_pylist():
-                (h1, n), (h2, _) = (combine(((p[h], p["n"]) for p in parts), k) for k, h in enumerate(("h1", "h2")))
-                rows.append({"h1": h1, "h2": h2, "n_bytes": n})
-            yield pa.array(rows, pa.struct([*kind, ("n_bytes", pa.int64())]))
+            for b, n in zip(chunks.to_pylist(), after.to_pylist(), strict=True):
+                rows.append({h: fingerprint(b, k) * pow(base, n, prime) % prime for k, (h, (prime, base)) in enumerate(zip(("h1", "h2"), FIELDS, strict=True))})
+            yield pa.array(rows, kind)
 
-    each = chunks.select(F.col(key).alias("key"), F.col(number).alias("k"), F.arrow_udf(hashed, "h1 bigint, h2 bigint")(F.col(data)).alias("h"), F.octet_length(F.col(data)).cast("bigint").alias("n"))
-    parts = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "h.h1", "h.h2", "n"))).alias("parts"))
-    return parts.select(F.col("key").alias(key), F.arrow_udf(joined, PRINT)("parts").alias("fp"))
+    return F.arrow_udf(of, "h1 bigint, h2 bigint")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, chunk: int = 1 << 16, prints=None) -> DataFrame:
-    """Columns row (a struct of docs' columns, or of those in carry), id, keep_id, group_size, kept and text_sha256.
+def combine_chunks(chunks: DataFrame, *, key: Sequence[str], size: int, number: str = "chunk_no", data: str = "chunk", total: str = "n_bytes") -> DataFrame:
+    """Fingerprints of documents that come as chunk rows of `size` bytes (the last shorter), each hashed where it lies: key columns and fp.
 
-    Texts are equal when identical after each run of ASCII white space became
-    one space; null counts as empty. Of equal texts the row with the smallest
-    id stays; null ids come last, and of rows that repeat the smallest id the
-    first read stays. prints replaces the fingerprint by another expression
-    of the column `text` that equal texts share, for tests of colliding ones.
+    A chunk's hash times R**(bytes after it) is its term of the document's
+    hash, so partial sums add up in any order, and chunks of a huge document
+    meet only as two numbers. A document without bytes has the hash 0.
     """
-    bound_arrow(docs.sparkSession)
-    made = packed(docs, carry, id=id_col, text=text_col).select("row", "id", whole_text().alias("text"))
-    made = made.withColumn("of", identity_udf()("text"))
-    fp = F.struct("of.h1", "of.h2", "of.n_bytes") if prints is None else prints
-    carried = carry is None or text_col in carry  # then the text isn't kept twice
-    rows = durable(made.select("row", "id", *(() if carried else ("text",)), F.monotonically_increasing_id().alias("uid"), fp.alias("fp"), F.col("of.sha256").alias("text_sha256")), "fingerprints")
-    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")) if carried else F.col("text")
-
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
-    sizes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
+    after = F.greatest(F.col(total) - (F.col(number) + 1) * size, F.lit(0))
+    each = chunks.select(*key, F.col(total).alias("n_bytes"), shifted_hashes()(F.col(data), after).alias("h"))
+    sums = each.groupBy(*key, "n_bytes").agg(F.sum("h.h1").alias("h1"), F.sum("h.h2").alias("h2"))
+    return sums.select(*key, F.struct((F.col("h1") % FIELDS[0][0]).alias("h1"), (F.col("h2") % FIELDS[1][0]).alias("h2"), "n_bytes").alias("fp"))
+
+
+def exact_members(base: DataFrame, chunk: int, prints: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Written tables for located rows (at, id, text): each row's (at, id, text_sha256), and for rows of groups of several (at, keep_at, keep_id, group_size)."""
+    bound_arrow(base.sparkSession)
+    raw = base.select("at", "id", whole_text().alias("text"))
+    texts = raw.withColumn("text", normalised(F.col("text")))
+    if prints is None:
+        hashed = combine_chunks(pieces_of(chunk, "at", "id", "text_sha256")(texts.withColumn("text_sha256", F.sha2("text", 256))), key=["at", "id", "text_sha256"], size=chunk)
+    else:
+        hashed = texts.select("at", "id", F.sha2("text", 256).alias("text_sha256"), prints.alias("fp"))
+    hashed = durable(hashed, "fingerprints")
+
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "at")
+    sizes = hashed.groupBy("fp").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
     several = durable(sizes.where("group_size > 1"), "several")
-    # Whole texts meet narrow tables in merge joins, however few groups there are: cost per row is the same at every size
-    chunks = rows.select("fp", text.alias("text")).hint("merge").join(several.select("fp"), "fp", "left_semi").mapInArrow(chunk_rows(chunk), f"fp {rows.schema['fp'].dataType.simpleString()}, chunk_no bigint, chunk binary")
-    compared = chunks.groupBy("fp", "chunk_no").agg((F.min("chunk") == F.max("chunk")).alias("same"), F.count(F.lit(1)).alias("n"))
+    members = durable(join_by_count(hashed.select("at", "id", "fp"), several, "fp", "group_size"), "members")
+    # Chunkwise comparison: in a group of equal texts each chunk number has one value, as often as the group has rows
+    held = rows_with(raw.select("at", "text"), members.select("at", "fp"), "at").withColumn("text", normalised(F.col("text")))
+    compared = pieces_of(chunk, "fp")(held).groupBy("fp", "chunk_no").agg((F.min("chunk") == F.max("chunk")).alias("same"), F.count(F.lit(1)).alias("n"))
     unlike = durable(compared.join(several.select("fp", "group_size"), "fp").where("not same or n <> group_size").select("fp").distinct(), "unlike")
+    if not unlike.isEmpty():  # fingerprints that different texts share: their groups go by the whole texts
+        apart = durable(members.join(unlike, "fp", "left_semi").select("at", "id"), "apart")
+        whole = durable(rows_with(raw.select("at", "text"), apart, "at").withColumn("text", normalised(F.col("text"))), "whole")
+        groups = durable(whole.groupBy("text").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first")).where("group_size > 1"), "groups")
+        again = join_by_count(whole, groups, "text", "group_size").select("at", "id", "group_size", "first")
+        members = durable(members.join(unlike, "fp", "left_anti").select("at", "id", "group_size", "first").unionByName(again), "members")
+    return hashed, members.select("at", F.col("first")["at"].alias("keep_at"), F.col("first")["id"].alias("keep_id"), "group_size")
 
-    alone = F.struct(F.lit(False).alias("none"), "id", "uid")
-    if unlike.isEmpty():
-        found = rows.drop("text").hint("merge").join(several.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")
-    else:  # fingerprints that different texts share: their groups go by the whole normalised bytes
-        split = rows.join(unlike, "fp", "left_semi").withColumn("whole", F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-        texts = split.groupBy("fp", "whole").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
-        apart = split.join(texts, ["fp", "whole"]).select("row", "id", "uid", "text_sha256", "group_size", "first")
-        rest = rows.join(unlike, "fp", "left_anti").drop("text").hint("merge").join(several.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), "left")
-        found = rest.select(apart.columns).unionByName(apart)
-    first = F.coalesce("first", alone)
-    return found.select("row", "id", "uid", first["id"].alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), (F.col("uid") == first["uid"]).alias("kept"), "text_sha256")
-
-
-def drop_exact_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each group of equal texts."""
-    columns = how.pop("carry", None)
-    return exact_groups(docs, carry=columns, **how).where("kept").select("row.*")
+
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, chunk: int = PIECE, prints: Column | None = None) -> DataFrame:
+    """Columns row (a struct of docs' columns, or of those in carry), id, keep_id, group_size, kept and text_sha256.
+
+    Texts are equal when identical after each run of ASCII white space became
+    one space; null counts as empty. Of equal texts the row with the smallest
+    id stays; null ids come last, and of rows that repeat the smallest id one
+    stays. Texts of any length are hashed and compared in chunks of `chunk` bytes. An
+    empty table gives an empty one. docs is read more than once and must give
+    the same rows each time. prints replaces the fingerprint by another
+    expression of the normalised column `text` that equal texts share, for
+    tests of colliding ones.
+    """
+    base = located(docs, id=id_col, text=text_col)
+    hashed, members = exact_members(base, chunk, prints)
+    found = hashed.select("at", "id", "text_sha256").join(members, "at", "left")
+    told = found.select("at", "id", F.coalesce("keep_id", F.when(F.col("group_size").isNull(), F.col("id"))).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), (F.col("keep_at").isNull() | (F.col("keep_at") == F.col("at"))).alias("kept"), "text_sha256")
+    row = F.col("row") if carry is None else F.struct(*(F.col("row")[c].alias(c) for c in carry))
+    return base.select(row.alias("row"), "at").join(told, "at").select("row", "id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = PIECE) -> DataFrame:
+    """docs with one row of each group of equal texts, by the rules of exact_groups: null text is empty, null ids come last, one of repeated rows stays, and an empty table gives an empty one. Only the rows that go are named to the second scan."""
+    base = located(docs, id=id_col, text=text_col)
+    _, members = exact_members(base, chunk, None)
+    gone = durable(members.where("keep_at <> at").select("at"), "gone")
+    return rows_without(base.select("row", "at"), gone, "at").select("row.*")

@@ -37,10 +37,11 @@ l AS (SELECT uid, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT ui
 m AS (SELECT doc_id, source, len(words) AS n_words, CAST(length(regexp_replace(text, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN l USING (uid) LEFT JOIN c USING (uid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b GROUP BY source),
-s AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS v, sum(n) / count(*) AS size FROM h),
-q AS (SELECT mean, CASE WHEN v > 0 AND v < mean * (1 - mean) THEN mean * (1 - mean) / v - 1 ELSE size END AS worth FROM s),
-z AS (SELECT source, (f + mean * worth) / (n + worth) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source"""
+t AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(sum(f) AS DOUBLE) / sum(n) AS m, count(*) AS hosts FROM h),
+q AS (SELECT any_value(m) AS m, sum(n * (f / n - m) * (f / n - m)) AS spread, any_value(hosts) - 1 AS free, sum((1 - n / total) * (n - 1)) AS weight FROM h, t),
+a AS (SELECT m, CASE WHEN m > 0 AND m < 1 AND weight > 1e-9 THEN greatest(0, least(1, (spread / (m * (1 - m)) - free) / weight)) ELSE 0 END AS rho FROM q),
+z AS (SELECT source, (f * rho + m * (1 - rho)) / (n * rho + 1 - rho) AS rate FROM h, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate + 1e-9, 4) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source"""
 
 
 def _spans(kind: int, name: str, pattern: str, value: int, least: int, more: str = "true") -> str:
@@ -108,8 +109,8 @@ k AS (SELECT d.*, given, whole, rest, md5('7:' || whole || ':' || coalesce(CAST(
 c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest AS inside FROM k)
 SELECT doc_id, domain, lang, source, n_tokens, given AS leaf_budget, unnest(range(0, whole + CASE WHEN inside AND rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM c"""
 
-PACK = f"""WITH RECURSIVE d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS total FROM documents),
-p AS (SELECT doc_id, piece_no, 2048 * piece_no AS start_token, least(2048, total - 2048 * piece_no) AS n_tokens, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || piece_no) AS key FROM (SELECT *, unnest(range(0, CAST(greatest(ceil(total / 2048), 1) AS BIGINT))) AS piece_no FROM d)),
+PACK = f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS epoch, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS total FROM documents),
+p AS (SELECT doc_id, epoch, piece_no, 2048 * piece_no AS start_token, least(2048, total - 2048 * piece_no) AS n_tokens, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || piece_no) AS key FROM (SELECT *, unnest(range(0, CAST(greatest(ceil(total / 2048), 1) AS BIGINT))) AS piece_no FROM d)),
 h AS (SELECT n_tokens AS l, CAST(count(*) AS BIGINT) AS c, row_number() OVER (ORDER BY n_tokens) AS j FROM p WHERE n_tokens > 0 GROUP BY 1),
 s AS (SELECT 0 AS j, 0 AS l, 0 AS hc, 0 AS tc UNION ALL SELECT j, l, sum(c) OVER (ORDER BY j), sum(c * l) OVER (ORDER BY j) FROM h),
 dp AS (SELECT 1 AS k, j, CAST(l * hc - tc AS BIGINT) AS cost, CAST(0 AS BIGINT) AS cut FROM s WHERE j > 0
@@ -118,9 +119,10 @@ dp AS (SELECT 1 AS k, j, CAST(l * hc - tc AS BIGINT) AS cost, CAST(0 AS BIGINT)
 back AS (SELECT k, j FROM dp WHERE j = (SELECT max(j) FROM h) AND k = (SELECT max(k) FROM dp) UNION ALL SELECT dp.k - 1, CASE WHEN dp.cut > 0 THEN dp.cut ELSE dp.j END FROM back JOIN dp ON dp.k = back.k AND dp.j = back.j WHERE dp.k > 1),
 e AS (SELECT DISTINCT l AS bucket_len FROM back JOIN h ON h.j = back.j JOIN dp ON dp.k = back.k AND dp.j = back.j),
 q AS (SELECT p.*, (SELECT min(bucket_len) FROM e WHERE bucket_len >= n_tokens) AS bucket_len FROM p WHERE n_tokens > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY bucket_len ORDER BY key, doc_id, piece_no, n_tokens) - 1 AS place FROM q)
-SELECT doc_id, piece_no, start_token, n_tokens, bucket_len, place // (16384 // bucket_len) AS batch_no, place % (16384 // bucket_len) AS slot, bucket_len - n_tokens AS padding FROM r
-UNION ALL SELECT doc_id, piece_no, start_token, n_tokens, NULL, NULL, NULL, NULL FROM p WHERE n_tokens = 0"""
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket_len, epoch ORDER BY key, doc_id, piece_no, n_tokens) - 1 AS place FROM q),
+m AS (SELECT bucket_len, epoch, coalesce(sum(ceil(count(*) / (16384 // bucket_len))) OVER (PARTITION BY bucket_len ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_batch FROM q GROUP BY bucket_len, epoch)
+SELECT doc_id, epoch, piece_no, start_token, n_tokens, bucket_len, CAST(first_batch + place // (16384 // bucket_len) AS BIGINT) AS batch_no, place % (16384 // bucket_len) AS slot, bucket_len - n_tokens AS padding FROM r JOIN m USING (bucket_len, epoch)
+UNION ALL SELECT doc_id, epoch, piece_no, start_token, n_tokens, NULL, NULL, NULL, NULL FROM p WHERE n_tokens = 0"""
 
 ORACLES: dict[str, str] = {
     "op1_length_buckets": PACK,

@@ -4,8 +4,9 @@ Documents longer than the context are cut into full pieces and a rest. The
 histogram of piece lengths, at most `max_len` rows whatever the corpus, is all that
 the dynamic programme needs to choose the bucket lengths that waste the
 fewest padding tokens. In a bucket every batch holds as many pieces as the
-token budget allows, in a seeded order; pieces are numbered through shards of
-the order, so that no bucket is ever gathered.
+token budget allows, in a seeded order, one reading (epoch) of the corpus after another, so
+that copies of a document never share a batch; pieces are numbered through
+shards of the order, so that no bucket is ever gathered.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import durable, hex_shard, shard_number, word_count
+from cargolens.llm.common import SENT_ROWS, bound_arrow, durable, hex_shard, shard_number, word_count
 
 
 def bucket_lengths(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
@@ -58,47 +59,84 @@ def bucket_lengths(lengths: Sequence[int], counts: Sequence[int], buckets: int)
     return sorted({*out, int(length[j])})
 
 
+def readings(docs: DataFrame, most: int = 4096) -> DataFrame:
+    """Rows (row, id, total, print) with `epoch`: rows that are equal in all four are readings 0, 1, ... of one document. They are counted, not gathered; a document of more than `most` readings is spread over tasks."""
+    counted = durable(docs.groupBy("row", "id", "total", "print").agg(F.count(F.lit(1)).alias("n")), "readings")
+    numbers = lambda first, last: F.explode(F.sequence(first, last)).alias("epoch")
+    few = counted.where(F.col("n") <= most).select("row", "id", "total", numbers(F.lit(0).cast("bigint"), F.col("n") - 1))
+    starts = counted.where(F.col("n") > most).select("row", "id", "total", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(most).cast("bigint"))).alias("at"))
+    many = starts.repartition(shard_number(docs.sparkSession)).select("row", "id", "total", numbers(F.col("at"), F.least(F.col("at") + most, F.col("n")) - 1))
+    return few.unionByName(many)
+
+
 def pack_into_buckets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_tokens: Column | None = None, carry: Sequence[str] = (), max_len: int = 2048, buckets: int = 8, token_budget: int = 16384, seed: int = 0
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n_tokens: Column | None = None,
+    epoch: Column | None = None,
+    carry: Sequence[str] = (),
+    max_len: int = 2048,
+    buckets: int = 8,
+    token_budget: int = 16384,
+    seed: int = 0,
 ) -> DataFrame:
-    """Columns row, id, piece_no, start_token, n_tokens, bucket_len, batch_no, slot and padding.
+    """Columns row, id, epoch, piece_no, start_token, n_tokens, bucket_len, batch_no, slot and padding.
 
-    n_tokens (an expression of docs' columns; words by default) is a document's
+    n_tokens (an expression of docs' columns; words of the text by default) is a document's
     length. A document of over max_len tokens becomes pieces of max_len and a
     rest. A piece goes to the shortest bucket that holds it; a bucket's batch
     holds token_budget // bucket_len pieces (one at least). A document without tokens, or of null
-    length, has one row with piece_no 0 and nulls for bucket, batch, slot and padding.
-    Order within a bucket: MD5 of seed, id and piece number; repeated rows
-    count each. An empty table gives an empty one.
+    length or text, has one row with piece_no 0 and nulls for bucket, batch, slot and padding.
+
+    Rows that are equal in id, text, length and carried columns (which must be fit for
+    grouping) are readings of one document: their epochs are 0, 1, ... in any
+    order; or epoch gives it. A batch holds pieces of one epoch, so copies never
+    share one; each bucket has at most one partly filled batch an epoch. Rows with one id
+    and different texts are different documents. Order within a bucket: epoch, then MD5 of seed, id
+    and piece number; rows that tie there come in any order. An empty table gives an empty one.
     """
     if not 1 <= max_len <= token_budget:
         raise ValueError("a piece must fit the token budget")
     spark = docs.sparkSession
+    bound_arrow(spark)
     row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(None).cast("string").alias("none"))
-    words = word_count(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    total = words if n_tokens is None else F.greatest(F.lit(0), F.coalesce(n_tokens.cast("bigint"), F.lit(0)))
-    made = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), total.alias("total"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")) if text_col in docs.columns else F.lit("")
+    total = word_count(text) if n_tokens is None else F.greatest(F.lit(0), F.coalesce(n_tokens.cast("bigint"), F.lit(0)))
+    made = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), total.alias("total"), F.xxhash64(text).alias("print"), *(() if epoch is None else (F.coalesce(epoch.cast("bigint"), F.lit(0)).alias("epoch"),)))
+    made = readings(made) if epoch is None else made
     last = F.greatest(F.ceil(F.col("total") / max_len), F.lit(1)).cast("bigint") - 1
-    pieces = made.select("row", "id", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece_no"))
-    pieces = pieces.select("row", "id", "piece_no", (F.col("piece_no") * max_len).alias("start_token"), F.least(F.lit(max_len), F.col("total") - F.col("piece_no") * max_len).cast("bigint").alias("n_tokens"))
+    pieces = made.select("row", "id", "epoch", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece_no"))
+    pieces = pieces.select(
+        "row", "id", "epoch", "piece_no", (F.col("piece_no") * max_len).alias("start_token"), F.least(F.lit(max_len), F.col("total") - F.col("piece_no") * max_len).cast("bigint").alias("n_tokens")
+    )
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("piece_no").cast("string")))
     pieces = durable(pieces.withColumn("key", key), "pieces")
 
-    histogram = pieces.where("n_tokens > 0").groupBy("n_tokens").count().collect()
+    histogram = pieces.where("n_tokens > 0").groupBy("n_tokens").count().collect()  # at most max_len rows
     chosen = bucket_lengths([r["n_tokens"] for r in histogram], [r["count"] for r in histogram], buckets) or [max_len]
     bucket = F.lit(chosen[-1])
     for b in reversed(chosen[:-1]):
         bucket = F.when(F.col("n_tokens") <= b, b).otherwise(bucket)
     shards = shard_number(spark)
-    placed = pieces.where("n_tokens > 0").withColumn("bucket_len", bucket.cast("bigint")).withColumn("shard", hex_shard(F.col("key"), shards))
-    sizes = placed.groupBy("bucket_len", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("bucket_len").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = durable(sizes.select("bucket_len", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
-    inside = Window.partitionBy("bucket_len", "shard").orderBy("key", "id", "piece_no", "n_tokens")
-    # buckets x shards rows: bounded by parameters, so the offsets may be sent to all
-    numbered = placed.withColumn("place", F.row_number().over(inside)).join(F.broadcast(offsets), ["bucket_len", "shard"]).withColumn("at", F.col("offset") + F.col("place") - 1)
     capacity = F.expr(f"{token_budget} div bucket_len")
-    full = numbered.select("row", "id", "piece_no", "start_token", "n_tokens", "bucket_len", F.floor(F.col("at") / capacity).cast("bigint").alias("batch_no"), (F.col("at") % capacity).cast("bigint").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))
+    placed = pieces.where("n_tokens > 0").withColumn("bucket_len", bucket.cast("bigint")).withColumn("shard", hex_shard(F.col("key"), shards))
+    sizes = durable(placed.groupBy("bucket_len", "epoch", "shard").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    before = Window.partitionBy("bucket_len", "epoch").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("bucket_len", "epoch", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # a row for each bucket and epoch: the batches of the epochs before it
+    batches = sizes.groupBy("bucket_len", "epoch").agg(F.sum("n").alias("n")).withColumn("batches", F.ceil(F.col("n") / capacity).cast("bigint"))
+    earlier = Window.partitionBy("bucket_len").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = batches.select("bucket_len", "epoch", F.coalesce(F.sum("batches").over(earlier), F.lit(0)).alias("first_batch"))
+    offsets = durable(offsets.join(firsts, ["bucket_len", "epoch"]), "offsets")
+    inside = Window.partitionBy("bucket_len", "epoch", "shard").orderBy("key", "id", "piece_no", "n_tokens")
+    # buckets x epochs x shards rows: sent to all where that is few, and a document of very many copies makes many
+    small = F.broadcast(offsets) if offsets.count() <= SENT_ROWS else offsets
+    numbered = placed.withColumn("place", F.row_number().over(inside)).join(small, ["bucket_len", "epoch", "shard"]).withColumn("at", F.col("offset") + F.col("place") - 1)
+    columns = ("row", "id", "epoch", "piece_no", "start_token", "n_tokens")
+    batch = (F.col("first_batch") + F.floor(F.col("at") / capacity)).cast("bigint")
+    full = numbered.select(*columns, "bucket_len", batch.alias("batch_no"), (F.col("at") % capacity).cast("bigint").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))
     none = F.lit(None).cast("bigint")
-    bare = pieces.where("n_tokens = 0").select("row", "id", "piece_no", "start_token", "n_tokens", *(none.alias(c) for c in ("bucket_len", "batch_no", "slot", "padding")))
+    bare = pieces.where("n_tokens = 0").select(*columns, *(none.alias(c) for c in ("bucket_len", "batch_no", "slot", "padding")))
     return full.unionByName(bare)

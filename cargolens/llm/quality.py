@@ -1,9 +1,10 @@
 """Document quality with host-level rules, in DataFrame functions only.
 
 Each document is measured and tested by itself. Its failures are added up by
-host, and a host's failure rate is shrunk towards the rate of all hosts by a beta
-prior fitted to the hosts' own rates, so that a host with few documents isn't
-judged by them alone. Hosts whose shrunk rate is too high lose all documents.
+host, and a host's failure rate is shrunk towards the rate of all documents by a
+beta prior fitted to how far hosts differ beyond chance, so that a host with few
+documents isn't judged by them alone. Hosts whose shrunk rate is too high lose
+all documents.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import SPACE, SPACES, durable, packed, whole_text
+from cargolens.llm.common import SPACE, SPACES, durable, join_by_count, packed, rows_without, whole_text
 
 SYMBOLS = "[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -60,16 +61,36 @@ def measured(df: DataFrame, *, width: int = 5) -> DataFrame:
 
 
 def host_rates(failures: DataFrame) -> DataFrame:
-    """Rows (host, n, failed) with each host's shrunk rate: (failed + a) / (n + a + b), where the beta prior (a, b) has the mean and variance of the hosts' own rates.
-
-    Hosts that all have one rate, or vary as no beta distribution can, get a prior worth as many
-    documents as the average host has.
+    """Rows (host, n, failed, all bigint but host) with `rate`, each host's failure rate shrunk by a beta prior: (failed + a) / (n + a + b).
+
+    The prior's mean m is the share of all documents that fail. How far hosts
+    differ comes from their rates' spread about m, weighted by n, less what
+    binomial sampling alone gives hosts of these sizes: with correlation
+    rho = 1 / (a + b + 1), the sum of n * (failed / n - m)**2 is expected to be
+    m * (1 - m) * (hosts - 1 + rho * sum((1 - n / all) * (n - 1))). rho is kept within
+    0 (hosts don't differ: all have rate m) and 1 (each has its own), and
+    is 0 where the hosts can't tell: a single host, or none with two documents.
     """
-    rates = failures.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), F.var_pop(F.col("failed") / F.col("n")).alias("v"), F.avg(F.col("failed") / F.col("n")).alias("m"))
-    worth = F.when((F.col("v") > 0) & (F.col("v") < F.col("m") * (1 - F.col("m"))), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.col("n") / F.col("hosts"))
-    prior = rates.select("m", worth.alias("worth")).first()
-    m, s = (prior["m"], prior["worth"]) if prior["m"] is not None else (0.0, 1.0)
-    return failures.withColumn("rate", (F.col("failed") + F.lit(m * s)) / (F.col("n") + F.lit(s)))
+    n, failed = F.col("n").cast("double"), F.col("failed").cast("double")
+    sums = failures.agg(F.sum(n).alias("all"), F.sum(failed).alias("f"), F.count(F.lit(1)).alias("hosts"), F.sum(failed * failed / n).alias("squares"), F.sum(n * n).alias("nn"))
+    mean = F.col("f") / F.col("all")
+    spread = F.col("squares") - F.col("f") * mean
+    weight = F.col("all") - F.col("hosts") - F.col("nn") / F.col("all") + 1
+    rho = (spread / (mean * (1 - mean)) - (F.col("hosts") - 1)) / weight
+    rho = F.when((mean > 0) & (mean < 1) & (weight > 1e-9), F.greatest(F.lit(0.0), F.least(F.lit(1.0), rho))).otherwise(0.0)
+    prior = sums.select(mean.alias("m"), rho.alias("rho")).first()  # one row
+    m, r = (prior["m"] or 0.0), (prior["rho"] or 0.0)
+    return failures.withColumn("rate", (failed * r + m * (1 - r)) / (n * r + (1 - r)))
+
+
+def judged_rows(docs: DataFrame, carry: Sequence[str] | None, text_col: str, host_col: str, min_words: int, max_repeat_percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: rows (row, host, MEASURES, base_failed), and for each host (host, n, host_rate). host is a struct, so that null is a name."""
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    host = F.struct(F.col("host").isNull().alias("none"), F.coalesce(F.col("host").cast("string"), F.lit("")).alias("name"))
+    rows = measured(packed(docs, carry, host=host_col, text=text_col).withColumn("host", host))
+    rows = durable(rows.withColumn("base_failed", failed), "measured")
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
+    return rows, durable(host_rates(durable(hosts, "hosts")).select("host", "n", F.col("rate").alias("host_rate")), "verdicts")
 
 
 def host_quality(
@@ -83,15 +104,13 @@ def host_quality(
     loses its documents; else those that haven't failed stay. Null text is
     empty. Repeated rows count each. An empty table gives an empty one.
     """
-    rows = measured(packed(docs, carry, host=host_col, text=text_col))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = durable(rows.withColumn("host", F.col("host").cast("string")).withColumn("base_failed", failed), "measured")
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
-    verdicts = durable(host_rates(durable(hosts, "hosts")).select(F.col("host").alias("of"), F.col("rate").alias("host_rate")), "verdicts")
-    judged = rows.join(verdicts, rows.host.eqNullSafe(verdicts.of))
-    return judged.select("row", *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)).alias("kept"))
+    rows, verdicts = judged_rows(docs, carry, text_col, host_col, min_words, max_repeat_percent)
+    found = join_by_count(rows, verdicts, "host", "n")
+    return found.select("row", *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)).alias("kept"))
 
 
-def drop_low_quality(docs: DataFrame, **how) -> DataFrame:
-    """docs without those that host_quality rejects."""
-    return host_quality(docs, **how).where("kept").select("row.*")
+def drop_low_quality(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_host_rate: float = 0.5) -> DataFrame:
+    """docs without those that host_quality rejects, by its rules: null or empty text fails, a null host is a host of its own, repeated rows count each, and an empty table gives an empty one. Only the hosts that are rejected meet the rows."""
+    rows, verdicts = judged_rows(docs, None, text_col, host_col, min_words, max_repeat_percent)
+    rejected = durable(verdicts.where(F.col("host_rate") > max_host_rate).select("host"), "rejected")
+    return rows_without(rows.where("not base_failed"), rejected, "host").select("row.*")

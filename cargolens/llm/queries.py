@@ -30,7 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_into_buckets(documents(spark, sf_dir), **PACK)
-    return out.select(F.col("id").alias("doc_id"), "piece_no", "start_token", "n_tokens", "bucket_len", "batch_no", "slot", "padding")
+    return out.select(F.col("id").alias("doc_id"), "epoch", "piece_no", "start_token", "n_tokens", "bucket_len", "batch_no", "slot", "padding")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_quality(documents(spark, sf_dir), carry=["doc_id"])
-    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round(F.col("host_rate") + 1e-9, 4).alias("host_rate"), "kept")
 
 
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,8 @@
 
 Two 64-bit fingerprints differ in at most 2r bits exactly when some 64-bit
 value lies within r bits of both. Every distinct fingerprint therefore emits all
-values within r = radius // 2 bits of itself, and fingerprints that emit
-the same value are linked (an odd radius adds the unit ball on one side and a
-check). Instead of shuffling one row per value, the values are shuffled in
+values within r = radius / 2 bits of itself, and fingerprints that emit
+the same value are linked. Instead of shuffling one row per value, the values are shuffled in
 blocks that share their leading bits: a fingerprint goes once to each block
 that its ball reaches, and the block's task makes the values, sorts them and
 links those that collide. Members of one collision are linked to its smallest
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import bound_arrow, durable, packed, whole_text
+from cargolens.llm.common import bound_arrow, durable, join_by_count, located, packed, rows_without, whole_text
 
 BITS = 64
 #: bytes that separate words
@@ -180,33 +179,33 @@ def near_links(prints: DataFrame, *, radius: int = 4) -> DataFrame:
     return found.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Each node of links (a, b) with the smallest node of its component: (node, root).
 
-    Alternates large-star and small-star contraction: every round only takes
-    minima per node and joins them back, so that no neighbourhood is gathered.
-    Each round is a written table. Smallest is by signed bigint order.
+    Alternates large-star and small-star contraction until nothing changes: every round only takes
+    minima and counts per node and joins them back, hubs apart from the other nodes, so that no
+    neighbourhood is gathered. Each round is a written table; rounds grow with
+    the logarithm of the longest path. Smallest is by signed bigint order.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("many")), "least")
+        large = durable(join_by_count(both, least, "u", "many").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # u > v in every edge: a node and its other smaller neighbours go under the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        down = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")), "down")
+        small = join_by_count(large, down, "u", "many").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = durable(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """Columns row (a struct of docs' columns, or of those in carry), id, uid, fp, root (a fingerprint that names the component) and component: the smallest id reachable over links of at most `radius` bits.
+    """Columns row (a struct of docs' columns, or of those in carry), id, fp, root (a fingerprint that names the component) and component: the smallest id reachable over links of at most `radius` bits.
 
     Null text counts as empty; texts without words have fingerprint zero and
     link like any other. Rows that repeat an id each keep their own
@@ -214,33 +213,30 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     null). Links join fingerprints, so copies cost nothing. An empty table
     gives an empty one.
     """
-    rows, named = fingerprints_named(docs, id_col, text_col, carry, width, seed, radius)
-    return rows.join(named, rows.fp == named.of).drop("of")
-
-
-def fingerprints_named(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] | None, width: int, seed: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: rows (row, id, uid, fp), and (of, root, component) for each fingerprint."""
     bound_arrow(docs.sparkSession)
     rows = packed(docs, carry, id=id_col, text=text_col).withColumn("fp", fingerprint_udf(width, seed)(whole_text()))
-    rows = durable(rows.select("row", "id", F.monotonically_increasing_id().alias("uid"), "fp"), "fingerprints")
-    prints = durable(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    rows = durable(rows.select("row", "id", "fp"), "fingerprints")
+    return join_by_count(rows, fingerprints_named(rows, radius), "fp", "many").drop("many")
+
+
+def fingerprints_named(rows: DataFrame, radius: int) -> DataFrame:
+    """Written table (fp, root, component, many) of rows (id, fp): many rows have the fingerprint."""
+    prints = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many")), "prints")
     roots = durable(components(near_links(prints.select("fp"), radius=radius)), "roots")
-    joined = durable(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
-    named = durable(joined.join(smallest, "root").select(F.col("fp").alias("of"), "root", "component"), "components")
-    return rows, named
+    joined = durable(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", "many", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = durable(joined.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("held")), "smallest")
+    return durable(join_by_count(joined, smallest, "root", "held").select("fp", "root", "component", "many"), "components")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """docs without all but one row of each component: the one with the smallest id stays (of rows with that id, the first read; of null ids, the first read).
-
-    Only row numbers decide. Whole rows move once, in a merge join whatever the
-    number of rows that stay, so cost per row is the same at every size.
-    """
-    rows, named = fingerprints_named(docs, id_col, text_col, None, width, seed, radius)
-    found = rows.select("id", "uid", "fp").join(named, F.col("fp") == F.col("of"))
-    first = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("uid").alias("uid"))
-    return rows.hint("merge").join(durable(first.select("uid"), "kept"), "uid", "left_semi").select("row.*")
+    """docs without all but one row of each component: a row with the smallest id stays; of null ids one stays. Null text is empty; an empty table gives an empty one. Only the rows that go are named to the second scan."""
+    bound_arrow(docs.sparkSession)
+    base = located(docs, id=id_col, text=text_col)
+    rows = durable(base.withColumn("fp", fingerprint_udf(width, seed)(whole_text())).select("at", "id", "fp"), "fingerprints")
+    found = durable(join_by_count(rows, fingerprints_named(rows, radius), "fp", "many").select("at", "id", "root"), "named")
+    first = durable(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))["at"].alias("stays"), F.count(F.lit(1)).alias("held")), "first")
+    gone = durable(join_by_count(found, first, "root", "held").where("at <> stays").select("at"), "gone")
+    return rows_without(base.select("row", "at"), gone, "at").select("row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:

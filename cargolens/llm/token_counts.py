@@ -199,7 +199,9 @@ class PrefixCounter(dict):
             own = np.frombuffer(part, np.int8)
             before = int(own[: len(own) - (m.end() - 1 - m.start())].sum(dtype=np.int64))
             jump = before + 1 - int(own.sum(dtype=np.int64))
-            parts += [part, np.int8(max(-128, min(127, jump))).tobytes()] if -128 <= jump <= 127 else [np.int8(0).tobytes()]
+            if not -128 <= jump <= 127:
+                raise ValueError("a special string's parts have too many tokens for the table")
+            parts += [part, np.int8(jump).tobytes()]
             total += before + 1
             at = m.end()
         return b"".join([*parts, self.plain(text[at:])])
@@ -229,7 +231,12 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
 
 
 def prefix_table(docs: DataFrame, *, name: str = "word_bpe_49k.json", text_col: str = "text", carry=None) -> DataFrame:
-    """Columns row, n_bytes, n_tokens and prefix_changes: the binary table of each whole text, one signed byte a code point."""
+    """Columns row, n_bytes, n_tokens and prefix_changes: the binary table of each whole text, one signed byte a code point.
+
+    Null text counts as empty: an empty table. A text of any length has its
+    whole table, of as many bytes as code points. Repeated rows count each. An
+    empty table of docs gives an empty one.
+    """
     bound_arrow(docs.sparkSession)
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -243,7 +250,7 @@ def prefix_table(docs: DataFrame, *, name: str = "word_bpe_49k.json", text_col:
 
 
 def tokens_at(table: str | Column, n_chars: Column | None = None) -> Column:
-    """Tokens of the first n_chars code points (null: all), from a prefix table."""
+    """Tokens of the first n_chars code points (null: all; below 0: none), from a prefix table; null for a null table."""
 
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for tables, ends in batches:
@@ -253,7 +260,7 @@ def tokens_at(table: str | Column, n_chars: Column | None = None) -> Column:
 
 
 def chars_within(table: str | Column, budget: Column) -> Column:
-    """Code points of the longest prefix with at most budget tokens, from a prefix table."""
+    """Code points of the longest prefix with at most budget tokens, from a prefix table; null if either is null, 0 for an empty table or a budget that fits nothing."""
 
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for tables, budgets in batches:
@@ -262,11 +269,23 @@ def chars_within(table: str | Column, budget: Column) -> Column:
     return F.arrow_udf(of, "bigint")(F.col(table) if isinstance(table, str) else table, budget.cast("bigint"))
 
 
+def count_tokens(text: Column, *, name: str = "word_bpe_49k.json") -> Column:
+    """Tokens of each whole text, from its prefix table; null text has none."""
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            table = counter(vocabulary(name))
+            yield pa.array([int(np.frombuffer(table.changes(t or ""), np.int8).sum(dtype=np.int64)) for t in texts.to_pylist()], pa.int64())
+
+    return F.arrow_udf(of, "bigint")(text.cast("string"))
+
+
 def token_counts(docs: DataFrame, *, name: str = "word_bpe_49k.json", limit: int = 2048, text_col: str = "text", carry=None) -> DataFrame:
     """Columns row, n_bytes, n_tokens, over_limit and limit_chars (code points of the longest prefix with at most `limit` tokens).
 
     As prefix_table, but each table is used where it is made and not kept.
-    Null text counts as empty: 0 bytes, 0 tokens. Repeated rows count each.
+    Null text counts as empty: 0 bytes, 0 tokens. Repeated rows count each; an
+    empty table gives an empty one; texts of any length are counted whole.
     """
     bound_arrow(docs.sparkSession)
     kind = pa.struct([("n_tokens", pa.int64()), ("limit_chars", pa.int64())])

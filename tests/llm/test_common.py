@@ -4,20 +4,47 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cargolens.llm import common
 
 
-def test_written_tables_can_be_deleted_when_unread(spark):
+def test_written_tables_are_recorded_and_deleted(spark):
     with common.recording() as outer:
-        first = common.durable(spark.range(5), "first")
+        common.durable(spark.range(5), "first")
         with common.recording() as inner:
-            second = common.durable(first.where("id > 2"), "second")
+            second = common.durable(spark.range(3), "second")
     assert len(outer) == 2 and len(inner) == 1
-    assert common.delete_unread(spark, outer, second) == inner
-    assert second.count() == 2 and not Path(outer[0].split(":", 1)[-1]).exists()
-    assert common.delete_unread(spark, [], second) == []
+    common.delete_tables(spark, [p for p in outer if p not in inner])
+    assert second.count() == 3 and not Path(outer[0].split(":", 1)[-1]).exists()
+
+
+def test_rows_are_found_again(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 < 2").select("doc_id", F.lit(1).alias("at"))
+    first = {r["id"]: r["at"] for r in common.located(docs, id="doc_id").collect()}
+    assert first == {r["row"]["doc_id"]: r["at"] for r in common.located(docs).repartition(3).collect()} and len(set(first.values())) == len(first)
+    for odd in (spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, _metadata string"), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lit("x").alias("_METADATA"))):
+        assert len({r["at"] for r in common.located(odd).collect()}) == odd.count()
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_whole_rows_by_key(spark, most):
+    rows = spark.range(2000).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    keys = common.durable(spark.range(500).select((F.col("id") * 7).alias("id"), F.lit(1).alias("more")), "keys")
+    assert {r["id"] for r in common.rows_with(rows, keys, "id", sent_rows=most).collect()} == set(range(0, 2000, 7))
+    assert {r["id"] for r in common.rows_without(rows, keys.select("id"), "id", sent_rows=most).collect()} == set(range(2000)) - set(range(0, 2000, 7))
+    assert 286 <= common.maybe_in(rows, keys, "id", 500).where("_maybe").count() < 600
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_join_apart(spark, how):
+    rows = common.durable(spark.range(6000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 700).alias("k"), "id"), "rows")
+    table = common.durable(rows.where("k <> 5").groupBy("k").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("least")), "table")
+    got = common.join_by_count(rows, table, "k", "many", how)
+    assert sorted(map(tuple, got.select("k", "id", "many", "least").collect())) == sorted(map(tuple, rows.join(table, "k", how).select("k", "id", "many", "least").collect()))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().simpleString()
 
 
 def test_arrow_limits_only_fall(spark):

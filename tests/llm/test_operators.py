@@ -20,7 +20,7 @@ from cargolens.llm import queries as q
 from cargolens.llm import simhash as S
 from cargolens.llm import token_counts as T
 from cargolens.llm import warc as W
-from cargolens.llm.quality import host_quality
+from cargolens.llm.quality import drop_low_quality, host_quality, host_rates
 from cargolens.llm.secret_scan import secret_spans
 
 DOCS = "doc_id bigint, text string, lang string, source string"
@@ -54,15 +54,26 @@ def test_chunk_fingerprints_compose(spark):
             assert X.combine(parts, k) == (X.fingerprint(b, k), size)
             prime, base = X.FIELDS[k]
             assert X.fingerprint(b, k) == sum(v * pow(base, size - 1 - i, prime) for i, v in enumerate(b)) % prime
-    data = rnd.randbytes(100_000)
-    rows = [("a", i // 7000, data[i : i + 7000]) for i in range(0, len(data), 7000)]
-    fp = X.combine_chunks(spark.createDataFrame(rows, "doc string, chunk_no bigint, chunk binary").repartition(3), key="doc").first()["fp"]
-    assert (fp["h1"], fp["h2"], fp["n_bytes"]) == (X.fingerprint(data, 0), X.fingerprint(data, 1), len(data))
+    texts = {"a": rnd.randbytes(100_000), "b": b"", "c": rnd.randbytes(7000), "d": rnd.randbytes(7001)}
+    rows = [(d, i // 7000, len(t), t[i : i + 7000]) for d, t in texts.items() for i in range(0, max(len(t), 1), 7000)]
+    found = X.combine_chunks(spark.createDataFrame(rows, "doc string, chunk_no bigint, n_bytes bigint, chunk binary").repartition(3), key=["doc"], size=7000).collect()
+    assert {r["doc"]: tuple(r["fp"]) for r in found} == {d: (X.fingerprint(t, 0), X.fingerprint(t, 1), len(t)) for d, t in texts.items()}
+
+
+def test_long_texts_are_hashed_in_chunks(spark):
+    """Through the operator: many chunks, borders inside runs of spaces and letters of two bytes."""
+    long = "".join(f"w{k}é" + " \t\n"[: k % 4] for k in range(3000))
+    rows = [(1, long, "en", "s"), (2, long.replace("\t", "  "), "en", "s"), (3, long + "x", "en", "s"), (4, "x" + long, "en", "s"), (5, " ", "en", "s"), (6, "\n\n", "en", "s"), (7, None, "en", "s")]
+    want = brute.exact([(i, t) for i, t, _, _ in rows])
+    for chunk in (7, 1000):
+        assert {r["id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in X.exact_groups(docs_of(spark, rows), chunk=chunk).collect()} == want
+    parts = X.pieces_of(1000, "n")(spark.createDataFrame([(1, long)], "n int, text string"))
+    assert parts.count() == -(-len(long.encode()) // 1000) > 20
 
 
 def test_colliding_fingerprints_are_told_apart(spark):
     rows = [(1, "a b", "en", "s"), (2, "a  b", "en", "s"), (3, "c d", "en", "s"), (4, "c\td", "en", "s"), (5, "longer text", "en", "s"), (6, None, "en", "s"), (7, "", None, None)]
-    found = X.exact_groups(docs_of(spark, rows), prints=F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")) % 3, chunk=2)
+    found = X.exact_groups(docs_of(spark, rows), prints=F.length("text") % 3, chunk=2)
     want = brute.exact([(i, t) for i, t, _, _ in rows])
     assert {r["id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in found.collect()} == want
 
@@ -188,6 +199,31 @@ def test_packing_places_every_token_once(spark, sf):
     assert len(batches) <= 5
 
 
+def test_copies_never_share_a_batch(spark):
+    rows = [(k % 40, f"t{k % 40} " * (1 + k % 7 * (k % 40 < 20)), "en", "s") for k in range(200)] + [(None, "a b", None, None)] * 3 + [(None, "c d", None, None), (7, "other text of seven", "en", "s"), (50, "long " * 950, "en", "s"), (50, "long " * 950, "en", "s")] + [(60, None, "en", "s")] * 2
+    out = P.pack_into_buckets(docs_of(spark, rows), max_len=100, buckets=3, token_budget=300, seed=2).collect()
+    assert sum(r["n_tokens"] for r in out) == sum(len(brute.words(t)) for _, t, _, _ in rows)
+    copies = Counter((r["bucket_len"], r["batch_no"], r["id"], r["piece_no"], r["n_tokens"]) for r in out if r["bucket_len"] and r["id"] is not None and r["id"] != 7)
+    assert max(copies.values()) == 1
+    assert sorted(r["epoch"] for r in out if r["id"] is None) == [0, 0, 1, 2] and sorted(r["epoch"] for r in out if r["id"] == 60) == [0, 1]
+    for size in {r["bucket_len"] for r in out if r["bucket_len"]}:
+        of = defaultdict(list)
+        for r in out:
+            if r["bucket_len"] == size:
+                of[r["batch_no"]].append((r["epoch"], r["slot"]))
+        assert sorted(of) == list(range(len(of)))
+        epochs = [{e for e, _ in of[k]} for k in sorted(of)]
+        assert all(len(e) == 1 for e in epochs) and [min(e) for e in epochs] == sorted(min(e) for e in epochs)
+        assert all(sorted(s for _, s in own) == list(range(len(own))) and len(own) <= 300 // size for own in of.values())
+    given = P.pack_into_buckets(docs_of(spark, rows), epoch=F.lit(4), max_len=100, token_budget=300)
+    assert {r["epoch"] for r in given.collect()} == {4}
+
+
+def test_many_readings_are_spread(spark):
+    docs = docs_of(spark, [(1, "same", "en", "s")] * 25 + [(2, "other", "en", "s")]).select(F.lit(1).alias("row"), F.col("doc_id").alias("id"), F.lit(1).alias("total"), F.lit(0).alias("print"))
+    assert sorted((r["id"], r["epoch"]) for r in P.readings(docs, most=4).collect()) == [(1, k) for k in range(25)] + [(2, 0)]
+
+
 def test_packing_of_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     assert P.pack_into_buckets(docs).isEmpty()
@@ -270,12 +306,45 @@ def test_licences_in_other_dress(spark):
     assert found == {1: ("MIT", [], 0), 2: ("BSD-3-Clause", [], 0), 3: (None, ["MIT"], 1), 4: (None, [], 0), 5: (None, [], 0), 6: (None, [], 0)}
 
 
-def test_host_prior_shrinks_small_hosts(spark):
-    good, bad = "these are ten quite ordinary words for one good text", "short"
-    rows = [(i, good, "en", "big") for i in range(95)] + [(100 + i, bad, "en", "big") for i in range(5)] + [(200, bad, "en", "tiny"), (201, good, "en", "tiny")] + [(300 + i, bad, "en", "worst") for i in range(90)] + [(400, good, "en", "worst"), (500, good, None, None)]
+GOOD, BAD = "these are ten quite ordinary words for one good text", "short"
+
+
+def test_hosts_are_rejected_by_their_rate(spark):
+    rows = [(i, GOOD, "en", "big") for i in range(95)] + [(100 + i, BAD, "en", "big") for i in range(5)] + [(200, BAD, "en", "tiny"), (201, GOOD, "en", "tiny")] + [(300 + i, BAD, "en", "worst") for i in range(90)] + [(400, GOOD, "en", "worst"), (500, GOOD, None, None)]
     found = {r["row"]["doc_id"]: (r["base_failed"], r["kept"], r["host_rate"]) for r in host_quality(docs_of(spark, rows)).collect()}
     assert found[0][1] and not found[100][1] and found[500][1]
     assert found[400][:2] == (False, False) and found[400][2] > 0.5
+    assert {r["doc_id"] for r in drop_low_quality(docs_of(spark, rows)).collect()} == {i for i, x in found.items() if x[1]}
+
+
+def prior(hosts):
+    """(mean, rho) of [(n, failed)] by the formula of moments, in plain floats."""
+    total, failed = sum(n for n, _ in hosts), sum(f for _, f in hosts)
+    m = failed / total if total else 0.0
+    weight = sum((1 - n / total) * (n - 1) for n, _ in hosts)
+    if not 0 < m < 1 or weight <= 1e-9:
+        return m, 0.0
+    spread = sum(n * (f / n - m) ** 2 for n, f in hosts)
+    return m, max(0.0, min(1.0, (spread / (m * (1 - m)) - (len(hosts) - 1)) / weight))
+
+
+@pytest.mark.parametrize("case", ["small hosts of one rate", "hosts that differ", "one host", "single documents", "none fails", "all fail", "no host"])
+def test_host_prior_takes_out_chance(spark, case):
+    rnd = random.Random(7)
+    binomial = lambda n, p: (n, sum(rnd.random() < p for _ in range(n)))
+    hosts = {
+        "small hosts of one rate": [binomial(1, 0.3) for _ in range(2000)] + [binomial(3, 0.3) for _ in range(200)],
+        "hosts that differ": [binomial(rnd.choice((1, 2, 5, 40, 400)), rnd.betavariate(2, 6)) for _ in range(1500)],
+        "one host": [(10, 4)], "single documents": [(1, k % 2) for k in range(9)], "none fails": [(5, 0), (1, 0)], "all fail": [(5, 5), (1, 1)], "no host": [],
+    }[case]
+    table = spark.createDataFrame([(f"h{k}", n, f) for k, (n, f) in enumerate(hosts)], "host string, n bigint, failed bigint")
+    rates = {r["host"]: r["rate"] for r in host_rates(table).collect()}
+    m, rho = prior(hosts)
+    assert rates == {f"h{k}": pytest.approx((f * rho + m * (1 - rho)) / (n * rho + 1 - rho)) for k, (n, f) in enumerate(hosts)}
+    if case == "small hosts of one rate":  # 2 of 3 failing isn't evidence here
+        assert max(rates.values()) < 0.4
+    if case == "hosts that differ":  # true correlation 1 / (2 + 6 + 1)
+        assert abs(rho - 1 / 9) < 0.04
 
 
 def test_owner_specific_tokens_are_added(spark):
