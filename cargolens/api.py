@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 
 from cargolens.cache import TtlCache
 from cargolens.functions.dates import relative_date
-from cargolens.functions.places import country_parameter
 from cargolens.operators import flows, market, pricing, quality
 from cargolens.sources.sinks import write_result
 
-EXPORT_CAP = 5000
+#: rows of an answer that is given without a limit
+ANSWER_ROWS = 5000
 #: Products of the price quote.
 QUOTE_PRODUCTS = ("mango", "avocado", "strawberry", "blueberry", "pineapple", "passion_fruit")
 
@@ -25,8 +25,13 @@ class Shipments:
         self.df, self.today, self.cache = quality.clean_view(df) if clean else df, today or dt.date.today(), cache or TtlCache()
 
     def rows(self, df: DataFrame, limit: int | None = None) -> list[dict[str, Any]]:
-        """At most EXPORT_CAP rows as dicts."""
-        return [r.asDict() for r in df.limit(min(limit or EXPORT_CAP, EXPORT_CAP)).collect()]
+        """Rows as dicts. They go to the caller's memory, so answers without a limit of their own have at most ANSWER_ROWS, and raise if there are more."""
+        if limit is not None:
+            return [r.asDict() for r in df.limit(limit).collect()]
+        found = df.limit(ANSWER_ROWS + 1).collect()
+        if len(found) > ANSWER_ROWS:
+            raise ValueError(f"over {ANSWER_ROWS} rows; give a limit, or use export()")
+        return [r.asDict() for r in found]
 
     def date(self, text: str | None) -> dt.date | None:
         return None if text is None else relative_date(text, self.today)
@@ -57,7 +62,7 @@ class Shipments:
             if not given["exporters"]:
                 return {"error": f"no exporter is like {exporter_like}"}
         if country is not None:
-            given["country"] = country if market.predicates(self.df, country=country).limit(1).count() else country_parameter(country)
+            given["destination"] = country
         given |= {"first": self.date(first), "last": self.date(last)}
         rows = self.rows(market.detail(self.df, limit, sort, **given))
         return {"rows": rows, "shipments": len(rows), "total_mt": round(sum(r["net_weight_mt"] for r in rows), 2), "total_fob": round(sum(r["fob_usd"] for r in rows), 2)}
@@ -82,8 +87,10 @@ class Shipments:
         """Quartile prices of each product that is there, from one pass."""
         return self.rows(pricing.quartile_summary(self.df.where(self.df["fruit_name"].isin(*products)), "fruit"))
 
-    def sankey(self, share: float = 0.2, top: int | None = None, least: float | None = None, title: str = "") -> str:
-        return flows.mermaid(flows.supply_chain(flows.bucketed(self.df, share), bucket=False, top=top, least=least), title)
+    def sankey(self, share: float = 0.2, top: int | None = None, least: float | None = None, title: str = "", fruit: str | None = None, region: str | None = None) -> str:
+        """Flows of one product or all, to one region or all, as Sankey text; the 2,000 largest if top doesn't say otherwise, and the text says so where there are more."""
+        own = pricing.region_filter(market.predicates(self.df, fruit=fruit), region)
+        return flows.mermaid(flows.supply_chain(own, share=share, top=top, least=least), title, most=None if top else 2000)
 
     def export(self, dimension: str, path: str, region: str | None = None, include_records: bool = False) -> None:
         write_result(pricing.quartile_summary(self.df, dimension, region), path, include_records)

@@ -13,13 +13,18 @@ from cargolens.sources.readers import read_shipments, shipments
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="cargolens", description=__doc__)
-    out.add_argument("--data", required=True, help="a folder with the star-schema tables, or a shipments file")
+    out.add_argument("--data", required=True, help="a folder with the star-schema tables; or, with --shipments, a shipments file or table")
+    out.add_argument("--shipments", action="store_true", help="--data is a file or table of shipments (implied by .csv, .csv.gz, .parquet and .xlsx)")
     sub = out.add_subparsers(dest="command", required=True)
     for name in ("summary", "drill", "export", "sankey"):
         one = sub.add_parser(name)
         one.add_argument("--region", choices=["Europe", "RoW"])
         one.add_argument("--limit", type=int, default=20)
         one.add_argument("--output")
+        if name == "sankey":
+            one.add_argument("--product")
+            one.add_argument("--min-value", type=float)
+            one.add_argument("--others-share", type=float, default=0.2)
         if name in ("summary", "export"):
             one.add_argument("dimension", choices=sorted(DIMENSIONS))
         if name == "export":
@@ -43,12 +48,13 @@ def table(rows: list[dict]) -> str:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = build_session()
-    found = Shipments(read_shipments(spark, args.data) if "." in args.data.rsplit("/", 1)[-1] and not args.data.rsplit("/", 1)[-1].startswith("sf") else shipments(spark, args.data))
+    single = args.shipments or args.data.endswith((".csv", ".csv.gz", ".parquet", ".xlsx"))
+    found = Shipments(read_shipments(spark, args.data) if single else shipments(spark, args.data))
     if args.command == "export":
         found.export(args.dimension, args.path, args.region)
         return 0
     if args.command == "sankey":
-        text = found.sankey(top=args.limit)
+        text = found.sankey(share=args.others_share, top=args.limit, least=args.min_value, fruit=args.product, region=args.region)
     elif args.command == "drill":
         text = table(found.drill(args.filter_dimension, args.value, args.by, args.region, args.limit))
     else:

@@ -146,14 +146,15 @@ def is_valid_name(name: Column) -> Column:
 # Country and region suffixes of subsidiaries, with common typos, in the order in which they go; spellings put right.
 COUNTRY_SUFFIXES = ("UK", "POLAND", "BELGIUM", "BELIUM", "FRANCE", "GERMANY", "SPAIN", "NETHERLANDS", "EUROPE", "IBERICA", "ITALIA", "SVERIGE", "DANMARK")
 IMPORTER_FIXES = (("CROP S FRUITS", "CROPS FRUITS"), ("D ARTA", "DARTA"))
-
-
+# Legal forms after which a long name is cut, and those that go from the end, in this order.
+CUT_FORMS = ("NV", "BV", "SA", "SL", "GMBH", "LTD", "LLC", "INC", "CORP", "AB", "SAS", "SP Z OO", "SP ZOO")
+END_FORMS = ("N V", "B V", "S A", "S L", "GMBH", "LTD", "LIMITED", "LLC", "INC", "CORP", "AB", "SAS", "SP Z OO", "SP ZOO", "NV", "BV")
 def rule_clean_importer(name: Column) -> Column:
     """The simpler rules for European importers: no punctuation, long names cut after their legal form, no legal form and then no country at the end, two spellings put right."""
     text = F.regexp_replace(F.regexp_replace(F.trim(F.upper(name)), r"['\".,:;()\-/]+", ""), r"\s+", " ")
-    legal = r"^(.*?\b(?:NV|BV|SA|SL|GMBH|LTD|LLC|INC|CORP|AB|SAS|SP Z OO|SP ZOO)\b)"
+    legal = rf"^(.*?\b(?:{'|'.join(CUT_FORMS)})\b)"
     cut = F.when((F.length(text) > 30) & text.rlike(legal), F.trim(F.regexp_extract(text, legal, 1))).otherwise(text)
-    for form in ("N V", "B V", "S A", "S L", "GMBH", "LTD", "LIMITED", "LLC", "INC", "CORP", "AB", "SAS", "SP Z OO", "SP ZOO", "NV", "BV"):
+    for form in END_FORMS:
         cut = F.regexp_replace(cut, rf"\s+{form}\s*$", "")
     cut = F.trim(F.regexp_replace(cut, r"\s+", " "))
     for suffix in COUNTRY_SUFFIXES:

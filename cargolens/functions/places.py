@@ -63,6 +63,11 @@ def country_parameter(name: str) -> str:
     return name.upper() if name.upper() in SPANISH_ENGLISH else spanish_country(name)
 
 
+def names_of_country(name: str) -> list[str]:
+    """A country name as given, in Spanish and in English, as far as they are known."""
+    return sorted({name, spanish_country(name), SPANISH_ENGLISH.get(name.upper(), name)})
+
+
 def neighbour_edges(spark: SparkSession, neighbours: dict[str, list[str]] = NEIGHBOURS) -> DataFrame:
     """(country, neighbour, rank) edges: as many as the constant map has."""
     return spark.createDataFrame([(c, n, k) for c, own in neighbours.items() for k, n in enumerate(own, 1)], "country string, neighbour string, rank int")

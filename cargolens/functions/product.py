@@ -109,6 +109,12 @@ def unit_values(kg: Column, fob: Column) -> tuple[Column, Column]:
     return mt, F.when(mt > 0, F.round(F.coalesce(fob, F.lit(0.0)) / mt, 2)).otherwise(0.0)
 
 
+def model_unit_values(kg: Column, fob: Column) -> tuple[Column, Column]:
+    """As unit_values, but what is missing stays missing: no tons without a weight, no price without a value or without tons."""
+    mt = F.round(kg / 1000, 3)
+    return mt, F.when(mt > 0, F.round(fob / mt, 2))
+
+
 def enrich(df: DataFrame) -> DataFrame:
     """Raw shipments with the parsed product flattened, unit values, English country and region; given is_iqf and is_aseptic values stay."""
     from cargolens.functions.places import english_country, region

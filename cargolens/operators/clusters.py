@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.functions.numbers import r4
-
 from cargolens.functions import names as N
-
+from cargolens.functions.numbers import r4
 
 
 def name_counts(df: DataFrame, column: str) -> DataFrame:
@@ -80,6 +77,30 @@ def cluster_stats(clusters: DataFrame) -> DataFrame:
     return clusters.agg(n.alias("names"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.size("aliases") > 1).alias("merged"), F.max(F.size("aliases")).alias("largest"), r4(100 * (1 - F.count(F.lit(1)) / n)).alias("reduction_pct"))
 
 
+def variations(clusters: DataFrame, canonical: str | None = None) -> DataFrame:
+    """(canonical_name, alias, aliases): each alias of each canonical name, or of one in any case, and how many that name has. The root is an alias already."""
+    own = clusters if canonical is None else clusters.where(F.upper("canonical_name") == canonical.upper())
+    return own.select("canonical_name", F.explode("aliases").alias("alias"), F.size("aliases").alias("aliases"))
+
+
+def canonical_list(clusters: DataFrame) -> DataFrame:
+    """Canonical names in order."""
+    return clusters.select("canonical_name").distinct().orderBy("canonical_name")
+
+
+def cluster_sizes(clusters: DataFrame) -> DataFrame:
+    """(size, clusters, names): how many clusters have so many aliases."""
+    return clusters.groupBy(F.size("aliases").alias("size")).agg(F.count(F.lit(1)).alias("clusters"), F.sum(F.size("aliases")).alias("names"))
+
+
+def look_up(clusters: DataFrame | None, names: DataFrame, column: str = "name") -> DataFrame:
+    """names with canonical_name: that of the alias, null for names that no cluster has. Raises if clusters is None, as they weren't loaded."""
+    if clusters is None:
+        raise RuntimeError("load the clusters first")
+    known = clusters.select(F.explode("aliases").alias("_alias"), "canonical_name").groupBy("_alias").agg(F.min("canonical_name").alias("canonical_name"))
+    return names.join(known, F.col(column) == F.col("_alias"), "left").drop("_alias")
+
+
 def canonical_names(df: DataFrame, clusters: DataFrame, column: str, empty: Column | None = None) -> DataFrame:
     """df with canonical_<column>: by alias, else by the first alias with the same cleaned form, else the cleaned name; upper case. An empty name stays, or becomes `empty`."""
     alias = clusters.select(F.explode("aliases").alias("_alias"), F.upper("canonical_name").alias("_exact"))
@@ -113,5 +134,3 @@ def rule_clusters(df: DataFrame, column: str = "importer", where: Column | None
     """(canonical_name, aliases, count) by the simpler importer rules."""
     rows = df if where is None else df.where(where)
     return rows.where(F.col(column).isNotNull()).groupBy(N.rule_clean_importer(F.col(column)).alias("canonical_name")).agg(F.array_sort(F.collect_set(column)).alias("aliases"), F.count(F.lit(1)).alias("count"))
-
-

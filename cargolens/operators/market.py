@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions.dates import period
 from cargolens.functions.numbers import r2, r4
+from cargolens.functions.places import names_of_country
+from cargolens.operators.order import beside, ranked
 from cargolens.operators.pricing import DIMENSIONS
 
 METRICS = {"volume": lambda: F.sum("net_weight_mt"), "value": lambda: F.sum("fob_usd"), "shipment_count": lambda: F.count(F.lit(1)).cast("double"), "price": lambda: F.avg("usd_per_mt")}
@@ -87,11 +91,16 @@ def market_share(df: DataFrame, dimension: str = "exporter", metric: str = "volu
 
 def others_bucketing(df: DataFrame, dimension: str, share: float = 0.2, label: str = "Others") -> DataFrame:
     """(name, bucket, total): names whose running share is at most 1 - share keep their own; if those are under 3, the first max(3, 80 %) do."""
-    order = Window.orderBy(F.col("total").desc(), "name")
-    ranked = totals(df, dimension, "volume").withColumns({"rank": F.row_number().over(order).cast("bigint"), "n": F.count(F.lit(1)).over(Window.partitionBy()), "all": F.sum("total").over(Window.partitionBy()), "run": F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    kept = ranked.withColumn("keep", F.try_divide(F.col("run"), F.col("all")) <= 1 - share).withColumn("kept", F.sum(F.col("keep").cast("int")).over(Window.partitionBy()))
-    keep = F.when(F.col("kept") < 3, F.col("rank") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.8))).otherwise(F.col("keep"))
-    return kept.select("name", F.when(keep, F.col("name")).otherwise(label).alias("bucket"), "total")
+    return bucketed_names(totals(df, dimension, "volume"), [], share, F.lit(label))
+
+
+def bucketed_names(sums: DataFrame, group: Sequence[str], share: float, label: Column) -> DataFrame:
+    """others_bucketing of (group, name, total) in each group."""
+    placed = ranked(sums, group).withColumn("keep", F.coalesce(F.try_divide(F.col("run"), F.col("all")) <= 1 - share, F.lit(False)))
+    kept = placed.groupBy(*group).agg(F.count_if("keep").alias("kept"))
+    few = F.col("rank") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.8))
+    keep = F.when(F.col("kept") < 3, few).otherwise(F.col("keep"))
+    return beside(placed, kept, group).select(*group, "name", F.when(keep, F.col("name")).otherwise(label).alias("bucket"), "total")
 
 
 def time_series(df: DataFrame, metric: str = "volume", grain: str = "monthly") -> DataFrame:
@@ -136,10 +145,26 @@ def compare_periods(df: DataFrame, first: tuple[dt.date, dt.date], second: tuple
 def compare(df: DataFrame, specs: Sequence[dict[str, str]]) -> DataFrame:
     """One row for each spec (dimension: value pairs): tons, value, shipments, mean price; most tons first. All specs are read in one pass."""
     labels = [F.when(_all_equal(s), F.lit(", ".join(f"{k}={v}" for k, v in s.items()))) for s in specs]
-    matched = df.withColumn("spec", F.explode(F.array_compact(F.array(*labels))))
+    return _compared(df.withColumn("spec", F.explode(F.array_compact(F.array(*labels)))))
+
+
+def _compared(matched: DataFrame) -> DataFrame:
     return matched.groupBy("spec").agg(F.count(F.lit(1)).alias("shipments"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.round(F.sum("fob_usd"), 2).alias("total_fob"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.countDistinct("exporter").alias("exporters"), F.countDistinct("country").alias("countries")).orderBy(F.col("total_mt").desc(), "spec")
 
 
+def compare_exporters(df: DataFrame, terms: Sequence[str], months: int | None = None, today: dt.date | None = None, threshold: float = 0.4) -> DataFrame:
+    """compare() of the exporter that each term matches best (as in fuzzy_search; terms that match none are left out), in the `months` months up to today if given. All terms are matched in one pass over the distinct names; the matches, a row for each term, join the rows."""
+    from cargolens.functions.names import similarity_udf
+
+    names = df.select(F.col("exporter").alias("name")).where("name is not null").distinct()
+    scores = F.array(*(F.struct(F.lit(k).alias("k"), similarity_udf(t)("name").alias("score")) for k, t in enumerate(terms)))
+    scored = names.select("name", F.explode(scores).alias("s")).where(F.col("s.score") >= threshold)
+    best = scored.groupBy("s.k").agg(F.max(F.struct(F.col("s.score").alias("score"))).alias("best"), F.min_by("name", F.struct(-F.col("s.score"), "name")).alias("match")).select("match").distinct()
+    own = df if months is None else df.where(F.col("date").between(F.add_months(F.lit(today or dt.date.today()), -months), F.lit(today or dt.date.today())))
+    found = own.join(F.broadcast(best), F.col("exporter") == F.col("match"))
+    return _compared(found.withColumn("spec", F.concat(F.lit("exporter="), F.col("match"))))
+
+
 def _all_equal(spec: dict[str, str]) -> Column:
     out = F.lit(True)
     for dimension, value in spec.items():
@@ -163,15 +188,14 @@ def dashboard(df: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
 
 def portfolio(df: DataFrame, dimension: str = "exporter") -> DataFrame:
     """By exporter: tons, share, product and country HHI on percentages rounded to 2 places, their bands, number of each, and price tier within 10 % of the market's weighted price."""
-    w = Window.partitionBy()
-
     def concentration(by: str, name: str) -> DataFrame:
         g = df.groupBy(F.col(DIMENSIONS[dimension]).alias("name"), by).agg(F.sum("net_weight_mt").alias("t"))
         shares = g.withColumn("p", r2(100 * F.col("t") / F.sum("t").over(Window.partitionBy("name"))))
         return shares.groupBy("name").agg(r2(F.sum(F.col("p") * F.col("p"))).alias(f"{name}_hhi"), F.count(F.lit(1)).alias(f"n_{name}"))
 
     base = df.groupBy(F.col(DIMENSIONS[dimension]).alias("name")).agg(F.sum("net_weight_mt").alias("t"), F.sum("fob_usd").alias("f"))
-    base = base.select("name", F.round("t", 2).alias("total_mt"), pct(F.col("t"), F.sum("t").over(w)).alias("share_pct"), r4(F.col("f") / F.col("t")).alias("price"), r4(F.sum("f").over(w) / F.sum("t").over(w)).alias("market_price"))
+    base = beside(base, base.agg(F.sum("t").alias("all_t"), F.sum("f").alias("all_f")), [])
+    base = base.select("name", F.round("t", 2).alias("total_mt"), pct(F.col("t"), F.col("all_t")).alias("share_pct"), r4(F.col("f") / F.col("t")).alias("price"), r4(F.col("all_f") / F.col("all_t")).alias("market_price"))
     out = base.join(concentration("fruit_name", "product"), "name").join(concentration("country", "country"), "name")
     return out.withColumns({"product_band": hhi_band(F.col("product_hhi"), 2500, 5000), "country_band": hhi_band(F.col("country_hhi"), 2500, 5000), "price_tier": F.when(F.col("price") > 1.1 * F.col("market_price"), "premium").when(F.col("price") < 0.9 * F.col("market_price"), "budget").otherwise("market")})
 
@@ -220,7 +244,7 @@ def market_gaps(df: DataFrame, max_suppliers: int = 5, least_mt: float = 100, fi
 
 def competitors(df: DataFrame, dimension: str = "exporter") -> DataFrame:
     """All with share and rank: leader to rank 3, challenger to 10, else follower; position by share over 20, 10 and 5 percent."""
-    t = totals(df, dimension, "volume").withColumns({"rank": F.row_number().over(Window.orderBy(F.col("total").desc(), "name")).cast("bigint"), "share_pct": pct(F.col("total"), F.sum("total").over(Window.partitionBy()))})
+    t = ranked(totals(df, dimension, "volume")).select("name", "total", "rank", pct(F.col("total"), F.col("all")).alias("share_pct"))
     return t.withColumns({"role": F.when(F.col("rank") <= 3, "leader").when(F.col("rank") <= 10, "challenger").otherwise("follower"), "position": F.when(F.col("share_pct") > 20, "dominant").when(F.col("share_pct") > 10, "strong").when(F.col("share_pct") > 5, "moderate").otherwise("minor")})
 
 
@@ -235,6 +259,16 @@ def attractiveness(df: DataFrame, fruit: str) -> DataFrame:
     return scored.withColumn("priority", F.when(F.col("score") >= 75, "high").when(F.col("score") >= 60, "medium").otherwise("low"))
 
 
+def market_details(df: DataFrame, fruit: str | None = None, n: int = 5) -> DataFrame:
+    """(country, part, rank, name, total_mt, share_pct): for each country the n largest products and suppliers, and the split by certification, of one product or all. One pass: each row counts once for each part."""
+    own = df if fruit is None else df.where(F.col("fruit_name") == fruit)
+    parts = F.array(*(F.struct(F.lit(p).alias("part"), F.coalesce(F.col(c), F.lit("unknown")).alias("name")) for p, c in (("product", "format_type" if fruit else "fruit_name"), ("supplier", "exporter"), ("certification", "certification"))))
+    sums = own.select("country", F.explode(parts).alias("p"), "net_weight_mt").groupBy("country", "p.part", "p.name").agg(F.round(F.sum("net_weight_mt"), 2).alias("total_mt"))
+    w = Window.partitionBy("country", "part")
+    told = sums.withColumns({"rank": F.row_number().over(w.orderBy(F.col("total_mt").desc(), "name")).cast("bigint"), "all": F.sum("total_mt").over(w)})
+    return told.where((F.col("part") == "certification") | (F.col("rank") <= n)).select("country", "part", "rank", "name", "total_mt", pct(F.col("total_mt"), F.col("all")).alias("share_pct"))
+
+
 def country_outlook(df: DataFrame, edges: DataFrame, fruits: Sequence[str]) -> DataFrame:
     """For each country of the edges and each product: active with its tons; else the largest of its neighbours that buys, with a potential of 30, 50 or 70 % of that by the number of such neighbours (1, 2, more); else 10, 20 or 30 % of the largest of the five largest buyers; else none."""
     sold = df.where(F.col("fruit_name").isin(*fruits)).groupBy("fruit_name", "country").agg(F.round(F.sum("net_weight_mt"), 2).alias("mt"))
@@ -250,10 +284,11 @@ def country_outlook(df: DataFrame, edges: DataFrame, fruits: Sequence[str]) -> D
 
 
 def predicates(df: DataFrame, **given) -> DataFrame:
-    """Rows that meet all given filters: exporters (a list; empty is ignored), exporter, importer, fruit, format, size, certification and country (substrings in any case), region, min_price, max_price, min_mt, first, last."""
+    """Rows that meet all given filters: exporters (a list; empty is ignored), exporter, importer, fruit, format, size, certification and country (substrings in any case), destination (a country by its name in either language, one test of both), region, min_price, max_price, min_mt, first, last."""
     tests = {
         "region": lambda v: F.col("region") == F.coalesce(F.lit(v), F.col("region")), "min_price": lambda v: F.col("usd_per_mt") >= v, "max_price": lambda v: F.col("usd_per_mt") <= v, "min_mt": lambda v: F.col("net_weight_mt") >= v,
         "first": lambda v: F.col("date") >= F.lit(v), "last": lambda v: F.col("date") <= F.lit(v), "exporters": lambda v: F.col("exporter").isin(*v) if v else F.lit(True),
+        "destination": lambda v: reduce(or_, (F.col("country").ilike(f"%{x}%") for x in names_of_country(v))),
     }
     for name, value in given.items():
         if value is not None:

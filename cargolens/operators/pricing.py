@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions.numbers import r4
+from cargolens.operators.order import beside, exact_quantiles, with_quantiles
 
 DIMENSIONS = {"fruit": "fruit_name", "exporter": "exporter", "importer": "importer", "format": "format_type", "country": "country", "certification": "certification", "size": "size_mm"}
 
 
-def quantile(column: str, q: float) -> Column:
-    """Exact, linearly interpolated. The state holds a group's distinct prices, so round prices to cents where groups are huge."""
-    return F.percentile(column, q)
+QUARTILES = {"low_price": 0.25, "mid_price": 0.5, "high_price": 0.75}
 
 
 def region_filter(df: DataFrame, region: str | None) -> DataFrame:
@@ -30,10 +29,10 @@ def quartile_summary(df: DataFrame, dimension: str = "fruit", region: str | None
     """Quartile prices, tons and records by a dimension, most tons first; exporters also get their number of products."""
     column = DIMENSIONS[dimension]
     more = [F.countDistinct("fruit_name").alias("fruits")] if dimension == "exporter" else []
-    q = F.percentile("usd_per_mt", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = _priced(region_filter(df, region), column).groupBy(F.col(column).alias(dimension)).agg(q.alias("q"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.count("usd_per_mt").alias("records"), *more)
-    low, mid, high = (r4(F.col("q")[k]).alias(n) for k, n in enumerate(("low_price", "mid_price", "high_price")))
-    return out.select(dimension, low, mid, high, "total_mt", "records", *(["fruits"] if more else [])).orderBy(F.col("total_mt").desc(), dimension)
+    own = _priced(region_filter(df, region), column).withColumn(dimension, F.col(column))
+    out = own.groupBy(dimension).agg(F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.count("usd_per_mt").alias("records"), *more)
+    out = with_quantiles(out, own, [dimension], "usd_per_mt", QUARTILES)
+    return out.select(dimension, *(r4(n).alias(n) for n in QUARTILES), "total_mt", "records", *(["fruits"] if more else [])).orderBy(F.col("total_mt").desc(), dimension)
 
 
 def drill_down(df: DataFrame, dimension: str, value: str, by: str, region: str | None = None) -> DataFrame:
@@ -115,49 +114,71 @@ def weighted_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def detail_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count, mean, median, sample deviation, extremes, tons, destinations, organic and certifications by keys; null keys are left out."""
-    p = "usd_per_mt"
-    return df.dropna(subset=[*keys]).groupBy(*keys).agg(
-        F.count(p).alias("shipments"), r4(F.avg(p)).alias("avg_price"), r4(F.median(p)).alias("median_price"), r4(F.stddev_samp(p)).alias("std_price"), r4(F.min(p)).alias("min_price"), r4(F.max(p)).alias("max_price"),
+    p, own = "usd_per_mt", df.dropna(subset=[*keys])
+    out = own.groupBy(*keys).agg(
+        F.count(p).alias("shipments"), r4(F.avg(p)).alias("avg_price"), r4(F.stddev_samp(p)).alias("std_price"), r4(F.min(p)).alias("min_price"), r4(F.max(p)).alias("max_price"),
         F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.array_join(F.array_sort(F.collect_set("country")), ", ").alias("destinations"), F.bool_or(F.col("certification") == "organic").alias("has_organic"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("certification") != "unknown", F.col("certification")))), ", ").alias("certifications"),
     )
+    return _with_median(out, own, keys)
+
+
+def _with_median(out: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return with_quantiles(out, df, keys, "usd_per_mt", {"median_price": 0.5}).withColumn("median_price", r4("median_price"))
 
 
 def exporter_summary(df: DataFrame) -> DataFrame:
     keys = ["fruit_name", "exporter"]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), r4(F.median("usd_per_mt")).alias("median_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.array_join(F.array_sort(F.collect_set("format_type")), ", ").alias("formats"))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.array_join(F.array_sort(F.collect_set("format_type")), ", ").alias("formats"))
+    return _with_median(out, df, keys)
 
 
 def format_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("fruit_name", "format_type").agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), r4(F.median("usd_per_mt")).alias("median_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.countDistinct("exporter").alias("exporters"))
+    keys = ["fruit_name", "format_type"]
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.countDistinct("exporter").alias("exporters"))
+    return _with_median(out, df, keys)
 
 
 def pivot_median(df: DataFrame, fruits: Sequence[str]) -> DataFrame:
     """Median price by certification and format, a column for each given product."""
-    out = df.groupBy("certification", "format_type").pivot("fruit_name", list(fruits)).agg(r4(F.median("usd_per_mt")))
+    keys = ["certification", "format_type"]
+    medians = exact_quantiles(df.where(F.col("fruit_name").isin(*fruits)), [*keys, "fruit_name"], "usd_per_mt", {"median": 0.5})
+    out = df.groupBy(*keys).agg(F.lit(1).alias("_one"))  # rows without any of the products stay
+    out = beside(out, medians.groupBy(*keys).pivot("fruit_name", list(fruits)).agg(r4(F.max("median"))), keys)
     return out.select("certification", "format_type", *(F.col(f"`{f}`").alias(f.lower().replace(" ", "_")) for f in fruits))
 
 
 def master_table(df: DataFrame) -> DataFrame:
     """By product, exporter and certification: count, median, mean, quartiles, tons, destinations and the quartiles' distance."""
-    q = F.percentile("usd_per_mt", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy("fruit_name", "exporter", "certification").agg(q.alias("q"), F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.countDistinct("country").alias("destinations"))
-    r = lambda c, n: r4(c).alias(n)
-    return out.select("fruit_name", "exporter", "certification", "shipments", "avg_price", r(F.col("q")[0], "q1"), r(F.col("q")[1], "median_price"), r(F.col("q")[2], "q3"), r(F.col("q")[2] - F.col("q")[0], "width"), "total_mt", "destinations")
+    keys = ["fruit_name", "exporter", "certification"]
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.countDistinct("country").alias("destinations"))
+    out = with_quantiles(out, df, keys, "usd_per_mt", {"q1": 0.25, "median_price": 0.5, "q3": 0.75})
+    return out.select(*keys, "shipments", "avg_price", r4("q1").alias("q1"), r4("median_price").alias("median_price"), r4("q3").alias("q3"), r4(F.col("q3") - F.col("q1")).alias("width"), "total_mt", "destinations")
 
 
 def master_totals(df: DataFrame) -> DataFrame:
     """The master table by product: exporters, shipments, tons, median of medians."""
-    return master_table(df).groupBy("fruit_name").agg(F.countDistinct("exporter").alias("exporters"), F.sum("shipments").alias("shipments"), F.round(F.sum("total_mt"), 2).alias("total_mt"), r4(F.median("median_price")).alias("median_of_medians"))
+    master = master_table(df)
+    out = master.groupBy("fruit_name").agg(F.countDistinct("exporter").alias("exporters"), F.sum("shipments").alias("shipments"), F.round(F.sum("total_mt"), 2).alias("total_mt"))
+    return with_quantiles(out, master, ["fruit_name"], "median_price", {"median_of_medians": 0.5}).withColumn("median_of_medians", r4("median_of_medians"))
 
 
 def recommended_ranges(df: DataFrame) -> DataFrame:
-    """Price statistics by product with the range inside 1.5 quartile distances; the deviation is the sample's under 5 records, else the population's."""
-    p = "usd_per_mt"
-    g = df.where("usd_per_mt > 0").groupBy("fruit_name").agg(F.count(p).alias("n"), F.avg(p).alias("mean"), F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.when(F.count(p) < 5, F.stddev_samp(p)).otherwise(F.stddev_pop(p)).alias("std"), F.min(p).alias("lo"), F.max(p).alias("hi"))
-    q1, q3 = F.col("q")[0], F.col("q")[2]
-    r = lambda c, n: r4(c).alias(n)
-    return g.select("fruit_name", "n", r("mean", "mean_price"), r(F.col("q")[1], "median_price"), r("std", "std_price"), r(q1, "q1"), r(q3, "q3"), r(F.greatest("lo", q1 - 1.5 * (q3 - q1)), "recommended_min"), r(F.least("hi", q3 + 1.5 * (q3 - q1)), "recommended_max"))
+    """Price statistics by product with the range inside 1.5 quartile distances, the prices outside it by quartiles, by deviation (over 3) and by either, and count, mean and extremes of the others. The deviation is the sample's under 5 records, else the population's. Groups under 4 records have no quartile outliers, under 3 none by deviation."""
+    p, keys = "usd_per_mt", ["fruit_name"]
+    own = df.where("usd_per_mt > 0")
+    g = own.groupBy(*keys).agg(F.count(p).alias("n"), F.avg(p).alias("mean"), F.when(F.count(p) < 5, F.stddev_samp(p)).otherwise(F.stddev_pop(p)).alias("std"), F.stddev_pop(p).alias("dev"), F.min(p).alias("lo"), F.max(p).alias("hi"))
+    g = with_quantiles(g, own, keys, p, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    price, n, low, high = F.col(p), F.col("n"), F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    far = (n >= 4) & ((price < low) | (price > high))
+    odd = (n >= 3) & (F.col("dev") > 0) & (F.abs(price - F.col("mean")) > 3 * F.col("dev"))
+    clean = lambda f: f(F.when(~(far | odd), price))
+    told = beside(own.select(*keys, p), g, keys, "inner").groupBy(*keys).agg(
+        F.count_if(far).alias("iqr_outliers"), F.count_if(odd).alias("z_outliers"), F.count_if(far | odd).alias("outliers"), clean(F.count).alias("clean_n"), r4(clean(F.avg)).alias("clean_mean"), r4(clean(F.min)).alias("clean_min"), r4(clean(F.max)).alias("clean_max")
+    )
+    r = lambda c, name: r4(c).alias(name)
+    out = g.select(*keys, "n", r("mean", "mean_price"), r("median", "median_price"), r("std", "std_price"), r("q1", "q1"), r("q3", "q3"), r(F.greatest("lo", low), "recommended_min"), r(F.least("hi", high), "recommended_max"))
+    return beside(out, told, keys)
 
 
 def split_volumes(df: DataFrame, test: Column, names: tuple[str, str]) -> DataFrame:
@@ -168,19 +189,25 @@ def split_volumes(df: DataFrame, test: Column, names: tuple[str, str]) -> DataFr
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
-    """One row: totals, weighted price, distinct counts, and maps of tons by product and format."""
+    """One row: totals, weighted price, distinct counts, tons by product, format and size, and the ten largest destinations, each as "name=tons" in order, joined by "; ". Tons have two decimals; a null name is "unknown"."""
     totals = df.agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.round(F.sum("fob_usd"), 2).alias("total_fob"), r4(F.sum("fob_usd") / F.sum("net_weight_mt")).alias("weighted_price"), F.countDistinct("exporter").alias("exporters"), F.countDistinct("country").alias("countries"))
-    for column, name in (("fruit_name", "by_fruit"), ("format_type", "by_format")):
-        each = df.groupBy(column).agg(F.round(F.sum("net_weight_mt"), 2).alias("mt")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "mt")))).alias(name))
-        totals = totals.crossJoin(F.broadcast(each))  # one row by one row
-    return totals
+    # one pass for all four: each row counts once for each dimension
+    dimensions = (("by_fruit", "fruit_name"), ("by_format", "format_type"), ("by_size", "size_mm"), ("top_destinations", "country"))
+    parts = F.array(*(F.struct(F.lit(d).alias("part"), F.coalesce(F.col(c), F.lit("unknown")).alias("name")) for d, c in dimensions))
+    each = df.select(F.explode(parts).alias("p"), "net_weight_mt").groupBy("p.part", "p.name").agg(F.sum("net_weight_mt").cast("decimal(38,2)").alias("mt"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("mt").desc(), "name"))
+    heads = each.where("part <> 'top_destinations'").select("part", "name", "mt", F.col("name").alias("at"))
+    tops = each.where("part = 'top_destinations'").withColumn("i", place).where("i <= 10").select("part", "name", "mt", F.lpad(F.col("i").cast("string"), 2, "0").alias("at"))
+    texts = heads.unionByName(tops).groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name", "mt"))), lambda x: F.concat_ws("=", x["name"], x["mt"].cast("string"))), "; ").alias("text"))
+    maps = texts.agg(*(F.max(F.when(F.col("part") == d, F.col("text"))).alias(d) for d, _ in dimensions))
+    return totals.crossJoin(F.broadcast(maps))  # one row by one row
 
 
 def product_quote(df: DataFrame, fruit: str) -> DataFrame:
     """Quartile prices, tons and records of one product."""
-    q = F.percentile("usd_per_mt", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.where((F.col("fruit_name") == fruit) & F.col("usd_per_mt").isNotNull()).agg(q.alias("q"), F.count(F.lit(1)).alias("records"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"))
-    return g.where("records > 0").select(F.lit(fruit).alias("fruit"), *(r4(F.col("q")[k]).alias(n) for k, n in enumerate(("low_price", "mid_price", "high_price"))), "records", "total_mt")
+    own = df.where((F.col("fruit_name") == fruit) & F.col("usd_per_mt").isNotNull()).withColumn("fruit", F.lit(fruit))
+    g = with_quantiles(own.groupBy("fruit").agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt")), own, ["fruit"], "usd_per_mt", QUARTILES)
+    return g.select("fruit", *(r4(n).alias(n) for n in QUARTILES), "records", "total_mt")
 
 
 def exporter_audit(df: DataFrame, fruits: Sequence[str]) -> DataFrame:

@@ -10,9 +10,11 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargolens.operators.order import beside, exact_quantiles, with_quantiles
+
 # Default and alternative rules.
 FLOORS = {
     "mango": 1500, "avocado": 2000, "blueberry": 1800, "strawberry": 1500, "raspberry": 2000, "passion_fruit": 1800, "pineapple": 800, "papaya": 800, "lucuma": 2000, "golden_berry": 1500, "cherimoya": 2500,
@@ -78,8 +80,7 @@ def below_floor(rules: Rules = Rules()) -> Column:
 
 def iqr_bounds(df: DataFrame, keys: Sequence[str] = ("fruit_name",), multiplier: float = 1.5, price: str = "usd_per_mt") -> DataFrame:
     """q1, q3, iqr and the bounds per group; linear quantiles of the non-null prices. Null keys have none."""
-    q = df.dropna(subset=[*keys]).groupBy(*keys).agg(F.percentile(price, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = exact_quantiles(df.dropna(subset=[*keys]), keys, price, {"q1": 0.25, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1"))
     return q.withColumn("lower", F.col("q1") - multiplier * F.col("iqr")).withColumn("upper", F.col("q3") + multiplier * F.col("iqr"))
 
 
@@ -128,24 +129,26 @@ def exclusions(df: DataFrame, rules: Rules) -> DataFrame:
     return df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"))
 
 
-def outliers(df: DataFrame, keys: Sequence[str], price: str = "usd_per_mt") -> DataFrame:
-    """df with iqr_outlier (groups of 4 or more), z_outlier (3 or more, population deviation, over 3) and both_outlier (5 or more)."""
-    w = Window.partitionBy(*keys)
-    stats = df.withColumns({"_n": F.count(price).over(w), "_m": F.avg(price).over(w), "_s": F.stddev_pop(price).over(w), "_q": F.percentile(price, F.array(F.lit(0.25), F.lit(0.75))).over(w)})
-    q1, q3, p = F.col("_q")[0], F.col("_q")[1], F.col(price)
+def _told(df: DataFrame, keys: Sequence[str], price: str) -> tuple[DataFrame, Column, Column]:
+    """df with its groups' statistics, and the tests by quartiles and by deviation."""
+    stats = df.groupBy(*keys).agg(F.count(price).alias("_n"), F.avg(price).alias("_m"), F.stddev_pop(price).alias("_d"))
+    stats = with_quantiles(stats, df, keys, price, {"_q1": 0.25, "_q3": 0.75})
+    q1, q3, p = F.col("_q1"), F.col("_q3"), F.col(price)
     far = _sure((p < q1 - 1.5 * (q3 - q1)) | (p > q3 + 1.5 * (q3 - q1))) & (F.col("_n") >= 4)
-    high = _sure(F.abs(p - F.col("_m")) > 3 * F.col("_s")) & (F.col("_n") >= 3) & _sure(F.col("_s") > 0)
-    return stats.withColumns({"iqr_outlier": far, "z_outlier": high, "both_outlier": far & high & (F.col("_n") >= 5)}).drop("_n", "_m", "_s", "_q")
+    high = _sure(F.abs(p - F.col("_m")) > 3 * F.col("_d")) & (F.col("_n") >= 3) & _sure(F.col("_d") > 0)
+    return beside(df, stats, keys), far, high
+
+
+def outliers(df: DataFrame, keys: Sequence[str], price: str = "usd_per_mt") -> DataFrame:
+    """df with iqr_outlier (groups of 4 or more), z_outlier (3 or more, population deviation, over 3) and both_outlier (5 or more). Rows meet their group's statistics in a join, as those are few; null keys are a group."""
+    told, far, high = _told(df, keys, price)
+    return told.withColumns({"iqr_outlier": far, "z_outlier": high, "both_outlier": far & high & (F.col("_n") >= 5)}).drop("_n", "_m", "_d", "_q1", "_q3")
 
 
 def outlier_counts(df: DataFrame, keys: Sequence[str], price: str = "usd_per_mt") -> DataFrame:
-    """Outliers per group without carrying the rows through a window: group statistics are joined back, as they are few."""
-    stats = df.groupBy(*keys).agg(F.count(price).alias("_n"), F.avg(price).alias("_m"), F.stddev_pop(price).alias("_s"), F.percentile(price, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q1, q3, p = F.col("_q")[0], F.col("_q")[1], F.col(price)
-    far = _sure((p < q1 - 1.5 * (q3 - q1)) | (p > q3 + 1.5 * (q3 - q1))) & (F.col("_n") >= 4)
-    high = _sure(F.abs(p - F.col("_m")) > 3 * F.col("_s")) & (F.col("_n") >= 3) & _sure(F.col("_s") > 0)
-    joined = df.select(*keys, price).join(stats, [*keys])
-    return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(far).alias("iqr_outliers"), F.count_if(high).alias("z_outliers"), F.count_if(far & high & (F.col("_n") >= 5)).alias("both_outliers"))
+    """Outliers per group; null keys are left out."""
+    told, far, high = _told(df.select(*keys, price).dropna(subset=[*keys]), keys, price)
+    return told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(far).alias("iqr_outliers"), F.count_if(high).alias("z_outliers"), F.count_if(far & high & (F.col("_n") >= 5)).alias("both_outliers"))
 
 
 def quality_report(df: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ AIR, SAMPLE = "via = 'AIR'", "(regexp_matches(upper(description), 'MUESTRA|SIN V
 ALT_SAMPLE = "(regexp_matches(upper(description), 'MUESTRA|SIN VALOR COMERCIAL|SIN VALOR|SAMPLE|TEST') OR net_weight_mt < 0.01 OR (fob_usd > 0 AND fob_usd < 10))"
 BOUNDS = "(SELECT fruit_name, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM (SELECT fruit_name, quantile_cont(usd_per_mt, 0.25) AS q1, quantile_cont(usd_per_mt, 0.75) AS q3 FROM {} GROUP BY 1))"
 LEFT = f"l AS (SELECT * FROM s WHERE NOT ({AIR} OR {SAMPLE} OR net_weight_mt < 0.1 OR usd_per_mt < 500))"
-ALT = f"l AS (SELECT * FROM s WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND NOT ({AIR} OR {ALT_SAMPLE} OR net_weight_mt < 2 OR usd_per_mt < 800))"
+ALT_FLOOR = "CASE fruit_name WHEN 'ECONOMY' THEN 700 WHEN 'LARGE' THEN 950 WHEN 'MEDIUM' THEN 900 WHEN 'PROMO' THEN 850 WHEN 'SMALL' THEN 1000 ELSE 800 END"
+ALT = f"l AS (SELECT * FROM s WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND NOT ({AIR} OR {ALT_SAMPLE} OR net_weight_mt < 2 OR usd_per_mt < {ALT_FLOOR}))"
 BY_FRUIT = "count(*) AS n, round(sum(net_weight_mt), 2) AS mt"
 
 
@@ -134,7 +135,15 @@ ORACLES: dict[str, str] = {
     "exporter_summary": _s("SELECT fruit_name, exporter, count(*) AS shipments, round(avg(usd_per_mt) + 1e-9, 4) AS avg_price, round(median(usd_per_mt) + 1e-9, 4) AS median_price, round(sum(net_weight_mt), 2) AS total_mt, string_agg(DISTINCT format_type, ', ' ORDER BY format_type) AS formats FROM s GROUP BY 1, 2"),
     "format_summary": _s("SELECT fruit_name, format_type, count(*) AS shipments, round(avg(usd_per_mt) + 1e-9, 4) AS avg_price, round(median(usd_per_mt) + 1e-9, 4) AS median_price, round(sum(net_weight_mt), 2) AS total_mt, count(DISTINCT exporter) AS exporters FROM s GROUP BY 1, 2"),
     "pivot_median": _s("SELECT certification, format_type, " + ", ".join(f"round(median(usd_per_mt) FILTER (WHERE fruit_name = '{f}') + 1e-9, 4) AS {f.lower()}" for f in ("ECONOMY", "SMALL", "LARGE")) + " FROM s GROUP BY 1, 2"),
-    "recommended_ranges": _s("SELECT fruit_name, n, round(m + 1e-9, 4) AS mean_price, round(q2 + 1e-9, 4) AS median_price, round(d + 1e-9, 4) AS std_price, round(q1 + 1e-9, 4) AS q1, round(q3 + 1e-9, 4) AS q3, round(greatest(lo, q1 - 1.5 * (q3 - q1)) + 1e-9, 4) AS recommended_min, round(least(hi, q3 + 1.5 * (q3 - q1)) + 1e-9, 4) AS recommended_max FROM g", "g AS (SELECT fruit_name, count(*) AS n, avg(usd_per_mt) AS m, quantile_cont(usd_per_mt, 0.25) AS q1, median(usd_per_mt) AS q2, quantile_cont(usd_per_mt, 0.75) AS q3, CASE WHEN count(*) < 5 THEN stddev_samp(usd_per_mt) ELSE stddev_pop(usd_per_mt) END AS d, min(usd_per_mt) AS lo, max(usd_per_mt) AS hi FROM s WHERE usd_per_mt > 0 GROUP BY 1)"),
+    "recommended_ranges": _s(
+        "SELECT fruit_name, g.n, round(m + 1e-9, 4) AS mean_price, round(q2 + 1e-9, 4) AS median_price, round(d + 1e-9, 4) AS std_price, round(q1 + 1e-9, 4) AS q1, round(q3 + 1e-9, 4) AS q3, round(greatest(lo, q1 - 1.5 * (q3 - q1)) + 1e-9, 4) AS recommended_min, "
+        "round(least(hi, q3 + 1.5 * (q3 - q1)) + 1e-9, 4) AS recommended_max, iqr_outliers, z_outliers, outliers, clean_n, clean_mean, clean_min, clean_max FROM g JOIN t USING (fruit_name)",
+        "g AS (SELECT fruit_name, count(*) AS n, avg(usd_per_mt) AS m, quantile_cont(usd_per_mt, 0.25) AS q1, median(usd_per_mt) AS q2, quantile_cont(usd_per_mt, 0.75) AS q3, CASE WHEN count(*) < 5 THEN stddev_samp(usd_per_mt) ELSE stddev_pop(usd_per_mt) END AS d, stddev_pop(usd_per_mt) AS dp, "
+        "min(usd_per_mt) AS lo, max(usd_per_mt) AS hi FROM s WHERE usd_per_mt > 0 GROUP BY 1), "
+        "o AS (SELECT fruit_name, usd_per_mt AS p, n >= 4 AND (usd_per_mt < q1 - 1.5 * (q3 - q1) OR usd_per_mt > q3 + 1.5 * (q3 - q1)) AS far, n >= 3 AND dp > 0 AND abs(usd_per_mt - m) > 3 * dp AS odd FROM s JOIN g USING (fruit_name) WHERE usd_per_mt > 0), "
+        "t AS (SELECT fruit_name, count(*) FILTER (WHERE far) AS iqr_outliers, count(*) FILTER (WHERE odd) AS z_outliers, count(*) FILTER (WHERE far OR odd) AS outliers, count(*) FILTER (WHERE NOT (far OR odd)) AS clean_n, "
+        "round(avg(p) FILTER (WHERE NOT (far OR odd)) + 1e-9, 4) AS clean_mean, round(min(p) FILTER (WHERE NOT (far OR odd)) + 1e-9, 4) AS clean_min, round(max(p) FILTER (WHERE NOT (far OR odd)) + 1e-9, 4) AS clean_max FROM o GROUP BY 1)",
+    ),
     "frozen_vs_aseptic": _s(f"SELECT fruit_name, {_sum_if(AIR, 'air_mt')}, {_sum_if('NOT ' + AIR, 'sea_mt')}, round(sum(net_weight_mt), 2) AS total_mt FROM s GROUP BY 1"),
     "top_n_share": _s("SELECT rank, name, total, round(100 * total / whole + 1e-9, 4) AS share_pct, round(100 * run / whole + 1e-9, 4) AS cumulative_pct FROM r WHERE rank <= 10", _totals("exporter") + ", " + RANKED),
     "top_20_exporters": _s("SELECT rank, name, total, round(100 * total / whole + 1e-9, 4) AS share_pct, round(100 * run / whole + 1e-9, 4) AS cumulative_pct FROM r WHERE rank <= 20", _totals("exporter", f"WHERE {Y98}") + ", " + RANKED),
@@ -148,6 +157,22 @@ ORACLES: dict[str, str] = {
     "compare_periods": _s("SELECT *, round(mt_2 - mt_1, 2) AS mt_change, round(100 * (mt_2 - mt_1) / nullif(mt_1, 0) + 1e-9, 4) AS mt_change_pct FROM g", f"g AS (SELECT fruit_name, {_sum_if(Y97, 'mt_1')}, {_sum_if(Y98, 'mt_2')}, {_sum_if(Y97, 'fob_1', 'fob_usd')}, {_sum_if(Y98, 'fob_2', 'fob_usd')}, count(*) FILTER (WHERE {Y97}) AS shipments_1, count(*) FILTER (WHERE {Y98}) AS shipments_2, round(avg(usd_per_mt) FILTER (WHERE {Y97}) + 1e-9, 4) AS price_1, round(avg(usd_per_mt) FILTER (WHERE {Y98}) + 1e-9, 4) AS price_2 FROM s WHERE {Y97} OR {Y98} GROUP BY 1)"),
     "compare_products": _compare({"fruit=ECONOMY": "fruit_name = 'ECONOMY'", "fruit=SMALL, certification=organic": "fruit_name = 'SMALL' AND certification = 'organic'", "fruit=LARGE": "fruit_name = 'LARGE'"}),
     "compare_exporters": _compare({f"exporter=Supplier#00000000{k}": f"exporter = 'Supplier#00000000{k}'" for k in (1, 2)}, Y98),
+    "compare_exporters_fuzzy": _compare({f"exporter=Supplier#00000000{k}": f"exporter = 'Supplier#00000000{k}'" for k in (1, 3)}, "date BETWEEN DATE '1997-12-31' AND DATE '1998-12-31'"),
+    "market_details": _s(
+        "SELECT country, part, rank, name, total_mt, round(100 * total_mt / whole + 1e-9, 4) AS share_pct FROM r WHERE part = 'certification' OR rank <= 5",
+        "o AS (SELECT * FROM s WHERE fruit_name = 'ECONOMY'), e AS (SELECT country, 'product' AS part, format_type AS name, net_weight_mt FROM o UNION ALL SELECT country, 'supplier', exporter, net_weight_mt FROM o UNION ALL SELECT country, 'certification', certification, net_weight_mt FROM o), "
+        "t AS (SELECT country, part, coalesce(name, 'unknown') AS name, round(sum(net_weight_mt), 2) AS total_mt FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY country, part ORDER BY total_mt DESC, name) AS rank, sum(total_mt) OVER (PARTITION BY country, part) AS whole FROM t)",
+    ),
+    "destination_bilingual": _s("SELECT count(*) AS shipments, round(sum(net_weight_mt), 2) AS total_mt, round(sum(fob_usd), 2) AS total_fob FROM d", f"d AS ({DETAIL.format("country ILIKE '%nation_2%' OR country ILIKE '%NATION_2%'", 'date', REST)})"),
+    "dataset_summary": _s(
+        "SELECT records, total_mt, total_fob, weighted_price, exporters, countries, "
+        + ", ".join(f"(SELECT string_agg(name || '=' || CAST(mt AS DECIMAL(38,2)), '; ' ORDER BY {'place' if n == 'top_destinations' else 'name'}) FROM r WHERE part = '{n}'{' AND place <= 10' if n == 'top_destinations' else ''}) AS {n}" for n in ("by_fruit", "by_format", "by_size", "top_destinations"))
+        + " FROM g",
+        "g AS (SELECT count(*) AS records, round(sum(net_weight_mt), 2) AS total_mt, round(sum(fob_usd), 2) AS total_fob, round(sum(fob_usd) / sum(net_weight_mt) + 1e-9, 4) AS weighted_price, count(DISTINCT exporter) AS exporters, count(DISTINCT country) AS countries FROM s), "
+        "e AS ("
+        + " UNION ALL ".join(f"SELECT '{n}' AS part, coalesce({c}, 'unknown') AS name, net_weight_mt FROM s" for n, c in (("by_fruit", "fruit_name"), ("by_format", "format_type"), ("by_size", "size_mm"), ("top_destinations", "country")))
+        + "), t AS (SELECT part, name, CAST(sum(net_weight_mt) AS DECIMAL(38,2)) AS mt FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY mt DESC, name) AS place FROM t)",
+    ),
     "dashboard_kpis": _s("SELECT *, " + ", ".join(f"round(100 * ({a} - {b}) / nullif({b}, 0) + 1e-9, 4) AS {n}" for a, b, n in (("total_mt", "prev_mt", "mt_growth_pct"), ("total_fob", "prev_fob", "fob_growth_pct"), ("shipments", "prev_shipments", "shipment_growth_pct"))) + " FROM g", f"g AS (SELECT count(*) FILTER (WHERE {Y98}) AS shipments, {_sum_if(Y98, 'total_mt')}, {_sum_if(Y98, 'total_fob', 'fob_usd')}, round(avg(usd_per_mt) FILTER (WHERE {Y98}) + 1e-9, 4) AS avg_price, count(DISTINCT exporter) FILTER (WHERE {Y98}) AS exporters, count(DISTINCT country) FILTER (WHERE {Y98}) AS countries, count(*) FILTER (WHERE {Y97}) AS prev_shipments, {_sum_if(Y97, 'prev_mt')}, {_sum_if(Y97, 'prev_fob', 'fob_usd')} FROM s)"),
     "market_share": _s("SELECT rank, name, total, round(100 * total / whole + 1e-9, 4) AS share_pct, hhi, CASE WHEN hhi < 1500 THEN 'low' WHEN hhi < 2500 THEN 'moderate' ELSE 'high' END AS concentration, CASE WHEN members >= 3 THEN top3 ELSE 0 END AS top3_share, CASE WHEN members >= 5 THEN top5 ELSE 0 END AS top5_share FROM r, h, k WHERE rank <= 10", _totals("exporter") + ", " + RANKED + f", h AS ({_hhi('', 'exporter')}), k AS (SELECT round(sum(round(100 * total / whole + 1e-9, 4)) FILTER (WHERE rank <= 3) + 1e-9, 4) AS top3, round(sum(round(100 * total / whole + 1e-9, 4)) FILTER (WHERE rank <= 5) + 1e-9, 4) AS top5 FROM r)"),
     "price_premium": _s("SELECT *, round(100 * (organic_price - conventional_price) / nullif(conventional_price, 0) + 1e-9, 4) AS organic_premium_pct, round(100 * (europe_price - row_price) / nullif(row_price, 0) + 1e-9, 4) AS europe_gap_pct FROM g", "g AS (SELECT fruit_name, " + ", ".join(f"round(sum(fob_usd) FILTER (WHERE {t}) / sum(net_weight_mt) FILTER (WHERE {t}) + 1e-9, 4) AS {n}" for t, n in ((ORGANIC, "organic_price"), ("certification = 'conventional'", "conventional_price"), (EUROPE, "europe_price"), ("region <> 'Europe'", "row_price"))) + " FROM s GROUP BY 1)"),
@@ -171,7 +196,7 @@ ORACLES: dict[str, str] = {
     "cascade_filter": _s(f"SELECT fruit_name, {BY_FRUIT} FROM l JOIN {BOUNDS.format('l')} USING (fruit_name) WHERE usd_per_mt BETWEEN lower AND upper GROUP BY 1", LEFT),
     "cascade_alternative": _s(f"SELECT fruit_name, {BY_FRUIT} FROM l GROUP BY 1", ALT),
     "worldwide_pricing": _s(_quartiles("fruit_name", "fruit", source="l"), ALT),
-    "exclusions": _s(f"SELECT CASE WHEN {AIR} THEN 'air' WHEN {ALT_SAMPLE} THEN 'sample' WHEN net_weight_mt < 2 THEN 'small' WHEN usd_per_mt < 800 THEN 'floor' ELSE 'kept' END AS reason, count(*) AS records, round(sum(net_weight_mt), 2) AS total_mt FROM s GROUP BY 1"),
+    "exclusions": _s(f"SELECT CASE WHEN {AIR} THEN 'air' WHEN {ALT_SAMPLE} THEN 'sample' WHEN net_weight_mt < 2 THEN 'small' WHEN usd_per_mt < {ALT_FLOOR} THEN 'floor' ELSE 'kept' END AS reason, count(*) AS records, round(sum(net_weight_mt), 2) AS total_mt FROM s GROUP BY 1"),
     "filter_stats": _s(f"SELECT count(*) AS total_records, count(*) FILTER (WHERE {AIR}) AS air_shipments, count(*) FILTER (WHERE {SAMPLE}) AS samples, count(*) FILTER (WHERE net_weight_mt < 0.1) AS small_shipments, count(*) FILTER (WHERE usd_per_mt < 500) AS below_price_floor FROM s"),
     "iqr_bounds": _s("SELECT fruit_name, round(q1 + 1e-9, 4) AS q1, round(q3 + 1e-9, 4) AS q3, round(q3 - q1 + 1e-9, 4) AS iqr, round(q1 - 1.5 * (q3 - q1) + 1e-9, 4) AS lower, round(q3 + 1.5 * (q3 - q1) + 1e-9, 4) AS upper FROM (SELECT fruit_name, quantile_cont(usd_per_mt, 0.25) AS q1, quantile_cont(usd_per_mt, 0.75) AS q3 FROM s GROUP BY 1)"),
     "outliers_iqr_z": _outliers("fruit_name"),
@@ -259,3 +284,28 @@ def _parse_titles() -> str:
 
 
 ORACLES["text_parse"] = _parse_titles()
+
+
+def _rule_clusters() -> str:
+    """The importer rules over the made-up company names."""
+    from cargolens.functions import names as N
+
+    t = "regexp_replace(regexp_replace(trim(upper(name)), '[''\".,:;()\\-/]+', '', 'g'), '\\s+', ' ', 'g')"
+    legal = rf"^(.*?\b(?:{'|'.join(N.CUT_FORMS)})\b)"
+    cut = f"CASE WHEN length(t) > 30 AND regexp_matches(t, '{legal}') THEN trim(regexp_extract(t, '{legal}', 1)) ELSE t END"
+    for form in N.END_FORMS:
+        cut = f"regexp_replace({cut}, '\\s+{form}\\s*$', '', 'g')"
+    cut = f"trim(regexp_replace({cut}, '\\s+', ' ', 'g'))"
+    for suffix in N.COUNTRY_SUFFIXES:
+        cut = f"regexp_replace({cut}, '\\s+{suffix}\\s*$', '', 'g')"
+    for wrong, right in N.IMPORTER_FIXES:
+        cut = f"replace({cut}, '{wrong}', '{right}')"
+    forms = "['S.A.C.', 'S.A. DE C.V.', 'LTD.', 'B.V.', 'GMBH & CO. KG', 'S.R.L.', 'PERU']"
+    # translate() drops the characters of the first list that have no partner, as it does in Spark
+    named = f"n AS (SELECT trim(translate(c_name, '#_0123456789', '  ABCDEFGHIJ')) || ' ' || {forms}[c_custkey % 7 + 1] AS name FROM customer), t AS (SELECT name, {t} AS t FROM n)"
+    return f"WITH {named}, c AS (SELECT trim(regexp_replace({cut}, '\\s+', ' ', 'g')) AS canonical_name, name FROM t), k AS (SELECT canonical_name, list_sort(list(DISTINCT name)) AS names, count(*) AS count FROM c GROUP BY 1)"
+
+
+ORACLES["rule_clusters"] = _rule_clusters() + " SELECT canonical_name, array_to_string(names, '|') AS aliases, count FROM k"
+ORACLES["rule_variations"] = _rule_clusters() + " SELECT canonical_name, unnest(names) AS alias, CAST(len(names) AS INTEGER) AS aliases FROM k"
+ORACLES["rule_cluster_sizes"] = _rule_clusters() + " SELECT CAST(len(names) AS INTEGER) AS size, count(*) AS clusters, CAST(sum(len(names)) AS BIGINT) AS names FROM k GROUP BY 1"

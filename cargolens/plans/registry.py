@@ -22,7 +22,9 @@ from cargolens.sources.readers import between_dates, shipments
 D = dt.date
 RANGE = (D(1998, 1, 1), D(1998, 12, 31))
 BEFORE = (D(1997, 1, 1), D(1997, 12, 31))
-ALT_RULES = Q.Rules(floors={}, default_floor=800, sample_words=Q.OTHER_SAMPLE_WORDS, min_mt=2.0, first=BEFORE[0], last=RANGE[1])
+#: The alternative rules for the test tables: a floor for each of their products, as the worldwide rules have for theirs.
+ALT_FLOORS = {"ECONOMY": 700, "LARGE": 950, "MEDIUM": 900, "PROMO": 850, "SMALL": 1000}
+ALT_RULES = Q.Rules(floors=ALT_FLOORS, default_floor=800, sample_words=Q.OTHER_SAMPLE_WORDS, min_mt=2.0, first=BEFORE[0], last=RANGE[1])
 
 
 def _neighbours(spark: SparkSession) -> DataFrame:
@@ -63,6 +65,10 @@ def _clusters(spark: SparkSession, sf: str) -> DataFrame:
     return C.cluster_names(C.name_counts(_companies(spark, sf), "name"))
 
 
+def _rule_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return C.rule_clusters(_companies(spark, sf), "name")
+
+
 def _canonical(spark: SparkSession, sf: str) -> DataFrame:
     named = _companies(spark, sf)
     return C.canonical_names(named, _clusters(spark, sf), "name").select("c_custkey", "name", "canonical_name")
@@ -112,6 +118,7 @@ ON_SHIPMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "compare_periods": lambda s: M.compare_periods(s, BEFORE, RANGE),
     "compare_products": lambda s: M.compare(s, [{"fruit": "ECONOMY"}, {"fruit": "SMALL", "certification": "organic"}, {"fruit": "LARGE"}]),
     "compare_exporters": lambda s: M.compare(between_dates(s, *RANGE), [{"exporter": "Supplier#000000001"}, {"exporter": "Supplier#000000002"}]),
+    "compare_exporters_fuzzy": lambda s: M.compare_exporters(s, ["supplier#000000001", "SUPPLIER#000000003"], months=12, today=RANGE[1]),
     "dashboard_kpis": lambda s: M.dashboard(s, *RANGE),
     "market_share": M.market_share,
     "portfolio": M.portfolio,
@@ -121,6 +128,8 @@ ON_SHIPMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "market_gaps": lambda s: M.market_gaps(s, least_mt=20),
     "competitors": M.competitors,
     "attractiveness": lambda s: M.attractiveness(s, "ECONOMY"),
+    "market_details": lambda s: M.market_details(s, "ECONOMY"),
+    "destination_bilingual": lambda s: M.detail_totals(s, 100, destination="nation_2"),
     "validity_flag": lambda s: Q.validity_flag(s).groupBy("fruit_name", "via", "analysis_valid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("net_weight_mt"), 2).alias("mt")),
     "cascade_filter": lambda s: Q.cascade_filter(s).groupBy("fruit_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("net_weight_mt"), 2).alias("mt")),
     "cascade_alternative": lambda s: Q.cascade_filter(s, ALT_RULES, iqr=False).groupBy("fruit_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("net_weight_mt"), 2).alias("mt")),
@@ -166,7 +175,9 @@ ON_TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_names": _clusters,
     "cluster_stats": lambda sp, sf: C.cluster_stats(_clusters(sp, sf)),
     "canonical_names": _canonical,
-    "rule_clusters": lambda sp, sf: C.rule_clusters(_companies(sp, sf), "name").select("canonical_name", F.array_join("aliases", "|").alias("aliases"), "count"),
+    "rule_variations": lambda sp, sf: C.variations(_rule_clusters(sp, sf)),
+    "rule_cluster_sizes": lambda sp, sf: C.cluster_sizes(_rule_clusters(sp, sf)),
+    "rule_clusters": lambda sp, sf: _rule_clusters(sp, sf).select("canonical_name", F.array_join("aliases", "|").alias("aliases"), "count"),
 }
 
 

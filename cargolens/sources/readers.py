@@ -13,9 +13,9 @@ from cargolens.sources.schema import CLUSTER_SCHEMA, RAW_SCHEMA, check_columns
 YTD = (dt.date(2024, 10, 1), dt.date(2025, 10, 31))
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, sep: str = ",") -> DataFrame:
-    """CSV, gzip-compressed or plain, with a header. Without a schema all columns are strings; nothing is inferred."""
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", not path.endswith(".gz"))
+def read_csv(spark: SparkSession, path: str, schema=None, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """CSV, gzip-compressed or plain, with a header. Without a schema all columns are strings; nothing is inferred. Plain files are read in splits unless multi_line says that quoted values hold line ends."""
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
