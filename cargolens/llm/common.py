@@ -91,7 +91,7 @@ def packed(docs: DataFrame, carry: Sequence[str] | None = None, **named: str) ->
 
 
 #: Keys or rows of a small table that are sent to every executor, at most; more are shuffled.
-SENT_ROWS = 1 << 20
+SENT_ROWS = 1 << 18
 #: A filter of more keys has this many bits and lets more of the others pass.
 FILTER_BITS = 1 << 27
 #: Fewer rows than this don't make a key hot.
@@ -129,12 +129,13 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
     return told.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_place", "_word", "_bits")
 
 
-def rows_with(rows: DataFrame, keys: DataFrame, key: str, *, sent_rows: int | None = None) -> DataFrame:
-    """Whole rows joined to keys, a narrow written table with one row for each key. A table of at most sent_rows rows is sent to all executors; else rows that surely have no partner are filtered out before the others are shuffled."""
+def rows_with(rows: DataFrame, keys: DataFrame, key: str, *, many: str | None = None, sent_rows: int | None = None) -> DataFrame:
+    """Rows joined to keys, a narrow written table with one row for each key. A table of at most sent_rows rows is sent to all executors; else rows that surely have no partner are filtered out before the others are shuffled (as join_by_count does, if the column `many` counts the rows of each key)."""
     n = keys.count()
     if n <= (SENT_ROWS if sent_rows is None else sent_rows):
         return rows.join(F.broadcast(keys), key)
-    return maybe_in(rows, keys, key, n).where("_maybe").drop("_maybe").join(keys, key)
+    left = maybe_in(rows, keys, key, n).where("_maybe").drop("_maybe")
+    return left.join(keys, key) if many is None else join_by_count(left, keys, key, many)
 
 
 def rows_without(rows: DataFrame, keys: DataFrame, key: str, *, sent_rows: int | None = None) -> DataFrame:

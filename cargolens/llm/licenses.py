@@ -2,8 +2,8 @@
 
 A text is brought to a canonical form: lower case, without copyright lines, with
 punctuation as spaces and equivalent spellings made one. The digest of the entire
-form is joined to the digests of known licences; single lines are looked up
-likewise among known notices.
+form is joined to the digests of known licences, and so are single lines, which
+may be notices.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import packed, whole_text
+from cargolens.llm.common import SENT_ROWS, durable, packed, whole_text
+from cargolens.llm.quality import barrier
 
 # Licence texts and notices, by identifier.
 MIT = """MIT License
@@ -90,6 +91,7 @@ FILES = (
     ("Apache-2.0", "Apache-2.0", 3), ("Artistic", "Artistic-1.0-Perl", 1), ("BSD", "BSD-3-Clause", 0), ("CC0-1.0", "CC0-1.0", 2),
     ("GFDL-1.2", "GFDL-1.2", 2), ("GFDL-1.3", "GFDL-1.3", 2), ("GPL-1", "GPL-1.0", 2), ("GPL-2", "GPL-2.0", 2), ("GPL-3", "GPL-3.0", 2),
     ("LGPL-2", "LGPL-2.0", 2), ("LGPL-2.1", "LGPL-2.1", 2), ("LGPL-3", "LGPL-3.0", 2), ("MPL-1.1", "MPL-1.1", 2), ("MPL-2.0", "MPL-2.0", 1),
+    ("Unlicense", "Unlicense", 0), ("BSL-1.0", "BSL-1.0", 1), ("0BSD", "0BSD", 0),
 )
 #: Usual titles of texts that are printed with more than one or without any.
 TITLES = {
@@ -98,7 +100,14 @@ TITLES = {
     "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
     "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"),
     "Zlib": ("The zlib License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero-Clause License"),
 }
+#: Identifiers that a line of the form "SPDX-License-Identifier: X" may name.
+SPDX = (
+    "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-1.1", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "BSL-1.0", "0BSD", "Artistic-2.0", "EPL-2.0",
+)
 #: what comes after the terms of the Apache License and the GPL: how to apply them
 TERMS_END = "END OF TERMS AND CONDITIONS"
 
@@ -118,18 +127,17 @@ def entire_texts() -> Iterator[tuple[str, str]]:
                 yield name, form[: form.index(TERMS_END)]
 
 
-#: The known set: KNOWN, which the SQL twin has too, and the whole licences.
-LICENSES = (*KNOWN, *entire_texts())
+#: The known set: short texts, whole licences and identifier lines.
+LICENSES = (*KNOWN, *entire_texts(), *((i, f"SPDX-License-Identifier: {i}") for i in SPDX))
 #: Words that licences spell in more than one way, and the form that counts.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "sub licence": "sublicense", "sublicence": "sublicense", "acknowledgement": "acknowledgment",
     "favour": "favor", "honour": "honor", "organisation": "organization", "authorised": "authorized", "merchantibility": "merchantability", "non infringement": "noninfringement", "per cent": "percent", "https": "http",
 }
 #: A copyright statement on a line of its own: the mark and then a year, another mark, "by" or a placeholder; or the reservation alone.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(?:(?:copyright\b|\(c\)|©)[ \t:,]*(?:\d{4}|\(c\)|©|by\b|[<\[{]|yyyy\b|year\b)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
-#: the SQL twin's limit for lines; the operator has none
-NOTICE_CHARS = 200
-
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n(©]*(?:(?:copyright\b|\(c\)|©)[ \t:,]*(?:\d{4}|\(c\)|©|by\b|[<\[{]|yyyy\b|year\b)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+#: only \n ends a line, whatever else Java takes for one
+UNIX_LINES = "(?md)"
 
 VARIANT = r"\b(?:" + "|".join(SPELLINGS) + r")\b"
 
@@ -146,7 +154,7 @@ def canonical(text: Column) -> Column:
     Lower case, no copyright lines, single spaces for all but letters, digits
     and line ends, one spelling for equivalent words.
     """
-    low = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    low = F.regexp_replace(F.lower(text), UNIX_LINES + COPYRIGHT_LINE, "")
     return one_spelling(F.regexp_replace(low, r"[^\p{L}\p{N}\n]+", " "))
 
 
@@ -155,39 +163,41 @@ def entire(form: Column) -> Column:
     return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
-    """(license_digest, license_id, n_chars of the canonical form) of known texts: as many rows as `known`."""
-    rows = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known)).cast("array<struct<license_id:string,text:string>>")
-    texts = spark.range(1).select(F.inline(rows))
-    forms = texts.select(entire(canonical(F.col("text"))).alias("form"), "license_id")
-    return forms.groupBy(F.sha2("form", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("form")).alias("n_chars"))
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] | DataFrame = LICENSES) -> DataFrame:
+    """Written table (license_digest, license_id, n_chars of the canonical form) of known texts: at most as many rows as `known`, a sequence or table of (license_id, text). Of texts with one form the smallest identifier counts; null and empty texts are left out."""
+    if isinstance(known, DataFrame):
+        texts = known.select(F.col("license_id").cast("string").alias("license_id"), F.col("text").cast("string").alias("text"))
+    else:
+        rows = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known)).cast("array<struct<license_id:string,text:string>>")
+        texts = spark.range(1).select(F.inline(rows))
+    forms = texts.select(entire(canonical(F.col("text"))).alias("form"), "license_id").where("form <> ''")
+    return durable(forms.groupBy(F.sha2("form", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("form")).alias("n_chars")), "known")
 
 
-def license_matches(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str] | None = None, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
-    """Columns row, text_digest (SHA-256 of the canonical form), license_id (of the known text that the entire text equals, or null), notice_ids (sorted distinct licences of lines that equal a known text; no such line: empty) and n_notices (such lines).
+def license_matches(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str] | None = None, known: Sequence[tuple[str, str]] | DataFrame = LICENSES) -> DataFrame:
+    """Columns row, text_digest (SHA-256 of the canonical form), license_id (of the known text that the entire text equals, or null), notice_ids (sorted distinct licences of lines that equal a known text; no such line: empty) and n_notices (such lines, repeats too).
 
     Null text is empty and matches nothing, nor does a text of copyright lines
     and punctuation alone. Repeated rows match each. A text of any length is
-    digested whole; lines as long as none of the known forms are not looked up,
-    as they equal none. An empty table gives an empty one.
+    digested whole; of its lines those are digested that are as long as some known
+    form, since others equal none. An empty table of docs gives an empty one, an
+    empty known set no matches.
     """
-    from cargolens.llm.quality import barrier
-
-    spark = docs.sparkSession
-    found_known = known_digests(spark, known).collect()  # as many as known texts
-    notices = {r["license_digest"]: r["license_id"] for r in found_known}
-    sizes = sorted({r["n_chars"] for r in found_known} - {0})
+    digests = known_digests(docs.sparkSession, known)
+    few = digests.count() <= SENT_ROWS
+    sizes = sorted(r["n_chars"] for r in digests.select("n_chars").distinct().collect())  # fewer than known texts, or than characters of the longest
     made = packed(docs, carry, text=text_col).select("row", whole_text().alias("text"))
     low = F.lower(F.col("text"))
-    bare = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low)
+    bare = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, UNIX_LINES + COPYRIGHT_LINE, "")).otherwise(low)
     forms = barrier(made, ["row"], form=F.regexp_replace(bare, r"[^\p{L}\p{N}\n]+", " "))
     forms = barrier(forms, ["row"], form=F.when(F.col("form").rlike(VARIANT), one_spelling(F.col("form"))).otherwise(F.col("form")))
     lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(sizes))
     units = forms.select("row", F.sha2(entire(F.col("form")), 256).alias("text_digest"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("lines"))
-    of_digest = F.create_map(*(F.lit(x) for pair in notices.items() for x in pair)) if notices else F.create_map().cast("map<string,string>")
-    hits = F.filter("lines", lambda x: F.array_contains(F.array(*map(F.lit, notices)).cast("array<string>"), x))
-    ids = F.array_sort(F.array_distinct(F.transform(hits, lambda x: F.try_element_at(of_digest, x))))
-    found = units.select("row", "text_digest", ids.alias("notice_ids"), F.size(hits).cast("bigint").alias("n_notices"))
-    pairs = F.array(*(F.struct(F.lit(d).alias("license_digest"), F.lit(i).alias("license_id")) for d, i in notices.items())).cast("array<struct<license_digest:string,license_id:string>>")
-    digests = spark.range(1).select(F.inline(pairs))
-    return found.join(F.broadcast(digests), found.text_digest == digests.license_digest, "left").select("row", "text_digest", "license_id", "notice_ids", "n_notices")
+    units = durable(units.withColumn("uid", F.monotonically_increasing_id()), "digests")
+
+    sent = F.broadcast(digests) if few else digests
+    hits = units.select("uid", F.explode("lines").alias("license_digest")).join(sent, "license_digest")
+    notices = hits.groupBy("uid").agg(F.array_sort(F.collect_set("license_id")).alias("notice_ids"), F.count(F.lit(1)).alias("n_notices"))
+    found = units.select("row", "uid", "text_digest").join(sent.select(F.col("license_digest").alias("text_digest"), "license_id"), "text_digest", "left").join(notices, "uid", "left")
+    none = F.array().cast("array<string>")
+    return found.select("row", "text_digest", "license_id", F.coalesce("notice_ids", none).alias("notice_ids"), F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from cargolens.llm.licenses import KNOWN, NOTICE_CHARS, SPELLINGS
+import hashlib
+import re
+
+import regex
+
+from cargolens.llm.licenses import COPYRIGHT_LINE, LICENSES, SPELLINGS
 
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 #: characters that white space trimming takes
@@ -59,29 +64,34 @@ o AS ({_spans(3, 'opaque', '[A-Za-z0-9+/_-]{24,}', 0, 24, MIXED)}),
 alone AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.uid = o.uid AND base.s < o.s + o.size AND o.s < base.s + base.size)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM alone),
 owners AS (SELECT val, count(DISTINCT coalesce(source, '<null>')) AS n_owners, count(DISTINCT coalesce(source, '<null>') || '/' || coalesce(lang, '<null>')) AS n_repos FROM every GROUP BY val),
-told AS (SELECT e.*, n_owners <= 1 AND n_repos <= 3 AS live, name || ':' || s || ':' || (s + size) AS span FROM every e JOIN owners USING (val)),
+told AS (SELECT e.*, n_owners <= 1 AS live, name || ':' || s || ':' || (s + size) AS span FROM every e JOIN owners USING (val)),
 g AS (SELECT uid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS b,
   string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3 OR live) AS spans, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE kind < 3 AND NOT live) AS n_example FROM told GROUP BY uid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (uid)"""
 
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-
-
 def _canonical(text: str) -> str:
-    out = f"regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT}', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace(lower({text}), '(?m){COPYRIGHT_LINE}', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     for word, instead in SPELLINGS.items():
         out = f"regexp_replace({out}, '\\b{word}\\b', '{instead}', 'g')"
     return out
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+def known_forms() -> dict[str, str]:
+    """Digest of each known text's canonical form, made here in plain Python, to its smallest identifier."""
+    found: dict[str, str] = {}
+    for name, text in LICENSES:
+        form = regex.sub(r"[^\p{L}\p{N}\n]+", " ", regex.sub("(?m)" + COPYRIGHT_LINE, "", text.lower()))
+        for word, instead in SPELLINGS.items():
+            form = re.sub(rf"\b{word}\b", instead, form)
+        digest = hashlib.sha256(re.sub("[ \n]+", " ", form).strip(" ").encode()).hexdigest()
+        found[digest] = min(name, found.get(digest, name))
+    return found
 
 
-LICENSES = f"""WITH {DOCS}, known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT i AS license_id, sha256(trim(regexp_replace({_canonical('t')}, '[ \\n]+', ' ', 'g'))) AS digest FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in KNOWN)}) k(i, t)) GROUP BY digest),
+LICENSE_TWIN = f"""WITH {DOCS}, known AS (SELECT * FROM (VALUES {', '.join(f"('{d}', '{i}')" for d, i in known_forms().items())}) k(digest, license_id)),
 c AS (SELECT uid, doc_id, {_canonical('text')} AS form FROM d),
 l AS (SELECT uid, trim(line) AS line FROM (SELECT uid, unnest(string_split(form, chr(10))) AS line FROM c)),
-n AS (SELECT uid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notice_ids, count(*) AS n_notices FROM l JOIN known ON sha256(line) = digest WHERE length(line) BETWEEN 1 AND {NOTICE_CHARS} GROUP BY uid)
+n AS (SELECT uid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notice_ids, count(*) AS n_notices FROM l JOIN known ON sha256(line) = digest WHERE line <> '' GROUP BY uid)
 SELECT doc_id, sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) AS text_digest, license_id, coalesce(notice_ids, '') AS notice_ids, coalesce(n_notices, 0) AS n_notices
 FROM c LEFT JOIN n USING (uid) LEFT JOIN known ON sha256(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) = digest"""
 
@@ -127,7 +137,7 @@ UNION ALL SELECT doc_id, epoch, piece_no, start_token, n_tokens, NULL, NULL, NUL
 ORACLES: dict[str, str] = {
     "op1_length_buckets": PACK,
     "op3_exact_dedup": EXACT,
-    "op4_license_digests": LICENSES,
+    "op4_license_digests": LICENSE_TWIN,
     "op5_line_dedup": LINES,
     "op6_warc_round_trip": WARC,
     "op7_host_quality": QUALITY,

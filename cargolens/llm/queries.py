@@ -53,7 +53,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+    out = warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

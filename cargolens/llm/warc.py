@@ -1,11 +1,11 @@
 """WARC archives written from and read to a table of payload chunks.
 
 A record's payload travels as rows (record, chunk number, bytes) of bounded
-size, each with the digest of the payload so far, so that neither writer nor reader
-holds a whole record: the writer streams slices of the payload into a gzip
-member, the reader inflates a member piece by piece. Of records with equal
-payloads one is a response; the others revisit it and carry its digest and
-length only.
+size, so that neither writer nor reader holds a whole record: the writer gets
+chunk rows one after another and streams them into a gzip member, the reader inflates a
+member piece by piece into chunk rows, each with the digest of the payload so
+far. Of records with equal payloads one is a response; the others revisit it
+and carry its digest and length only.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import bound_arrow, shared_path, durable
+from cargolens.llm.common import bound_arrow, durable, join_by_count, located, rows_without, shared_path
 
-CHUNK = 1 << 18
+#: bytes of a chunk row, at most; bytes of an archive that are read at once
+CHUNK, READ = 1 << 14, 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -47,12 +48,7 @@ def clean_url(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "urn:x-unknown"
 
 
-def slices(payload: memoryview, size: int = CHUNK) -> Iterator[memoryview]:
-    for at in range(0, len(payload), size):
-        yield payload[at : at + size]
-
-
-def record_head(page_id: int | None, url: str | None, n_bytes: int, digest: str, response_id: int | None, small: bool) -> tuple[bytes, bytes]:
+def record_head(page_id: int | None, url: str | None, n_bytes: int, digest: str, response_id: int | None) -> tuple[bytes, bytes]:
     """WARC header and HTTP header of a page's record."""
     revisit = response_id is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n_bytes
@@ -66,26 +62,29 @@ def record_head(page_id: int | None, url: str | None, n_bytes: int, digest: str,
 
 
 def write_archive(root: str):
-    """mapInArrow function: rows (page_id, url, html, n_bytes, sha1, response_id) to an archive of each task, and its row in the manifest. A task that runs again writes another file; only the committed one is in the manifest."""
+    """mapInArrow function: rows (page_id, url, n_bytes, sha1, response_id, chunk_no, chunk), a record's chunks one after another, to an archive of each task, and its row in the manifest. A task that runs again writes another file; only the committed one is in the manifest."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, path, n = None, f"{root}/{uuid.uuid4().hex}.warc.gz", 0
+        out, path, n, gz, left, want = None, f"{root}/{uuid.uuid4().hex}.warc.gz", 0, None, 0, 0
         for batch in batches:
-            payloads = batch.column(2).cast(pa.binary())
-            ids, urls, sizes, digests, responses = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
-            for k in range(batch.num_rows):
+            for page_id, url, n_bytes, sha1, response_id, chunk_no, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     store, where = pafs.FileSystem.from_uri(path)
                     store.create_dir(where.rsplit("/", 1)[0], recursive=True)
                     out = store.open_output_stream(where, compression=None)
-                gz = zlib.compressobj(6, zlib.DEFLATED, 31)
-                head, http = record_head(ids[k], urls[k], sizes[k], base32(bytes.fromhex(digests[k])), responses[k], False)
-                out.write(gz.compress(head + http))
-                if responses[k] is None:
-                    for part in slices(memoryview(payloads[k].as_buffer() or b"")):
-                        out.write(gz.compress(part))
-                out.write(gz.compress(CRLF + CRLF) + gz.flush())
-                n += 1
+                if gz is None:
+                    gz, left, want = zlib.compressobj(6, zlib.DEFLATED, 31), 0 if response_id is not None else n_bytes, 0
+                    head, http = record_head(page_id, url, n_bytes, base32(bytes.fromhex(sha1)), response_id)
+                    out.write(gz.compress(head + http))
+                if chunk_no != want:
+                    raise ValueError("a record's chunks don't come in order")
+                out.write(gz.compress(chunk or b""))
+                left, want = left - len(chunk or b""), want + 1
+                if not left:
+                    out.write(gz.compress(CRLF + CRLF) + gz.flush())
+                    gz, n = None, n + 1
+        if gz is not None:
+            raise ValueError("a record lacks chunks")
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
@@ -93,33 +92,45 @@ def write_archive(root: str):
     return of
 
 
+def payload_chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """rows with a binary column `html` to rows for each `size` bytes of it, one after another (one for an empty payload): the other columns, chunk_no and chunk."""
+    kept = [c for c in rows.columns if c != "html"]
+    numbered = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"greatest(length(html) - 1, 0) div {size}"))))
+    return numbered.select(*kept, "chunk_no", F.substring("html", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("chunk"))
+
+
 def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write a record per row into archives in the shared folder; the manifest (path, n_records).
 
-    The payload is the column's UTF-8 (null: empty). Of rows with equal
+    The payload is the column's UTF-8 (null: empty), of any length. Of rows with equal
     payloads of at least min_bytes, those with the largest id are responses and the
     others revisits; smaller payloads are all responses. Rows that repeat the largest id with the same
     payload are each a response; a null id is never largest, and if all are
-    null all are responses. An empty table writes nothing.
+    null all are responses. Record identifiers are made of page ids, so rows that repeat an
+    id share one; the reader tells records apart by archive and number. An empty table writes
+    nothing. pages is read twice; payloads of revisits aren't read again.
     """
     spark = pages.sparkSession
     bound_arrow(spark)
-    rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("html"))
-    rows = rows.withColumn("n_bytes", F.length("html").cast("bigint")).withColumn("sha1", F.sha1("html")).withColumn("sha256", F.sha2("html", 256))
-    # Equal payloads agree in both digests and the length; only groups of several rows matter to the join
-    groups = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha256", "sha1", "n_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    several = durable(groups.where("n > 1 and first is not null").select(F.col("sha256").alias("of"), F.col("sha1").alias("of_sha1"), F.col("n_bytes").alias("of_bytes"), "first"), "payloads")
-    joined = rows.join(several, (F.col("sha256") == F.col("of")) & (F.col("sha1") == F.col("of_sha1")) & (F.col("n_bytes") == F.col("of_bytes")), "left")
-    response = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    written = joined.select("page_id", "url", "html", "n_bytes", "sha1", response.alias("response_id"))
-    return durable(written.mapInArrow(write_archive(shared_path(spark, "warc")), "path string, n_records bigint"), "manifest")
+    base = located(pages, page_id=id_col, url=url_col, html=payload_col)
+    base = base.select("at", F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
+    rows = base.withColumn("n_bytes", F.length("html").cast("bigint")).withColumn("sha1", F.sha1("html"))
+    # Equal payloads agree in both digests and the length
+    narrow = durable(rows.select("at", "page_id", "url", "n_bytes", "sha1", F.struct(F.sha2("html", 256).alias("sha256"), "sha1", "n_bytes").alias("payload")).where(F.col("n_bytes") >= min_bytes), "digests")
+    groups = narrow.groupBy("payload").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("many"))
+    several = durable(groups.where("many > 1 and first is not null"), "payloads")
+    revisits = join_by_count(narrow, several, "payload", "many").where(~F.col("first").eqNullSafe(F.col("page_id")))
+    revisits = durable(revisits.select("at", "page_id", "url", "n_bytes", "sha1", F.col("first").alias("response_id")), "revisits")
+    responses = rows_without(rows, revisits.select("at"), "at").select("page_id", "url", "n_bytes", "sha1", F.lit(None).cast("bigint").alias("response_id"), "html")
+    bare = revisits.select("page_id", "url", "n_bytes", "sha1", "response_id", F.lit(0).cast("bigint").alias("chunk_no"), F.lit(None).cast("binary").alias("chunk"))
+    return durable(payload_chunks(responses).unionByName(bare).mapInArrow(write_archive(shared_path(spark, "warc")), "path string, n_records bigint"), "manifest")
 
 
 class Member:
     """Inflates the gzip members of a stream one after another; reads lines and bounded pieces."""
 
-    def __init__(self, raw, size: int = CHUNK) -> None:
-        self.raw, self.size, self.left, self.held, self.z = raw, size, b"", b"", None
+    def __init__(self, raw, size: int = CHUNK, read: int = READ) -> None:
+        self.raw, self.size, self.read, self.left, self.held, self.z = raw, size, read, b"", b"", None
 
     def next(self) -> bool:
         """Go to the next member; False at the end of the file."""
@@ -130,14 +141,14 @@ class Member:
         if self.z is not None:
             self.left = self.z.unused_data
         if not self.left:
-            self.left = self.raw.read(self.size)
+            self.left = self.raw.read(self.read)
         self.z = zlib.decompressobj(31)
         return bool(self.left)
 
     def more(self) -> bool:
         if self.z.eof:
             return False
-        data = self.z.unconsumed_tail or self.left or self.raw.read(self.size)
+        data = self.z.unconsumed_tail or self.left or self.raw.read(self.read)
         self.left = b""
         if not data:
             raise ValueError("the archive ends inside a record")
@@ -167,56 +178,54 @@ def fields(lines: list[str]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-CHUNKS = "page_id bigint, record_type string, url string, refers_to bigint, payload_bytes bigint, declared_digest string, chunk_no bigint, chunk_offset bigint, chunk binary, running_digest string, last boolean"
-
-
-def read_archives(with_data: bool):
-    """mapInArrow function: rows (path) to the archives' chunk rows."""
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
-    kind = pa.schema([(n, t) for n, t in zip(names, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_()], strict=True)])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                store, where = pafs.FileSystem.from_uri(path)
-                rows, held = [], 0
-                with store.open_input_stream(where, compression=None) as raw:
-                    member = Member(raw)
-                    while member.next():
-                        head = fields(member.head())
-                        block = int(head["content-length"])
-                        lines = member.head()
-                        http = fields(lines)
-                        left = block - len("\r\n".join(lines).encode()) - 4
-                        size, sha, at, k = int(http["content-length"]), hashlib.sha1(), 0, 0
-                        same = [page_of(head["warc-record-id"]), head["warc-type"], head["warc-target-uri"], page_of(head["warc-refers-to"]) if "warc-refers-to" in head else None, size, head["warc-payload-digest"].partition(":")[2]]
-                        for part in member.pieces(left):
-                            sha.update(part)
-                            end = at + len(part) == left
-                            if with_data or end:
-                                rows.append([*same, k, at, part if with_data else None, base32(sha.digest()), end])
-                                held += len(part) * with_data + 200
-                            at, k = at + len(part), k + 1
-                            if held > 8 * CHUNK:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
-                                rows, held = [], 0
-                        if not left:  # a revisit, or an empty payload: one row without bytes
-                            rows.append([*same, 0, 0, b"" if with_data else None, base32(sha.digest()), True])
-                            held += 200
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
-
-    return of
-
-
-def read_warc_chunks(spark: SparkSession, manifest: DataFrame, *, with_data: bool = True) -> DataFrame:
-    """Chunk rows of the manifest's archives. running_digest is the base32 SHA-1 of the payload up to and with the chunk; payload_bytes and declared_digest are of the full payload. Without with_data a record's last chunk alone comes, without bytes."""
+CHUNKS = "archive string, record_no bigint, page_id bigint, record_type string, url string, refers_to bigint, payload_bytes bigint, declared_digest string, chunk_no bigint, chunk_offset bigint, chunk binary, running_digest string"
+KINDS = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def read_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: rows (path) to the archives' chunk rows, in batches of some chunks."""
+    schema = pa.schema([(name, KINDS[kind]) for name, kind in (x.split() for x in CHUNKS.split(", "))])
+
+    def table(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, where = pafs.FileSystem.from_uri(path)
+            rows, held, record_no = [], 0, 0
+            with store.open_input_stream(where, compression=None) as raw:
+                member = Member(raw)
+                while member.next():
+                    head = fields(member.head())
+                    lines = member.head()
+                    left = int(head["content-length"]) - len("\r\n".join(lines).encode()) - 4
+                    size, sha, at = int(fields(lines)["content-length"]), hashlib.sha1(), 0
+                    refers = page_of(head["warc-refers-to"]) if "warc-refers-to" in head else None
+                    same = [path, record_no, page_of(head["warc-record-id"]), head["warc-type"], head["warc-target-uri"], refers, size, head["warc-payload-digest"].partition(":")[2]]
+                    for k, part in enumerate(member.pieces(left) if left else [b""]):  # a revisit, or an empty payload: one row without bytes
+                        sha.update(part)
+                        rows.append([*same, k, at, part, base32(sha.digest())])
+                        at, held = at + len(part), held + len(part) + 300
+                        if held > 1 << 21:
+                            yield table(rows)
+                            rows, held = [], 0
+                    record_no += 1
+            if rows:
+                yield table(rows)
+
+
+def read_warc_chunks(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """Chunk rows of the manifest's archives; (archive, record_no) identifies a record. running_digest is the base32 SHA-1 of the payload up to and with the chunk; payload_bytes and declared_digest are of the full payload. A revisit has one row without bytes."""
     paths = manifest.select("path").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return paths.mapInArrow(read_archives(with_data), CHUNKS)
+    return paths.mapInArrow(read_archives, CHUNKS)
 
 
 def warc_round_trip(pages: DataFrame, **how) -> DataFrame:
-    """Write pages to archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to and intact (a response's read bytes have the declared length and digest)."""
-    chunks = read_warc_chunks(pages.sparkSession, write_warc(pages, **how), with_data=False).where("last")
-    whole = F.col("record_type") == "revisit"
-    return chunks.select("page_id", "payload_bytes", F.when(whole, F.col("declared_digest")).otherwise(F.col("running_digest")).alias("payload_digest"), "record_type", "refers_to", (whole | (F.col("running_digest") == F.col("declared_digest"))).alias("intact"))
+    """Write pages to archives, read them back as chunk rows and put each record's rows together: page_id, payload_bytes, payload_digest, record_type, refers_to, n_chunks and intact (all chunks are there, and a response's bytes have the declared length and digest). Rows as write_warc says; an empty table gives an empty one."""
+    chunks = read_warc_chunks(pages.sparkSession, write_warc(pages, **how))
+    record = ["archive", "record_no", "page_id", "payload_bytes", "declared_digest", "record_type", "refers_to"]
+    last = F.max(F.struct("chunk_no", "running_digest"))
+    found = chunks.groupBy(*record).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.octet_length("chunk")).alias("read_bytes"), last.alias("last"))
+    revisit, digest = F.col("record_type") == "revisit", F.col("last.running_digest")
+    whole = (F.col("n_chunks") == F.col("last.chunk_no") + 1) & (revisit | ((F.col("read_bytes") == F.col("payload_bytes")) & (digest == F.col("declared_digest"))))
+    return found.select("page_id", "payload_bytes", F.when(revisit, F.col("declared_digest")).otherwise(digest).alias("payload_digest"), "record_type", "refers_to", "n_chunks", whole.alias("intact"))

@@ -29,11 +29,12 @@ def test_rows_are_found_again(spark, sf):
         assert len({r["at"] for r in common.located(odd).collect()}) == odd.count()
 
 
-@pytest.mark.parametrize("most", [1 << 20, 0])
+@pytest.mark.parametrize("most", [1 << 18, 0])
 def test_whole_rows_by_key(spark, most):
     rows = spark.range(2000).select("id", F.concat(F.lit("text "), "id").alias("text"))
     keys = common.durable(spark.range(500).select((F.col("id") * 7).alias("id"), F.lit(1).alias("more")), "keys")
     assert {r["id"] for r in common.rows_with(rows, keys, "id", sent_rows=most).collect()} == set(range(0, 2000, 7))
+    assert {r["id"] for r in common.rows_with(rows, common.durable(keys.withColumn("many", F.lit(1)), "counted"), "id", many="many", sent_rows=most).collect()} == set(range(0, 2000, 7))
     assert {r["id"] for r in common.rows_without(rows, keys.select("id"), "id", sent_rows=most).collect()} == set(range(2000)) - set(range(0, 2000, 7))
     assert 286 <= common.maybe_in(rows, keys, "id", 500).where("_maybe").count() < 600
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import textwrap
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from cargolens.llm import licenses as L
 
@@ -49,6 +52,41 @@ def test_whole_licenses(spark):
     assert out[len(cases)]["license_id"] is None
 
 
+def plain_form(text):
+    """Canonical form by single steps over characters and words."""
+    low = regex.sub("(?m)" + L.COPYRIGHT_LINE, "", (text or "").lower())
+    lines = ["".join(c if regex.match(r"[\p{L}\p{N}]", c) else " " for c in line).split() for line in low.split("\n")]
+    lines = [" " + " ".join(words) + " " for words in lines]
+    for word, instead in L.SPELLINGS.items():
+        lines = [x.replace(f" {word} ", f" {instead} ").replace(f" {word} ", f" {instead} ") for x in lines]
+    return [" ".join(x.split()) for x in lines]
+
+
+def test_against_brute_force(spark, sf):
+    """Whole table and planted licence texts: digests, identifiers, notices."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts += [t for _, t in L.entire_texts()] + [f"Some file\n{t}\nSPDX-License-Identifier: MIT\nspdx license identifier mit" for _, t in L.KNOWN] + ["a\rcopyright 2019 x\rb", "é licence\u2028© 2020 y", None, ""]
+    digest = lambda lines: hashlib.sha256(" ".join(x for x in lines if x).encode()).hexdigest()
+    known = {}
+    for i, t in L.LICENSES:
+        d = digest(plain_form(t))
+        known[d] = min(i, known.get(d, i))
+    out = found(spark, texts)
+    for k, t in enumerate(texts):
+        lines = plain_form(t)
+        hits = [known[digest([x])] for x in lines if x and digest([x]) in known]
+        got = out[k]
+        assert (got["text_digest"], got["license_id"], got["notice_ids"], got["n_notices"]) == (digest(lines), known.get(digest(lines)), sorted(set(hits)), len(hits)), t
+    assert sum(r["license_id"] is not None for r in out.values()) >= len(list(L.entire_texts()))
+
+
+def test_known_texts_as_a_table(spark):
+    table = spark.createDataFrame([("Own", "My own licence."), ("Zeta", "my own license"), ("None", None), ("Mark", "...")], "license_id string, text string")
+    out = found(spark, ["My OWN license!", "x\nmy own licence\nmy own licence", "..."], known=table)
+    assert [(out[k]["license_id"], out[k]["notice_ids"], out[k]["n_notices"]) for k in range(3)] == [("Own", ["Own"], 1), (None, ["Own"], 2), (None, [], 0)]
+    assert "Python" not in L.license_matches(spark.range(3).select(F.lit("a").alias("text")))._jdf.queryExecution().simpleString()
+
+
 def test_long_lines_are_looked_up(spark):
     mit = " ".join(L.MIT.removeprefix("MIT License\n\nCopyright (c) <year> <copyright holders>\n\n").split())
     own = "word " * 100 + "end"

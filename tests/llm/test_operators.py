@@ -151,18 +151,53 @@ def test_perfect_hash_is_minimal_and_exact():
     rnd = np.random.default_rng(2)
     hashes = rnd.integers(0, 1 << 63, (5000, 2), dtype=np.int64).view(np.uint64)
     counts = rnd.integers(1, 1000, 5000)
-    shard = D.Shard.load(D.Shard.build(hashes, counts).dump())
-    assert sorted(shard.places.rank(hashes[:, 0])) == list(range(5000))
-    assert (shard.count(hashes) == counts).all()
+    blob = D.Shard.build(hashes, counts).dump()
+    shard = D.Shard.load(blob)
+    assert sorted(shard.places.rank(hashes[:, 0])) == list(range(5000)) and not len(shard.others)
+    assert (shard.count(hashes) == counts).all() and len(blob) < 13 * 5000
     assert not shard.count(rnd.integers(0, 1 << 63, (20000, 2), dtype=np.int64).view(np.uint64)).any()
     assert len(D.Shard.build(hashes[:0], counts[:0]).count(hashes)) == 5000
+    assert D.Shard.build(hashes[:1], np.array([1 << 40])).count(hashes[:2]).tolist() == [D.MOST, 0]
+
+
+def test_keys_that_agree_in_64_bits_are_told_apart():
+    rnd = np.random.default_rng(3)
+    hashes = rnd.integers(0, 1 << 63, (300, 2), dtype=np.int64).view(np.uint64)
+    hashes[100:103, 0] = hashes[5, 0]
+    hashes[200, 0] = 0
+    counts = np.arange(300) + 1
+    shard = D.Shard.load(D.Shard.build(hashes, counts).dump())
+    assert len(shard.others) == 4
+    assert (shard.count(hashes) == counts).all()
+    strange = hashes[[5]].copy()
+    strange[0, 1] ^= np.uint64(1)
+    assert shard.count(strange).tolist() == [0]
+
+
+def test_colliding_line_keys_through_both_routes(spark, monkeypatch):
+    """Keys' placing bits cut to two: nearly all of them collide."""
+    plain = D.line_hashes
+    rows = [(k, f"line {k % 7}\nline {k % 7}\nown {k}\n") for k in range(84)]
+    cut = lambda lines: np.ascontiguousarray(plain(lines) & np.array([3, (1 << 64) - 1], np.uint64))
+    hashes = np.concatenate([D.distinct(cut(t.encode().split(b"\n"))) for _, t in rows])
+    keys, n = np.unique(hashes.view("V16"), return_counts=True)
+    shard = D.Shard.load(D.Shard.build(keys.view("<u8").reshape(-1, 2), n).dump())
+    assert len(shard.others) > 60
+    want = brute.lines(rows)
+    for i, t in rows:
+        own = t.encode().split(b"\n")
+        own_hashes = cut(own)
+        drop = (shard.count(own_hashes) >= 10) & own_hashes.any(axis=1)
+        assert D.kept_lines(t.encode(), drop, True)["kept_text"] == want[i][3]
 
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_lines_by_sent_and_by_routed_index(spark, sf, limit):
+@pytest.mark.parametrize("probes", [200_000, 40])
+def test_lines_by_sent_and_by_routed_index(spark, sf, monkeypatch, limit, probes):
+    monkeypatch.setattr(D, "PROBES", probes)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + k, f"common\n COMMON \nown {k}") for k in range(30)], "doc_id bigint, text string"))
     want = brute.lines([tuple(r) for r in docs.collect()])
-    out = D.drop_shared_lines(docs, carry=["doc_id"], broadcast_bytes=limit, shard_keys=3)
+    out = D.drop_shared_lines(docs, carry=["doc_id"], sent_bytes=limit, shard_keys=3)
     assert {r["row"]["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"], r["kept_text"]) for r in out.collect()} == want
 
 
@@ -294,6 +329,32 @@ def test_mixing_budgets_and_prefixes(spark, sf):
             assert {i for ee, i, _ in own if ee == e} == {i for i, pp in path.items() if pp == p}
 
 
+def test_mixing_of_awkward_rows(spark):
+    """Nulls anywhere, ties, repeated ids and rows, empty and very long texts, a leaf without tokens: row by row."""
+    rnd = random.Random(9)
+    rows = [(k, "w " * rnd.randint(0, 40), rnd.choice(["en", "de", None]), rnd.choice([None, "src1", "src2", "other", ""])) for k in range(150)]
+    rows += [(None, "a b c", None, None)] * 4 + [(7, "same id", "en", "src1"), (7, "same id", "en", "src1"), (900, None, "fr", "none"), (901, "", "fr", "none"), (902, "long " * 20000, "es", "src3")]
+    for how in (q.MIX, q.MIX | {"share": 2.5}, q.MIX | {"share": 5.0, "max_epochs": 2}, q.MIX | {"share": 0.0}):
+        found = M.mix_to_weights(docs_of(spark, rows), carry=["doc_id", "text", "lang", "source"], **how).collect()
+        want = brute.mixed(rows, lambda r: len(brute.words(r[1])), q.WEIGHTS, how["share"], how["max_epochs"], how["seed"])
+        assert sorted(((*r["row"], r["epoch"]) for r in found), key=repr) == sorted(((*r, e) for r, e in want), key=repr)
+
+
+@pytest.mark.parametrize("children", [1, 7, 400])
+def test_water_fills_to_one_level(spark, children):
+    rnd = random.Random(children)
+    rows = [(p, f"n{k}", rnd.choice((0, 5, 5, rnd.randint(1, 10**6))), rnd.randint(1, 9), b) for p, b in (("a", 10**6), ("b", 0), ("c", 10**12)) for k in range(children)]
+    nodes = spark.createDataFrame(rows, "parent string, name string, cap bigint, weight bigint, budget bigint")
+    given = {(r["parent"], r["name"]): r["given"] for r in M.water_fill(nodes, ["parent"], "name").collect()}
+    for p, budget in (("a", 10**6), ("b", 0), ("c", 10**12)):
+        own = [(cap, w, given[p, n]) for pp, n, cap, w, _ in rows if pp == p]
+        total = sum(cap for cap, _, _ in own)
+        spent = sum(g for _, _, g in own)
+        assert min(budget, total) - children <= spent <= min(budget, total)
+        levels = [g / w for cap, w, g in own if g < cap]
+        assert all(g / w <= min(levels) + 1 for _, w, g in own) if levels else spent == total
+
+
 def test_mixing_of_nothing(spark, sf):
     assert M.mix_to_weights(spark.read.parquet(f"{sf}/documents.parquet").where("false"), **q.MIX).isEmpty()
 
@@ -356,17 +417,32 @@ def test_owner_specific_tokens_are_added(spark):
     assert [(s["kind"], s["live"], s["n_owners"]) for s in found[4]["spans"]] == [(0, False, 2)] and found[6]["n_live"] == 0
 
 
-def test_warc_chunks_stream_long_payloads(spark):
+def test_warc_chunks_stream_long_payloads(spark, tmp_path):
     html = "".join(chr(33 + k % 90) + "é" * (k % 3) for k in range(400_000))
-    pages = spark.createDataFrame([(1, "http://a/ b", html), (2, None, ""), (3, "u", html), (None, "n", "x")], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(1, "http://a/ b", html), (2, None, ""), (3, "u", html), (None, "n", "x"), (9, "r", "again"), (9, "r", "again"), (9, "r", "other"), (4, "z", None)], "page_id bigint, url string, html string")
     rows = W.read_warc_chunks(spark, W.write_warc(pages)).collect()
     parts = sorted((r["chunk_no"], r["chunk_offset"], bytes(r["chunk"])) for r in rows if r["page_id"] == 3)
-    assert len(parts) > 2 and max(len(p) for _, _, p in parts) <= W.CHUNK
+    assert len(parts) > 40 and max(len(p) for _, _, p in parts) <= W.CHUNK
     assert b"".join(p for _, _, p in parts).decode() == html
-    kinds = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in rows}
-    assert kinds == {1: ("revisit", 3), 2: ("response", None), 3: ("response", None), None: ("response", None)}
+    kinds = {(r["archive"], r["record_no"]): (r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in rows}
+    assert sorted(kinds.values(), key=str) == sorted([(1, "revisit", 3), (2, "revisit", 4), (3, "response", None), (4, "response", None), (0, "response", None), (9, "response", None), (9, "response", None), (9, "response", None)], key=str)
     small = W.warc_round_trip(pages, min_bytes=10_000_000).collect()
-    assert {r["record_type"] for r in small} == {"response"}
+    assert {r["record_type"] for r in small} == {"response"} and all(r["intact"] for r in small)
+    # the same through the registered query
+    pages.repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    found = q.op6_warc_round_trip(spark, str(tmp_path)).collect()
+    assert all(r["intact"] for r in found) and len(found) == 8
+    want = brute.warc([(1, html), (2, ""), (3, html), (4, None)])
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found if r["page_id"] in want} == want
+
+
+def test_payload_chunks_cover_the_payload(spark):
+    rows = spark.createDataFrame([(k, bytes(range(k))) for k in (0, 1, 7, 8, 9, 200)], "k int, html binary")
+    got = defaultdict(list)
+    for r in W.payload_chunks(rows, 8).collect():
+        got[r["k"]].append((r["chunk_no"], bytes(r["chunk"])))
+    assert {k: b"".join(c for _, c in own) for k, own in got.items()} == {k: bytes(range(k)) for k in (0, 1, 7, 8, 9, 200)}
+    assert all([n for n, _ in own] == list(range(max(1, -(-k // 8)))) for k, own in got.items())
 
 
 def test_clashing_columns_pass_through(spark, sf):
