@@ -323,5 +323,5 @@ def fuzzy_search(df: DataFrame, term: str, threshold: float = 0.6, column: str =
     from cargolens.functions.names import similarity_udf
 
     scored = df.select(F.col(column).alias("name")).where("name is not null").distinct().withColumn("score", similarity_udf(term)("name")).where(F.col("score") >= threshold)
-    best = scored.agg(F.max("score").alias("best"))
-    return scored.crossJoin(F.broadcast(best)).where("best < 2 or score = 2").select("name", r4(F.least("score", F.lit(1.0))).alias("score")).orderBy(F.col("score").desc(), "name").limit(limit)  # one row of the best
+    heads = scored.orderBy(F.col("score").desc(), "name").limit(limit).withColumn("best", F.max("score").over(Window.partitionBy()))  # `limit` rows
+    return heads.where("best < 2 or score = 2").select("name", r4(F.least("score", F.lit(1.0))).alias("score")).orderBy(F.col("score").desc(), "name")

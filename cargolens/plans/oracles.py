@@ -265,8 +265,8 @@ g AS (SELECT uid, string_agg(word, ' ' ORDER BY i) AS clean_text FROM r WHERE k
 }
 
 
-def _parse_titles() -> str:
-    """The parser over the made-up titles; the library's regular expressions have no look-ahead, so a letter after `mango` is matched as itself."""
+def _parsed(key: str) -> str:
+    """The parser over rows p (key, t); empty texts have no format. The library's regular expressions have no look-ahead, so a letter after `mango` is matched as itself."""
     from cargolens.functions import product as P
 
     has = lambda p: f"regexp_matches(t, '(?i){p}')".replace("(?:\\b|(?=[A-Z]))", "(?:\\b|[A-Za-z])")
@@ -274,18 +274,22 @@ def _parse_titles() -> str:
     got = lambda p, k: f"nullif(regexp_extract(t, '(?i){p}', {k}), '')"
     variety = "coalesce(" + ", ".join(got(p, 1) for p in P.VARIETIES) + ")"
     size = "coalesce(" + ", ".join(f"{got(p, 1)} || 'x' || {got(p, 2)}" for p in P.SIZES) + ")"
-    words = ["MANGO CHUNKS 20X20MM IQF ORGANICO VARIEDAD: EDWARD", "PULPA DE MARACUYA ASEPTICO", "FRESA CONVENCIONAL 10 x 10 mm", "PALTA IQF", "ARANDANO ENTERO", "PIÑA GOLDEN EN TROZOS", "B & P DE UVA"]
-    titles = "[" + ", ".join(f"'{w}'" for w in words) + "]"
     return (
-        f"WITH p AS (SELECT p_partkey, lower({titles}[p_size % 7 + 1] || ' ' || p_name) AS t FROM part) SELECT p_partkey, {case(P.FRUITS, chr(39) + 'unknown' + chr(39))} AS fruit_name, upper({variety}[1]) || {variety}[2:] AS variety, "
-        f"coalesce({case(P.FORMATS, 'NULL')}, CASE WHEN {has(P.IQF)} THEN 'iqf' WHEN {size} IS NOT NULL THEN 'chunks' ELSE 'unknown' END) AS format_type, {size} AS size_mm, {has(P.ORGANIC)} AS is_organic, {has(P.CONVENTIONAL)} AS is_conventional, {has(P.IQF)} AS is_iqf, {has(P.ASEPTIC)} AS is_aseptic, "
+        f"SELECT {key}, {case(P.FRUITS, chr(39) + 'unknown' + chr(39))} AS fruit_name, upper({variety}[1]) || {variety}[2:] AS variety, "
+        f"CASE WHEN t <> '' THEN coalesce({case(P.FORMATS, 'NULL')}, CASE WHEN {has(P.IQF)} THEN 'iqf' WHEN {size} IS NOT NULL THEN 'chunks' ELSE 'unknown' END) END AS format_type, {size} AS size_mm, {has(P.ORGANIC)} AS is_organic, {has(P.CONVENTIONAL)} AS is_conventional, {has(P.IQF)} AS is_iqf, {has(P.ASEPTIC)} AS is_aseptic, "
         f"CASE WHEN {has(P.ORGANIC)} THEN 'organic' WHEN {has(P.CONVENTIONAL)} THEN 'conventional' ELSE 'unknown' END AS certification FROM p"
     )
 
 
-ORACLES["text_parse"] = _parse_titles()
+def _parse_titles() -> str:
+    words = ["MANGO CHUNKS 20X20MM IQF ORGANICO VARIEDAD: EDWARD", "PULPA DE MARACUYA ASEPTICO", "FRESA CONVENCIONAL 10 x 10 mm", "PALTA IQF", "ARANDANO ENTERO", "PIÑA GOLDEN EN TROZOS", "B & P DE UVA"]
+    titles = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return f"WITH p AS (SELECT p_partkey, lower({titles}[p_size % 7 + 1] || ' ' || p_name) AS t FROM part) {_parsed('p_partkey')}"
 
 
+ORACLES["text_parse"] = _parse_titles()
+ORACLES["text_parse_documents"] = ORACLES["repeat_suppression"].replace(" SELECT doc_id, coalesce(clean_text, '') AS clean_text FROM d", ", p AS (SELECT doc_id, coalesce(clean_text, '') AS t FROM d") + ") " + _parsed("doc_id")
+
 def _rule_clusters() -> str:
     """The importer rules over the made-up company names."""
     from cargolens.functions import names as N
