@@ -158,7 +158,7 @@ def test_ranking_properties(spark, sf):
     top = market.top_n(s, "exporter", "value", 1000).collect()
     assert math.isclose(sum(r["share_pct"] for r in top), 100, abs_tol=0.01) and math.isclose(top[-1]["cumulative_pct"], 100, abs_tol=0.01)
     assert all(0 < r["hhi"] <= 10000 for r in market.hhi(s, ["country"], "importer").collect())
-    edges = flows.flows(flows.bucketed(s), ("exporter", "fruit_name", "importer", "country")).groupBy("level").agg(F.sum("value").alias("v")).collect()
+    edges = flows.supply_chain(s).groupBy("level").agg(F.sum("value").alias("v")).collect()
     total = s.agg(F.sum("net_weight_mt")).first()[0]
     assert len(edges) == 3 and all(math.isclose(r["v"], total, rel_tol=1e-6) for r in edges)
     assert quality.cascade_filter(s).count() <= quality.cascade_filter(s, iqr=False).count() <= s.count()
