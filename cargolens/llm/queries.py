@@ -13,6 +13,7 @@ from cargolens.llm.packing import pack_into_buckets
 from cargolens.llm.quality import host_quality
 from cargolens.llm.secret_scan import joined, secret_spans
 from cargolens.llm.simhash import fingerprint_hex, simhash_components
+from cargolens.llm.spelling import spelling_variants
 from cargolens.llm.token_counts import token_counts
 from cargolens.llm.warc import warc_round_trip
 
@@ -77,7 +78,11 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = (op1_length_buckets, op2_token_counts, op3_exact_dedup, op4_license_digests, op5_line_dedup, op6_warc_round_trip, op7_host_quality, op8_secret_ownership, op9_source_mix, op10_simhash_components)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), every=199, least_length=6, least_n=5, ratio=5)
+
+
+QUERIES = (op1_length_buckets, op2_token_counts, op3_exact_dedup, op4_license_digests, op5_line_dedup, op6_warc_round_trip, op7_host_quality, op8_secret_ownership, op9_source_mix, op10_simhash_components, op11_spelling_variants)
 
 
 def queries() -> dict:
