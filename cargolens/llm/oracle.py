@@ -134,6 +134,25 @@ m AS (SELECT bucket_len, epoch, coalesce(sum(ceil(count(*) / (16384 // bucket_le
 SELECT doc_id, epoch, piece_no, start_token, n_tokens, bucket_len, CAST(first_batch + place // (16384 // bucket_len) AS BIGINT) AS batch_no, place % (16384 // bucket_len) AS slot, bucket_len - n_tokens AS padding FROM r JOIN m USING (bucket_len, epoch)
 UNION ALL SELECT doc_id, epoch, piece_no, start_token, n_tokens, NULL, NULL, NULL, NULL FROM p WHERE n_tokens = 0"""
 
+COLLOCATIONS = f"""WITH d AS (SELECT row_number() OVER () AS uid, coalesce(lang, 'und') AS lang, {LOWER.format("coalesce(text, '')")} AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+t AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE i + size - 1 <= len(words)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+q AS (SELECT lang, phrase, size, a, k, array_to_string(words[1:k], ' ') AS x, array_to_string(words[k + 1:size], ' ') AS y FROM k),
+v AS (SELECT q.lang, q.phrase, a, k, l.f AS l, r.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM q JOIN f l ON l.lang = q.lang AND l.phrase = x JOIN f r ON r.lang = q.lang AND r.phrase = y JOIN t ON t.lang = q.lang),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a AS longer, words, size, unnest(range(1, size)) AS i FROM c WHERE size > 2),
+o AS (SELECT lang, longer, array_to_string(words[i:i + m - 1], ' ') AS phrase FROM i, (SELECT unnest([2, 3, 4]) AS m) WHERE m < size AND i + m - 1 <= size),
+x AS (SELECT lang, phrase, max(longer) AS longer FROM o GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase WHERE x.longer IS NULL OR 100 * x.longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM z QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_length_buckets": PACK,
     "op3_exact_dedup": EXACT,
@@ -143,4 +162,5 @@ ORACLES: dict[str, str] = {
     "op7_host_quality": QUALITY,
     "op8_secret_ownership": SECRETS,
     "op9_source_mix": MIX,
+    "op12_collocations": COLLOCATIONS,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargolens.llm.collocations import collocations
 from cargolens.llm.exact_dedup import exact_groups
 from cargolens.llm.licenses import license_matches
 from cargolens.llm.line_dedup import drop_shared_lines
@@ -82,7 +83,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir), every=199, least_length=6, least_n=5, ratio=5)
 
 
-QUERIES = (op1_length_buckets, op2_token_counts, op3_exact_dedup, op4_license_digests, op5_line_dedup, op6_warc_round_trip, op7_host_quality, op8_secret_ownership, op9_source_mix, op10_simhash_components, op11_spelling_variants)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), least=100, percent=100, top=2000)
+
+
+QUERIES = (op1_length_buckets, op2_token_counts, op3_exact_dedup, op4_license_digests, op5_line_dedup, op6_warc_round_trip, op7_host_quality, op8_secret_ownership, op9_source_mix, op10_simhash_components, op11_spelling_variants, op12_collocations)
 
 
 def queries() -> dict:
