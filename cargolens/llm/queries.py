@@ -12,6 +12,7 @@ from cargolens.llm.line_dedup import drop_shared_lines
 from cargolens.llm.mixing import mix_to_weights
 from cargolens.llm.packing import pack_into_buckets
 from cargolens.llm.quality import host_quality
+from cargolens.llm.quality_model import quality_scores
 from cargolens.llm.secret_scan import joined, secret_spans
 from cargolens.llm.simhash import fingerprint_hex, simhash_components
 from cargolens.llm.spelling import spelling_variants
@@ -87,7 +88,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir), least=100, percent=100, top=2000)
 
 
-QUERIES = (op1_length_buckets, op2_token_counts, op3_exact_dedup, op4_license_digests, op5_line_dedup, op6_warc_round_trip, op7_host_quality, op8_secret_ownership, op9_source_mix, op10_simhash_components, op11_spelling_variants, op12_collocations)
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = quality_scores(documents(spark, sf_dir), labels, carry=["doc_id"], folds=5, threshold=0.3, most_rows=4000, most_passages=64)
+    return out.select("row.doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = (op1_length_buckets, op2_token_counts, op3_exact_dedup, op4_license_digests, op5_line_dedup, op6_warc_round_trip, op7_host_quality, op8_secret_ownership, op9_source_mix, op10_simhash_components, op11_spelling_variants, op12_collocations, op13_quality_classifier)
 
 
 def queries() -> dict:

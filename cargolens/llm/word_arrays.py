@@ -67,11 +67,12 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, which: int) -> np.ndarray:
-        """Hash of each word's bytes."""
+    def hashes(self, which: int, *, lower: bool = False) -> np.ndarray:
+        """Hash of each word's bytes, or of those with A-Z in lower case."""
         n, base = len(self.bytes), BASES[which]
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(VALUES[which][self.bytes] * power_at(base, np.arange(n), n), out=total[1:])
+        own = np.frombuffer(self.data.lower(), np.uint8) if lower else self.bytes
+        np.cumsum(VALUES[which][own] * power_at(base, np.arange(n), n), out=total[1:])
         back = power_at(pow(base, -1, 1 << 64), self.starts, n)
         return mixed((total[self.ends] - total[self.starts]) * back + (self.ends - self.starts).astype(np.uint64))
 
