@@ -13,32 +13,33 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC, Lowercase, Sequence
 
 from cargolens.llm.common import bound_arrow, packed, whole_text
 
 #: The tokenizer's word pattern, with one space of any kind before a word taken along.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WHITE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-WORDS = rf"[{WHITE}]?+(?:'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}++|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]++)|[{WHITE}]"
 #: The same for texts whose characters are all below U+0250, with the letters and numbers spelled out.
 LATIN, NUMBER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_WORDS = rf"[{WHITE}]?(?:'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[{NUMBER}]|[^{WHITE}{LATIN}{NUMBER}]+)|[{WHITE}]"
-#: Lower case of letters that are newer than Python's tables.
-NEW_LOWER = {0xA7CB: "\u0264", 0xA7DC: "\u019b"}
-NEW_UPPER = "\ua7cb\ua7dc"
 SPACE_CHARS = frozenset(chr(c) for a, b in ((9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(a, b + 1))
 #: words, and prefixes of words, that a worker keeps; prefixes of longer words aren't kept
 CACHE, SHARED = 200_000, 64
 
 
+def word_pattern(white: str, letters: str, numbers: str) -> str:
+    return rf"[{white}]?+(?:'s|'t|'re|'ve|'m|'ll|'d|[{letters}]++|[{numbers}]|[^{white}{letters}{numbers}]++)|[{white}]"
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes for themselves, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,6 +47,49 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def char_classes(tokenizer: Tokenizer, block: int = 256) -> dict[str, list[tuple[int, int]]]:
+    """Ranges (first, last) of the code points that the tokenizer's own word pattern takes as letters (L), numbers (N), white space (S) and others (O).
+
+    The library's tables of Unicode aren't those of Python or the regex package, so
+    it is asked: a letter goes on a word of letters, another character one of
+    those, a number stands alone and white space isn't there. Blocks of one class take two questions.
+    """
+    ask = tokenizer.pre_tokenizer.pre_tokenize_str
+    out: dict[str, list[tuple[int, int]]] = {kind: [] for kind in "LNSO"}
+
+    def add(kind: str, first: int, last: int) -> None:
+        if out[kind] and out[kind][-1][1] == first - 1:
+            first = out[kind].pop()[0]
+        out[kind].append((first, last))
+
+    for first in range(0, 0x110000, block):
+        codes = [c for c in range(first, first + block) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, codes))
+        pure = [kind for kind, lead in (("L", "a"), ("O", "!")) if [span for _, span in ask(lead + text)] == [(0, len(text) + 1)]]
+        if codes and pure:
+            add(pure[0], codes[0], codes[-1])
+            continue
+        spans = {span for _, span in ask("".join(f"a{c} !{c} " for c in text))}
+        for at, c in zip(range(0, 6 * len(codes), 6), codes, strict=True):
+            add("L" if (at, at + 2) in spans else "O" if (at + 3, at + 5) in spans else "N" if (at + 1, at + 2) in spans else "S", c, c)
+    return out
+
+
+def char_set(ranges: list[tuple[int, int]]) -> str:
+    """The inside of a character class."""
+    return "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in ranges)
+
+
+def word_finders(classes: dict[str, list[tuple[int, int]]]) -> tuple[Callable, Callable]:
+    """findall of words by the classes, and a search for a character of which the regex package thinks otherwise."""
+    every = "".join(chr(c) for ranges in classes.values() for a, b in ranges for c in range(a, b + 1))
+    odd: set[int] = set()
+    for kind, ours in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", f"[{WHITE}]")):
+        odd |= {ord(c) for c in regex.findall(ours, every)} ^ {c for a, b in classes[kind] for c in range(a, b + 1)}
+    known = word_pattern(*(char_set(classes[kind]) for kind in "SLN"))
+    return regex.compile(known).findall, regex.compile(f"[{char_set([(c, c) for c in sorted(odd)])}]" if odd else "(?!)").search
+
+
 class PrefixCounter(dict):
     """Maps a word, with or without a space before it, to the changes in count at each of its code points."""
 
@@ -61,7 +105,9 @@ class PrefixCounter(dict):
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special)))
         self.hints = tuple({s[:2] for s in special})
-        self.find, self.find_latin, self.beyond = regex.compile(WORDS).findall, re.compile(LATIN_WORDS).findall, re.compile("[^\x00-\u024f]").search
+        self.find, self.find_latin, self.beyond = regex.compile(word_pattern(WHITE, r"\p{L}", r"\p{N}")).findall, re.compile(LATIN_WORDS).findall, re.compile("[^\x00-\u024f]").search
+        self.find_known, self.odd = word_finders(char_classes(Tokenizer.from_file(path)))
+        self.normal = Sequence([NFC(), Lowercase()]).normalize_str  # the library's own tables
         self.pairs: dict[tuple[str, str], bool] = {}
         self.firsts: dict[str, list | None] = {}
         self.lasts: dict[str, list | None] = {}
@@ -182,12 +228,9 @@ class PrefixCounter(dict):
 
     def plain(self, text: str) -> bytes:
         """Changes in count for text without special strings."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        low = text.lower()
-        if len(low) != len(text) or any(c in text for c in "Σ" + NEW_UPPER):  # lower() looks at the neighbours of a sigma
-            low = "".join(NEW_LOWER.get(ord(c)) or c.lower() for c in text)
-        return b"".join(map(self.__getitem__, (self.find if self.beyond(low) else self.find_latin)(low)))
+        low = self.normal(text) if self.beyond(text) else text.lower()
+        find = self.find_latin if not self.beyond(low) else self.find_known if self.odd(low) else self.find
+        return b"".join(map(self.__getitem__, find(low)))
 
     def changes(self, text: str) -> bytes:
         """Change in token count at each code point of the text as the tokenizer sees it: in NFC and lower case. A special string is one token; cut short, it's ordinary text."""
