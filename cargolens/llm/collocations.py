@@ -1,10 +1,11 @@
 """Frequent phrases that are tighter than chance, from merged count-min sketches.
 
-First pass: every task counts the hashes of all its phrases in a count-min
+First, every task counts the hashes of its phrases in a count-min
 sketch, whose cells stop at the threshold, and hands on its blocks; equal blocks
 are added up and only say which cells reach the threshold. As a sketch never
-counts too little, a phrase with a cell below it is rare. Second pass: the
-phrases that survive, and whose parts do, are counted exactly by their words.
+counts too little, a phrase with a cell below it is rare. There are two sketches: one of words
+and pairs, then one of the longer phrases whose pairs all survive, as
+rare phrases would fill its cells. Then the phrases that survive are counted exactly by their words.
 Candidates are then scored by their weakest cut, those that occur only inside a
 longer one are dropped, and the best of each language are ranked.
 """
@@ -26,6 +27,8 @@ from cargolens.llm.word_arrays import Words, byte_classes, chunks, mixed
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 CLASSES = byte_classes(SPACES, BREAKS)
 LONGEST = 5
+#: sizes of phrases that each sketch counts, one after another
+LEVELS = (range(1, 3), range(3, LONGEST + 1))
 #: rows of a sketch, cells of a row, cells of a block that tasks hand on
 ROWS, CELLS, BLOCK = 2, 1 << 24, 1 << 16
 #: different phrases that a task holds before it hands on their counts
@@ -57,17 +60,39 @@ class Phrases:
             out = out * STEP + own[at + k]
         return mixed(out + np.uint64(size))
 
+    def living(self, reach: dict[int, np.ndarray], cells: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, places, hashes) of the phrases of up to `longest` words whose cells, and whose parts' cells, reach the threshold, where that is known for their size."""
+        live = np.ones(len(self.words) + 1, bool)
+        for size in range(1, longest + 1):
+            at = self.together(size)
+            at = at[live[at] & live[at + 1]] if size > 1 else at
+            hashes = self.hashes(at, size)
+            known = reach.get(level_of(size))
+            if known is not None:
+                ok = known[0, cells_of(hashes, 0, cells)]
+                for row in range(1, ROWS):
+                    ok[ok] = known[row, cells_of(hashes[ok], row, cells)]
+                at, hashes = at[ok], hashes[ok]
+            live[:] = False
+            live[at] = True
+            yield size, at, hashes
+
+
+def level_of(size: int) -> int:
+    """Number of the sketch that counts phrases of this size."""
+    return next(k for k, sizes in enumerate(LEVELS) if size in sizes)
+
 
 def cells_of(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mixed(hashes ^ SALTS[row]) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def sketch_blocks(least: int, cells: int):
-    """mapInArrow function: rows (lang, text) to the task's sketch in blocks (row, block, cells), and rows (-1, 0, lang, n) with its numbers of words."""
+def sketch_blocks(least: int, cells: int, sizes: range, sent: dict):
+    """mapInArrow function: rows (lang, text) to the task's sketch of the phrases of these sizes that the bitmaps in `sent` let live, in blocks (row, block, cells), and rows (-1, 0, lang, n) with its numbers of words."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((ROWS, cells), np.uint32)
+        sketch, reach = np.zeros((ROWS, cells), np.uint32), reaching(sent, cells)
         totals: dict[str, int] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
@@ -76,11 +101,10 @@ def sketch_blocks(least: int, cells: int):
                 found = Phrases(parts, counted, own)
                 for i, n in enumerate(np.bincount(found.words.text[found.begins], minlength=len(parts)).tolist()):
                     totals[own[i]] = totals.get(own[i], 0) + n
-                for size in range(1, LONGEST + 1):
-                    at = found.together(size)
-                    hashes = found.hashes(at[found.begins[at]], size)
-                    for row in range(ROWS):
-                        np.add.at(sketch[row], cells_of(hashes, row, cells), np.uint32(1))
+                for size, at, hashes in found.living(reach, cells, sizes[-1]):
+                    if size in sizes:
+                        for row in range(ROWS):
+                            np.add.at(sketch[row], cells_of(hashes[found.begins[at]], row, cells), np.uint32(1))
         names = ["row", "block", "lang", "n", "cells"]
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary())
         if totals:
@@ -96,6 +120,16 @@ def sketch_blocks(least: int, cells: int):
     return of
 
 
+def reaching(sent: dict, cells: int) -> dict[int, np.ndarray]:
+    """By level, which cells of each row reach the threshold, from broadcast bitmaps."""
+    out, width = {}, min(BLOCK, cells)
+    for level, blocks in sent.items():
+        out[level] = np.zeros((ROWS, cells), bool)
+        for (row, block), bits in blocks.value.items():
+            out[level][row, block * width : (block + 1) * width] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little", count=width)
+    return out
+
+
 def added_blocks(least: int, cells: int):
     """mapInArrow function: blocks ordered by (row, block) to one bitmap (row, block, bits) of the cells that reach the threshold together."""
     kind = np.uint8 if least < 256 else np.uint32
@@ -121,14 +155,11 @@ def added_blocks(least: int, cells: int):
     return of
 
 
-def exact_counts(sent, least: int, cells: int):
+def exact_counts(sent: dict, cells: int):
     """mapInArrow function: rows (lang, text) to (lang, phrase, size, n) of the phrases whose cells, and whose parts' cells, reach the threshold."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = np.zeros((ROWS, cells), bool)
-        width = min(BLOCK, cells)
-        for (row, block), bits in sent.value.items():
-            reach[row, block * width : (block + 1) * width] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little", count=width)
+        reach = reaching(sent, cells)
         held: dict[tuple[int, int], list] = {}
 
         def flush() -> pa.RecordBatch:
@@ -141,17 +172,8 @@ def exact_counts(sent, least: int, cells: int):
             for owners, parts, counted in chunks(batch.column(1).cast(pa.binary()).to_pylist(), BREAKS, LONGEST - 1):
                 own = [langs[i] for i in owners]
                 found = Phrases(parts, counted, own)
-                live = np.ones(len(found.words) + 1, bool)
-                for size in range(1, LONGEST + 1):
-                    at = found.together(size)
-                    at = at[live[at] & live[at + 1]] if size > 1 else at
-                    hashes = found.hashes(at, size)
-                    ok = reach[0, cells_of(hashes, 0, cells)]
-                    for row in range(1, ROWS):
-                        ok[ok] = reach[row, cells_of(hashes[ok], row, cells)]
-                    live[:] = False
-                    live[at[ok]] = True
-                    tell = ok & found.begins[at]
+                for size, at, hashes in found.living(reach, cells, LONGEST):
+                    tell = found.begins[at]
                     tally(held, found, own, at[tell], hashes[tell], size)
                 if len(held) > HELD:
                     yield flush()
@@ -180,21 +202,22 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     """Written tables (lang, phrase, size, f) of all phrases of 1 to 5 words with f >= least occurrences, and (lang, n) of the words of each language.
 
     cells, a power of two, bounds what tasks hold (8 bytes each), hand on and are sent (a bit each, for two
-    rows). Where phrases are more than some 60 for each cell, more rare ones survive the first pass and are counted for
-    nothing; none is lost.
+    rows). The more phrases share a cell (pairs of words over cells, on average), the more of those below the threshold by
+    less than that are counted for nothing; none is lost.
     """
     if cells & (cells - 1):
         raise ValueError("cells must be a power of two")
     bound_arrow(docs.sparkSession)
     spark = docs.sparkSession
     rows = packed(docs, [], lang=lang_col, text=text_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().alias("text"))
-    parts = durable(rows.mapInArrow(sketch_blocks(least, cells), "row int, block int, lang string, n bigint, cells binary"), "sketches")
-    totals = durable(parts.where("row < 0").groupBy("lang").agg(F.sum("n").alias("words")), "totals")
-    blocks = parts.where("row >= 0").select("row", "block", "cells")
-    dealt = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "block").sortWithinPartitions("row", "block")
-    bits = dealt.mapInArrow(added_blocks(least, cells), "row int, block int, bits binary")
-    sent = spark.sparkContext.broadcast({(r["row"], r["block"]): bytes(r["bits"]) for r in bits.collect()})  # 2 bits a cell at most
-    counted = rows.mapInArrow(exact_counts(sent, least, cells), "lang string, phrase string, size int, n bigint")
+    shuffles, sent, totals = int(spark.conf.get("spark.sql.shuffle.partitions")), {}, None
+    for level, sizes in enumerate(LEVELS):
+        parts = durable(rows.mapInArrow(sketch_blocks(least, cells, sizes, dict(sent)), "row int, block int, lang string, n bigint, cells binary"), "sketches")
+        totals = totals or durable(parts.where("row < 0").groupBy("lang").agg(F.sum("n").alias("words")), "totals")
+        dealt = parts.where("row >= 0").select("row", "block", "cells").repartition(shuffles, "row", "block").sortWithinPartitions("row", "block")
+        bits = dealt.mapInArrow(added_blocks(least, cells), "row int, block int, bits binary")
+        sent[level] = spark.sparkContext.broadcast({(r["row"], r["block"]): bytes(r["bits"]) for r in bits.collect()})  # 2 bits a cell at most
+    counted = rows.mapInArrow(exact_counts(sent, cells), "lang string, phrase string, size int, n bigint")
     frequent = counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return durable(frequent, "frequent"), totals
 
