@@ -195,7 +195,8 @@ def scores(model: Model):
                 yield pa.array([], pa.float64())
                 continue
             h, attention, owner = map(np.concatenate, zip(*held, strict=True))
-            yield pa.array(model.score(h, attention, np.flatnonzero(np.diff(owner, prepend=-1))).astype(np.float64))
+            # the order of addition, and so the last digits, hang on what else is in the batch
+            yield pa.array(model.score(h, attention, np.flatnonzero(np.diff(owner, prepend=-1))).round(9))
 
     return F.arrow_udf(of, "double")
 
