@@ -98,20 +98,34 @@ FILTER_BITS = 1 << 27
 HOT_ROWS = 256
 
 
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether docs is a table read from files, each file once, under deterministic filters and projections alone: then a file's row is one row of docs at most, and the same one each time."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        expressions = node.expressions()
+        if not all(expressions.apply(i).deterministic() for i in range(expressions.size())):
+            return False
+        node = node.children().head()
+    if node.getClass().getSimpleName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = sorted(f"{x}/" for x in node.relation().location().rootPaths().mkString("\n").split("\n"))
+    return not any(b.startswith(a) for a, b in zip(roots, roots[1:], strict=False))
+
+
 def located(docs: DataFrame, **named: str) -> DataFrame:
     """A struct `row` of docs' columns, the columns in `named` under the names given there, and `at`: where the row lies (hash of the file's path, and number in the file), the same whenever the table is read.
 
     So narrow results find their rows again in a second scan, and no stage
-    writes whole rows between. docs must give the same rows each time, as
-    tables do; what isn't read from files is written to a table first.
+    writes whole rows between. What isn't a table under filters and projections alone, as rows that were joined,
+    exploded, sampled or united, is written to a table first, so that each row has a place of its own.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number")).alias("at")
     base = None
-    if "_metadata" not in map(str.lower, docs.columns):
+    if "_metadata" not in map(str.lower, docs.columns) and plain_scan(docs):
         try:
             base = docs.select(row, at)
-        except AnalysisException:  # not read from files
+        except AnalysisException:  # a projection hides the files' metadata
             pass
     if base is None:
         base = durable(docs.select(row), "rows").select("row", at)
