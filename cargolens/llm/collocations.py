@@ -31,6 +31,8 @@ LONGEST = 5
 LEVELS = (range(1, 3), range(3, LONGEST + 1))
 #: rows of a sketch, cells of a row, cells of a block that tasks hand on
 ROWS, CELLS, BLOCK = 2, 1 << 24, 1 << 16
+#: splits of the table that a task reads: sketches, and counts of frequent phrases, come once from each task
+SPLITS = 4
 #: different phrases that a task holds before it hands on their counts
 HELD = 300_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -210,6 +212,8 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     bound_arrow(docs.sparkSession)
     spark = docs.sparkSession
     rows = packed(docs, [], lang=lang_col, text=text_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().alias("text"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // SPLITS))
+    rows = rows.coalesce(tasks)
     shuffles, sent, totals = int(spark.conf.get("spark.sql.shuffle.partitions")), {}, None
     for level, sizes in enumerate(LEVELS):
         parts = durable(rows.mapInArrow(sketch_blocks(least, cells, sizes, dict(sent)), "row int, block int, lang string, n bigint, cells binary"), "sketches")
