@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions import names as N
 from cargolens.functions.numbers import r4
+from cargolens.operators.similar import block_heads, greedy_heads, similar_names
+from cargolens.sources.written import written
 
 
 def name_counts(df: DataFrame, column: str) -> DataFrame:
@@ -15,60 +16,29 @@ def name_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(N.is_valid_name(F.col(column))).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "name")
 
 
-def _greedy(block: pd.DataFrame, alike) -> pd.DataFrame:
-    """Most frequent names become roots in turn and take the names that are left and alike."""
-    rows = block.sort_values(["n", "name"], ascending=[False, True]).to_dict("records")
-    out, taken = [], set()
-    for i, root in enumerate(rows):
-        if i in taken:
-            continue
-        for j in range(i, len(rows)):
-            if j not in taken and (j == i or alike(root, rows[j])):
-                taken.add(j)
-                out.append({**rows[j], "root": root["name"]})
-    return pd.DataFrame(out)
-
-
 def cluster_names(counts: DataFrame, within: int = 80, across: int = 90, spacing: int = 95, least_length_ratio: float = 0.7) -> DataFrame:
     """(canonical_name, aliases, count) of (name, n).
 
     Names are blocked by core name; in a block the better of token-sort and
     token-set ratio joins a name to a more frequent root. Canonical names of the
     blocks' clusters are then merged in order of count where they are nearly the same with or without
-    spaces and of similar length. Ties go by name.
+    spaces and of similar length. Ties go by name. Names of one cleaned form, and clusters of one
+    canonical name, are compared once; a null name is none.
     """
-    cleaned = counts.withColumn("cleaned", N.clean_company(F.col("name"))).withColumn("core", N.core_name(F.col("cleaned"))).where("core <> ''").withColumn("brand", N.brand_name(F.col("cleaned")))
-
-    def inside(block: pd.DataFrame) -> pd.DataFrame:
-        done = _greedy(block, lambda a, b: max(N.token_sort_ratio(a["cleaned"], b["cleaned"]), N.token_set_ratio(a["cleaned"], b["cleaned"])) >= within)
-        return done[["root", "name", "n", "brand"]]
-
-    placed = cleaned.groupBy("core").applyInPandas(inside, "root string, name string, n bigint, brand string")
+    cleaned = counts.where("name is not null").withColumn("cleaned", N.clean_company(F.col("name"))).withColumn("core", N.core_name(F.col("cleaned"))).where("core <> ''")
+    cleaned = written(cleaned.withColumn("brand", N.brand_name(F.col("cleaned"))).select("name", "n", "cleaned", "core", "brand"), "cleaned")
+    forms = cleaned.groupBy(F.col("core").alias("block"), F.col("cleaned").alias("form")).agg(F.min(F.struct((-F.col("n")).alias("less"), "name")).alias("place"))
+    forms = written(forms, "forms")
+    heads = block_heads(forms, lambda a, b: max(N.token_sort_ratio(a, b), N.token_set_ratio(a, b)) >= within)
+    named = heads.join(forms.select("block", F.col("form").alias("head"), F.col("place.name").alias("root")), ["block", "head"]).select(F.col("block").alias("core"), F.col("form").alias("cleaned"), "root")
+    placed = cleaned.join(named, ["core", "cleaned"])
     best = F.max_by("brand", F.struct("n", F.length("name"), "name"))
-    groups = placed.groupBy("root").agg(best.alias("name"), F.sum("n").alias("n"), F.array_sort(F.collect_list("name")).alias("aliases"))
-
-    def alike(a: dict, b: dict) -> bool:
-        x, y = a["name"], b["name"]
-        longest = max(len(x), len(y))
-        if longest and min(len(x), len(y)) / longest < least_length_ratio:
-            return False
-        return N.token_set_ratio(x, y) >= across or N.ratio(x.replace(" ", ""), y.replace(" ", "")) >= spacing
-
-    def merge(all_groups: pd.DataFrame) -> pd.DataFrame:
-        numbered = all_groups.assign(name=all_groups["name"].fillna(""))
-        order = numbered.sort_values(["n", "name", "root"], ascending=[False, True, True]).to_dict("records")
-        out, taken = [], set()
-        for i, head in enumerate(order):
-            if i in taken:
-                continue
-            own = [j for j in range(i, len(order)) if j not in taken and (j == i or alike(head, order[j]))]
-            taken.update(own)
-            top = max((order[j] for j in own), key=lambda r: (r["n"], len(r["name"])))
-            out.append({"canonical_name": top["name"], "aliases": sorted(a for j in own for a in order[j]["aliases"]), "count": sum(order[j]["n"] for j in own)})
-        return pd.DataFrame(out, columns=["canonical_name", "aliases", "count"])
-
-    # The merge depends on order over all canonical names; there are far fewer of them than names
-    return groups.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(merge, "canonical_name string, aliases array<string>, count bigint")
+    groups = written(placed.groupBy("root").agg(best.alias("name"), F.sum("n").alias("n"), F.array_sort(F.collect_list("name")).alias("aliases")), "groups")
+
+    nodes = written(groups.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("less"), "name", "root")).alias("place")), "nodes")
+    merged = greedy_heads(nodes, similar_names(nodes, across, spacing, least_length_ratio))
+    top = F.min_by("name", F.struct((-F.col("n")).alias("less"), (-F.length("name")).alias("shorter"), "name", "root"))
+    return groups.join(merged, "name").groupBy("head").agg(top.alias("canonical_name"), F.array_sort(F.flatten(F.collect_list("aliases"))).alias("aliases"), F.sum("n").alias("count")).drop("head")
 
 
 def cluster_stats(clusters: DataFrame) -> DataFrame:
