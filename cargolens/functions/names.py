@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 # Words that aren't part of a brand.
 STOP_WORDS = (
-    "SOCIEDAD SOC SOC. CORPORACION CORP CORP. GRUPO GROUP AGRICOLA AGRO AGROINDUSTRIAL EXPORTADORA EXPORT CONSORCIO IMPORTADORA COMERCIAL COMERCIALIZADORA COMPANIA CIA CIA. EMPRESA NEGOCIOS INVERSIONES THE ASOCIACION "
-    "MEXICO MEXICAN MEXICANA USA US UNITED STATES UK KINGDOM CHILE CHILEAN CHILENA PERU PERUVIAN PERUANA ARGENTINA ARGENTINIAN BRAZIL BRAZILIAN BRASILEIRA COLOMBIA COLOMBIAN COLOMBIANA ECUADOR ECUADORIAN ECUATORIANA "
-    "SPAIN SPANISH ESPANA ESPANOLA POLAND POLISH POLSKA GERMANY GERMAN DEUTSCHLAND FRANCE FRENCH FRANCAISE ITALY ITALIAN ITALIANA NETHERLANDS DUTCH NEDERLAND BELGIUM BELGIAN BELGIQUE KOREA KOREAN CHINA CHINESE "
-    "JAPAN JAPANESE INDIA INDIAN AUSTRALIA AUSTRALIAN SWITZERLAND SWISS CH AUSTRIA AUSTRIAN CZECH CZECHIA SLOVAKIA SLOVAK DE CV SDE RL FLOOR BUILDING STREET AVENUE ROAD NORTH SOUTH EAST WEST AS CO COMPANY DBA JOINTLY "
-    "SEVERALLY WITH SITE FACILITY BRANCH OFFICE PRIVATE PUBLIC INTERNATIONAL INTL Y O E CARE OF GOURIN ASHFORD ARDOOIE CHARING KENT BASEL SWITZERLAN"
-).split()
+    "SOCIEDAD", "SOC", "SOC.", "CORPORACION", "CORP", "CORP.", "GRUPO", "GROUP", "AGRICOLA", "AGRO", "AGROINDUSTRIAL", "EXPORTADORA", "EXPORT",
+    "CONSORCIO", "IMPORTADORA", "COMERCIAL", "COMERCIALIZADORA", "COMPANIA", "CIA", "CIA.", "EMPRESA", "NEGOCIOS", "INVERSIONES", "THE", "ASOCIACION",
+    "MEXICO", "MEXICAN", "MEXICANA", "USA", "US", "UNITED", "STATES", "UK", "KINGDOM", "CHILE", "CHILEAN", "CHILENA", "PERU", "PERUVIAN", "PERUANA",
+    "ARGENTINA", "ARGENTINIAN", "BRAZIL", "BRAZILIAN", "BRASILEIRA", "COLOMBIA", "COLOMBIAN", "COLOMBIANA", "ECUADOR", "ECUADORIAN", "ECUATORIANA",
+    "SPAIN", "SPANISH", "ESPANA", "ESPANOLA", "POLAND", "POLISH", "POLSKA", "GERMANY", "GERMAN", "DEUTSCHLAND", "FRANCE", "FRENCH", "FRANCAISE",
+    "ITALY", "ITALIAN", "ITALIANA", "NETHERLANDS", "DUTCH", "NEDERLAND", "BELGIUM", "BELGIAN", "BELGIQUE", "KOREA", "KOREAN", "CHINA", "CHINESE",
+    "JAPAN", "JAPANESE", "INDIA", "INDIAN", "AUSTRALIA", "AUSTRALIAN", "SWITZERLAND", "SWISS", "CH", "AUSTRIA", "AUSTRIAN", "CZECH", "CZECHIA",
+    "SLOVAKIA", "SLOVAK", "DE", "CV", "SDE", "RL", "FLOOR", "BUILDING", "STREET", "AVENUE", "ROAD", "NORTH", "SOUTH", "EAST", "WEST", "AS", "CO",
+    "COMPANY", "DBA", "JOINTLY", "SEVERALLY", "WITH", "SITE", "FACILITY", "BRANCH", "OFFICE", "PRIVATE", "PUBLIC", "INTERNATIONAL", "INTL", "Y", "O",
+    "E", "CARE", "OF", "GOURIN", "ASHFORD", "ARDOOIE", "CHARING", "KENT", "BASEL", "SWITZERLAN",
+)
 INVALID = ("UNKNOWN", "VARIOUS", "TBD", "TBA", "PENDING", "NA", "N/A", "NONE")
 CONJUNCTIONS = ("Y", "O", "E")
 LEADING = ("IMPORTADORA", "EXPORTADORA", "COMERCIAL", "COMERCIALIZADORA", "SOCIEDAD", "EMPRESA", "AGRICOLA", "AGRO", "GRUPO", "GROUP")
