@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.operators.market import bucketed_names
+from cargolens.sources.written import written
 
 MANY = ("exporter", "fruit_name", "importer", "country")
 
@@ -41,7 +42,7 @@ def supply_chain(df: DataFrame, bucket: bool = True, share: float = 0.2, least:
     own, as is the number of products; rows aren't read again for either.
     """
     pairs = [*zip(MANY, MANY[1:], strict=False), ("exporter", "importer")]
-    sums = _edge_sums(df, pairs)
+    sums = written(_edge_sums(df, pairs), "edges")
     products = sums.where("pair = 0").agg(F.coalesce(F.min("target") < F.max("target"), F.lit(False)).alias("several"))
     level = F.when(F.col("several") & (F.col("pair") < 3), F.col("pair")).when(~F.col("several") & (F.col("pair") == 3), 0).when(~F.col("several") & (F.col("pair") == 2), 1)
     edges = sums.crossJoin(F.broadcast(products)).withColumn("level", level).where("level is not null")  # one row says whether there are several

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cargolens.sources.written import written
+
 #: shards for a factor of e in the value: a shard's values lie within 1.6 %
 PER_E = 64
 UP_TO_BEFORE = (Window.unboundedPreceding, -1)
@@ -67,14 +69,23 @@ def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], column:
     return beside(stats, exact_quantiles(df, keys, column, qs), keys)
 
 
+def in_ranges(totals: DataFrame, group: Sequence[str]) -> DataFrame:
+    """totals, written, with `_s`: numbers of ranges that keep the order by group, falling total and name. Ranges are cut by sampled rows, so that equal totals too are parted, by name."""
+    spark = totals.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = totals.repartitionByRange(parts, *group, F.col("total").desc(), F.col("name"))
+    return written(dealt.withColumn("_s", F.spark_partition_id()), "ranges")
+
+
 def ranked(totals: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Rows (group, name, total) with rank, run (sum of totals up to and with the row), n and all (rows and sum of the group): largest total first, then name.
 
-    Sums are decimal, so they don't hang on the order of addition.
+    Sums are decimal, so they don't hang on the order of addition. Rows are dealt to ranges; what comes before
+    a range follows from counts and sums by range, and only a range is sorted in one task.
     """
-    t = totals.withColumns({"_s": shard_of(F.col("total")), "_d": F.col("total").cast("decimal(38,2)")})
+    t = in_ranges(totals, group).withColumn("_d", F.col("total").cast("decimal(38,2)"))
     shards = t.groupBy(*group, "_s").agg(F.count(F.lit(1)).alias("_m"), F.sum("_d").alias("_t"))
-    whole, down = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(F.col("_s").desc()).rowsBetween(*UP_TO_BEFORE)
+    whole, down = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("_s").rowsBetween(*UP_TO_BEFORE)
     earlier = shards.select(
         *group, "_s", F.coalesce(F.sum("_m").over(down), F.lit(0)).alias("_ranks"), F.coalesce(F.sum("_t").over(down), F.lit(0)).alias("_sums"), F.sum("_m").over(whole).alias("n"), F.sum("_t").over(whole).cast("double").alias("all")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions.numbers import r4
 from cargolens.operators.order import beside, exact_quantiles, with_quantiles
+from cargolens.sources.written import once, written
 
 DIMENSIONS = {"fruit": "fruit_name", "exporter": "exporter", "importer": "importer", "format": "format_type", "country": "country", "certification": "certification", "size": "size_mm"}
 
@@ -30,6 +31,7 @@ def quartile_summary(df: DataFrame, dimension: str = "fruit", region: str | None
     column = DIMENSIONS[dimension]
     more = [F.countDistinct("fruit_name").alias("fruits")] if dimension == "exporter" else []
     own = _priced(region_filter(df, region), column).withColumn(dimension, F.col(column))
+    own = once(own, dimension, *(["fruit_name"] if more else []), "net_weight_mt", "usd_per_mt")
     out = own.groupBy(dimension).agg(F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.count("usd_per_mt").alias("records"), *more)
     out = with_quantiles(out, own, [dimension], "usd_per_mt", QUARTILES)
     return out.select(dimension, *(r4(n).alias(n) for n in QUARTILES), "total_mt", "records", *(["fruits"] if more else [])).orderBy(F.col("total_mt").desc(), dimension)
@@ -114,7 +116,7 @@ def weighted_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def detail_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Count, mean, median, sample deviation, extremes, tons, destinations, organic and certifications by keys; null keys are left out."""
-    p, own = "usd_per_mt", df.dropna(subset=[*keys])
+    p, own = "usd_per_mt", once(df.dropna(subset=[*keys]), *keys, "usd_per_mt", "net_weight_mt", "country", "certification")
     out = own.groupBy(*keys).agg(
         F.count(p).alias("shipments"), r4(F.avg(p)).alias("avg_price"), r4(F.stddev_samp(p)).alias("std_price"), r4(F.min(p)).alias("min_price"), r4(F.max(p)).alias("max_price"),
         F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.array_join(F.array_sort(F.collect_set("country")), ", ").alias("destinations"), F.bool_or(F.col("certification") == "organic").alias("has_organic"),
@@ -129,12 +131,14 @@ def _with_median(out: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFram
 
 def exporter_summary(df: DataFrame) -> DataFrame:
     keys = ["fruit_name", "exporter"]
+    df = once(df, *keys, "usd_per_mt", "net_weight_mt", "format_type")
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.array_join(F.array_sort(F.collect_set("format_type")), ", ").alias("formats"))
     return _with_median(out, df, keys)
 
 
 def format_summary(df: DataFrame) -> DataFrame:
     keys = ["fruit_name", "format_type"]
+    df = once(df, *keys, "usd_per_mt", "net_weight_mt", "exporter")
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.countDistinct("exporter").alias("exporters"))
     return _with_median(out, df, keys)
 
@@ -142,6 +146,7 @@ def format_summary(df: DataFrame) -> DataFrame:
 def pivot_median(df: DataFrame, fruits: Sequence[str]) -> DataFrame:
     """Median price by certification and format, a column for each given product."""
     keys = ["certification", "format_type"]
+    df = once(df, *keys, "fruit_name", "usd_per_mt")
     medians = exact_quantiles(df.where(F.col("fruit_name").isin(*fruits)), [*keys, "fruit_name"], "usd_per_mt", {"median": 0.5})
     out = df.groupBy(*keys).agg(F.lit(1).alias("_one"))  # rows without any of the products stay
     out = beside(out, medians.groupBy(*keys).pivot("fruit_name", list(fruits)).agg(r4(F.max("median"))), keys)
@@ -151,6 +156,7 @@ def pivot_median(df: DataFrame, fruits: Sequence[str]) -> DataFrame:
 def master_table(df: DataFrame) -> DataFrame:
     """By product, exporter and certification: count, median, mean, quartiles, tons, destinations and the quartiles' distance."""
     keys = ["fruit_name", "exporter", "certification"]
+    df = once(df, *keys, "usd_per_mt", "net_weight_mt", "country")
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.countDistinct("country").alias("destinations"))
     out = with_quantiles(out, df, keys, "usd_per_mt", {"q1": 0.25, "median_price": 0.5, "q3": 0.75})
     return out.select(*keys, "shipments", "avg_price", r4("q1").alias("q1"), r4("median_price").alias("median_price"), r4("q3").alias("q3"), r4(F.col("q3") - F.col("q1")).alias("width"), "total_mt", "destinations")
@@ -158,7 +164,7 @@ def master_table(df: DataFrame) -> DataFrame:
 
 def master_totals(df: DataFrame) -> DataFrame:
     """The master table by product: exporters, shipments, tons, median of medians."""
-    master = master_table(df)
+    master = written(master_table(df), "master")
     out = master.groupBy("fruit_name").agg(F.countDistinct("exporter").alias("exporters"), F.sum("shipments").alias("shipments"), F.round(F.sum("total_mt"), 2).alias("total_mt"))
     return with_quantiles(out, master, ["fruit_name"], "median_price", {"median_of_medians": 0.5}).withColumn("median_of_medians", r4("median_of_medians"))
 
@@ -166,7 +172,7 @@ def master_totals(df: DataFrame) -> DataFrame:
 def recommended_ranges(df: DataFrame) -> DataFrame:
     """Price statistics by product with the range inside 1.5 quartile distances, the prices outside it by quartiles, by deviation (over 3) and by either, and count, mean and extremes of the others. The deviation is the sample's under 5 records, else the population's. Groups under 4 records have no quartile outliers, under 3 none by deviation."""
     p, keys = "usd_per_mt", ["fruit_name"]
-    own = df.where("usd_per_mt > 0")
+    own = once(df.where("usd_per_mt > 0"), *keys, p)
     g = own.groupBy(*keys).agg(F.count(p).alias("n"), F.avg(p).alias("mean"), F.when(F.count(p) < 5, F.stddev_samp(p)).otherwise(F.stddev_pop(p)).alias("std"), F.stddev_pop(p).alias("dev"), F.min(p).alias("lo"), F.max(p).alias("hi"))
     g = with_quantiles(g, own, keys, p, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     price, n, low, high = F.col(p), F.col("n"), F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
@@ -206,6 +212,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 def product_quote(df: DataFrame, fruit: str) -> DataFrame:
     """Quartile prices, tons and records of one product."""
     own = df.where((F.col("fruit_name") == fruit) & F.col("usd_per_mt").isNotNull()).withColumn("fruit", F.lit(fruit))
+    own = once(own, "fruit", "usd_per_mt", "net_weight_mt")
     g = with_quantiles(own.groupBy("fruit").agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt")), own, ["fruit"], "usd_per_mt", QUARTILES)
     return g.select("fruit", *(r4(n).alias(n) for n in QUARTILES), "records", "total_mt")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.operators.order import beside, exact_quantiles, with_quantiles
+from cargolens.sources.written import once
 
 # Default and alternative rules.
 FLOORS = {
@@ -80,7 +81,7 @@ def below_floor(rules: Rules = Rules()) -> Column:
 
 def iqr_bounds(df: DataFrame, keys: Sequence[str] = ("fruit_name",), multiplier: float = 1.5, price: str = "usd_per_mt") -> DataFrame:
     """q1, q3, iqr and the bounds per group; linear quantiles of the non-null prices. Null keys have none."""
-    q = exact_quantiles(df.dropna(subset=[*keys]), keys, price, {"q1": 0.25, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = exact_quantiles(once(df.dropna(subset=[*keys]), *keys, price), keys, price, {"q1": 0.25, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1"))
     return q.withColumn("lower", F.col("q1") - multiplier * F.col("iqr")).withColumn("upper", F.col("q3") + multiplier * F.col("iqr"))
 
 
@@ -131,12 +132,13 @@ def exclusions(df: DataFrame, rules: Rules) -> DataFrame:
 
 def _told(df: DataFrame, keys: Sequence[str], price: str) -> tuple[DataFrame, Column, Column]:
     """df with its groups' statistics, and the tests by quartiles and by deviation."""
-    stats = df.groupBy(*keys).agg(F.count(price).alias("_n"), F.avg(price).alias("_m"), F.stddev_pop(price).alias("_d"))
-    stats = with_quantiles(stats, df, keys, price, {"_q1": 0.25, "_q3": 0.75})
+    own = once(df, *keys, price)
+    stats = own.groupBy(*keys).agg(F.count(price).alias("_n"), F.avg(price).alias("_m"), F.stddev_pop(price).alias("_d"))
+    stats = with_quantiles(stats, own, keys, price, {"_q1": 0.25, "_q3": 0.75})
     q1, q3, p = F.col("_q1"), F.col("_q3"), F.col(price)
     far = _sure((p < q1 - 1.5 * (q3 - q1)) | (p > q3 + 1.5 * (q3 - q1))) & (F.col("_n") >= 4)
     high = _sure(F.abs(p - F.col("_m")) > 3 * F.col("_d")) & (F.col("_n") >= 3) & _sure(F.col("_d") > 0)
-    return beside(df, stats, keys), far, high
+    return beside(df if {*df.columns} - {*keys, price} else own, stats, keys), far, high
 
 
 def outliers(df: DataFrame, keys: Sequence[str], price: str = "usd_per_mt") -> DataFrame:

@@ -29,3 +29,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns of df, written: what several aggregates need of a costly view, so that the view is read once."""
+    return written(df.select(*dict.fromkeys(columns)), "once")

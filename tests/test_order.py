@@ -17,6 +17,7 @@ from cargolens.operators import flows as W
 from cargolens.operators import market as M
 from cargolens.operators import order as O
 from cargolens.operators import quality as Q
+from cargolens.plans import registry
 
 QS = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
 
@@ -151,3 +152,18 @@ def test_settings(tmp_path):
     path.write_text("{}")
     with pytest.raises(ValueError):
         config.load_config(str(path))
+
+
+def test_equal_totals_are_parted(spark):
+    rows = spark.range(100_000).select(F.format_string("n%07d", "id").alias("name"), F.lit(5.0).alias("total"))
+    sizes = [r["count"] for r in O.in_ranges(rows, []).groupBy("_s").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 50_000
+    got = O.ranked(rows).where("name in ('n0000000', 'n0050000', 'n0099999')").orderBy("rank").collect()
+    assert [(r["rank"], r["run"], r["n"]) for r in got] == [(1, 5.0, 100_000), (50_001, 250_005.0, 100_000), (100_000, 500_000.0, 100_000)]
+
+
+@pytest.mark.parametrize("name", ["pricing_by_exporter", "detail_stats", "master_totals", "recommended_ranges", "pivot_median", "outliers_fine", "supply_chain", "cascade_filter", "validity_flag"])
+def test_the_view_is_read_once_or_twice(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice#") == 0 or name in ("cascade_filter", "validity_flag"), plan
+    assert plan.count("/lineitem.parquet") <= 1 and plan.count("Relation [l_orderkey") <= 1
