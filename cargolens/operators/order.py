@@ -42,7 +42,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: dict[st
     shards alone are sorted, each shard by itself, so that a group of any size
     costs no task more than a shard of it.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), keys, qs)
+
+
+def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], qs: dict[str, float]) -> DataFrame:
+    """exact_quantiles of values (keys, _v) that come with their numbers _n, each value once for its keys."""
     sized = counted.groupBy(*keys, shard_of(F.col("_v")).alias("_s")).agg(F.sum("_n").alias("_m"))
     group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_m").over(group.orderBy("_s").rowsBetween(*UP_TO_BEFORE)), F.lit(0))
