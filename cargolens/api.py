@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from cargolens.cache import TtlCache
 from cargolens.functions.dates import relative_date
 from cargolens.operators import flows, market, pricing, quality
-from cargolens.sources.sinks import write_result
+from cargolens.operators.lookup import gram_index
+from cargolens.sources.readers import with_known_names
+from cargolens.sources.sinks import headed, write_result
 
 #: rows of an answer that is given without a limit
 ANSWER_ROWS = 5000
@@ -23,6 +25,7 @@ class Shipments:
 
     def __init__(self, df: DataFrame, *, today: dt.date | None = None, clean: bool = False, cache: TtlCache | None = None) -> None:
         self.df, self.today, self.cache = quality.clean_view(df) if clean else df, today or dt.date.today(), cache or TtlCache()
+        self._index: DataFrame | None = None
 
     def rows(self, df: DataFrame, limit: int | None = None) -> list[dict[str, Any]]:
         """Rows as dicts. They go to the caller's memory, so answers without a limit of their own have at most ANSWER_ROWS, and raise if there are more."""
@@ -50,7 +53,9 @@ class Shipments:
 
     def fuzzy(self, term: str, threshold: float = 0.6) -> list[str]:
         """Names like the term, best first."""
-        return [r["name"] for r in market.fuzzy_search(self.df, term, threshold).collect()]
+        if self._index is None:
+            self._index = gram_index(self.df, "exporter")
+        return [r["name"] for r in market.fuzzy_search(self.df, term, threshold, index=self._index).collect()]
 
     def values(self, dimension: str) -> list[dict[str, Any]]:
         return self._cached("values", lambda dimension: pricing.available_values(self.df, dimension), dimension=dimension)
@@ -89,8 +94,8 @@ class Shipments:
 
     def sankey(self, share: float = 0.2, top: int | None = None, least: float | None = None, title: str = "", fruit: str | None = None, region: str | None = None) -> str:
         """Flows of one product or all, to one region or all, as Sankey text; the 2,000 largest if top doesn't say otherwise, and the text says so where there are more."""
-        own = pricing.region_filter(market.predicates(self.df, fruit=fruit), region)
+        own = pricing.region_filter(market.predicates(with_known_names(self.df), fruit=fruit), region)
         return flows.mermaid(flows.supply_chain(own, share=share, top=top, least=least), title, most=None if top else 2000)
 
     def export(self, dimension: str, path: str, region: str | None = None, include_records: bool = False) -> None:
-        write_result(pricing.quartile_summary(self.df, dimension, region), path, include_records)
+        write_result(headed(pricing.quartile_summary(self.df, dimension, region), dimension), path, include_records)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cargolens.functions.dates import period
 from cargolens.functions.numbers import r2, r4
 from cargolens.functions.places import names_of_country
+from cargolens.operators.lookup import gram_index, matches, size_for
 from cargolens.operators.order import beside, ranked
 from cargolens.operators.pricing import DIMENSIONS
 
@@ -152,14 +153,10 @@ def _compared(matched: DataFrame) -> DataFrame:
     return matched.groupBy("spec").agg(F.count(F.lit(1)).alias("shipments"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.round(F.sum("fob_usd"), 2).alias("total_fob"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.countDistinct("exporter").alias("exporters"), F.countDistinct("country").alias("countries")).orderBy(F.col("total_mt").desc(), "spec")
 
 
-def compare_exporters(df: DataFrame, terms: Sequence[str], months: int | None = None, today: dt.date | None = None, threshold: float = 0.4) -> DataFrame:
-    """compare() of the exporter that each term matches best (as in fuzzy_search; terms that match none are left out), in the `months` months up to today if given. All terms are matched in one pass over the distinct names; the matches, a row for each term, join the rows."""
-    from cargolens.functions.names import similarity_udf
-
-    names = df.select(F.col("exporter").alias("name")).where("name is not null").distinct()
-    scores = F.array(*(F.struct(F.lit(k).alias("k"), similarity_udf(t)("name").alias("score")) for k, t in enumerate(terms)))
-    scored = names.select("name", F.explode(scores).alias("s")).where(F.col("s.score") >= threshold)
-    best = scored.groupBy("s.k").agg(F.max(F.struct(F.col("s.score").alias("score"))).alias("best"), F.min_by("name", F.struct(-F.col("s.score"), "name")).alias("match")).select("match").distinct()
+def compare_exporters(df: DataFrame, terms: Sequence[str], months: int | None = None, today: dt.date | None = None, threshold: float = 0.4, index: DataFrame | None = None) -> DataFrame:
+    """compare() of the exporter that each term matches best (as in fuzzy_search; terms that match none are left out), in the `months` months up to today if given. The matches, a row for each term, join the rows. index is a kept gram_index of the names."""
+    index = gram_index(df, "exporter", [size_for(threshold)]) if index is None else index
+    best = matches(index, terms, threshold).groupBy("k").agg(F.min_by("name", F.struct(-F.col("score"), "name")).alias("match")).select("match").distinct()
     own = df if months is None else df.where(F.col("date").between(F.add_months(F.lit(today or dt.date.today()), -months), F.lit(today or dt.date.today())))
     found = own.join(F.broadcast(best), F.col("exporter") == F.col("match"))
     return _compared(found.withColumn("spec", F.concat(F.lit("exporter="), F.col("match"))))
@@ -318,10 +315,9 @@ def search_names(df: DataFrame, term: str, column: str = "exporter", limit: int
     return df.where(F.contains(F.lower(column), F.lit(term.lower()))).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("records")).orderBy(F.col("records").desc(), "name").limit(limit)
 
 
-def fuzzy_search(df: DataFrame, term: str, threshold: float = 0.6, column: str = "exporter", limit: int = 10) -> DataFrame:
-    """Names that equal the term in any case, alone if there are any; else those that hold it or resemble it enough, best first."""
-    from cargolens.functions.names import similarity_udf
-
-    scored = df.select(F.col(column).alias("name")).where("name is not null").distinct().withColumn("score", similarity_udf(term)("name")).where(F.col("score") >= threshold)
+def fuzzy_search(df: DataFrame, term: str, threshold: float = 0.6, column: str = "exporter", limit: int = 10, index: DataFrame | None = None) -> DataFrame:
+    """Names that equal the term in any case, alone if there are any; else those that hold it or resemble it enough, best first. index is a kept gram_index of the column."""
+    index = gram_index(df, column, [size_for(threshold)]) if index is None else index
+    scored = matches(index, [term], threshold).select("name", "score")
     heads = scored.orderBy(F.col("score").desc(), "name").limit(limit).withColumn("best", F.max("score").over(Window.partitionBy()))  # `limit` rows
     return heads.where("best < 2 or score = 2").select("name", r4(F.least("score", F.lit(1.0))).alias("score")).orderBy(F.col("score").desc(), "name")

@@ -313,3 +313,16 @@ def _rule_clusters() -> str:
 ORACLES["rule_clusters"] = _rule_clusters() + " SELECT canonical_name, array_to_string(names, '|') AS aliases, count FROM k"
 ORACLES["rule_variations"] = _rule_clusters() + " SELECT canonical_name, unnest(names) AS alias, CAST(len(names) AS INTEGER) AS aliases FROM k"
 ORACLES["rule_cluster_sizes"] = _rule_clusters() + " SELECT CAST(len(names) AS INTEGER) AS size, count(*) AS clusters, CAST(sum(len(names)) AS BIGINT) AS names FROM k GROUP BY 1"
+
+ORACLES |= {f"rollup_{name}": ORACLES[same] for name, same in (("by_fruit", "pricing_by_fruit"), ("by_exporter", "pricing_by_exporter"), ("drill_down", "drill_fruit_by_exporter"), ("exporter_products", "exporter_products"), ("monthly_exports", "monthly_exports"))}
+ORACLES["compare_exporters_typo"] = ORACLES["compare_exporters_fuzzy"]
+ORACLES["destination_two_names"] = _s(
+    "SELECT count(*) AS shipments, round(sum(net_weight_mt), 2) AS total_mt, round(sum(fob_usd), 2) AS total_fob FROM d",
+    "m AS (SELECT * REPLACE (CASE country WHEN 'NATION_2' THEN 'Germany' WHEN 'NATION_5' THEN 'Alemania' ELSE country END AS country) FROM s), "
+    f"d AS ({DETAIL.format("country ILIKE '%alemania%' OR country ILIKE '%germany%'", 'date', REST).replace('FROM s', 'FROM m')})",
+)
+ORACLES["updated_in_place"] = _s(
+    "SELECT strftime(date, '%Y-%m') AS month, CASE WHEN s_suppkey % 3 = 0 THEN 'canonical ' || exporter ELSE exporter END AS exporter, "
+    "CASE WHEN certification = 'unknown' AND date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' THEN 'checked' ELSE certification END AS certification, upper(country) AS country, "
+    "count(*) AS n, round(sum(net_weight_mt), 2) AS mt FROM s JOIN supplier ON s_name = exporter GROUP BY ALL"
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ from cargolens.operators import flows as W
 from cargolens.operators import market as M
 from cargolens.operators import pricing as R
 from cargolens.operators import quality as Q
+from cargolens.operators.rollup import Rollup
 from cargolens.plans.oracles import ORACLES
 from cargolens.sources.readers import between_dates, shipments
+from cargolens.sources.store import Store
+from cargolens.sources.written import shared_folder
 
 D = dt.date
 RANGE = (D(1998, 1, 1), D(1998, 12, 31))
@@ -26,6 +30,9 @@ BEFORE = (D(1997, 1, 1), D(1997, 12, 31))
 ALT_FLOORS = {"ECONOMY": 700, "LARGE": 950, "MEDIUM": 900, "PROMO": 850, "SMALL": 1000}
 ALT_RULES = Q.Rules(floors=ALT_FLOORS, default_floor=800, sample_words=Q.OTHER_SAMPLE_WORDS, min_mt=2.0, first=BEFORE[0], last=RANGE[1])
 
+#: Two nations under the two names of one country.
+TWO_NAMES = {"NATION_2": "Germany", "NATION_5": "Alemania"}
+
 
 def _neighbours(spark: SparkSession) -> DataFrame:
     """Country edges of the test tables: each nation's two following ones."""
@@ -119,6 +126,8 @@ ON_SHIPMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "compare_products": lambda s: M.compare(s, [{"fruit": "ECONOMY"}, {"fruit": "SMALL", "certification": "organic"}, {"fruit": "LARGE"}]),
     "compare_exporters": lambda s: M.compare(between_dates(s, *RANGE), [{"exporter": "Supplier#000000001"}, {"exporter": "Supplier#000000002"}]),
     "compare_exporters_fuzzy": lambda s: M.compare_exporters(s, ["supplier#000000001", "SUPPLIER#000000003"], months=12, today=RANGE[1]),
+    "compare_exporters_typo": lambda s: M.compare_exporters(s, ["sppliet#000000001", "Suplier#00000003"], months=12, today=RANGE[1]),
+    "destination_two_names": lambda s: M.detail_totals(s.replace(TWO_NAMES, subset=["country"]), 100, destination="alemania"),
     "dashboard_kpis": lambda s: M.dashboard(s, *RANGE),
     "market_share": M.market_share,
     "portfolio": M.portfolio,
@@ -164,8 +173,37 @@ ON_SHIPMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "detail_by_destination": lambda s: M.detail(s, 100, "volume", country="nation_1", certification="organic"),
     "importers_by_text": lambda s: C.importers_by_text(s).select("text", "records", F.array_join("names", ",").alias("names")),
 }
+
+
+def _rollup(spark: SparkSession, sf: str) -> Rollup:
+    """All shipments in three increments, by date."""
+    s, day = shipments(spark, sf), F.col("date")
+    first, second = F.coalesce(day < D(1994, 1, 1), F.lit(False)), F.coalesce(day < D(1996, 7, 15), F.lit(False))
+    kept = Rollup.create(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}", s.where(first))
+    kept.add(s.where(~first & second), "second")
+    kept.add(s.where(~second), "third")
+    return kept
+
+
+def _updated(spark: SparkSession, sf: str) -> DataFrame:
+    """Shipments in a table by month whose exporters get other names by key, whose certification is set for a range of dates, and whose destinations become upper case; by month."""
+    own = shipments(spark, sf).select("exporter", "certification", F.lower("country").alias("country"), "net_weight_mt", "date", F.date_format("date", "yyyy-MM").alias("month"))
+    store = Store.create(own, f"{shared_folder(spark)}/updated-{uuid.uuid4().hex}", "month")
+    names = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("exporter"), F.concat(F.lit("canonical "), "s_name").alias("to"))
+    store.update_by_key(names, "exporter", "exporter", "to")
+    store.update_where("certification", F.col("date").between(*BEFORE) & (F.col("certification") == "unknown"), F.lit("checked"), {"unnamed": (F.count_if(F.col("exporter").isNull()), lambda n: n == 0)})
+    store.upper("country")
+    return store.read().groupBy("month", "exporter", "certification", "country").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("net_weight_mt"), 2).alias("mt"))
+
+
 #: Queries of other tables.
 ON_TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "rollup_by_fruit": lambda sp, sf: _rollup(sp, sf).quartiles("fruit"),
+    "rollup_by_exporter": lambda sp, sf: _rollup(sp, sf).quartiles("exporter"),
+    "rollup_drill_down": lambda sp, sf: _rollup(sp, sf).quartiles("exporter", where={"fruit": "ECONOMY"}),
+    "rollup_exporter_products": lambda sp, sf: _rollup(sp, sf).exporter_products(),
+    "rollup_monthly_exports": lambda sp, sf: _rollup(sp, sf).monthly_exports(),
+    "updated_in_place": _updated,
     "country_outlook": lambda sp, sf: M.country_outlook(shipments(sp, sf), _neighbours(sp), ["ECONOMY", "SMALL"]),
     "text_parse": lambda sp, sf: _parsed(_titles(sp, sf), "p_partkey", "text"),
     "text_parse_documents": lambda sp, sf: _parsed(sp.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"),

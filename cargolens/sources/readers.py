@@ -58,6 +58,14 @@ def read_shipments(spark: SparkSession, path: str) -> DataFrame:
     return spark.table(path)
 
 
+def with_known_names(df: DataFrame) -> DataFrame:
+    """df with exporter and importer by their canonical names where it has those columns and they are set, else as they are, else "Unknown Exporter" or "Unknown Importer": the source of flows."""
+    for column in ("exporter", "importer"):
+        own = [F.col(c) for c in (f"canonical_{column}", column) if c in df.columns]
+        df = df.withColumn(column, F.coalesce(*own, F.lit(f"Unknown {column.title()}")))
+    return df
+
+
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Cluster file: a JSON array of {canonical_name, aliases, count}."""
     return spark.read.schema(CLUSTER_SCHEMA).option("multiLine", True).json(path)

@@ -16,9 +16,22 @@ def write_by_suffix(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").option("header", True).option("compression", "gzip" if path.endswith(".gz") else "none").csv(path)
 
 
+# Headings of summaries.
+HEADINGS = {"low_price": "Low$", "mid_price": "Mid$", "high_price": "Hi$", "total_mt": "YTD MT", "records": "Records", "fruits": "Fruits"}
+
+
+def headed(summary: DataFrame, dimension: str, **given: str) -> DataFrame:
+    """A quartile summary under its headings, in whole units; given (dimension: value) are columns of their own in front, as in a drill-down."""
+    names = [dimension, *(c for c in HEADINGS if c in summary.columns)]
+    if "fruits" in names:
+        names.insert(1, names.pop(names.index("fruits")))
+    whole = lambda c: F.bround(c, 0).cast("bigint") if c in ("low_price", "mid_price", "high_price", "total_mt") else F.col(c)
+    return summary.select(*(F.lit(v).alias(k.title()) for k, v in given.items()), *(whole(c).alias(HEADINGS.get(c, c.title())) for c in names))
+
+
 def write_result(df: DataFrame, path: str, include_records: bool = False) -> None:
-    """Result CSV, without `records` unless wanted."""
-    write_by_suffix(df if include_records else df.drop("records"), path)
+    """Result CSV, without the records' numbers unless wanted."""
+    write_by_suffix(df if include_records else df.drop("records"), path)  # in any case, so the heading Records too
 
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
