@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import bound_arrow, durable, packed, whole_text
+from cargolens.llm.common import bound_arrow, durable, join_by_count, packed, whole_text
 
 KINDS = ("assign", "access", "hex", "opaque")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -82,7 +82,8 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", owner: Column | Non
     owner is live in however many of its repositories it is. Base spans (base_spans has them alone) are
     always there, opaque ones only if live. owner is `source` by default, repo
     owner and `lang`; null is an owner of its own. Null text is empty. Repeated rows are spans
-    of the same repository. An empty table gives an empty one.
+    of the same repository. Texts of any length are scanned whole; of spans that begin at one place
+    the base kinds come first. An empty table gives an empty one.
     """
     bound_arrow(docs.sparkSession)
     owner = F.col("source") if owner is None else owner
@@ -94,7 +95,7 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", owner: Column | Non
     found = durable(made.select("row", "owner", "repo", F.monotonically_increasing_id().alias("uid"), F.arrow_udf(scan, kind)(whole_text()).alias("found")), "candidates")
     each = found.where(F.size("found") > 0).select("uid", "owner", "repo", F.explode("found").alias("s"))
     owners = durable(value_owners(each.select(F.col("s.value_hash").alias("value_hash"), "owner", "repo")), "owners")
-    told = each.select("uid", "s", F.col("s.value_hash").alias("h")).join(owners, F.col("h") == owners.value_hash)
+    told = join_by_count(each.select("uid", "s", F.col("s.value_hash").alias("value_hash")), owners, "value_hash", "n_spans")
     live = (F.col("n_owners") <= most_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= most_repos))
     span = F.struct("s.start", "s.end", "s.kind", "s.value_hash", "n_owners", "n_repos", live.alias("live"))
     judged = told.select("uid", span.alias("s")).where("s.kind < 3 or s.live").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), "s"))).alias("all"))
