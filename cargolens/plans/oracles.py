@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from cargolens.functions import names as N
+
 SHIPMENTS = """s AS (
   SELECT l_orderkey AS declaration, s_name AS exporter, c_name AS importer, p_type AS fruit_name, p_brand AS format_type, CAST(p_size AS VARCHAR) AS size_mm,
     CASE l_returnflag WHEN 'R' THEN 'organic' WHEN 'A' THEN 'conventional' ELSE 'unknown' END AS certification, n_name AS country,
@@ -326,3 +330,52 @@ ORACLES["updated_in_place"] = _s(
     "CASE WHEN certification = 'unknown' AND date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' THEN 'checked' ELSE certification END AS certification, upper(country) AS country, "
     "count(*) AS n, round(sum(net_weight_mt), 2) AS mt FROM s JOIN supplier ON s_name = exporter GROUP BY ALL"
 )
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _replaced(text: str, rules, flags: str = "gi") -> str:
+    """Replacements in order, of patterns that read the same in both engines."""
+    for pattern, instead in rules:
+        text = f"regexp_replace({text}, {_q(pattern)}, {_q(re.sub('[$]([0-9])', lambda m: chr(92) + m[1], instead))}, '{flags}')"
+    return text
+
+
+def _one_of(words) -> str:
+    return f"IN ({', '.join(map(_q, words))})"
+
+
+def _kept(words: str, test: str, end: str) -> str:
+    """The list without the elements x at its head or tail that meet the test."""
+    place = f"list_{'min' if end == 'head' else 'max'}(list_filter(range(1, len({words}) + 1), lambda k: NOT ({test.replace('x', f'{words}[k]')})))"
+    return f"{words}[coalesce({place}, len({words}) + 1):]" if end == "head" else f"{words}[1:coalesce({place}, 0)]"
+
+
+_FORMS = ("S.A.C.", "S.A. DE C.V.", "LTD.", "B.V.", "GMBH & CO. KG", "S.R.L.", "PERU")
+_ENDINGS = "|".join(w for w in N.STOP_WORDS if len(w) > 2 and w.isalpha())
+_CLEAN = _replaced(_replaced("trim(upper(strip_accents(name)))", N.REPAIRS), (*N.SPACING, *N.LEGAL_FORMS, *N.PUNCTUATION, *N.SHORT_FORMS, *N.ADDRESSES))
+_CUT = rf"^(.*?\b(?:{'|'.join(N.CUT_FORMS)})\b)"
+_RULE = _replaced("trim(upper(name))", ((r"['\".,:;()\-/]+", ""), (r"\s+", " ")), "g")
+_SHORT = _replaced(f"CASE WHEN length(u) > 30 AND regexp_matches(u, {_q(_CUT)}) THEN trim(regexp_extract(u, {_q(_CUT)}, 1)) ELSE u END", [(rf"\s+{f}\s*$", "") for f in N.END_FORMS], "g")
+_NO_COUNTRY = _replaced(f"trim(regexp_replace({_SHORT}, '\\s+', ' ', 'g'))", [(rf"\s+{c}\s*$", "") for c in N.COUNTRY_SUFFIXES], "g")
+for _wrong, _right in N.IMPORTER_FIXES:
+    _NO_COUNTRY = f"replace({_NO_COUNTRY}, {_q(_wrong)}, {_q(_right)})"
+
+ORACLES["name_clean"] = (
+    f"WITH c AS (SELECT c_custkey, concat_ws(' ', translate(c_name, '#_0123456789', '  ABCDEFGHIJ'), [{', '.join(map(_q, _FORMS))}][c_custkey % 7 + 1]) AS name FROM customer), "
+    f"a AS (SELECT c_custkey, regexp_replace({_CLEAN}, '\\s+({_ENDINGS})$', '') AS t, {_RULE} AS u FROM c), "
+    # single letters join the next word; what waits for it stands behind chr(1)
+    "l AS (SELECT c_custkey, u, list_reduce(list_concat([chr(1)], list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')), lambda acc, w: "
+    f"CASE WHEN split_part(acc, chr(1), 2) = '' AND length(w) = 1 AND NOT w {_one_of(N.CONJUNCTIONS)} THEN split_part(acc, chr(1), 1) || chr(1) || w "
+    "ELSE split_part(acc, chr(1), 1) || ' ' || split_part(acc, chr(1), 2) || w || chr(1) END) AS j FROM a), "
+    "d AS (SELECT c_custkey, u, trim(split_part(j, chr(1), 1) || ' ' || split_part(j, chr(1), 2)) AS cleaned FROM l), "
+    "w AS (SELECT *, list_filter(string_split(cleaned, ' '), lambda x: x <> '') AS ws FROM d), "
+    f"w1 AS (SELECT *, {_kept('ws', 'x ' + _one_of(w for w in N.STOP_WORDS if w not in N.CONJUNCTIONS), 'tail')} AS b1, {_kept('ws', 'x ' + _one_of(N.LEADING), 'head')} AS c1 FROM w), "
+    f"w2 AS (SELECT *, {_kept('b1', 'length(x) = 1 AND x NOT ' + _one_of(N.CONJUNCTIONS), 'tail')} AS b2, list_filter({_kept('c1', 'x ' + _one_of(N.STOP_WORDS), 'tail')}, lambda y: length(y) > 1) AS longer, {_kept('c1', 'x ' + _one_of(N.STOP_WORDS), 'tail')} AS c2 FROM w1), "
+    f"w3 AS (SELECT *, {_kept('b2', 'x ' + _one_of(N.LEADING), 'head')} AS b3 FROM w2), w4 AS (SELECT *, {_kept('b3', 'x ' + _one_of(N.CONJUNCTIONS), 'head')} AS b4 FROM w3) "
+    f"SELECT c_custkey, cleaned, array_to_string({_kept('b4', 'x ' + _one_of(N.CONJUNCTIONS), 'tail')}, ' ') AS brand, "
+    f"CASE WHEN len(longer) > 0 THEN array_to_string(longer[1:2], ' ') ELSE coalesce(c2[1], '') END AS core, trim(regexp_replace({_NO_COUNTRY}, '\\s+', ' ', 'g')) AS rule_name FROM w4"
+)
+ORACLES["full_unaccent"] = "SELECT doc_id, strip_accents(text) AS plain FROM documents"
