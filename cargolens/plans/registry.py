@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ from cargolens.operators.rollup import Rollup
 from cargolens.plans.oracles import ORACLES
 from cargolens.sources.readers import between_dates, shipments
 from cargolens.sources.store import Store
-from cargolens.sources.written import shared_folder
+from cargolens.sources.written import shared_path
 
 D = dt.date
 RANGE = (D(1998, 1, 1), D(1998, 12, 31))
@@ -179,7 +178,7 @@ def _rollup(spark: SparkSession, sf: str) -> Rollup:
     """All shipments in three increments, by date."""
     s, day = shipments(spark, sf), F.col("date")
     first, second = F.coalesce(day < D(1994, 1, 1), F.lit(False)), F.coalesce(day < D(1996, 7, 15), F.lit(False))
-    kept = Rollup.create(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}", s.where(first))
+    kept = Rollup.create(spark, shared_path(spark, "rollup"), s.where(first))
     kept.add(s.where(~first & second), "second")
     kept.add(s.where(~second), "third")
     return kept
@@ -188,7 +187,7 @@ def _rollup(spark: SparkSession, sf: str) -> Rollup:
 def _updated(spark: SparkSession, sf: str) -> DataFrame:
     """Shipments in a table by month whose exporters get other names by key, whose certification is set for a range of dates, and whose destinations become upper case; by month."""
     own = shipments(spark, sf).select("exporter", "certification", F.lower("country").alias("country"), "net_weight_mt", "date", F.date_format("date", "yyyy-MM").alias("month"))
-    store = Store.create(own, f"{shared_folder(spark)}/updated-{uuid.uuid4().hex}", "month")
+    store = Store.create(own, shared_path(spark, "updated"), "month")
     names = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("exporter"), F.concat(F.lit("canonical "), "s_name").alias("to"))
     store.update_by_key(names, "exporter", "exporter", "to")
     store.update_where("certification", F.col("date").between(*BEFORE) & (F.col("certification") == "unknown"), F.lit("checked"), {"unnamed": (F.count_if(F.col("exporter").isNull()), lambda n: n == 0)})

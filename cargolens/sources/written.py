@@ -21,14 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="cargolens-"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written there and read back, so that a lost executor costs no more than what it holds; deleted when the application ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path there, deleted when the application ends."""
     path = f"{shared_folder(spark)}/written/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written there and read back, so that a lost executor costs no more than what it holds."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def once(df: DataFrame, *columns: str) -> DataFrame:
