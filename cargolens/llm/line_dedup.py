@@ -1,15 +1,14 @@
 """Lines that many documents share, found by probing sharded minimal perfect hashes.
 
 A line's key is hashed to 128 bits, and distinct hashes are counted by the
-number of documents that hold them. All of them are indexed, in shards by
-hash. A shard is a minimal perfect hash, levels of bit arrays in
-which every key owns one bit, and two dense arrays at the key's rank: a 64-bit
-fingerprint, independent of the bits that placed it, and the document count.
-Keys that agree in their placing bits stand in a list of their own. The counts
-decide: keys that enough documents hold form the part of the index, with a
-perfect hash of its own in each shard, that documents probe while they are
-read. Where that part is too large to be sent to every executor, each document
-sends a hash for each of its distinct keys to the shards of the whole index instead.
+number of documents that hold them. The index comes in shards by hash. A shard
+is a minimal perfect hash, levels of bit arrays in which every key owns one bit,
+and two dense arrays at the key's rank: a 64-bit fingerprint, independent of the bits that placed it, and the
+document count. Keys that agree in their placing bits stand in a list of their own.
+Documents probe the arrays for their lines. If the keys that enough documents hold
+are few, the index is made of them and sent to every executor, and documents probe it while they
+are read; else it is made of all distinct keys, and each document sends a hash for each
+of its distinct keys to the shards.
 """
 
 from __future__ import annotations
@@ -29,6 +28,8 @@ from cargolens.llm.common import bound_arrow, durable, packed, rows_with, rows_w
 STRIP = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 16
 BITS_PER_KEY = 2.0
+#: bytes that a key takes in a shard's arrays, about
+KEY_BYTES = 13
 #: probes of a shard that one group takes, about
 PROBES = 200_000
 #: counts above this are stored as this
@@ -174,32 +175,29 @@ def document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts.astype(np.int64))], ["a", "b", "n"])
 
 
-def shard_blobs(min_docs: int):
-    """applyInArrow function: the keys of one shard to its dumped arrays, those of its keys with min_docs documents or more, and the number of probes that the shard gets if every document sends its keys."""
+def shard_arrays(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The keys (a, b, n) of one shard to its dumped arrays and the number of (document, key) pairs that it holds."""
+    hashes, n = np.stack((table.column("a").to_numpy(), table.column("b").to_numpy()), 1).view(np.uint64), table.column("n").to_numpy()
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "arrays": pa.array([Shard.build(hashes, n).dump()], pa.binary()), "held": pa.array([int(n.sum())], pa.int64())})
 
-    def of(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        hashes, n = np.stack((table.column("a").to_numpy(), table.column("b").to_numpy()), 1).view(np.uint64), table.column("n").to_numpy()
-        whole = Shard.build(hashes, n)
-        often = whole.count(hashes) >= min_docs
-        shared = Shard.build(hashes[often], n[often]).dump() if often.any() else None
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "arrays": pa.array([whole.dump()], pa.binary()), "shared": pa.array([shared], pa.binary()), "held": pa.array([int(n.sum())], pa.int64())})
 
-    return of
-
-
-def line_index(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """(table of shards, number of shards): the count of every distinct line key in `arrays`, those of keys that min_docs documents hold in `shared` (null: none), and `held`, the number of (document, key) pairs of the shard's keys. An empty table has no shards."""
+def counted_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """A written table (a, b, n): every distinct line key, by its hash, with the number of documents that hold it."""
     bound_arrow(docs.sparkSession)
     keys = packed(docs, [], text=text_col).select(whole_text().alias("text")).mapInArrow(document_keys, "a bigint, b bigint, n bigint")
-    counted = durable(keys.groupBy("a", "b").agg(F.sum("n").alias("n")), "lines")
-    shards = max(1, -(-counted.count() // shard_keys))
+    return durable(keys.groupBy("a", "b").agg(F.sum("n").alias("n")), "lines")
+
+
+def line_index(counted: DataFrame, n_keys: int, *, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
+    """(written table of shards, number of shards) over the n_keys keys of counted_lines, or some of them: `arrays`, and `held`, the number of (document, key) pairs of the shard's keys. No keys have no shards."""
+    shards = max(1, -(-n_keys // shard_keys))
 
     def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for first in batches:
             yield pa.array(shard_of(first.to_numpy(zero_copy_only=False).view(np.uint64), shards).astype(np.int32), pa.int32())
 
     sharded = counted.withColumn("shard", F.arrow_udf(placed, "int")("a"))
-    return durable(sharded.groupBy("shard").applyInArrow(shard_blobs(min_docs), "shard int, arrays binary, shared binary, held bigint"), "shards"), shards
+    return durable(sharded.groupBy("shard").applyInArrow(shard_arrays, "shard int, arrays binary, held bigint"), "shards"), shards
 
 
 RESULT = pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -221,20 +219,23 @@ def drop_shared_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int
     lines, also repeats within a document. Rows that repeat a document count as
     documents of their own. Texts are read whole, whatever their length. An empty table gives an empty one.
 
-    The arrays of keys with min_docs documents are sent to every executor if
-    they have at most sent_bytes; else probes go to the shards, with the same
-    result. Keys of one 128-bit hash count as one; a probe of the sent arrays
-    by a key that isn't among them is taken for one of them once in 2**64.
+    Where the arrays of the keys with min_docs documents have at most sent_bytes, the
+    index is made of these and sent to every executor; else it is made of all distinct keys and stays a
+    table of shards, to which documents send their probes: the same result. Keys of one 128-bit hash
+    count as one; a key that isn't in a sent index is taken for one of its keys once in 2**64.
     """
-    index, shards = line_index(docs, text_col=text_col, min_docs=min_docs, shard_keys=shard_keys)
+    counted = counted_lines(docs, text_col=text_col)
     made = packed(docs, carry, text=text_col).select("row", whole_text().alias("text"))
-    shared = index.where("shared is not null").select("shard", "shared")
-    size = shared.agg(F.sum(F.octet_length("shared"))).first()[0] or 0
-    return sent_index(made, shared, shards, min_docs, with_text) if size <= sent_bytes else routed_probes(made, index, shards, min_docs, with_text)
+    sizes = counted.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") >= min_docs).alias("often")).first()
+    if sizes["often"] * KEY_BYTES <= sent_bytes:
+        index, shards = line_index(counted.where(F.col("n") >= min_docs), sizes["often"], shard_keys=shard_keys)
+        return sent_index(made, index.select("shard", "arrays"), shards, min_docs, with_text)
+    index, shards = line_index(counted, sizes["all"], shard_keys=shard_keys)
+    return routed_probes(made, index, shards, min_docs, with_text)
 
 
-def sent_index(made: DataFrame, shared: DataFrame, shards: int, min_docs: int, with_text: bool) -> DataFrame:
-    sent = made.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["shared"]) for r in shared.collect()})
+def sent_index(made: DataFrame, index: DataFrame, shards: int, min_docs: int, with_text: bool) -> DataFrame:
+    sent = made.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["arrays"]) for r in index.collect()})  # at most sent_bytes
 
     def probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         arrays = LineIndex(sent.value, shards)
