@@ -106,7 +106,7 @@ class PrefixCounter(dict):
         self.special = regex.compile("|".join(map(regex.escape, special)))
         self.hints = tuple({s[:2] for s in special})
         self.find, self.find_latin, self.beyond = regex.compile(word_pattern(WHITE, r"\p{L}", r"\p{N}")).findall, re.compile(LATIN_WORDS).findall, re.compile("[^\x00-\u024f]").search
-        self.find_known, self.odd = word_finders(char_classes(Tokenizer.from_file(path)))
+        self.path, self.known = path, None
         self.normal = Sequence([NFC(), Lowercase()]).normalize_str  # the library's own tables
         self.pairs: dict[tuple[str, str], bool] = {}
         self.firsts: dict[str, list | None] = {}
@@ -229,8 +229,14 @@ class PrefixCounter(dict):
     def plain(self, text: str) -> bytes:
         """Changes in count for text without special strings."""
         low = self.normal(text) if self.beyond(text) else text.lower()
-        find = self.find_latin if not self.beyond(low) else self.find_known if self.odd(low) else self.find
-        return b"".join(map(self.__getitem__, find(low)))
+        return b"".join(map(self.__getitem__, (self.find_beyond if self.beyond(low) else self.find_latin)(low)))
+
+    def find_beyond(self, text: str) -> list[str]:
+        """Words of a text with characters from U+0250 on; the tokenizer is asked for its classes when the first comes."""
+        if self.known is None:
+            self.known = word_finders(char_classes(Tokenizer.from_file(self.path)))
+        find, odd = self.known
+        return find(text) if odd(text) else self.find(text)
 
     def changes(self, text: str) -> bytes:
         """Change in token count at each code point of the text as the tokenizer sees it: in NFC and lower case. A special string is one token; cut short, it's ordinary text."""
