@@ -11,6 +11,7 @@ from cargolens.cache import TtlCache
 from cargolens.functions.dates import relative_date
 from cargolens.operators import flows, market, pricing, quality
 from cargolens.operators.lookup import gram_index
+from cargolens.operators.rollup import Rollup
 from cargolens.sources.readers import with_known_names
 from cargolens.sources.sinks import headed, write_result
 
@@ -21,9 +22,12 @@ QUOTE_PRODUCTS = ("mango", "avocado", "strawberry", "blueberry", "pineapple", "p
 
 
 class Shipments:
-    """Questions about a shipments DataFrame with the columns of sources.readers.shipments. today fixes relative dates."""
+    """Questions about a shipments DataFrame with the columns of sources.readers.shipments. today fixes relative dates. Summaries and drill-downs are read from a kept rollup of the same shipments if one is given."""
 
-    def __init__(self, df: DataFrame, *, today: dt.date | None = None, clean: bool = False, cache: TtlCache | None = None) -> None:
+    def __init__(self, df: DataFrame, *, today: dt.date | None = None, clean: bool = False, cache: TtlCache | None = None, rollup: Rollup | None = None) -> None:
+        if clean and rollup is not None:
+            raise ValueError("a rollup of all shipments doesn't answer for the clean ones")
+        self.rollup = rollup
         self.df, self.today, self.cache = quality.clean_view(df) if clean else df, today or dt.date.today(), cache or TtlCache()
         self._index: DataFrame | None = None
 
@@ -42,11 +46,16 @@ class Shipments:
     def _cached(self, name: str, make, **params: Any) -> list[dict[str, Any]]:
         return self.cache.get_or_compute(name, lambda **p: self.rows(make(**p)), **params)
 
+    def _quartiles(self, dimension: str, region: str | None, where: dict[str, str] | None = None) -> DataFrame:
+        if self.rollup is not None:
+            return self.rollup.quartiles(dimension, region, where)
+        return pricing.quartile_summary(self.df, dimension, region) if where is None else pricing.drill_down(self.df, *next(iter(where.items())), dimension, region)
+
     def summary(self, dimension: str, region: str | None = None, limit: int = 20) -> list[dict[str, Any]]:
-        return self._cached("summary", lambda dimension, region, limit: pricing.quartile_summary(self.df, dimension, region).limit(limit), dimension=dimension, region=region, limit=limit)
+        return self._cached("summary", lambda dimension, region, limit: self._quartiles(dimension, region).limit(limit), dimension=dimension, region=region, limit=limit)
 
     def drill(self, dimension: str, value: str, by: str, region: str | None = None, limit: int = 20) -> list[dict[str, Any]]:
-        return self._cached("drill", lambda dimension, value, by, region, limit: pricing.drill_down(self.df, dimension, value, by, region).limit(limit), dimension=dimension, value=value, by=by, region=region, limit=limit)
+        return self._cached("drill", lambda dimension, value, by, region, limit: self._quartiles(by, region, {dimension: value}).limit(limit), dimension=dimension, value=value, by=by, region=region, limit=limit)
 
     def search(self, term: str, limit: int = 50) -> list[dict[str, Any]]:
         return self.rows(market.search_names(self.df, term, limit=limit))

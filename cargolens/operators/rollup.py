@@ -11,7 +11,7 @@ from cargolens.functions.numbers import r4
 from cargolens.operators.order import beside, quantiles_of_counts
 from cargolens.operators.pricing import DIMENSIONS, QUARTILES, region_filter
 from cargolens.sources.store import Store
-from cargolens.sources.written import once
+from cargolens.sources.written import once, written
 
 KEYS = ["fruit_name", "exporter", "importer", "format_type", "size_mm", "certification", "country", "region", "usd_per_mt", "weighed", "month"]
 SUMS = ["n", "mt", "fob"]
@@ -37,7 +37,7 @@ class Rollup:
 
     def add(self, df: DataFrame, increment: str) -> bool:
         """Merge further shipments, such as a day's; only their months are written. An increment that was merged already is left out: False."""
-        return self.store.merge(states(df), KEYS, SUMS, increment) is not None
+        return self.store.merge(written(states(df), "states"), KEYS, SUMS, increment) is not None
 
     def quartiles(self, dimension: str = "fruit", region: str | None = None, where: dict[str, str] | None = None) -> DataFrame:
         """As pricing.quartile_summary, or with `where` (dimension: value) as its drill-down."""

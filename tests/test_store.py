@@ -10,10 +10,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from cargolens.api import Shipments
 from cargolens.operators import pricing as R
 from cargolens.operators.rollup import KEYS, SUMS, Rollup, states
 from cargolens.sources.readers import shipments
 from cargolens.sources.store import CheckFailed, Store, write_split
+from cargolens.streaming.rollups import follow
 
 ROWS = [(1, "a", 5.0, "x"), (2, "b", None, "x"), (3, "a", 7.0, "y"), (4, None, 1.0, "z"), (5, "c", 2.0, None), (6, "Ünï", 2.0, "w w/=%")]
 
@@ -128,3 +130,21 @@ def test_named_files(spark, tmp_path, suffix):
     if suffix == ".csv":
         got = {n: list(csv.DictReader(open(tmp_path / n, newline=""), escapechar="\\")) for n in names}
         assert sorted(int(r["id"]) for n in names for r in got[n]) == sorted(r[0] for r in rows) and all(r["fruit"] == "MANGO" for r in got["mango.csv"])
+
+
+def test_rollup_follows_a_stream(spark, sf, tmp_path):
+    s = shipments(spark, sf).withColumn("half", (F.col("date") < dt.date(1995, 1, 1)).cast("int"))
+    kept = Rollup.create(spark, str(tmp_path / "r"), s.where("false"))
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(s.drop("half").schema).parquet(str(tmp_path / "in"))
+    for half in (1, 0):
+        s.where(F.coalesce("half", F.lit(0)) == half).drop("half").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        follow(stream, kept, "days", str(tmp_path / "checkpoint"), all_there_is=True).awaitTermination()
+    assert kept.store.marks() == ["days-000000000000", "days-000000000001"]
+    want = {r["fruit"]: (r["records"], r["mid_price"]) for r in R.quartile_summary(s, "fruit").collect()}
+    assert {r["fruit"]: (r["records"], r["mid_price"]) for r in kept.quartiles("fruit").collect()} == want
+    asked = Shipments(s, rollup=kept)
+    assert {r["fruit"]: (r["records"], r["mid_price"]) for r in asked.summary("fruit", limit=100)} == want
+    assert [r["exporter"] for r in asked.drill("fruit", "ECONOMY", "exporter", limit=5)] == [r["exporter"] for r in Shipments(s).drill("fruit", "ECONOMY", "exporter", limit=5)]
+    with pytest.raises(ValueError, match="clean"):
+        Shipments(s, clean=True, rollup=kept)
