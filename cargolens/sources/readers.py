@@ -88,16 +88,16 @@ def load_ytd(df: DataFrame, ytd: tuple[dt.date, dt.date] = YTD) -> DataFrame:
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shipment fact over the star schema: one row a line item, with its product, exporter, importer, destination and order."""
+    """The shipment fact over the star schema: one row a line item, with its product, exporter, importer, destination and order. Orders meet their buyers before their lines do, so that lines are shuffled by product and order only, and long texts come last."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     buyers = read("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name", "r_name")
+    orders = read("orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     lines = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
     return (
-        lines.join(read("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(read("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(read("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("l_orderkey").alias("declaration"), F.col("s_name").alias("exporter"), F.col("c_name").alias("importer"), F.col("p_type").alias("fruit_name"), F.col("p_brand").alias("format_type"), F.col("p_size").cast("string").alias("size_mm"),
             F.when(F.col("l_returnflag") == "R", "organic").when(F.col("l_returnflag") == "A", "conventional").otherwise("unknown").alias("certification"),
