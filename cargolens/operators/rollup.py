@@ -11,16 +11,21 @@ from cargolens.functions.numbers import r4
 from cargolens.operators.order import beside, quantiles_of_counts
 from cargolens.operators.pricing import DIMENSIONS, QUARTILES, region_filter
 from cargolens.sources.store import Store
-from cargolens.sources.written import once, written
+from cargolens.sources.written import once
 
 KEYS = ["fruit_name", "exporter", "importer", "format_type", "size_mm", "certification", "country", "region", "usd_per_mt", "weighed", "month"]
 SUMS = ["n", "mt", "fob"]
 
 
+def units(df: DataFrame) -> DataFrame:
+    """Each shipment as a state of its own, in the columns of states()."""
+    told = df.withColumn("weighed", F.coalesce(F.col("net_weight_mt") > 0, F.lit(False))).withColumn("month", F.date_format("date", "yyyy-MM"))
+    return told.select(*KEYS, F.lit(1).cast("bigint").alias("n"), F.col("net_weight_mt").alias("mt"), F.col("fob_usd").alias("fob"))
+
+
 def states(df: DataFrame) -> DataFrame:
     """Shipments as states: number, tons and value by every key. weighed says whether the weight is positive; month is null without a date."""
-    told = df.withColumn("weighed", F.coalesce(F.col("net_weight_mt") > 0, F.lit(False))).withColumn("month", F.date_format("date", "yyyy-MM"))
-    return told.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("net_weight_mt").alias("mt"), F.sum("fob_usd").alias("fob"))
+    return units(df).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
 
 
 class Rollup:
@@ -36,8 +41,8 @@ class Rollup:
         return cls(spark, path)
 
     def add(self, df: DataFrame, increment: str) -> bool:
-        """Merge further shipments, such as a day's; only their months are written. An increment that was merged already is left out: False."""
-        return self.store.merge(written(states(df), "states"), KEYS, SUMS, increment) is not None
+        """Merge further shipments, such as a day's; only their months are written. An increment that was merged already is left out: False. df is read twice, once for its months; the merge alone sums it."""
+        return self.store.merge(units(df), KEYS, SUMS, increment) is not None
 
     def quartiles(self, dimension: str = "fruit", region: str | None = None, where: dict[str, str] | None = None) -> DataFrame:
         """As pricing.quartile_summary, or with `where` (dimension: value) as its drill-down."""
