@@ -1,7 +1,10 @@
 """Pairs of similar names from a join of rare parts, and greedy choices over them in rounds.
 
 The similarity of two names counts matched characters. Of names that are alike
-enough, all but a few characters match, in few runs, so they share many of
+enough, all but a few characters match. Where few enough are left over, the
+characters that both have in common are made by deleting the others: names of two
+lengths meet at what is left of them. Where that are too many, the matches lie
+in few runs, so such names share many of
 their grams (runs of 2 or 3 characters within a word), and whoever takes
 only the rarest grams of each name finds each pair by one of them. Names that are
 alike because one's words are among the other's are found by their rarest words.
@@ -11,7 +14,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import combinations, product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +29,8 @@ from cargolens.sources.written import written
 #: names either one is sure to share a gram of some size, which both have as keys, or both have the next size too.
 SIZES = (4, 3, 2)
 ASKS = -1.0
+#: ways to delete from a name, at most, for names of its length and another's to meet at what is left
+WAYS = 2000
 
 
 def numbered(grams: list[str]) -> list[str]:
@@ -51,46 +58,133 @@ def least_shared(length: float, partner: float, share: float, size: int, words:
     return math.ceil(both * share / 2 - (size - 1) * (both * (1 - share) + 1) - (words - 1) - 1e-9)
 
 
-def name_keys(name: str, across: int, spacing: int) -> list[tuple[str, str, float, float]]:
-    """(kind, key, weight, limit) of a name: of a kind, the rarest keys are kept as long as the weights before a key don't pass the limit. Keys with the limit ASKS are never kept, but all of them ask for names that keep them."""
+def deletions(length: int, partner: int, share: float) -> tuple[int, int] | None:
+    """How many characters of two names of such lengths are deleted for the least number of matches to be left; None if they can't be alike."""
+    left = math.ceil((length + partner) * share / 2 - 1e-9)
+    return (length - left, partner - left) if left <= min(length, partner) else None
+
+
+def by_deletion(length: int, partner: int, share: float) -> bool:
+    """Whether names of two lengths meet at what is left of them."""
+    n = deletions(length, partner, share)
+    return n is not None and math.comb(length, n[0]) <= WAYS and math.comb(partner, n[1]) <= WAYS
+
+
+def by_grams(length: int, lengths: Iterable[int], share: float) -> bool:
+    """Whether a name must meet names of one of these lengths by grams."""
+    return any(deletions(length, n, share) and not by_deletion(length, n, share) for n in lengths)
+
+
+@lru_cache(256)
+def without(word: str, n: int) -> frozenset[str]:
+    """word without n of its characters, in all ways."""
+    return frozenset(w[:i] + w[i + 1 :] for w in without(word, n - 1) for i in range(len(w))) if n else frozenset((word,))
+
+
+def remnants(words: tuple[str, ...], n: int) -> set[str]:
+    """What n deletions leave of sorted words, in all ways: of a character, or of the space between a word and any later one, as words that both names have may stand elsewhere. Words are put in order again."""
+    out, merged = set(), {words}
+    for joins in range(n + 1):
+        for own in merged:
+            # the places of n - joins deletions among the words, as bars between stars
+            for bars in combinations(range(n - joins + len(own) - 1), len(own) - 1):
+                ends = (-1, *bars, n - joins + len(own) - 1)
+                each = [without(w, hi - lo - 1) for w, lo, hi in zip(own, ends, ends[1:], strict=False)]
+                out.update(" ".join(sorted(filter(None, some))) for some in product(*each))
+        merged = {(*own[:i], own[i] + own[j], *own[i + 1 : j], *own[j + 1 :]) for own in merged for i, j in combinations(range(len(own)), 2)}
+    return out
+
+
+def forms(name: str) -> tuple[str, tuple[str, ...], int]:
+    """A name without spaces, its different words in order, and the length of these with spaces between them."""
+    words = tuple(sorted(set(name.split())))
+    return name.replace(" ", ""), words, sum(map(len, words)) + len(words) - 1
+
+
+def remnant_keys(name: str, across: int, spacing: int, lengths: Iterable[int], solid_lengths: Iterable[int]) -> list[tuple[str, bool, bool]]:
+    """(key, low, high) of a name: what is left of it where it meets names of these lengths by deletion, and whether it is one of the shorter ones and of the longer ones there."""
+    solid, words, length = forms(name)
+    close, far = (spacing - 0.5) / 100, (across - 0.5) / 100
+    made: dict[tuple[str, int], set[str]] = {}
+    out = []
+    for kind, own, partners, share, of in (("words", length, lengths if words else (), far, words), ("solid", len(solid), solid_lengths, close, (solid,))):
+        for n in partners:
+            if by_deletion(own, n, share):
+                k = deletions(own, n, share)[0]
+                if (kind, k) not in made:
+                    made[kind, k] = remnants(of, k)
+                out.extend((f"{kind} {min(own, n)} {max(own, n)} {x}", own <= n, own >= n) for x in made[kind, k])
+    return out
+
+
+def name_keys(name: str, across: int, spacing: int, lengths: Iterable[int], solid_lengths: Iterable[int]) -> list[tuple[str, str, float, float]]:
+    """(kind, key, weight, limit) of a name among names of these lengths: of a kind, the rarest keys are kept as long as the weights before a key don't pass the limit. Keys with the limit ASKS are never kept, but all of them ask for names that keep them."""
     out = []
     close, far = (spacing - 0.5) / 100, (across - 0.5) / 100
-    solid = name.replace(" ", "")
+    solid, words, length = forms(name)
     out.append(("equal", solid, 1.0, 0.0))
 
-    def add(kind: str, words: list[str], length: int, share: float, size: int) -> bool:
+    def add(kind: str, words: Iterable[str], length: int, share: float, size: int) -> bool:
         """Keys by grams; whether a partner of the least length is sure to share enough of them, a quarter, for the rarest to be rare."""
         own, shared = grams(words, size), least_shared(length, length * share / (2 - share), share, size, len(words))
         sure = shared >= (1 if size == SIZES[-1] else max(1, len(own) / 4))
         out.extend((f"{kind}{size}", g, 1.0, len(own) - shared if sure else ASKS) for g in own)
         return sure
 
-    if (1 - close) * len(solid) * 2 / close >= 1:  # else two such names are alike only if equal
+    if by_grams(len(solid), solid_lengths, close):
         any(add("solid", [solid], len(solid), close, size) for size in SIZES)
-    words = sorted(set(name.split()))
     if words:
-        length = sum(map(len, words)) + len(words) - 1
         out += [("word", w, len(w) + 1.0, length * (1 - far / (2 - far)) + 1e-9) for w in words]
-        any(add("gram", words, length, far, size) for size in SIZES)
+        if by_grams(length, lengths, far):
+            any(add("gram", words, length, far, size) for size in SIZES)
     return out
 
 
-def keys_udf(across: int, spacing: int) -> Callable[[str], Column]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("key", pa.string()), ("weight", pa.float64()), ("limit", pa.float64())]))
+#: rows of a batch that a task makes
+BATCH = 10_000
+
+
+def rows_of(names: DataFrame, made: Callable[[str], Iterable[tuple]], fields: str) -> DataFrame:
+    """A row (name, fields) for each tuple that is made of a name."""
+    schema = f"name string, {fields}"
+    kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
+    columns = [(n, kinds[kind]) for n, kind in (f.split() for f in schema.split(", "))]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows.extend((name, *k) for k in made(name))
+                if len(rows) >= BATCH:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for names in batches:
-            yield pa.array([[dict(zip(("kind", "key", "weight", "limit"), k, strict=True)) for k in name_keys(n, across, spacing)] for n in names.to_pylist()], kind)
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), columns, strict=True)], [n for n, _ in columns])
 
-    return F.arrow_udf(of, "array<struct<kind:string,key:string,weight:double,limit:double>>")
+    return names.select("name").mapInArrow(of, schema)
+
+
+def reaches(a: str, b: str, least: int) -> bool:
+    """Whether ratio(a, b) is at least `least`."""
+    return a == b or (round(200 * min(len(a), len(b)) / (len(a) + len(b))) >= least and N.ratio(a, b) >= least)
 
 
 def alike_across(x: str, y: str, across: int, spacing: int, least_length_ratio: float) -> bool:
-    """Names of similar length whose words, or whose characters without spaces, nearly all match."""
+    """Names of similar length whose words (by token_set_ratio), or whose characters without spaces, nearly all match."""
     longest = max(len(x), len(y))
     if longest and min(len(x), len(y)) / longest < least_length_ratio:
         return False
-    return N.token_set_ratio(x, y) >= across or N.ratio(x.replace(" ", ""), y.replace(" ", "")) >= spacing
+    own, other = set(x.split()), set(y.split())
+    if not own or not other:
+        return across <= 0 or reaches(x.replace(" ", ""), y.replace(" ", ""), spacing)
+    both = " ".join(sorted(own & other))
+    left, right = (f"{both} {' '.join(sorted(rest))}".strip() for rest in (own - other, other - own))
+    if both and round(200 * len(both) / (len(both) + min(len(left), len(right)))) >= across:  # both is how left and right begin
+        return True
+    return reaches(left, right, across) or reaches(x.replace(" ", ""), y.replace(" ", ""), spacing)
 
 
 def pair_test(test: Callable[[str, str], bool]):
@@ -106,12 +200,19 @@ def pair_test(test: Callable[[str, str], bool]):
 def candidate_pairs(names: DataFrame, across: int, spacing: int, least_length_ratio: float) -> DataFrame:
     """(a, b), a < b, of distinct names (a written table, column name) that may be alike: no alike pair is left out.
 
-    Every key is counted; of each kind a name keeps its rarest keys. Pairs meet at
+    The lengths that occur, a short list, say which names meet by what is left of
+    them and which by grams. Every key of the latter is counted; of each kind a name keeps its rarest keys. Pairs meet at
     a key that one of both has kept and the other has kept or asks for. No group is
-    brought together: pairs come from a join, whose large keys Spark can split.
+    brought together: pairs come from joins, whose large keys Spark can split.
     """
-    each = names.select("name", F.explode(keys_udf(across, spacing)("name")).alias("k")).select("name", "k.*")
-    each = written(each, "keys")
+    sizes = rows_of(names, lambda n: [tuple(len(f) if isinstance(f, str) else f for f in forms(n)[::2])], "solid int, length int").select("solid", "length").distinct().collect()
+    solid_lengths, lengths = ({r[k] for r in sizes} for k in range(2))
+    left = rows_of(names, lambda n: remnant_keys(n, across, spacing, lengths, solid_lengths), "key string, low boolean, high boolean")
+    left = written(left.select(F.xxhash64("key").alias("key"), "name", "low", "high"), "left")
+    low, high = left.where("low").select("key", F.col("name").alias("a"), "high"), left.where("high").select("key", F.col("name").alias("b"), "low")
+    met = [low.join(high, "key").where("if(high and low, a < b, a <> b)").select("a", "b")]
+
+    each = written(rows_of(names, lambda n: name_keys(n, across, spacing, lengths, solid_lengths), "kind string, key string, weight double, limit double"), "keys")
     often = each.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     shared = each.join(often, ["kind", "key"], "left")
     before = F.coalesce(F.sum("weight").over(Window.partitionBy("name", "kind").orderBy(F.coalesce("many", F.lit(1)), "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -120,9 +221,9 @@ def candidate_pairs(names: DataFrame, across: int, spacing: int, least_length_ra
     held = shared.withColumn("kept", before <= F.col("limit")).withColumn("asks", asks).where("many > 1 and (kept or asks)")
     held = written(held.select("kind", "key", "name", "kept", "asks"), "kept")
     a, b = held.where("kept").select("kind", "key", F.col("name").alias("a")), held.select("kind", "key", F.col("name").alias("b"), "kept")
-    met = a.join(b, ["kind", "key"]).where("a <> b")
+    met.append(a.join(b, ["kind", "key"]).where("a <> b").select("a", "b"))
     x, y = F.length("a"), F.length("b")
-    return met.where(F.least(x, y) >= least_length_ratio * F.greatest(x, y) - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met[0].unionByName(met[1]).where(F.least(x, y) >= least_length_ratio * F.greatest(x, y) - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_names(names: DataFrame, across: int = 90, spacing: int = 95, least_length_ratio: float = 0.7) -> DataFrame:
@@ -132,35 +233,65 @@ def similar_names(names: DataFrame, across: int = 90, spacing: int = 95, least_l
     return candidate_pairs(own, across, spacing, least_length_ratio).where(alike("a", "b"))
 
 
-def greedy_heads(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+#: pairs that one task settles in a round of greedy_heads, about
+EDGES = 2_000_000
+
+
+def numbered_nodes(nodes: DataFrame) -> DataFrame:
+    """(name, number), written: numbers from 0 in the order of place, by ranges of sampled rows."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(nodes.select("name", "place").repartitionByRange(parts, "place").withColumn("_s", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    offsets = dealt.groupBy("_s").agg(F.count(F.lit(1)).alias("_m")).select("_s", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_s").orderBy("place"))
+    return written(dealt.withColumn("_i", inside).join(F.broadcast(offsets), "_s").select("name", (F.col("_before") + F.col("_i") - 1).alias("number")), "numbered")
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: pairs (late, early) in order to (late, head) of those that are taken, by their first partner that isn't taken itself."""
+    taken: set[int] = set()
+    for batch in batches:
+        out, heads = [], []
+        for late, early in zip(batch.column("late").to_pylist(), batch.column("early").to_pylist(), strict=True):
+            if late not in taken and early not in taken:
+                taken.add(late)
+                out.append(late)
+                heads.append(early)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(heads, pa.int64())], ["late", "head"])
+
+
+def greedy_heads(nodes: DataFrame, pairs: DataFrame, edges: int = EDGES) -> DataFrame:
     """(name, head): each node, in order, is the head of all later nodes paired with it that have no earlier head.
 
     nodes are (name, place), places being comparable and distinct; pairs (a, b)
-    join two nodes. In each round a node none of whose earlier partners is open
-    becomes a head; one whose first partner that isn't taken is a head is taken by it. Only minima
-    and joins of pairs that still matter are made; rounds are as many as the longest chain of nodes that wait for one another.
+    join two nodes. In each round the first nodes, with about `edges` pairs among themselves,
+    are settled by one task in order, and their heads take the later nodes; then pairs of taken nodes
+    go. So rounds are at most as many as `edges` goes into the pairs, however long the chains of nodes that wait for one another are.
     """
-    place = nodes.select(F.col("name").alias("_n"), F.col("place").alias("_p"))
-    both = pairs.join(place, F.col("a") == F.col("_n")).select("a", "b", F.col("_p").alias("pa")).join(place, F.col("b") == F.col("_n")).select("a", "b", "pa", F.col("_p").alias("pb"))
-    first = F.col("pa") < F.col("pb")
-    waits = written(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("pa", "pb").alias("place"), F.lit(False).alias("was")), "waits")
-    done = written(nodes.select("name").join(waits.select(F.col("late").alias("name")).distinct(), "name", "left_anti").select("name", F.col("name").alias("head")), "heads")
-    parts = [done]
-    while not waits.isEmpty():
-        # what was decided last: heads stay as partners, taken nodes are no longer any
-        state = done.select(F.col("name").alias("early"), (F.col("name") == F.col("head")).alias("_head"))
-        told = waits.join(state, "early", "left").where(F.col("_head").isNull() | F.col("_head")).withColumn("is_head", F.col("was") | F.coalesce("_head", F.lit(False)))
-        told = written(told.select("early", "late", "place", F.col("is_head").alias("was")), "told")
-        best = told.groupBy("late").agg(F.min(F.struct("place", "early", "was")).alias("m"))
-        taken = best.where("m.was").select(F.col("late").alias("name"), F.col("m.early").alias("head"))
-        free = waits.select(F.col("late").alias("name")).distinct().join(told.select(F.col("late").alias("name")).distinct(), "name", "left_anti").select("name", F.col("name").alias("head"))
-        done = written(taken.unionByName(free), "heads")
-        parts.append(done)
-        waits = written(told.join(done.select(F.col("name").alias("late")), "late", "left_anti"), "waits")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    known = numbered_nodes(nodes)
+    number = lambda c: known.select(F.col("name").alias(c), F.col("number").alias(f"_{c}"))
+    met = pairs.join(number("a"), "a").join(number("b"), "b")
+    open_ = written(met.select(F.least("_a", "_b").alias("early"), F.greatest("_a", "_b").alias("late")), "open")
+    taken = []
+    while (n := open_.count()) > 0:
+        last = open_.agg(F.percentile_approx("late", edges / n, 10_000)).first()[0] if n > edges else None
+        first = open_ if last is None else open_.where(F.col("late") <= last)
+        taken.append(written(first.select("late", "early").repartition(1).sortWithinPartitions("late", "early").mapInArrow(settled, "late bigint, head bigint"), "taken"))
+        if last is None:
+            break
+        left = open_.where(F.col("late") > last).join(taken[-1].select(F.col("late").alias("early")), "early", "left_anti")
+        left = written(left, "left")
+        taken.append(written(left.where(F.col("early") <= last).groupBy("late").agg(F.min("early").alias("head")), "taken"))
+        gone = taken[-1].select("late")
+        open_ = written(left.join(gone, "late", "left_anti").join(gone.select(F.col("late").alias("early")), "early", "left_anti"), "open")
+    if not taken:
+        return known.select("name", F.col("name").alias("head"))
+    every = taken[0]
+    for t in taken[1:]:
+        every = every.unionByName(t)
+    heads = known.select(F.col("number").alias("head"), F.col("name").alias("_head"))
+    own = known.join(every.withColumnRenamed("late", "number").join(heads, "head").select("number", "_head"), "number", "left")
+    return own.select("name", F.coalesce("_head", "name").alias("head"))
 
 
 #: open names of a block that are looked at for heads in a round, at most; members of a block that one task compares with them

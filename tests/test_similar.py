@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -146,3 +147,34 @@ def test_no_names(spark):
     none = spark.createDataFrame([], "name string, n bigint")
     assert C.cluster_names(none).count() == 0
     assert C.cluster_names(spark.createDataFrame([(None, 3), ("", 2), ("ACME", 1)], "name string, n bigint")).collect()[0]["aliases"] == ["ACME"]
+
+
+def test_numbered_names_meet_few_others(spark):
+    """Names that differ in a number only share most grams, and have chains of pairs as long as they are many."""
+    names = [f"CUSTOMER {''.join('ABCDEFGHIJ'[int(d)] for d in f'{k:09}')}{' SR' if k % 7 == 5 else ''}" for k in range(0, 1000, 3)]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    met = {tuple(r) for r in S.candidate_pairs(df, 90, 95, 0.7).collect()}
+    alike = pairs_by_hand(sorted(names))
+    assert met >= set(alike) and len(met) < 3 * len(alike) and len(alike) > 500
+    order = sorted(names)
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "name string, place int")
+    got = {r["name"]: r["head"] for r in S.greedy_heads(nodes, spark.createDataFrame(alike, "a string, b string")).collect()}
+    assert got == heads_by_hand(order, alike)
+
+
+@pytest.mark.parametrize("edges", [15, 40])
+def test_greedy_heads_in_rounds_equal_the_loop(spark, edges):
+    rnd = random.Random(edges)
+    order = [f"n{k:03}" for k in range(60)]
+    rnd.shuffle(order)
+    pairs = {tuple(sorted(rnd.sample(order, 2))) for _ in range(160)}
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "name string, place int")
+    got = {r["name"]: r["head"] for r in S.greedy_heads(nodes, spark.createDataFrame(sorted(pairs), "a string, b string"), edges).collect()}
+    assert got == heads_by_hand(order, pairs)
+
+
+@pytest.mark.parametrize(("words", "n"), [(("AB", "CDE"), 1), (("A", "BC", "D"), 2), (("ABBA",), 2), (("",), 0)])
+def test_remnants_hold_all_deletions(words, n):
+    text = " ".join(words)
+    by_hand = {" ".join(sorted("".join(c for i, c in enumerate(text) if i not in gone).split())) for gone in itertools.combinations(range(len(text)), n)}
+    assert S.remnants(words, n) >= by_hand
