@@ -1,6 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints and by exact Jaccard similarity of word shingles.
 
-MinHash bands name the candidates: texts whose sets of shingles are alike to at
+Fingerprints of the shingles are linked by ball hashing as in op10; of these links, those whose sets of shingles are alike to the limit stay.
+Four of 64 bits find few of the pairs near the limit, so MinHash bands add what fingerprints miss among texts that are still apart. They name the candidates: texts whose sets of shingles are alike to at
 least 0.8 share one of 32 bands of six minima with probability above
 1 - 7 / 10**5. A sketch of two bits of each of the 192 minima goes with a text into its buckets; candidates are
 verified by their whole sets if at least 146 minima agree in it (of a pair at 0.8 some 163 do, and fewer than 146 three times in 10**4).
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm.common import bound_arrow, durable, join_by_count, located, rows_with, rows_without, whole_text
-from cargolens.llm.simhash import components, shingle_hashes
+from cargolens.llm.simhash import components, majority, near_links, shingle_hashes
 
 #: bands of a text, minima in a band
 BANDS, MINIMA = 32, 6
@@ -34,6 +35,8 @@ ROUNDS, AGREE = 2, 146
 PART, STRIPE = 1024, 32
 #: least hashes of a text's shingles that go with it into open buckets; how many hundredths below the limit a pair may be by them, if they are all hashes of both and if not
 LEAST, EXACT_SLACK, SLACK = 256, 1, 9
+#: differing bits of linked fingerprints
+RADIUS = 4
 #: 64-bit words of a sketch, and the lower bit of each pair of bits
 WORDS, LOWER = BANDS * MINIMA // 32, np.uint64(0x5555555555555555)
 _random = np.random.default_rng(20)
@@ -76,19 +79,20 @@ def unpacked(column: pa.Array) -> np.ndarray:
 
 
 def bands_udf(width: int, seed: int):
-    """UDF from text to its number of different shingles, its band keys, and its sketch."""
-    kind = pa.struct([("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """UDF from text to its fingerprint, its number of different shingles, its band keys, and its sketch."""
+    kind = pa.struct([("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = []
             for t in texts.cast(pa.binary()).to_pylist():
-                found = np.unique(shingle_hashes(t or b"", width, seed))
+                every = shingle_hashes(t or b"", width, seed)
+                found = np.unique(every)
                 least = minima(found)
-                rows.append({"n": len(found), "keys": band_keys(least).view(np.int64), "sketch": sketch(least)})
+                rows.append({"fp": int(np.uint64(majority(every)).view(np.int64)), "n": len(found), "keys": band_keys(least).view(np.int64), "sketch": sketch(least)})
             yield pa.array(rows, kind)
 
-    return F.arrow_udf(of, "n bigint, keys array<bigint>, sketch binary")
+    return F.arrow_udf(of, "fp bigint, n bigint, keys array<bigint>, sketch binary")
 
 
 def agreeing_udf():
@@ -198,8 +202,17 @@ def open_pairs(percent: int):
     return of
 
 
-def similar_links(rows: DataFrame, texts: DataFrame, *, width: int = 5, seed: int = 42, percent: int = 80, part: int = PART) -> DataFrame:
-    """Links (a, b) among the uids of rows (uid, at, n, keys and sketch; a written table), whose texts are those of `texts` (at, text); components are those of all verified candidate pairs."""
+def print_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) among the uids of rows (uid, fp; a written table) by op10's method: of each fingerprint one row stands for it, the others are paired with that, and fingerprints are linked by ball hashing."""
+    prints = durable(rows.groupBy("fp").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("many")), "prints")
+    copies = join_by_count(rows.select("fp", F.col("uid").alias("a")), prints.where("many > 1").select("fp", F.col("uid").alias("b"), "many"), "fp", "many").where("a <> b")
+    links = durable(near_links(prints.select("fp"), radius=radius), "near").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    end = lambda c: prints.select(F.col("fp").alias(f"_{c}"), F.col("uid").alias(c))
+    return copies.select("a", "b").unionByName(links.join(end("a"), "_a").join(end("b"), "_b").select("a", "b"))
+
+
+def similar_links(rows: DataFrame, texts: DataFrame, *, width: int = 5, seed: int = 42, percent: int = 80, part: int = PART, prints: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the uids of rows (uid, at, n, keys and sketch; a written table), whose texts are those of `texts` (at, text); components are those of all verified candidate pairs. With prints (uid, fp) of the rows, pairs by fingerprints come first."""
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  else the sizes alone rule it out
     keyed = rows.select("uid", F.explode("keys").alias("key"))
     shared = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "buckets")
@@ -208,14 +221,21 @@ def similar_links(rows: DataFrame, texts: DataFrame, *, width: int = 5, seed: in
     wanted = durable(rows.select("uid", "at", "n", "sketch").join(degree, "uid"), "wanted")
     members = durable(own.select("uid", "key").join(wanted.select("uid", "n", "degree", "sketch"), "uid"), "members")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b); whole sets are made for their texts only."""
+    def verified(pairs: DataFrame, known: DataFrame = wanted) -> DataFrame:
+        """Links among pairs (a, b) of known rows; whole sets are made for their texts only."""
         pairs = durable(pairs.distinct(), "pairs")
-        ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(wanted.select("uid", "at"), "uid"), "ends")
+        ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(known.select("uid", "at"), "uid"), "ends")
         sets = durable(rows_with(texts, ends, "at").select("uid", set_udf(width, seed)("text").alias("found")), "sets")
         return durable(alike(pairs, sets, percent), "links")
 
+    def rooted(links: DataFrame) -> DataFrame:
+        roots = durable(components(links), "roots")
+        return durable(members.join(roots, members.uid == roots.node, "left").select("key", "uid", "n", "degree", "sketch", F.coalesce("root", "uid").alias("root")), "named")
+
     links, named = None, members.withColumn("root", F.col("uid"))
+    if prints is not None:
+        links = verified(print_pairs(prints), rows)
+        named = rooted(links)
     for k in range(ROUNDS):
         order = F.struct(-F.col("degree"), "uid") if k == 0 else F.struct(F.xxhash64("uid", "key", F.lit(k)), "uid")
         centre = F.min_by(F.struct("uid", "n", "root", "sketch"), order).alias("c")
@@ -223,8 +243,7 @@ def similar_links(rows: DataFrame, texts: DataFrame, *, width: int = 5, seed: in
         apart = join_by_count(named, open_, "key", "many").where((F.col("root") != F.col("c.root")) & near(F.col("n"), F.col("c.n")))
         more = verified(apart.where(agreeing_udf()("sketch", "c.sketch") >= AGREE).select(F.col("uid").alias("a"), F.col("c.uid").alias("b")))
         links = more if links is None else durable(links.unionByName(more), "links")
-        roots = durable(components(links), "roots")
-        named = durable(members.join(roots, members.uid == roots.node, "left").select("key", "uid", "n", "degree", "sketch", F.coalesce("root", "uid").alias("root")), "named")
+        named = rooted(links)
     open_ = durable(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).where("low < high").select("key", "many"), "open")
     # a bucket of g parts goes to a task for each pair of parts
     g = F.ceil(F.col("many") / part).cast("int")
@@ -249,9 +268,9 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bound_arrow(docs.sparkSession)
     base = located(docs, id=id_col, text=text_col)
     made = base.withColumn("of", bands_udf(width, seed)(whole_text()))
-    rows = durable(made.select("at", "id", F.monotonically_increasing_id().alias("uid"), "of.n", "of.keys", "of.sketch"), "bands")
+    rows = durable(made.select("at", "id", F.monotonically_increasing_id().alias("uid"), "of.fp", "of.n", "of.keys", "of.sketch"), "bands")
     texts = base.select("at", whole_text().alias("text"))
-    roots = durable(components(similar_links(rows, texts, width=width, seed=seed, percent=percent)), "roots")
+    roots = durable(components(similar_links(rows, texts, width=width, seed=seed, percent=percent, prints=rows.select("uid", "fp"))), "roots")
     grouped = durable(rows.select("at", "id", "uid").join(roots, F.col("uid") == F.col("node")).select("at", "id", "uid", "root"), "grouped")
     first = durable(grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid"))["uid"].alias("kept"), F.count(F.lit(1)).alias("held")), "first")
     gone = durable(join_by_count(grouped, first, "root", "held").where("uid <> kept").select("at"), "gone")

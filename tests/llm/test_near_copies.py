@@ -135,3 +135,10 @@ def test_least_hashes_keep_all_alike_pairs(n):
         assert N.alike_by_least(a[: N.LEAST], b[: N.LEAST], 80)
         other = np.unique(np.concatenate((both[: n // 2], rng.integers(0, 1 << 64, n // 2, np.uint64))))
         assert not N.alike_by_least(a[: N.LEAST], other[: N.LEAST], 80)
+
+
+def test_links_by_fingerprints_come_first(spark):
+    """Pairs by op10's method are made of the rows' fingerprints: copies of one, and those within four bits."""
+    rows = spark.createDataFrame([(0, 7), (1, 7), (2, 7 ^ (0b1111 << 40)), (3, 7 ^ (0b11111 << 20)), (4, -1), (5, -1 ^ 1)], "uid bigint, fp bigint")
+    found = {tuple(sorted(r)) for r in N.print_pairs(rows).collect()}
+    assert found == {(0, 1), (0, 2), (4, 5)}
