@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,40 @@ ORGANIC, CONVENTIONAL, IQF, ASEPTIC = r"\b(organic|organico|org)\b", r"\b(conven
 FLAGS = "(?iU)"
 
 
-def _has(text: Column, pattern: str) -> Column:
-    return text.rlike(FLAGS + pattern)
+#: letters that match others when case is ignored, though lower() doesn't make them those
+ALIKE = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def folded(text: Column) -> Column:
+    """text in lower case, so that it holds what a pattern matches in any case."""
+    return F.lower(F.translate(text, *ALIKE))
+
+
+def _stems(pattern: str) -> list[str]:
+    """Texts of which a match of one of the patterns above holds one: how its alternatives begin."""
+    plain = re.sub(r"\(\?=.*?\)", "", pattern).replace(r"\b", "").replace(r"b\s*&", "&")
+    return sorted({m for x in re.sub(r"\(\?:|[()]", "|", plain).split("|") if (m := re.match(r"[^\W\d_&]*[^\[\\+?]*", x).group())})
+
+
+def _may(pattern: str, low: Column | None) -> Column:
+    """Whether low, a folded text, may match: a plain search, for patterns are slow. Without it, any text may."""
+    held = F.lit(True) if low is None else F.lit(False)
+    for stem in _stems(pattern) if low is not None else ():
+        held = held | F.contains(low, F.lit(stem))
+    return held
+
+
+def _has(text: Column, pattern: str, low: Column | None = None) -> Column:
+    found = text.rlike(FLAGS + pattern)
+    return found if low is None else _may(pattern, low) & found
 
 
 def _group(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, FLAGS + pattern, group), F.lit(""))
 
 
-def _first_label(text: Column, patterns) -> Column:
-    return F.coalesce(*(F.when(_has(text, p), name) for name, p in patterns))
+def _first_label(text: Column, patterns, low: Column | None = None) -> Column:
+    return F.coalesce(*(F.when(_has(text, p, low), name) for name, p in patterns))
 
 
 def without_repeats(df: DataFrame, column: str, out: str = "clean_text", width: int = 5) -> DataFrame:
@@ -59,13 +85,13 @@ def without_repeats(df: DataFrame, column: str, out: str = "clean_text", width:
     return made.withColumn(out, F.coalesce(text, F.lit(""))).drop("_w", "_r")
 
 
-def fruit(text: Column) -> Column:
-    return F.coalesce(_first_label(text, FRUITS), F.lit("unknown"))
+def fruit(text: Column, low: Column | None = None) -> Column:
+    return F.coalesce(_first_label(text, FRUITS, low), F.lit("unknown"))
 
 
-def variety(text: Column) -> Column:
+def variety(text: Column, low: Column | None = None) -> Column:
     """Title-cased variety name, or null."""
-    return F.initcap(F.coalesce(*(_group(text, p, 1) for p in VARIETIES)))
+    return F.initcap(F.coalesce(*(F.when(_may(p, low), _group(text, p, 1)) for p in VARIETIES)))
 
 
 def size_mm(text: Column) -> Column:
@@ -78,20 +104,20 @@ def standard_size(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*\d+\s*[xX]\s*\d+"), F.concat_ws("x", F.regexp_extract(text, r"(\d+)\s*[xX]\s*(\d+)", 1), F.regexp_extract(text, r"(\d+)\s*[xX]\s*(\d+)", 2))).otherwise(text)
 
 
-def format_type(text: Column) -> Column:
+def format_type(text: Column, low: Column | None = None) -> Column:
     """First matching format; else iqf if that word is there; else chunks if there is a size; else unknown."""
-    return F.coalesce(_first_label(text, FORMATS), F.when(_has(text, IQF), "iqf"), F.when(size_mm(text).isNotNull(), "chunks"), F.lit("unknown"))
+    return F.coalesce(_first_label(text, FORMATS, low), F.when(_has(text, IQF, low), "iqf"), F.when(size_mm(text).isNotNull(), "chunks"), F.lit("unknown"))
 
 
-def certification(text: Column) -> Column:
-    return F.when(_has(text, ORGANIC), "organic").when(_has(text, CONVENTIONAL), "conventional").otherwise("unknown")
+def certification(text: Column, low: Column | None = None) -> Column:
+    return F.when(_has(text, ORGANIC, low), "organic").when(_has(text, CONVENTIONAL, low), "conventional").otherwise("unknown")
 
 
-def product(text: Column) -> Column:
-    """The parsed product as a struct."""
+def product(text: Column, low: Column | None = None) -> Column:
+    """The parsed product as a struct; with low, the folded text, patterns are tried only where they may match."""
     return F.struct(
-        fruit(text).alias("fruit_name"), variety(text).alias("variety"), F.struct(format_type(text).alias("format_type"), size_mm(text).alias("size_mm")).alias("product_format"),
-        F.struct(_has(text, ORGANIC).alias("is_organic"), _has(text, CONVENTIONAL).alias("is_conventional"), _has(text, IQF).alias("is_iqf"), _has(text, ASEPTIC).alias("is_aseptic"), certification(text).alias("certification")).alias("classification"),
+        fruit(text, low).alias("fruit_name"), variety(text, low).alias("variety"), F.struct(format_type(text, low).alias("format_type"), size_mm(text).alias("size_mm")).alias("product_format"),
+        F.struct(_has(text, ORGANIC, low).alias("is_organic"), _has(text, CONVENTIONAL, low).alias("is_conventional"), _has(text, IQF, low).alias("is_iqf"), _has(text, ASEPTIC, low).alias("is_aseptic"), certification(text, low).alias("certification")).alias("classification"),
     )
 
 
@@ -100,7 +126,8 @@ def parse_descriptions(df: DataFrame, column: str) -> DataFrame:
     text = F.col("_clean")
     none = F.struct(F.lit("unknown").alias("fruit_name"), F.lit(None).cast("string").alias("variety"), F.struct(F.lit(None).cast("string").alias("format_type"), F.lit(None).cast("string").alias("size_mm")).alias("product_format"), F.struct(*(F.lit(False).alias(k) for k in ("is_organic", "is_conventional", "is_iqf", "is_aseptic")), F.lit("unknown").alias("certification")).alias("classification"))
     empty = F.coalesce(F.col(column), F.lit("")) == ""
-    return without_repeats(df, column, "_clean").withColumn("product", F.when(empty, none).otherwise(product(text))).drop("_clean")
+    made = without_repeats(df, column, "_clean").withColumn("_low", folded(text))
+    return made.withColumn("product", F.when(empty, none).otherwise(product(text, F.col("_low")))).drop("_clean", "_low")
 
 
 def unit_values(kg: Column, fob: Column) -> tuple[Column, Column]:

@@ -269,3 +269,10 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0 and len(__spark_entry__.queries()) >= 80
+
+
+def test_plain_search_before_patterns_changes_no_product(spark):
+    odd = ["MANGOS", "İQF Dſ", "freſa org", "PLATANOS b  & P 10x20", "PLÁTANO PURÉ var: kent", "tommy atkins Kent", "mangofoo MangoX", "dragon fruit camu-camu ASÉPTICO", "", "bıts and pieces pıña organico", "Kent Keitt IQF", "UVAS Enteras Convencional"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string").withColumn("low", product.folded(F.col("t")))
+    rows = df.select(product.product(F.col("t")).alias("plain"), product.product(F.col("t"), F.col("low")).alias("guarded")).collect()
+    assert all(r["plain"] == r["guarded"] for r in rows) and len({r["plain"]["fruit_name"] for r in rows}) > 5
