@@ -66,3 +66,8 @@ def test_full_unaccent(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
     assert {r["doc_id"]: r["plain"] for r in Q["full_unaccent"](spark, sf).collect()} == {i: plain(t) for i, t in texts.items()}
+
+
+def test_names_are_dealt_to_all_tasks(spark, sf):
+    """A table in one split isn't cleaned by one task."""
+    assert registry._companies(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
