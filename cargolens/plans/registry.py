@@ -175,6 +175,10 @@ ON_SHIPMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: What the lines meet first, in queries that keep few exporters or destinations.
+FIRST = {"detail_by_exporter": "exporter", "drill_exporter_by_fruit": "exporter", "detail_by_destination": "order"}
+
+
 def _rollup(spark: SparkSession, sf: str) -> Rollup:
     """All shipments in three increments, by date; the view is read once for all of them."""
     s, day = once(shipments(spark, sf), *(c for c in KEYS if c not in ("weighed", "month")), "net_weight_mt", "fob_usd", "date"), F.col("date")
@@ -220,7 +224,7 @@ ON_TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {name: (lambda f: lambda spark, sf_dir: f(shipments(spark, sf_dir)))(f) for name, f in ON_SHIPMENTS.items()}
+    own = {name: (lambda f, first: lambda spark, sf_dir: f(shipments(spark, sf_dir, first)))(f, FIRST.get(name, "product")) for name, f in ON_SHIPMENTS.items()}
     return own | ON_TABLES
 
 

@@ -87,22 +87,38 @@ def load_ytd(df: DataFrame, ytd: tuple[dt.date, dt.date] = YTD) -> DataFrame:
     return between_dates(df, *ytd)
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shipment fact over the star schema: one row a line item, with its product, exporter, importer, destination and order. Orders meet their buyers before their lines do, so that lines are shuffled by product and order only, and long texts come last."""
+#: Estimated bytes up to which a table is sent to all tasks, whatever the session's own threshold: some 700,000 suppliers.
+SENT_BYTES = 16 << 20
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if Spark's estimate from its files is small enough."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= SENT_BYTES else df
+
+
+def shipments(spark: SparkSession, sf_dir: str, first: str = "product") -> DataFrame:
+    """The shipment fact over the star schema: one row a line item, with its product, exporter, importer, destination and order. Orders meet their buyers before their lines do, so that lines are shuffled by product and order only, and long texts come last.
+
+    Suppliers are sent to the lines while they are few. first ("product", "order" or "exporter") is what lines meet
+    first: a query that keeps few of these then moves its own lines only.
+    """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     buyers = read("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name", "r_name")
     orders = read("orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
-    return (
-        lines.join(read("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(read("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("l_orderkey").alias("declaration"), F.col("s_name").alias("exporter"), F.col("c_name").alias("importer"), F.col("p_type").alias("fruit_name"), F.col("p_brand").alias("format_type"), F.col("p_size").cast("string").alias("size_mm"),
-            F.when(F.col("l_returnflag") == "R", "organic").when(F.col("l_returnflag") == "A", "conventional").otherwise("unknown").alias("certification"),
-            F.col("n_name").alias("country"), F.when(F.col("r_name") == "EUROPE", "Europe").otherwise("Rest of World").alias("region"), F.to_date("l_shipdate").alias("date"),
-            F.col("l_quantity").cast("double").alias("net_weight_mt"), F.col("l_extendedprice").alias("fob_usd"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("usd_per_mt"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", "AIR").otherwise("SEA").alias("via"), F.col("p_name").alias("description"),
-        )
+    lines = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", F.to_date("l_shipdate").alias("date"))
+    sides = {
+        "product": (read("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey")),
+        "order": (orders, F.col("l_orderkey") == F.col("o_orderkey")),
+        "exporter": (sent_if_small(read("supplier").select("s_suppkey", "s_name")), F.col("l_suppkey") == F.col("s_suppkey")),
+    }
+    for name in sorted(sides, key=lambda n: n != first):
+        lines = lines.join(*sides[name])
+    return lines.select(
+        F.col("l_orderkey").alias("declaration"), F.col("s_name").alias("exporter"), F.col("c_name").alias("importer"), F.col("p_type").alias("fruit_name"), F.col("p_brand").alias("format_type"), F.col("p_size").cast("string").alias("size_mm"),
+        F.when(F.col("l_returnflag") == "R", "organic").when(F.col("l_returnflag") == "A", "conventional").otherwise("unknown").alias("certification"),
+        F.col("n_name").alias("country"), F.when(F.col("r_name") == "EUROPE", "Europe").otherwise("Rest of World").alias("region"), "date",
+        F.col("l_quantity").cast("double").alias("net_weight_mt"), F.col("l_extendedprice").alias("fob_usd"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("usd_per_mt"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "AIR").otherwise("SEA").alias("via"), F.col("p_name").alias("description"),
     )
