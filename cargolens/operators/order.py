@@ -1,6 +1,6 @@
 """Order statistics that no single task computes alone: exact quantiles by group, and ranks and running sums over all rows.
 
-Values are dealt to shards that keep their order. Counts by shard are small and
+Values of large groups are dealt to shards that keep their order. Counts by shard are small and
 tell what comes before each shard; only inside a shard are rows sorted.
 """
 
@@ -15,6 +15,10 @@ from cargolens.sources.written import written
 
 #: shards for a factor of e in the value: a shard's values lie within 1.6 %
 PER_E = 64
+#: values up to which a group is sorted whole, by one task
+WHOLE = 1 << 17
+#: rows that are dealt to one task
+SHARE = 1 << 20
 UP_TO_BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -24,7 +28,7 @@ def shard_of(value: Column) -> Column:
 
 
 def beside(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """left joined to right on keys, null keys being equal; one-row frames if there are no keys."""
+    """left joined to right on keys, null keys being equal; one-row frames if there are no keys. A broadcast hint on right holds."""
     if not keys:
         return left.crossJoin(F.broadcast(right))  # one row by one row
     other = right.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in right.columns if c not in keys))
@@ -34,15 +38,57 @@ def beside(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(other, on, how).drop(*(f"_{k}" for k in keys))
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df's rows dealt by keys to so many tasks that each gets SHARE of them, however many the session asks for."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SHARE)), *keys)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: dict[str, float]) -> DataFrame:
     """(keys, a column for each of qs): exact, linearly interpolated quantiles of the column's non-null values by keys, which may be null; groups without values are left out.
 
-    Equal values of a group are counted first. From the counts by shard
+    Groups of up to WHOLE values are dealt to tasks as they are and sorted there: one
+    shuffle. Of larger ones, equal values of a group are counted first. From the counts by shard
     follows in which shard each quantile's two neighbours lie; the values of these
     shards alone are sorted, each shard by itself, so that a group of any size
-    costs no task more than a shard of it.
+    costs no task more than a shard of it. df is read for the groups' sizes first, so it should be cheap to read, as once() makes it.
     """
-    return quantiles_of_counts(df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), keys, qs)
+    own = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
+    counted = lambda rows: rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    if not keys:
+        return quantiles_of_counts(counted(own), keys, qs)
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    told = {r["large"]: r["rows"] for r in sizes.groupBy((F.col("_m") > WHOLE).alias("large")).agg(F.sum("_m").alias("rows")).collect()}  # two rows at most
+    if True not in told:
+        return quantiles_of_groups(dealt(own, told.get(False, 0), *keys), keys, qs)
+    if False not in told:
+        return quantiles_of_counts(counted(own), keys, qs)
+    large = F.broadcast(sizes.where(F.col("_m") > WHOLE).drop("_m"))  # one row for WHOLE of df's at most
+    small = quantiles_of_groups(dealt(beside(own, large, keys, "left_anti"), told[False], *keys), keys, qs)
+    return small.unionByName(quantiles_of_counts(counted(beside(own, large, keys, "left_semi")), keys, qs))
+
+
+def quantiles_of_groups(own: DataFrame, keys: Sequence[str], qs: dict[str, float]) -> DataFrame:
+    """exact_quantiles of values (keys, _v), dealt by keys, each group sorted by one task."""
+    group = Window.partitionBy(*keys)
+    placed = own.withColumns({"_first": F.row_number().over(group.orderBy("_v")) - 1, "_all": F.count(F.lit(1)).over(group)}).withColumn("_last", F.col("_first"))
+    return _between(placed, keys, _places(qs))
+
+
+def _places(qs: dict[str, float]) -> dict[str, Column]:
+    """Where in a group of _all values each quantile lies."""
+    return {name: q * (F.col("_all") - 1) for name, q in qs.items()}
+
+
+def _between(placed: DataFrame, keys: Sequence[str], place: dict[str, Column]) -> DataFrame:
+    """Quantiles from values (keys, _v, _all) that stand at the places _first to _last."""
+    at_place = lambda p: F.max(F.when(p.between(F.col("_first"), F.col("_last")), F.col("_v")))
+    ends = [c for name, at in place.items() for c in (at_place(F.floor(at)).alias(f"_lo_{name}"), at_place(F.ceil(at)).alias(f"_hi_{name}"))]
+    found = placed.groupBy(*keys).agg(F.max("_all").alias("_all"), *ends)
+    out = []
+    for name, at in place.items():
+        lo, hi, up = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.ceil(at)
+        out.append(F.when(lo == hi, lo).otherwise((up - at) * lo + (at - F.floor(at)) * hi).alias(name))
+    return found.select(*keys, *out)
 
 
 def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], qs: dict[str, float]) -> DataFrame:
@@ -51,21 +97,14 @@ def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], qs: dict[str, f
     group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_m").over(group.orderBy("_s").rowsBetween(*UP_TO_BEFORE)), F.lit(0))
     sized = sized.withColumns({"_before": before, "_all": F.sum("_m").over(group)})
-    place = {name: q * (F.col("_all") - 1) for name, q in qs.items()}
+    place = _places(qs)
     wanted = F.lit(False)
     for at in place.values():
         wanted = wanted | ((F.floor(at) < F.col("_before") + F.col("_m")) & (F.ceil(at) >= F.col("_before")))
     near = beside(counted.withColumn("_s", shard_of(F.col("_v"))), sized.where(wanted).drop("_m"), [*keys, "_s"], "inner")
     run = F.col("_before") + F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(*UP_TO_BEFORE)), F.lit(0))
     placed = near.withColumn("_first", run).withColumn("_last", F.col("_first") + F.col("_n") - 1)
-    at_place = lambda p: F.max(F.when(p.between(F.col("_first"), F.col("_last")), F.col("_v")))
-    ends = [c for name, at in place.items() for c in (at_place(F.floor(at)).alias(f"_lo_{name}"), at_place(F.ceil(at)).alias(f"_hi_{name}"))]
-    found = placed.groupBy(*keys).agg(F.max("_all").alias("_all"), *ends)
-    out = []
-    for name, at in place.items():
-        lo, hi, up = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.ceil(at)
-        out.append(F.when(lo == hi, lo).otherwise((up - at) * lo + (at - F.floor(at)) * hi).alias(name))
-    return found.select(*keys, *out)
+    return _between(placed, keys, place)
 
 
 def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], column: str, qs: dict[str, float]) -> DataFrame:
