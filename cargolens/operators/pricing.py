@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions.numbers import r4
-from cargolens.operators.order import beside, exact_quantiles, with_quantiles
+from cargolens.operators.order import beside, dealt, exact_quantiles, with_quantiles
 from cargolens.sources.written import once, written
 
 DIMENSIONS = {"fruit": "fruit_name", "exporter": "exporter", "importer": "importer", "format": "format_type", "country": "country", "certification": "certification", "size": "size_mm"}
@@ -131,8 +131,10 @@ def _with_median(out: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFram
 
 def exporter_summary(df: DataFrame) -> DataFrame:
     keys = ["fruit_name", "exporter"]
-    df = once(df, *keys, "usd_per_mt", "net_weight_mt", "format_type")
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("shipments"), r4(F.avg("usd_per_mt")).alias("avg_price"), F.round(F.sum("net_weight_mt"), 2).alias("total_mt"), F.array_join(F.array_sort(F.collect_set("format_type")), ", ").alias("formats"))
+    p, df = "usd_per_mt", once(df, *keys, "usd_per_mt", "net_weight_mt", "format_type")
+    # sums by format first: rows of a group are dealt to several tasks, and sets take a row for each format
+    each = dealt(df, df.count(), *keys, "format_type").groupBy(*keys, "format_type").agg(F.count(F.lit(1)).alias("n"), F.count(p).alias("priced"), F.sum(p).alias("sum"), F.sum("net_weight_mt").alias("mt"))
+    out = each.groupBy(*keys).agg(F.sum("n").alias("shipments"), r4(F.try_divide(F.sum("sum"), F.sum("priced"))).alias("avg_price"), F.round(F.sum("mt"), 2).alias("total_mt"), F.array_join(F.array_sort(F.collect_set("format_type")), ", ").alias("formats"))
     return _with_median(out, df, keys)
 
 
