@@ -64,25 +64,35 @@ def _first_label(text: Column, patterns, low: Column | None = None) -> Column:
     return F.coalesce(*(F.when(_has(text, p, low), name) for name, p in patterns))
 
 
+#: hash of a run of words
+run_hash = F.xxhash64
+
+
 def without_repeats(df: DataFrame, column: str, out: str = "clean_text", width: int = 5) -> DataFrame:
     """Add `out`: lower-cased words of column, joined by single spaces, each dropped if the run of up to `width` words from it came before.
 
-    Where all runs' hashes differ, all runs do. Else runs are sorted with their
-    places and the first place of each run stays, so long texts cost n log n.
-    Words, and then runs, are made once by a generator, as the functions over
-    arrays read them many times.
+    Where all runs' hashes differ, all runs do. Else hashes are sorted with their
+    places, runs of one hash are compared word by word, and the first place of each stays, so long texts cost n log n.
+    Only if two runs that differ have one hash, the runs themselves are sorted. What is read
+    many times is made once by a generator, as the functions over arrays read it anew each time; sort_array compares natively, array_sort by an expression.
     """
     words = F.filter(F.split(F.lower(F.col(column)), r"\s+"), lambda w: w != "")
     made = df.withColumn("_w", F.explode_outer(F.array(words)))
-    hashes = F.transform("_w", lambda w, i: F.xxhash64(w, *(F.get(F.col("_w"), i + k) for k in range(1, width))))
-    again = F.size(F.array_distinct(hashes)) < F.size("_w")
-    runs = F.array_sort(F.transform("_w", lambda w, i: F.struct(F.concat_ws(" ", w, *(F.get(F.col("_w"), i + k) for k in range(1, width))).alias("run"), i.alias("i"), w.alias("w"))))
-    made = made.withColumn("_r", F.explode_outer(F.array(F.when(again, runs))))
+    hashes = F.transform("_w", lambda w, i: run_hash(w, *(F.get(F.col("_w"), i + k) for k in range(1, width))))
+    made = made.withColumn("_h", F.explode_outer(F.array(hashes)))
+    again = F.size(F.array_distinct("_h")) < F.size("_h")
+    made = made.withColumn("_p", F.explode_outer(F.array(F.when(again, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))))
+    earlier = lambda k: F.get(F.col("_p"), k - 1)
+    run = lambda x: F.slice("_w", x["i"] + 1, width)
+    clash = F.exists(F.transform("_p", lambda x, k: F.coalesce((x["h"] == earlier(k)["h"]) & (run(x) != run(earlier(k))), F.lit(False))), lambda c: c)
+    places = F.sort_array(F.transform(F.filter("_p", lambda x, k: ~x["h"].eqNullSafe(earlier(k)["h"])), lambda x: x["i"]))
+    runs = F.sort_array(F.transform("_w", lambda w, i: F.struct(F.concat_ws(" ", w, *(F.get(F.col("_w"), i + k) for k in range(1, width))).alias("run"), i.alias("i"), w.alias("w"))))
+    made = made.withColumn("_r", F.explode_outer(F.array(F.when(clash, runs))))
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform("_r", lambda r: r["run"]))
     firsts = F.zip_with(F.col("_r"), F.slice(before, F.lit(1), F.size("_r")), lambda r, b: F.when(~r["run"].eqNullSafe(b), F.struct(r["i"].alias("i"), r["w"].alias("w"))))
-    kept = F.transform(F.array_sort(F.filter(firsts, lambda x: x.isNotNull())), lambda x: x["w"])
-    text = F.array_join(F.when(F.col("_r").isNull(), F.col("_w")).otherwise(kept), " ")
-    return made.withColumn(out, F.coalesce(text, F.lit(""))).drop("_w", "_r")
+    kept = F.transform(F.sort_array(F.filter(firsts, lambda x: x.isNotNull())), lambda x: x["w"])
+    text = F.array_join(F.when(F.col("_p").isNull(), F.col("_w")).when(F.col("_r").isNotNull(), kept).otherwise(F.transform(places, lambda i: F.get(F.col("_w"), i))), " ")
+    return made.withColumn(out, F.coalesce(text, F.lit(""))).drop("_w", "_h", "_p", "_r")
 
 
 def fruit(text: Column, low: Column | None = None) -> Column:
