@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cargolens.sources.readers import sent_if_small
+
 #: name: (aggregate over the rows that are written, test of its value)
 Checks = Mapping[str, tuple[Column, Callable]]
 
@@ -149,9 +151,9 @@ class Store:
         return self._changed(own, column, new, checks)
 
     def update_by_key(self, mapping: DataFrame, key: str, column: str, found: str, checks: Checks | None = None) -> dict:
-        """Set column from mapping (key, found) where the key is mapped to something; others stay. Null keys map nothing; a key that comes twice is an error."""
+        """Set column from mapping (key, found) where the key is mapped to something; others stay. Null keys map nothing; a key that comes twice is an error. A small mapping is sent to the rows."""
         self._not_partition(column)
-        known = mapping.where(F.col(key).isNotNull() & F.col(found).isNotNull()).select(F.col(key).alias("_key"), F.col(found).alias("_found"))
+        known = sent_if_small(mapping.where(F.col(key).isNotNull() & F.col(found).isNotNull()).select(F.col(key).alias("_key"), F.col(found).alias("_found")))
         twice = known.groupBy("_key").count().where("count > 1").select("_key").first()
         if twice is not None:
             raise ValueError(f"{key} {twice[0]} is mapped twice")
