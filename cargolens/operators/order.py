@@ -68,9 +68,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: dict[st
 
 
 def quantiles_of_groups(own: DataFrame, keys: Sequence[str], qs: dict[str, float]) -> DataFrame:
-    """exact_quantiles of values (keys, _v), dealt by keys, each group sorted by one task."""
+    """exact_quantiles of values (keys, _v), which may come with their numbers _n, dealt by keys, each group sorted by one task."""
     group = Window.partitionBy(*keys)
-    placed = own.withColumns({"_first": F.row_number().over(group.orderBy("_v")) - 1, "_all": F.count(F.lit(1)).over(group)}).withColumn("_last", F.col("_first"))
+    if "_n" in own.columns:
+        before = F.coalesce(F.sum("_n").over(group.orderBy("_v").rowsBetween(*UP_TO_BEFORE)), F.lit(0))
+        placed = own.withColumns({"_first": before, "_all": F.sum("_n").over(group)}).withColumn("_last", F.col("_first") + F.col("_n") - 1)
+    else:
+        placed = own.withColumns({"_first": F.row_number().over(group.orderBy("_v")) - 1, "_all": F.count(F.lit(1)).over(group)}).withColumn("_last", F.col("_first"))
     return _between(placed, keys, _places(qs))
 
 

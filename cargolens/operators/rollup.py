@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.functions.numbers import r4
-from cargolens.operators.order import beside, quantiles_of_counts
+from cargolens.operators.order import WHOLE, beside, dealt, quantiles_of_counts, quantiles_of_groups
 from cargolens.operators.pricing import DIMENSIONS, QUARTILES, region_filter
-from cargolens.sources.store import Store
-from cargolens.sources.written import once
+from cargolens.sources.store import Store, summed
+from cargolens.sources.written import once, written
 
 KEYS = ["fruit_name", "exporter", "importer", "format_type", "size_mm", "certification", "country", "region", "usd_per_mt", "weighed", "month"]
 SUMS = ["n", "mt", "fob"]
@@ -25,7 +25,7 @@ def units(df: DataFrame) -> DataFrame:
 
 def states(df: DataFrame) -> DataFrame:
     """Shipments as states: number, tons and value by every key. weighed says whether the weight is positive; month is null without a date."""
-    return units(df).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
+    return summed(units(df), KEYS, SUMS)
 
 
 class Rollup:
@@ -41,7 +41,7 @@ class Rollup:
         return cls(spark, path)
 
     def add(self, df: DataFrame, increment: str) -> bool:
-        """Merge further shipments, such as a day's; only their months are written. An increment that was merged already is left out: False. df is read twice, once for its months; the merge alone sums it."""
+        """Merge further shipments, such as a day's; only their months are written. An increment that was merged already is left out: False. df is read twice, once for its months, and by the merge as summed() tells."""
         return self.store.merge(units(df), KEYS, SUMS, increment) is not None
 
     def quartiles(self, dimension: str = "fruit", region: str | None = None, where: dict[str, str] | None = None) -> DataFrame:
@@ -52,9 +52,15 @@ class Rollup:
             own = own.where(F.col(DIMENSIONS[name]) == value)
         more = ["fruit_name"] if dimension == "exporter" else []
         own = once(own.withColumn(dimension, F.col(column)), dimension, *more, "usd_per_mt", "n", "mt")
-        out = own.groupBy(dimension).agg(F.round(F.sum("mt"), 2).alias("total_mt"), F.sum("n").alias("records"), *(F.countDistinct(c).alias("fruits") for c in more))
-        counted = own.groupBy(dimension, F.col("usd_per_mt").cast("double").alias("_v")).agg(F.sum("n").alias("_n"))
-        out = beside(out, quantiles_of_counts(counted, [dimension], QUARTILES), [dimension])
+        out = own.groupBy(dimension).agg(F.round(F.sum("mt"), 2).alias("total_mt"), F.sum("n").alias("records"), F.count(F.lit(1)).alias("_m"), *(F.countDistinct(c).alias("fruits") for c in more))
+        out = written(out, "totals")
+        values = own.select(dimension, F.col("usd_per_mt").cast("double").alias("_v"), F.col("n").alias("_n"))
+        most, rows = out.agg(F.max("_m"), F.sum("_m")).first()
+        if (most or 0) <= WHOLE:  # one shuffle
+            found = quantiles_of_groups(dealt(values, rows or 0, dimension), [dimension], QUARTILES)
+        else:
+            found = quantiles_of_counts(values.groupBy(dimension, "_v").agg(F.sum("_n").alias("_n")), [dimension], QUARTILES)
+        out = beside(out, found, [dimension])
         return out.select(dimension, *(r4(n).alias(n) for n in QUARTILES), "total_mt", "records", *(["fruits"] if more else [])).orderBy(F.col("total_mt").desc(), dimension)
 
     def price_range(self, keys: Sequence[str], weighed: bool = False) -> DataFrame:

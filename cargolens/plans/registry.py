@@ -18,7 +18,7 @@ from cargolens.operators import pricing as R
 from cargolens.operators import quality as Q
 from cargolens.operators.rollup import KEYS, Rollup
 from cargolens.plans.oracles import ORACLES
-from cargolens.sources.readers import between_dates, shipments
+from cargolens.sources.readers import between_dates, shipments, with_price
 from cargolens.sources.store import Store
 from cargolens.sources.written import once, shared_path
 
@@ -180,8 +180,8 @@ FIRST = {"detail_by_exporter": "exporter", "drill_exporter_by_fruit": "exporter"
 
 
 def _rollup(spark: SparkSession, sf: str) -> Rollup:
-    """All shipments in three increments, by date; the view is read once for all of them."""
-    s, day = once(shipments(spark, sf), *(c for c in KEYS if c not in ("weighed", "month")), "net_weight_mt", "fob_usd", "date"), F.col("date")
+    """All shipments in three increments, by date; the view is read once for all of them, and its price is made again rather than written."""
+    s, day = with_price(once(shipments(spark, sf), *(c for c in KEYS if c not in ("usd_per_mt", "weighed", "month")), "net_weight_mt", "fob_usd", "date")), F.col("date")
     first, second = F.coalesce(day < D(1994, 1, 1), F.lit(False)), F.coalesce(day < D(1996, 7, 15), F.lit(False))
     kept = Rollup.create(spark, shared_path(spark, "rollup"), s.where(first))
     kept.add(s.where(~first & second), "second")

@@ -91,10 +91,19 @@ def load_ytd(df: DataFrame, ytd: tuple[dt.date, dt.date] = YTD) -> DataFrame:
 SENT_BYTES = 16 << 20
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark's estimate from df's files is small enough for a broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SENT_BYTES
+
+
 def sent_if_small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if Spark's estimate from its files is small enough."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= SENT_BYTES else df
+    """df, to be broadcast if it is small."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def with_price(df: DataFrame) -> DataFrame:
+    """Columns of the shipments view with usd_per_mt as the view has it: its value by its tons."""
+    return df.withColumn("usd_per_mt", F.col("fob_usd") / F.col("net_weight_mt"))
 
 
 def shipments(spark: SparkSession, sf_dir: str, first: str = "product") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cargolens.sources.readers import sent_if_small
+from cargolens.sources.readers import is_small, sent_if_small
+from cargolens.sources.written import written
 
 #: name: (aggregate over the rows that are written, test of its value)
 Checks = Mapping[str, tuple[Column, Callable]]
@@ -20,6 +21,23 @@ class CheckFailed(ValueError):
     """A check of the written rows failed; the table is as it was."""
 
 
+def summed(df: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """The sums by keys; nulls are keys.
+
+    Where keys hardly repeat, as with a price among them, grouping would shuffle whole rows to leave them as
+    they are. So hashes of the keys are counted first: rows whose hash comes once are kept, and only the others are grouped. If too
+    many hashes repeat to be sent to the rows, all are grouped. df is read up to three times, so it should be cheap to read, as once() makes it.
+    """
+    grouped = lambda rows: rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+    hashed = df.select(*keys, *sums, F.xxhash64(*keys).alias("_hash"))
+    repeated = written(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"), "repeated")
+    if not is_small(repeated):
+        return grouped(df)
+    some = grouped(hashed.join(F.broadcast(repeated), "_hash", "left_semi"))
+    alone = hashed.join(F.broadcast(repeated), "_hash", "left_anti")
+    return alone.select(*keys, *(F.col(c).cast(some.schema[c].dataType) for c in sums)).unionByName(some)
+
+
 class Files:
     """The Hadoop file system of a path."""
 
@@ -104,7 +122,7 @@ class Store:
         checks, staged = checks or {}, f"{self.path}/_staged/{uuid.uuid4().hex}"
         seen = Observation()
         counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(agg.alias(name) for name, (agg, _) in checks.items()))
-        counted.select(*(n for n in rows.columns if n in self.schema.names)).write.partitionBy(self.partition).parquet(staged)
+        counted.select(*(n for n in rows.columns if n in self.schema.names)).write.partitionBy(self.partition).parquet(staged, compression="zstd")
         found = {"rows": 0, **seen.get}
         failed = [name for name, (_, test) in checks.items() if name in found and not test(found[name])]
         if failed:
@@ -172,7 +190,7 @@ class Store:
         if mark is not None and mark in self.marks():
             return None
         both = self.touched(rows).select(*keys, *sums).unionByName(rows.select(*keys, *sums))
-        return self.replace(both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums)), mark=mark)
+        return self.replace(summed(both, keys, sums), mark=mark)
 
     def _not_partition(self, column: str) -> None:
         if column == self.partition:

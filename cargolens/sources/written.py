@@ -29,13 +29,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written there and read back, so that a lost executor costs no more than what it holds."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def once(df: DataFrame, *columns: str) -> DataFrame:
     """These columns of df, written: what several aggregates need of a costly view, so that the view is read once."""
-    return written(df.select(*dict.fromkeys(columns)), "once")
+    return written(df.select(*dict.fromkeys(columns)), "once", "zstd")
