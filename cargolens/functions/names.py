@@ -109,15 +109,19 @@ def clean_company(name: Column, strip_legal: bool = True, remove_addresses: bool
     return F.aggregate(words, start, step, lambda acc: F.trim(F.concat(acc["done"], F.lit(" "), acc["lone"])))
 
 
+def _strip(words: Column, test) -> Column:
+    """words from the first one for which test is false; `words` is told once, as what stands in it would be computed again for each mention."""
+    return F.aggregate(words, F.array().cast("array<string>"), lambda acc, w: F.when((F.size(acc) == 0) & test(w), acc).otherwise(F.concat(acc, F.array(w))))
+
+
 def _strip_head(words: Column, drop: tuple[str, ...]) -> Column:
     """words from the first one that isn't in drop."""
-    keep = F.filter(F.transform(words, lambda w, i: F.when(~w.isin(*drop), i)), lambda i: i.isNotNull())
-    return F.slice(words, F.coalesce(F.get(keep, F.lit(0)), F.size(words)) + 1, F.size(words))
+    return _strip(words, lambda w: w.isin(*drop))
 
 
 def _strip_tail(words: Column, test) -> Column:
     """words up to the last one for which test is false."""
-    return F.reverse(F.aggregate(F.reverse(words), F.array().cast("array<string>"), lambda acc, w: F.when((F.size(acc) == 0) & test(w), acc).otherwise(F.concat(acc, F.array(w)))))
+    return F.reverse(_strip(F.reverse(words), test))
 
 
 def _words(text: Column) -> Column:
@@ -169,9 +173,44 @@ def rule_clean_importer(name: Column) -> Column:
     return F.trim(F.regexp_replace(cut, r"\s+", " "))
 
 
+def equal_start(a: str, b: str) -> int:
+    """How many characters at their start are the same."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return low
+
+
+def matched(a: str, b: str) -> int:
+    """Characters in the matching blocks that SequenceMatcher finds without junk: the longest block, the first of a and then of b if several are, and those on either side of it."""
+    if a == b:
+        return len(a)
+    # a block as long as the ends that both share is there, so only such and longer ones are looked for
+    least = max(equal_start(a, b), equal_start(a[::-1], b[::-1]))
+    total, parts = 0, [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        n, size, at = len(a), max(least - 1, 0), 0
+        least = 0
+        for i in range(n):
+            if i + size >= n:
+                break
+            while i + size < n and a[i : i + size + 1] in b:
+                size, at = size + 1, i
+        if size:
+            to = b.find(a[at : at + size])
+            total += size
+            if at and to:
+                parts.append((a[:at], b[:to]))
+            if at + size < n and to + size < len(b):
+                parts.append((a[at + size :], b[to + size :]))
+    return total
+
+
 def ratio(a: str, b: str) -> int:
     """Matched characters in percent of both lengths, rounded."""
-    return round(100 * SequenceMatcher(None, a, b, autojunk=False).ratio())
+    return round(100 * (2.0 * matched(a, b) / (len(a) + len(b)))) if a or b else 100
 
 
 def token_sort_ratio(a: str, b: str) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions import names as N
 from cargolens.functions.numbers import r4
-from cargolens.operators.similar import block_heads, greedy_heads, similar_names
+from cargolens.operators.similar import block_heads, dealt, greedy_names
 from cargolens.sources.written import written
 
 
@@ -25,8 +25,10 @@ def cluster_names(counts: DataFrame, within: int = 80, across: int = 90, spacing
     spaces and of similar length. Ties go by name. Names of one cleaned form, and clusters of one
     canonical name, are compared once; a null name is none.
     """
-    cleaned = counts.where("name is not null").withColumn("cleaned", N.clean_company(F.col("name"))).withColumn("core", N.core_name(F.col("cleaned"))).where("core <> ''")
-    cleaned = written(cleaned.withColumn("brand", N.brand_name(F.col("cleaned"))).select("name", "n", "cleaned", "core", "brand"), "cleaned")
+    told = dealt(counts.where("name is not null")).select("name", "n", N.clean_company(F.col("name")).alias("cleaned"))
+    told = told.select("name", "n", "cleaned", N.core_name(F.col("cleaned")).alias("core"), N.brand_name(F.col("cleaned")).alias("brand"))
+    # only what is written is filtered: else names are cleaned for the filter too, in the tasks that read them
+    cleaned = written(told, "cleaned", "zstd").where("core <> ''")
     forms = cleaned.groupBy(F.col("core").alias("block"), F.col("cleaned").alias("form")).agg(F.min(F.struct((-F.col("n")).alias("less"), "name")).alias("place"))
     forms = written(forms, "forms")
     heads = block_heads(forms, lambda a, b: max(N.token_sort_ratio(a, b), N.token_set_ratio(a, b)) >= within)
@@ -36,7 +38,7 @@ def cluster_names(counts: DataFrame, within: int = 80, across: int = 90, spacing
     groups = written(placed.groupBy("root").agg(best.alias("name"), F.sum("n").alias("n"), F.array_sort(F.collect_list("name")).alias("aliases")), "groups")
 
     nodes = written(groups.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("less"), "name", "root")).alias("place")), "nodes")
-    merged = greedy_heads(nodes, similar_names(nodes, across, spacing, least_length_ratio))
+    merged = greedy_names(nodes, across, spacing, least_length_ratio)
     top = F.min_by("name", F.struct((-F.col("n")).alias("less"), (-F.length("name")).alias("shorter"), "name", "root"))
     return groups.join(merged, "name").groupBy("head").agg(top.alias("canonical_name"), F.array_sort(F.flatten(F.collect_list("aliases"))).alias("aliases"), F.sum("n").alias("count")).drop("head")
 

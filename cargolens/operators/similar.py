@@ -3,7 +3,7 @@
 The similarity of two names counts matched characters. Of names that are alike
 enough, all but a few characters match. Where few enough are left over, the
 characters that both have in common are made by deleting the others: names of two
-lengths meet at what is left of them. Where that are too many, the matches lie
+lengths meet at what is left of them (a word that most names have stays whole among those). Where that are too many, the matches lie
 in few runs, so such names share many of
 their grams (runs of 2 or 3 characters within a word), and whoever takes
 only the rarest grams of each name finds each pair by one of them. Names that are
@@ -64,31 +64,33 @@ def deletions(length: int, partner: int, share: float) -> tuple[int, int] | None
     return (length - left, partner - left) if left <= min(length, partner) else None
 
 
-def by_deletion(length: int, partner: int, share: float) -> bool:
-    """Whether names of two lengths meet at what is left of them."""
+def by_deletion(length: int, partner: int, share: float, whole: int = 0) -> bool:
+    """Whether names of two lengths meet at what is left of them, if so many characters stay whole."""
     n = deletions(length, partner, share)
-    return n is not None and math.comb(length, n[0]) <= WAYS and math.comb(partner, n[1]) <= WAYS
+    return n is not None and math.comb(max(length - whole, n[0]), n[0]) <= WAYS and math.comb(max(partner - whole, n[1]), n[1]) <= WAYS
 
 
-def by_grams(length: int, lengths: Iterable[int], share: float) -> bool:
+def by_grams(length: int, lengths: Iterable[int], share: float, whole: int = 0) -> bool:
     """Whether a name must meet names of one of these lengths by grams."""
-    return any(deletions(length, n, share) and not by_deletion(length, n, share) for n in lengths)
+    return any(deletions(length, n, share) and not by_deletion(length, n, share, whole) for n in lengths)
 
 
 @lru_cache(256)
 def without(word: str, n: int) -> frozenset[str]:
     """word without n of its characters, in all ways."""
-    return frozenset(w[:i] + w[i + 1 :] for w in without(word, n - 1) for i in range(len(w))) if n else frozenset((word,))
+    return frozenset(map("".join, combinations(word, len(word) - n))) if n <= len(word) else frozenset()
 
 
-def remnants(words: tuple[str, ...], n: int) -> set[str]:
-    """What n deletions leave of sorted words, in all ways: of a character, or of the space between a word and any later one, as words that both names have may stand elsewhere. Words are put in order again."""
+def remnants(words: tuple[str, ...], n: int, joins: Iterable[int] | None = None) -> set[str]:
+    """What n deletions leave of sorted words, in all ways: of a character, or of the space between a word and any later one, as words that both names have may stand elsewhere. Words are put in order again. `joins` says how many are spaces, any number if None."""
+    if len(words) == 1:
+        return set(without(words[0], n)) if joins is None or 0 in joins else set()
     out, merged = set(), {words}
-    for joins in range(n + 1):
-        for own in merged:
-            # the places of n - joins deletions among the words, as bars between stars
-            for bars in combinations(range(n - joins + len(own) - 1), len(own) - 1):
-                ends = (-1, *bars, n - joins + len(own) - 1)
+    for k in range(n + 1):
+        for own in merged if joins is None or k in joins else ():
+            # the places of n - k deletions among the words, as bars between stars
+            for bars in combinations(range(n - k + len(own) - 1), len(own) - 1):
+                ends = (-1, *bars, n - k + len(own) - 1)
                 each = [without(w, hi - lo - 1) for w, lo, hi in zip(own, ends, ends[1:], strict=False)]
                 out.update(" ".join(sorted(filter(None, some))) for some in product(*each))
         merged = {(*own[:i], own[i] + own[j], *own[i + 1 : j], *own[j + 1 :]) for own in merged for i, j in combinations(range(len(own)), 2)}
@@ -101,23 +103,58 @@ def forms(name: str) -> tuple[str, tuple[str, ...], int]:
     return name.replace(" ", ""), words, sum(map(len, words)) + len(words) - 1
 
 
-def remnant_keys(name: str, across: int, spacing: int, lengths: Iterable[int], solid_lengths: Iterable[int]) -> list[tuple[str, bool, bool]]:
-    """(key, low, high) of a name: what is left of it where it meets names of these lengths by deletion, and whether it is one of the shorter ones and of the longer ones there."""
-    solid, words, length = forms(name)
-    close, far = (spacing - 0.5) / 100, (across - 0.5) / 100
-    made: dict[tuple[str, int], set[str]] = {}
-    out = []
-    for kind, own, partners, share, of in (("words", length, lengths if words else (), far, words), ("solid", len(solid), solid_lengths, close, (solid,))):
-        for n in partners:
-            if by_deletion(own, n, share):
-                k = deletions(own, n, share)[0]
-                if (kind, k) not in made:
-                    made[kind, k] = remnants(of, k)
-                out.extend((f"{kind} {min(own, n)} {max(own, n)} {x}", own <= n, own >= n) for x in made[kind, k])
-    return out
+class Lengths:
+    """The lengths of the names that are compared: without spaces (solid), and of their different words with the number of these: of names that have `word` (those) and of others (rest). No name has the word ""."""
 
+    def __init__(self, solid: Iterable[int], rest: Iterable[tuple[int, int]], word: str = "", those: Iterable[tuple[int, int]] = ()):
+        self.solid, self.rest, self.word, self.those = set(solid), set(rest), word, set(those)
 
-def name_keys(name: str, across: int, spacing: int, lengths: Iterable[int], solid_lengths: Iterable[int]) -> list[tuple[str, str, float, float]]:
+    def groups(self, words: tuple[str, ...]) -> list[tuple[str, tuple[str, ...], Iterable[tuple[int, int]], int]]:
+        """(kind, words, partners, characters that stay whole) of a name by whether partners have `word` as it has. Two names begin with the words that both have when they are compared, so nothing is deleted of these if either has others; if not, names meet by the words."""
+        if not words:
+            return []
+        if self.word not in words:
+            return [("words", words, self.rest | self.those, 0)]
+        others = tuple(w for w in words if w != self.word)
+        return [("words", words, self.rest, 0), *([("those", others, self.those, len(self.word) + 1)] if others else [])]
+
+
+def lengths_of(names: DataFrame) -> Lengths:
+    """Lengths of distinct names; the word is the most frequent one, if half of the names have it."""
+    words = names.select(F.explode(F.array_distinct(F.split("name", r"\s+"))).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("many"))
+    most = words.orderBy(F.col("many").desc(), "word").limit(1).withColumn("names", F.lit(names.count())).first()
+    word = most["word"] if most and 2 * most["many"] >= most["names"] else ""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {(len(solid), length, len(words), word in words) for batch in batches for solid, words, length in map(forms, batch.column(0).to_pylist())}
+        yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, f, strict=True)) for f in found], kinds)
+
+    kinds = pa.schema([("solid", pa.int32()), ("length", pa.int32()), ("words", pa.int32()), ("has", pa.bool_())])
+    sizes = dealt(names.select("name")).mapInArrow(of, "solid int, length int, words int, has boolean").distinct().collect()
+    return Lengths((r["solid"] for r in sizes), ((r["length"], r["words"]) for r in sizes if not r["has"]), word, ((r["length"], r["words"]) for r in sizes if r["has"]))
+
+
+def remnant_keys(name: str, across: int, spacing: int, lengths: Lengths) -> list[tuple[str, int]]:
+    """(key, role) of a name: what is left of it where it meets names of these lengths by deletion, and whether it is one of the shorter ones (1) or longer ones (2) there, or all have one length (0)."""
+    solid, words, length = forms(name)
+    close, far = (spacing - 0.5) / 100, (across - 0.5) / 100
+    made: dict[tuple, set[str]] = {}
+    out = {}
+    for kind, of, partners, whole, own, share in (*((*g, length, far) for g in lengths.groups(words)), ("solid", (solid,), ((n, 1) for n in lengths.solid), 0, len(solid), close)):
+        count = len(of) if kind == "solid" else len(words)
+        for n, theirs in partners:
+            if by_deletion(own, n, share, whole):
+                k, other = deletions(own, n, share)
+                # as many spaces more are deleted of one name as it has words more
+                joins = range(max(0, count - theirs), min(k, other + count - theirs) + 1)
+                if (kind, k, joins) not in made:
+                    made[kind, k, joins] = remnants(of, k, joins)
+                at, role = f"{kind} {min(own, n)} {max(own, n)} ", 0 if own == n else 1 if own < n else 2
+                out.update((at + x, role) for x in made[kind, k, joins])
+    return list(out.items())
+
+
+def name_keys(name: str, across: int, spacing: int, lengths: Lengths) -> list[tuple[str, str, float, float]]:
     """(kind, key, weight, limit) of a name among names of these lengths: of a kind, the rarest keys are kept as long as the weights before a key don't pass the limit. Keys with the limit ASKS are never kept, but all of them ask for names that keep them."""
     out = []
     close, far = (spacing - 0.5) / 100, (across - 0.5) / 100
@@ -131,11 +168,11 @@ def name_keys(name: str, across: int, spacing: int, lengths: Iterable[int], soli
         out.extend((f"{kind}{size}", g, 1.0, len(own) - shared if sure else ASKS) for g in own)
         return sure
 
-    if by_grams(len(solid), solid_lengths, close):
+    if by_grams(len(solid), lengths.solid, close):
         any(add("solid", [solid], len(solid), close, size) for size in SIZES)
     if words:
         out += [("word", w, len(w) + 1.0, length * (1 - far / (2 - far)) + 1e-9) for w in words]
-        if by_grams(length, lengths, far):
+        if any(by_grams(length, {n for n, _ in partners}, far, whole) for _, _, partners, whole in lengths.groups(words)):
             any(add("gram", words, length, far, size) for size in SIZES)
     return out
 
@@ -144,17 +181,22 @@ def name_keys(name: str, across: int, spacing: int, lengths: Iterable[int], soli
 BATCH = 10_000
 
 
-def rows_of(names: DataFrame, made: Callable[[str], Iterable[tuple]], fields: str) -> DataFrame:
-    """A row (name, fields) for each tuple that is made of a name."""
-    schema = f"name string, {fields}"
-    kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as shuffles have: what Python does with its rows costs far more than moving them, though they are few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def rows_of(names: DataFrame, made: Callable[[str], Iterable[tuple]], fields: str, by: str = "name string") -> DataFrame:
+    """A row (by, fields) for each tuple that is made of a name; `by` names the column that tells names apart."""
+    schema = f"{by}, {fields}"
+    kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64()}
     columns = [(n, kinds[kind]) for n, kind in (f.split() for f in schema.split(", "))]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows.extend((name, *k) for k in made(name))
+            for own, name in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+                rows.extend((own, *k) for k in made(name))
                 if len(rows) >= BATCH:
                     yield batch_of(rows)
                     rows = []
@@ -164,7 +206,7 @@ def rows_of(names: DataFrame, made: Callable[[str], Iterable[tuple]], fields: st
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), columns, strict=True)], [n for n, _ in columns])
 
-    return names.select("name").mapInArrow(of, schema)
+    return dealt(names.select(F.col("name").alias("_name"), by.split()[0])).mapInArrow(of, schema)
 
 
 def reaches(a: str, b: str, least: int) -> bool:
@@ -197,44 +239,68 @@ def pair_test(test: Callable[[str, str], bool]):
     return F.arrow_udf(of, "boolean")
 
 
-def candidate_pairs(names: DataFrame, across: int, spacing: int, least_length_ratio: float) -> DataFrame:
-    """(a, b), a < b, of distinct names (a written table, column name) that may be alike: no alike pair is left out.
+def similar_lengths(least_length_ratio: float) -> Column:
+    """Whether the names a and b are."""
+    x, y = F.length("a"), F.length("b")
+    return F.least(x, y) >= least_length_ratio * F.greatest(x, y) - 1e-9
 
-    The lengths that occur, a short list, say which names meet by what is left of
-    them and which by grams. Every key of the latter is counted; of each kind a name keeps its rarest keys. Pairs meet at
-    a key that one of both has kept and the other has kept or asks for. No group is
-    brought together: pairs come from joins, whose large keys Spark can split.
+
+def shared_remnants(names: DataFrame, by: str, across: int, spacing: int, lengths: Lengths) -> DataFrame:
+    """(by, key, role): the keys at which names meet by deletion, if any name meets another there."""
+    made = rows_of(names, lambda n: remnant_keys(n, across, spacing, lengths), "key string, role int", by)
+    each = made.withColumn("key", F.xxhash64("key"))
+    own = Window.partitionBy("key")
+    met = each.select("*", F.count(F.lit(1)).over(own).alias("many"), F.min("role").over(own).alias("least"), F.max("role").over(own).alias("most"))
+    return met.where("if(most = 0, many > 1, least < most)").select(by.split()[0], "key", "role")
+
+
+def pairs_by_parts(names: DataFrame, across: int, spacing: int, least_length_ratio: float, lengths: Lengths) -> DataFrame:
+    """(a, b), a < b, of names that may be alike and don't meet by deletion.
+
+    Every word and gram is counted; of each kind a name keeps its rarest ones. Pairs meet at
+    a key that one of both has kept and the other has kept or asks for.
     """
-    sizes = rows_of(names, lambda n: [tuple(len(f) if isinstance(f, str) else f for f in forms(n)[::2])], "solid int, length int").select("solid", "length").distinct().collect()
-    solid_lengths, lengths = ({r[k] for r in sizes} for k in range(2))
-    left = rows_of(names, lambda n: remnant_keys(n, across, spacing, lengths, solid_lengths), "key string, low boolean, high boolean")
-    left = written(left.select(F.xxhash64("key").alias("key"), "name", "low", "high"), "left")
-    low, high = left.where("low").select("key", F.col("name").alias("a"), "high"), left.where("high").select("key", F.col("name").alias("b"), "low")
-    met = [low.join(high, "key").where("if(high and low, a < b, a <> b)").select("a", "b")]
-
-    each = written(rows_of(names, lambda n: name_keys(n, across, spacing, lengths, solid_lengths), "kind string, key string, weight double, limit double"), "keys")
+    each = written(rows_of(names, lambda n: name_keys(n, across, spacing, lengths), "kind string, key string, weight double, limit double"), "keys", "zstd")
     often = each.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     shared = each.join(often, ["kind", "key"], "left")
     before = F.coalesce(F.sum("weight").over(Window.partitionBy("name", "kind").orderBy(F.coalesce("many", F.lit(1)), "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     # a key that no other name has finds nothing, but takes its place among the rarest
     asks = (F.col("kind") == "word") | (F.col("limit") == ASKS)
     held = shared.withColumn("kept", before <= F.col("limit")).withColumn("asks", asks).where("many > 1 and (kept or asks)")
-    held = written(held.select("kind", "key", "name", "kept", "asks"), "kept")
+    held = written(held.select("kind", "key", "name", "kept", "asks"), "kept", "zstd")
     a, b = held.where("kept").select("kind", "key", F.col("name").alias("a")), held.select("kind", "key", F.col("name").alias("b"), "kept")
-    met.append(a.join(b, ["kind", "key"]).where("a <> b").select("a", "b"))
-    x, y = F.length("a"), F.length("b")
-    return met[0].unionByName(met[1]).where(F.least(x, y) >= least_length_ratio * F.greatest(x, y) - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = a.join(b, ["kind", "key"]).where("a <> b").where(similar_lengths(least_length_ratio))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidate_pairs(names: DataFrame, across: int, spacing: int, least_length_ratio: float) -> DataFrame:
+    """(a, b), a < b, of distinct names (a written table, column name) that may be alike: no alike pair is left out.
+
+    The lengths that occur, a short list, say which names meet by what is left of
+    them and which by parts. No group is
+    brought together: pairs come from joins, whose large keys Spark can split.
+    """
+    lengths = lengths_of(names)
+    left = written(shared_remnants(names, "name string", across, spacing, lengths), "shared", "zstd")
+    low, high = left.where("role < 2").select("key", F.col("name").alias("a"), "role"), left.where("role <> 1").select("key", F.col("name").alias("b"), F.col("role").alias("_role"))
+    met = low.join(high, "key").where("if(role = 0 and _role = 0, a < b, a <> b)").where(similar_lengths(least_length_ratio))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.unionByName(pairs_by_parts(names, across, spacing, least_length_ratio, lengths)).distinct()
 
 
 def similar_names(names: DataFrame, across: int = 90, spacing: int = 95, least_length_ratio: float = 0.7) -> DataFrame:
     """(a, b), a < b, of distinct names that are alike; null isn't a name."""
     own = written(names.select("name").where("name is not null").distinct(), "names")
     alike = pair_test(lambda x, y: alike_across(x, y, across, spacing, least_length_ratio))
-    return candidate_pairs(own, across, spacing, least_length_ratio).where(alike("a", "b"))
+    return dealt(candidate_pairs(own, across, spacing, least_length_ratio)).where(alike("a", "b"))
 
 
 #: pairs that one task settles in a round of greedy_heads, about
 EDGES = 2_000_000
+#: keys of names and pairs that one task reads in a round of greedy_names, about; keys of heads that it holds, at most
+ROWS, HELD = 4_000_000, 1_000_000
+#: keys of a round's heads that are sent to all tasks, at most (some 30 MB)
+SENT = 500_000
 
 
 def numbered_nodes(nodes: DataFrame) -> DataFrame:
@@ -247,51 +313,119 @@ def numbered_nodes(nodes: DataFrame) -> DataFrame:
     return written(dealt.withColumn("_i", inside).join(F.broadcast(offsets), "_s").select("name", (F.col("_before") + F.col("_i") - 1).alias("number")), "numbered")
 
 
-def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: pairs (late, early) in order to (late, head) of those that are taken, by their first partner that isn't taken itself."""
-    taken: set[int] = set()
-    for batch in batches:
-        out, heads = [], []
-        for late, early in zip(batch.column("late").to_pylist(), batch.column("early").to_pylist(), strict=True):
-            if late not in taken and early not in taken:
-                taken.add(late)
-                out.append(late)
-                heads.append(early)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(heads, pa.int64())], ["late", "head"])
-
-
-def greedy_heads(nodes: DataFrame, pairs: DataFrame, edges: int = EDGES) -> DataFrame:
-    """(name, head): each node, in order, is the head of all later nodes paired with it that have no earlier head.
+def settled(alike: Callable[[str, str], bool] | None, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function: names in order, (number, name, own, ask, early), to (number, head): a name's head is the first of those before it that are alike and have none, else itself.
 
-    nodes are (name, place), places being comparable and distinct; pairs (a, b)
-    join two nodes. In each round the first nodes, with about `edges` pairs among themselves,
-    are settled by one task in order, and their heads take the later nodes; then pairs of taken nodes
-    go. So rounds are at most as many as `edges` goes into the pairs, however long the chains of nodes that wait for one another are.
+    `own` are a name's keys, `ask` those of names that may be alike, `early` earlier names that are. It is compared with heads only. Once heads have
+    `held` keys, later names are left out.
     """
-    known = numbered_nodes(nodes)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[int, tuple[int, ...]] = {}
+        heads: dict[int, str] = {}
+        for batch in batches:
+            out = []
+            for number, name, own, ask, early in zip(batch.column("number").to_pylist(), batch.column("name").to_pylist(), *(lists(batch.column(c)) for c in ("own", "ask", "early")), strict=True):
+                sure = {h for h in early if h in heads}
+                found = set(sure)
+                for k in ask:
+                    if k in index:
+                        found.update(index[k])
+                head = next((h for h in sorted(found) if h in sure or alike(heads[h], name)), number)
+                if head == number:
+                    heads[number] = name
+                    for k in own:
+                        index[k] = (*index.get(k, ()), number)
+                out.append((number, head))
+                if len(index) >= held:
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["number", "head"])
+            if len(index) >= held:
+                return
+
+    return of
+
+
+def lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """Lists of numbers, through numpy, which is far quicker for them."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).tolist()
+    return (values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+
+def in_order(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(late, early, a, b) of pairs (a, b): their numbers, and their names with the earlier one as a."""
     number = lambda c: known.select(F.col("name").alias(c), F.col("number").alias(f"_{c}"))
     met = pairs.join(number("a"), "a").join(number("b"), "b")
-    open_ = written(met.select(F.least("_a", "_b").alias("early"), F.greatest("_a", "_b").alias("late")), "open")
+    return met.select(F.greatest("_a", "_b").alias("late"), F.least("_a", "_b").alias("early"), F.when(F.col("_a") < F.col("_b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_a") < F.col("_b"), F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def heads_in_rounds(known: DataFrame, shared: DataFrame | None, pairs: DataFrame, alike: Callable[[str, str], bool] | None, rows: int, held: int = HELD) -> DataFrame:
+    """(name, head) of known (name, number): names are taken by the first of those before them that are alike and not taken.
+
+    Alike are pairs (late, early) of numbers, and names that meet at a shared key (number, key, role) and pass the test, the earlier one first: matched characters may depend on it. In
+    each round one task settles the first names, with about so many keys and pairs in all or fewer, in order, and their heads take the
+    later names, by joins. Names are compared with heads only, which are few where many are alike; a name with no
+    pair and no shared key isn't looked at.
+    """
+    none = F.array().cast("array<bigint>")
+    # the earlier one is looked at too, as paired with itself
+    both = F.explode(F.array(F.struct(F.col("late").alias("number"), F.col("early").alias("key")), F.struct(F.col("early").alias("number"), F.col("early").alias("key"))))
+    early = pairs.select(both.alias("of")).groupBy("of.number").agg(F.collect_set("of.key").alias("early"))
+    open_ = known.join(early, "number", "left")
+    if shared is None:
+        open_ = open_.withColumn("own", none).withColumn("ask", none)
+    else:  # of names of two lengths, the shorter ones ask for longer ones and these for shorter ones
+        own, ask = (F.when(F.col("role") == 0, F.col("key")).otherwise(F.xxhash64("key", role)) for role in (F.col("role"), 3 - F.col("role")))
+        keys = shared.select("number", own.alias("own"), ask.alias("ask")).groupBy("number").agg(F.collect_list("own").alias("own"), F.collect_list("ask").alias("ask"))
+        open_ = open_.join(keys, "number", "left")
+    open_ = open_.select("number", "name", *(F.coalesce(c, none).alias(c) for c in ("own", "ask", "early"))).where("size(own) + size(early) > 0")
+    open_ = written(open_, "open", "zstd")
     taken = []
-    while (n := open_.count()) > 0:
-        last = open_.agg(F.percentile_approx("late", edges / n, 10_000)).first()[0] if n > edges else None
-        first = open_ if last is None else open_.where(F.col("late") <= last)
-        taken.append(written(first.select("late", "early").repartition(1).sortWithinPartitions("late", "early").mapInArrow(settled, "late bigint, head bigint"), "taken"))
-        if last is None:
-            break
-        left = open_.where(F.col("late") > last).join(taken[-1].select(F.col("late").alias("early")), "early", "left_anti")
-        left = written(left, "left")
-        taken.append(written(left.where(F.col("early") <= last).groupBy("late").agg(F.min("early").alias("head")), "taken"))
-        gone = taken[-1].select("late")
-        open_ = written(left.join(gone, "late", "left_anti").join(gone.select(F.col("late").alias("early")), "early", "left_anti"), "open")
+    while n := open_.agg(F.sum(F.size("own") + F.size("early"))).first()[0]:
+        last = open_.agg(F.percentile_approx("number", rows / n, 10_000)).first()[0] if n > rows else None
+        first = open_ if last is None else open_.where(F.col("number") <= last)
+        chosen = written(first.repartition(1).sortWithinPartitions("number").mapInArrow(settled(alike, held), "number bigint, head bigint"), "taken")
+        taken.append(chosen)
+        done = chosen.agg(F.max("number")).first()[0]
+        left = open_.where(F.col("number") > done)
+        heads = open_.where(F.col("number") <= done).join(chosen.where("number = head").select("number"), "number").select(F.col("number").alias("head"), F.col("name").alias("a"), "own")
+        met = left.select("number", F.explode("early").alias("head")).join(heads.select("head"), "head").select("number", "head")
+        if shared is not None:
+            theirs = written(heads.select("head", "a", F.explode("own").alias("key")), "theirs")
+            theirs = F.broadcast(theirs) if theirs.count() <= SENT else theirs
+            may = left.select("number", F.col("name").alias("b"), F.explode("ask").alias("key")).join(theirs, "key").select("number", "head", "a", "b").distinct()
+            met = met.unionByName(dealt(may).where(pair_test(alike)("a", "b")).select("number", "head"))
+        later = written(met.groupBy("number").agg(F.min("head").alias("head")), "taken")
+        taken.append(later)
+        open_ = written(left.join(later.select("number"), "number", "left_anti"), "open", "zstd")
     if not taken:
         return known.select("name", F.col("name").alias("head"))
     every = taken[0]
     for t in taken[1:]:
         every = every.unionByName(t)
-    heads = known.select(F.col("number").alias("head"), F.col("name").alias("_head"))
-    own = known.join(every.withColumnRenamed("late", "number").join(heads, "head").select("number", "_head"), "number", "left")
-    return own.select("name", F.coalesce("_head", "name").alias("head"))
+    names = known.select(F.col("number").alias("head"), F.col("name").alias("_head"))
+    led = known.join(every.where("number <> head").join(names, "head").select("number", "_head"), "number", "left")
+    return led.select("name", F.coalesce("_head", "name").alias("head"))
+
+
+def greedy_heads(nodes: DataFrame, pairs: DataFrame, edges: int = EDGES) -> DataFrame:
+    """(name, head): each node, in order, is the head of all later nodes paired with it that have no earlier head.
+
+    nodes are (name, place), places being comparable and distinct; pairs (a, b)
+    join two nodes. Rounds are at most as many as `edges` goes into the pairs, however long the chains of nodes that wait for one another are.
+    """
+    known = numbered_nodes(nodes)
+    return heads_in_rounds(known, None, in_order(known, pairs), None, edges)
+
+
+def greedy_names(nodes: DataFrame, across: int = 90, spacing: int = 95, least_length_ratio: float = 0.7, rows: int = ROWS, held: int = HELD) -> DataFrame:
+    """(name, head) of nodes (name, place): greedy_heads over all names that are alike, but names that meet by deletion are compared with heads only, not with each other: of names that differ in a number, each has hundreds of others alike."""
+    known = numbered_nodes(nodes)
+    names = known.select("name", "number")
+    lengths = lengths_of(names)
+    alike = lambda x, y: alike_across(x, y, across, spacing, least_length_ratio)
+    pairs = dealt(in_order(known, pairs_by_parts(names, across, spacing, least_length_ratio, lengths))).where(pair_test(alike)("a", "b"))
+    return heads_in_rounds(known, shared_remnants(names, "number bigint", across, spacing, lengths), pairs, alike, rows, held)
 
 
 #: open names of a block that are looked at for heads in a round, at most; members of a block that one task compares with them

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,58 @@ def test_remnants_hold_all_deletions(words, n):
     text = " ".join(words)
     by_hand = {" ".join(sorted("".join(c for i, c in enumerate(text) if i not in gone).split())) for gone in itertools.combinations(range(len(text)), n)}
     assert S.remnants(words, n) >= by_hand
+
+
+def test_matched_characters_equal_difflib():
+    rnd = random.Random(6)
+    for letters in ("A", "AB", "ABC", "ABCDEFGHIJ "):
+        for _ in range(600):
+            a = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 24)))
+            b = changed(rnd, a) if a.strip() and rnd.random() < 0.6 else "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 24)))
+            m = SequenceMatcher(None, a, b, autojunk=False)
+            assert N.matched(a, b) == sum(x.size for x in m.get_matching_blocks()) and N.ratio(a, b) == round(100 * m.ratio())
+
+
+def numbered_names(many, step):
+    return [f"CUSTOMER {''.join('ABCDEFGHIJ'[int(d)] for d in f'{k:09}')}{' SR' if k % 7 == 5 else ''}" for k in range(0, many * step, step)]
+
+
+@pytest.mark.parametrize(("rows", "held"), [(4_000_000, 1_000_000), (400, 1_000_000), (4_000_000, 60)])
+def test_greedy_names_equal_the_loop(spark, rows, held):
+    """In one round, and in several by either limit."""
+    order = numbered_names(160, 3) + some_names(7, 60) + ["CUSTOMER", "CUSTOMER SR", "SR", ""]
+    order = list(dict.fromkeys(order))
+    random.Random(8).shuffle(order)
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "name string, place int")
+    got = {r["name"]: r["head"] for r in S.greedy_names(nodes, rows=rows, held=held).collect()}
+    want, heads = {}, []
+    for x in order:  # the earlier name is the first one: matched characters depend on it
+        want[x] = next((h for h in heads if S.alike_across(h, x, 90, 95, 0.7)), x)
+        heads += [x] if want[x] == x else []
+    assert got == want and 40 < len(heads) < len(order) - 40
+
+
+def test_names_are_compared_with_heads_only():
+    """Of names that differ in a number each has many others alike, but is compared with few."""
+    import pyarrow as pa
+
+    names, lengths = sorted(numbered_names(2000, 1)), S.Lengths({17, 19}, (), "CUSTOMER", {(18, 2), (21, 3)})
+    keys = [S.remnant_keys(n, 90, 95, lengths) for n in names]
+    assert max(map(len, keys)) < 100  # 1,600 if any characters were deleted in any order
+    ids = {k: i for i, k in enumerate({x for own in keys for x, _ in own})}
+    own, ask = ([[4 * ids[x] + (r if mine else (3 - r) % 3) for x, r in made] for made in keys] for mine in (True, False))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(names), pa.array(own), pa.array(ask), pa.array([[]] * 2000, pa.list_(pa.int64()))], ["number", "name", "own", "ask", "early"])
+    asked = []
+    alike = lambda a, b: asked.append(a) or S.alike_across(a, b, 90, 95, 0.7)
+    (out,) = S.settled(alike, 1_000_000)(iter([batch]))
+    assert out.num_rows == 2000 and len(asked) < 2 * len(names) and len(set(out.column("head").to_pylist())) < 100
+
+
+def test_names_are_cleaned_once(spark, monkeypatch):
+    """Cleaning isn't repeated for the filter by core name in the tasks that read the names."""
+    plans = []
+    keep = C.written
+    monkeypatch.setattr(C, "written", lambda df, name, *more: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name, *more))
+    C.cluster_names(spark.createDataFrame([("ACME S.A.", 2), ("ACME FOODS LTD", 1)], "name string, n bigint"))
+    (plan,) = [p for n, p in plans if n == "cleaned"]
+    assert sum(line.count("GMBH") > 0 for line in plan.splitlines()) == 1 and "Repartition" in plan
