@@ -75,13 +75,16 @@ def look_up(clusters: DataFrame | None, names: DataFrame, column: str = "name")
 
 def canonical_names(df: DataFrame, clusters: DataFrame, column: str, empty: Column | None = None) -> DataFrame:
     """df with canonical_<column>: by alias, else by the first alias with the same cleaned form, else the cleaned name; upper case. An empty name stays, or becomes `empty`."""
-    alias = clusters.select(F.explode("aliases").alias("_alias"), F.upper("canonical_name").alias("_exact"))
+    alias = written(clusters.select(F.explode("aliases").alias("_alias"), F.upper("canonical_name").alias("_exact")), "aliases", "zstd")
     exact = alias.groupBy("_alias").agg(F.min("_exact").alias("_exact"))
-    by_form = alias.select(N.clean_company(F.col("_alias")).alias("_form"), "_alias", "_exact").groupBy("_form").agg(F.min_by("_exact", "_alias").alias("_same"))
-    names = df.select(F.col(column).alias("_name")).distinct()
-    known = names.withColumn("_own", N.clean_company(F.col("_name"))).join(exact, F.col("_name") == F.col("_alias"), "left").join(by_form, F.col("_own") == F.col("_form"), "left")
+    names = written(df.select(F.col(column).alias("_name")).distinct().join(exact, F.col("_name") == F.col("_alias"), "left").select("_name", "_exact"), "named", "zstd")
     blank = F.coalesce(F.trim("_name"), F.lit("")) == ""
-    known = known.select("_name", F.when(blank, F.col("_name") if empty is None else empty).otherwise(F.coalesce("_exact", "_same", F.upper("_own"))).alias("_canonical"))
+    known = names.where(F.col("_exact").isNotNull() | blank).select("_name", F.when(blank, F.col("_name") if empty is None else empty).otherwise(F.col("_exact")).alias("_canonical"))
+    others = names.where(F.col("_exact").isNull() & ~blank)
+    if not others.isEmpty():  # only for these are forms compared: cleaning is the larger part of the work
+        by_form = dealt(alias).select(N.clean_company(F.col("_alias")).alias("_form"), "_alias", "_exact").groupBy("_form").agg(F.min_by("_exact", "_alias").alias("_same"))
+        own = dealt(others.select("_name")).withColumn("_own", N.clean_company(F.col("_name"))).join(by_form, F.col("_own") == F.col("_form"), "left")
+        known = known.unionByName(own.select("_name", F.coalesce("_same", F.upper("_own")).alias("_canonical")))
     return df.join(known, F.col(column).eqNullSafe(F.col("_name"))).withColumn(f"canonical_{column}", F.col("_canonical")).drop("_name", "_canonical")
 
 

@@ -234,3 +234,12 @@ def test_names_are_cleaned_once(spark, monkeypatch):
     C.cluster_names(spark.createDataFrame([("ACME S.A.", 2), ("ACME FOODS LTD", 1)], "name string, n bigint"))
     (plan,) = [p for n, p in plans if n == "cleaned"]
     assert sum(line.count("GMBH") > 0 for line in plan.splitlines()) == 1 and "Repartition" in plan
+
+
+def test_known_names_are_not_cleaned(spark):
+    clusters = spark.createDataFrame([("Acme", ["ACME S.A.", "ACME LTD"], 3)], "canonical_name string, aliases array<string>, count bigint")
+    known = C.canonical_names(spark.createDataFrame([("ACME LTD",), ("ACME S.A.",), (" ",), (None,)], "name string"), clusters, "name")
+    assert "GMBH" not in known._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["name"]: r["canonical_name"] for r in known.collect()} == {"ACME LTD": "ACME", "ACME S.A.": "ACME", " ": " ", None: None}
+    more = C.canonical_names(spark.createDataFrame([("ACME LTD",), ("Acmé GmbH",), ("Other Ltd",)], "name string"), clusters, "name")
+    assert {r["name"]: r["canonical_name"] for r in more.collect()} == {"ACME LTD": "ACME", "Acmé GmbH": "ACME", "Other Ltd": "OTHER"}
