@@ -439,14 +439,28 @@ def block_heads(forms: DataFrame, alike: Callable[[str, str], bool], heads: int
     first `heads` open forms of every block settle among themselves who is a
     head; the block's other open forms, dealt to as many tasks as they need, look
     for the first of those heads that is alike. So no task holds a block, and the
-    forms are compared with heads only, as in the plain loop.
+    forms are compared with heads only, as in the plain loop. Blocks of at most `heads` forms are rows of many to a batch.
     """
-    alone = F.count(F.lit(1)).over(Window.partitionBy("block")) == 1
-    told = written(forms.select("block", "form", "place").withColumn("alone", alone), "forms")
-    parts = [told.where("alone").select("block", "form", F.col("form").alias("head"))]
-    open_ = told.where("not alone").drop("alone")
+    many = F.count(F.lit(1)).over(Window.partitionBy("block"))
+    told = written(forms.select("block", "form", "place").withColumn("many", many), "forms")
     kinds = f"block {dict(told.dtypes)['block']}, form string"
 
+    def settle_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for block, own in zip(batch.column("block").to_pylist(), batch.column("of").to_pylist(), strict=True):
+                found: list[str] = []
+                for form in own:
+                    head = next((h for h in found if alike(h, form)), None)
+                    found += [form] if head is None else []
+                    rows.append((block, form, form if head is None else head))
+            fields = (batch.schema.field("block").type, pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], fields[k]) for k in range(3)], ["block", "form", "head"])
+
+    small = told.where(f"many between 2 and {heads}").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "form"))).alias("of")).select("block", F.col("of.form").alias("of"))
+    parts = [told.where("many = 1").select("block", "form", F.col("form").alias("head")), written(dealt(small).mapInArrow(settle_small, f"{kinds}, head string"), "small")]
+    open_ = told.where(f"many > {heads}").drop("many")
+
     def settle(rows: pa.Table) -> pa.Table:
         found: list[str] = []
         for form in rows.sort_by("rank").column("form").to_pylist():
@@ -465,8 +479,8 @@ def block_heads(forms: DataFrame, alike: Callable[[str, str], bool], heads: int
         chosen = written(first.groupBy("block").applyInArrow(settle, f"{kinds}, at int"), "chosen")
         sizes = open_.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("parts"))
         sent = chosen.select("block", F.col("form").alias("head_form"), "at").join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = open_.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int"))
-        looked = written(dealt.select("block", "form", "place", "part").groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(look, f"{kinds}, place {dict(told.dtypes)['place']}, head string"), "told")
+        spread = open_.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int"))
+        looked = written(spread.select("block", "form", "place", "part").groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(look, f"{kinds}, place {dict(told.dtypes)['place']}, head string"), "told")
         parts.append(looked.where("head is not null").select("block", "form", "head"))
         open_ = looked.where("head is null").select("block", "form", "place")
     out = parts[0]

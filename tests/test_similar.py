@@ -243,3 +243,11 @@ def test_known_names_are_not_cleaned(spark):
     assert {r["name"]: r["canonical_name"] for r in known.collect()} == {"ACME LTD": "ACME", "ACME S.A.": "ACME", " ": " ", None: None}
     more = C.canonical_names(spark.createDataFrame([("ACME LTD",), ("Acmé GmbH",), ("Other Ltd",)], "name string"), clusters, "name")
     assert {r["name"]: r["canonical_name"] for r in more.collect()} == {"ACME LTD": "ACME", "Acmé GmbH": "ACME", "Other Ltd": "OTHER"}
+
+
+def test_small_blocks_are_no_groups(spark):
+    """Blocks of few forms are settled by batch, not each as a group of its own."""
+    rows = [(f"b{k // 3}", f"f{k // 3} {'X' * (k % 3)}", k) for k in range(60)]
+    found = S.block_heads(spark.createDataFrame(rows, "block string, form string, place int"), lambda a, b: abs(len(a) - len(b)) < 2)
+    assert "FlatMap" not in found._jdf.queryExecution().toString()
+    assert sorted(r["head"] for r in found.collect()) == sorted(f for k in range(20) for f in (f"f{k} ", f"f{k} ", f"f{k} XX"))
